@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, token_count
+from . import decontaminate, exact_dedup, langid, packing, simhash, token_count
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op5_token_counts": token_count.query,
     "op7_exact_dedup": exact_dedup.query,
+    "op8_decontamination": decontaminate.query,
+    "op9_simhash_near_dedup": simhash.query,
+    "op10_language_id": langid.query,
 }
 
 SQL = {
