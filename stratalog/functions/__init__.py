@@ -1 +1 @@
-"""Spark-native analytics for source-code corpora."""
+"""Scalar functions as Column expressions; nothing here leaves the JVM."""

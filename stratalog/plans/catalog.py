@@ -1,4 +1,505 @@
-"""Registered queries of the library and the SQL that gives the same rows."""
+"""Registered queries: each runs the library's operators over the driver's tables; SQL gives the same rows.
+
+The tables stand in for repositories: pages and documents for files, a URL's path for a file's path, a document's
+source or an event's user for a repository, HTML tags for structural elements, lines for spans.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import classify as C
+from ..operators import relational as R
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+_COVER = "CASE WHEN cov = 'complete' THEN 20.0 WHEN cov = 'partial' THEN 10.0 ELSE 5.0 END"
+
+
+def _salience_sql(n: str) -> str:
+    return f"round(least(100.0, least(35.0, 8.0 * log2(greatest({n}, 1) + 1)) + 20.0 + 10.0), 3)"
+
+
+_LANGS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.EXTENSION_LANGUAGES.items())
+_PATH = "regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/?([^?#]*)', 1)"
+_HOST = "lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1))"
+_EXT = "lower(regexp_extract(regexp_replace(string_split(path, '/')[-1], '^\\.+', ''), '^.+(\\.[^.]+)$', 1))"
+_TAGS = "regexp_extract_all(coalesce(html, ''), '<([a-zA-Z][a-zA-Z0-9]*)', 1)"
+
+
+def _tags(html="html"):
+    return F.transform(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), 1), F.lower)
+
+
+@query(f"""
+WITH p AS (SELECT page_id, {_PATH} AS path FROM pages),
+e AS (SELECT page_id, CASE WHEN {_EXT} = '' THEN '<none>' ELSE {_EXT} END AS extension FROM p)
+SELECT extension, CASE WHEN l IS NULL THEN 'unclassified' ELSE 'language' END AS classification, l AS language, n AS occurrence_count,
+       {_salience_sql("n")} AS salience
+FROM (SELECT extension, CASE extension {_LANGS} END AS l, count(*) AS n FROM e GROUP BY ALL)
+""")
+def ext_families(spark, sf):
+    """Extension families with salience."""
+    ext = S.extension_of(S.url_path(F.col("url")))
+    fam = table(spark, sf, "pages").select(ext.alias("extension")).groupBy("extension").agg(F.count(F.lit(1)).alias("occurrence_count"))
+    lang = S.language_of(F.col("extension"))
+    return fam.select("extension", F.when(lang.isNull(), "unclassified").otherwise("language").alias("classification"), lang.alias("language"), "occurrence_count", S.salience(F.col("occurrence_count"), F.lit("complete")).alias("salience"))
+
+
+@query("SELECT sha256(coalesce(text, '')) AS sha256, count(*) AS file_count, min(doc_id) AS first_id, CAST(max(strlen(coalesce(text, ''))) AS BIGINT) AS byte_size FROM documents GROUP BY 1")
+def cas_blobs(spark, sf):
+    """Content-addressed blobs."""
+    d = table(spark, sf, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
+    return d.groupBy("sha256").agg(F.count(F.lit(1)).alias("file_count"), F.min("doc_id").alias("first_id"), F.max("n").alias("byte_size"))
+
+
+@query("""SELECT count(*) AS file_count, count(DISTINCT sha256(coalesce(text, ''))) AS distinct_blob_count, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS total_bytes FROM documents""")
+def cas_index_counts(spark, sf):
+    """Index totals."""
+    d = table(spark, sf, "documents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("s"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
+    blobs = d.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("b"))
+    return blobs.agg(F.sum("c").alias("file_count"), F.count(F.lit(1)).alias("distinct_blob_count"), F.sum("b").alias("total_bytes"))
+
+
+@query(f"""
+WITH p AS (SELECT page_id, {_HOST} AS host, string_split({_PATH}, '/') AS parts FROM pages),
+s AS (SELECT host, CASE WHEN list_position(parts, 'src') > 0 THEN coalesce(nullif(array_to_string(parts[1:list_position(parts, 'src') - 1], '/'), ''), '.') WHEN len(parts) > 1 THEN parts[1] ELSE '.' END AS scope FROM p)
+SELECT scope, count(*) AS occurrence_count, count(DISTINCT host) AS file_count FROM s GROUP BY 1
+""")
+def scope_dispersion(spark, sf):
+    """Source-tree scopes and how far they spread (F02, A01). Two aggregations, no distinct over raw rows."""
+    s = table(spark, sf, "pages").select(S.host_of(F.col("url")).alias("host"), S.source_tree_scope(S.url_path(F.col("url"))).alias("scope"))
+    per = s.groupBy("scope", "host").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("scope").agg(F.sum("n").alias("occurrence_count"), F.count(F.lit(1)).alias("file_count"))
+
+
+@query(f"""
+SELECT source, n AS occurrence_count, {_salience_sql("n")} AS salience FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)
+ORDER BY n DESC, source LIMIT 10
+""")
+def salience_by_source(spark, sf):
+    """Top sources by count with salience."""
+    g = table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("occurrence_count"))
+    return g.withColumn("salience", S.salience(F.col("occurrence_count"), F.lit("complete"))).orderBy(F.desc("occurrence_count"), "source").limit(10)
+
+
+@query(f"""
+WITH t AS (SELECT page_id, lower(unnest({_TAGS})) AS tag FROM pages)
+SELECT tag, count(*) AS occurrence_count, count(DISTINCT page_id) AS file_count FROM t GROUP BY 1
+""")
+def tag_families(spark, sf):
+    """Element families (P09, A04, A07): file counts come from the per-file evidence, not from a distinct."""
+    ev = table(spark, sf, "pages").select("page_id", F.explode(_tags()).alias("tag")).groupBy("tag", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    return ev.groupBy("tag").agg(F.sum("n").alias("occurrence_count"), F.count(F.lit(1)).alias("file_count"))
+
+
+@query(f"SELECT page_id, lower(tag) AS tag, count(*) AS occurrence_count_in_file FROM (SELECT page_id, unnest({_TAGS}) AS tag FROM pages) GROUP BY ALL")
+def family_file_counts(spark, sf):
+    """Family by file evidence."""
+    return table(spark, sf, "pages").select("page_id", F.explode(_tags()).alias("tag")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("occurrence_count_in_file"))
+
+
+@query(f"""
+WITH s AS (SELECT page_id, array_to_string(list_sort(list_distinct(list_transform({_TAGS}, lambda x: lower(x)))), '|') AS shape FROM pages)
+SELECT sha256(shape) AS shape_fingerprint, shape, count(*) AS document_count, min(page_id) AS first_page FROM s GROUP BY ALL
+""")
+def page_shapes(spark, sf):
+    """Document-shape families."""
+    shape = F.array_join(F.array_sort(F.array_distinct(_tags())), "|")
+    g = table(spark, sf, "pages").select("page_id", shape.alias("shape")).groupBy("shape").agg(F.count(F.lit(1)).alias("document_count"), F.min("page_id").alias("first_page"))
+    return g.withColumn("shape_fingerprint", F.sha2("shape", 256))
+
+
+@query("""
+WITH k AS (SELECT event_id, user_id, unnest(json_keys(props)) AS key FROM events)
+SELECT 'json' AS syntax, key, count(*) AS occurrence_count, count(DISTINCT user_id) AS file_count FROM k GROUP BY key
+""")
+def props_key_families(spark, sf):
+    """Key families of JSON documents."""
+    k = R.json_keys_exploded(table(spark, sf, "events").select("user_id", "props"), "props")
+    per = k.groupBy("key", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("key").agg(F.sum("n").alias("occurrence_count"), F.count(F.lit(1)).alias("file_count")).withColumn("syntax", F.lit("json"))
+
+
+@query("""
+SELECT key, CASE WHEN t IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT') THEN 'number' WHEN t = 'VARCHAR' THEN 'string' WHEN t = 'BOOLEAN' THEN 'boolean' WHEN t = 'ARRAY' THEN 'sequence' WHEN t = 'OBJECT' THEN 'mapping' ELSE 'null' END AS value_kind, count(*) AS n
+FROM (SELECT key, json_type(props, '$.' || key) AS t FROM (SELECT props, unnest(json_keys(props)) AS key FROM events)) GROUP BY ALL
+""")
+def props_value_kinds(spark, sf):
+    """Kinds of values by key."""
+    e = table(spark, sf, "events").select(F.parse_json("props").alias("v"))
+    rows = e.selectExpr("explode(cast(v as map<string, variant>)) as (key, value)")
+    t = F.schema_of_variant("value")
+    kind = F.when(t.isin("BIGINT", "DOUBLE") | t.startswith("DECIMAL"), "number").when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(t.startswith("ARRAY"), "sequence").when(t.startswith("OBJECT"), "mapping").otherwise("null")
+    return rows.select("key", kind.alias("value_kind")).groupBy("key", "value_kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents),
+h AS (SELECT source, doc_id, i AS line_no, lines[i] AS line FROM (SELECT *, unnest(generate_series(1, len(lines))) AS i FROM l) WHERE contains(lower(lines[i]), 'license'))
+SELECT source, count(*) AS hits, arg_min(doc_id, doc_id * 1000000 + line_no) AS doc_id, arg_min(line_no, doc_id * 1000000 + line_no) AS line_no, arg_min(md5(line), doc_id * 1000000 + line_no) AS line_md5 FROM h GROUP BY 1
+""")
+def evidence_first_line(spark, sf):
+    """Best exemplar per family (A08, W02): argmin over a total order, with partial aggregation."""
+    d = table(spark, sf, "documents").filter(F.contains(F.lower("text"), F.lit("license")))
+    h = d.select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).filter(F.contains(F.lower("line"), F.lit("license")))
+    at = F.struct("doc_id", "p")
+    first = h.groupBy("source").agg(F.count(F.lit(1)).alias("hits"), F.min_by(F.struct("doc_id", "p", F.md5("line").alias("m")), at).alias("x"))
+    return first.select("source", "hits", F.col("x.doc_id").alias("doc_id"), (F.col("x.p") + 1).cast("long").alias("line_no"), F.col("x.m").alias("line_md5"))
+
+
+def _tag_vectors(spark, sf):
+    ev = table(spark, sf, "pages").select("page_id", F.explode(_tags()).alias("tag")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+    pair = lambda v: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tag", v))), lambda x: F.concat(x["tag"], F.lit("="), x[v].cast("string"))), "|")
+    ev = ev.withColumn("b", S.numeric_bucket(F.col("n")))
+    return ev.groupBy("page_id").agg(pair("n").alias("exact"), pair("b").alias("similar"), F.sum("n").alias("occurrences"))
+
+
+_BUCKET = "CASE WHEN n <= 1 THEN 'one' WHEN n <= 4 THEN '2_4' WHEN n <= 16 THEN '5_16' WHEN n <= 64 THEN '17_64' WHEN n <= 256 THEN '65_256' WHEN n <= 1024 THEN '257_1024' ELSE 'gt_1024' END"
+_VECTORS = f"""
+e AS (SELECT page_id, lower(tag) AS tag, count(*) AS n FROM (SELECT page_id, unnest({_TAGS}) AS tag FROM pages) GROUP BY ALL),
+v AS (SELECT page_id, string_agg(tag || '=' || n, '|' ORDER BY tag) AS exact, string_agg(tag || '=' || {_BUCKET}, '|' ORDER BY tag) AS alike, CAST(sum(n) AS BIGINT) AS occurrences FROM e GROUP BY 1)
+"""
+
+
+@query(f"WITH {_VECTORS} SELECT sha256(exact) AS exact_id, count(*) AS source_family_count, CAST(sum(occurrences) AS BIGINT) AS occurrence_count, min(page_id) AS representative FROM v GROUP BY exact")
+def exact_shapes(spark, sf):
+    """Exact-shape rollup."""
+    g = _tag_vectors(spark, sf).groupBy("exact").agg(F.count(F.lit(1)).alias("source_family_count"), F.sum("occurrences").alias("occurrence_count"), F.min("page_id").alias("representative"))
+    return g.select(F.sha2("exact", 256).alias("exact_id"), "source_family_count", "occurrence_count", "representative")
+
+
+@query(f"""WITH {_VECTORS}, x AS (SELECT exact, alike, count(*) AS families, CAST(sum(occurrences) AS BIGINT) AS occ FROM v GROUP BY ALL)
+SELECT sha256(alike) AS similarity_id, count(*) AS exact_representation_count, CAST(sum(families) AS BIGINT) AS source_family_count, CAST(sum(occ) AS BIGINT) AS occurrence_count FROM x GROUP BY alike""")
+def similarity_buckets(spark, sf):
+    """Similarity rollup over exact rows."""
+    exact = _tag_vectors(spark, sf).groupBy("exact", "similar").agg(F.count(F.lit(1)).alias("f"), F.sum("occurrences").alias("o"))
+    g = exact.groupBy("similar").agg(F.count(F.lit(1)).alias("exact_representation_count"), F.sum("f").alias("source_family_count"), F.sum("o").alias("occurrence_count"))
+    return g.select(F.sha2("similar", 256).alias("similarity_id"), "exact_representation_count", "source_family_count", "occurrence_count")
+
+
+@query(f"""
+WITH e AS (SELECT page_id, {_HOST} AS host, lower(tag) AS tag, count(*) AS n FROM (SELECT page_id, url, unnest({_TAGS}) AS tag FROM pages) GROUP BY ALL),
+m AS (SELECT DISTINCT host, page_id FROM e), t AS (SELECT DISTINCT host, tag FROM e)
+SELECT host, tag, count(DISTINCT coalesce(CAST(n AS VARCHAR), '<missing>')) AS distinct_state_count
+FROM t JOIN m USING (host) LEFT JOIN e USING (host, page_id, tag) GROUP BY ALL HAVING count(DISTINCT coalesce(CAST(n AS VARCHAR), '<missing>')) > 1
+""")
+def variation_dims(spark, sf):
+    """Paths that vary within a group (A15), without pairing paths with members."""
+    rows = table(spark, sf, "pages").select("page_id", S.host_of(F.col("url")).alias("host"), F.explode(_tags()).alias("tag")).groupBy("host", "page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+    return R.variation_dimensions(rows, "host", "page_id", "tag", "n")
+
+
+@query("""SELECT lang AS family_kind, source AS family_label, count(*) AS source_family_count, CAST(sum(n_chars) AS BIGINT) AS occurrence_count, count(DISTINCT text) AS file_count, min(doc_id) AS representative_evidence_id FROM documents GROUP BY ALL""")
+def identity_rollup(spark, sf):
+    """Observed identities."""
+    d = table(spark, sf, "documents").select("lang", "source", "doc_id", "n_chars", F.when(F.col("text").isNotNull(), F.sha2("text", 256)).alias("h"))
+    per = d.groupBy("lang", "source", "h").agg(F.count(F.lit(1)).alias("c"), F.sum("n_chars").alias("s"), F.min("doc_id").alias("m"))
+    return per.groupBy(F.col("lang").alias("family_kind"), F.col("source").alias("family_label")).agg(F.sum("c").alias("source_family_count"), F.sum("s").alias("occurrence_count"), F.count("h").alias("file_count"), F.min("m").alias("representative_evidence_id"))
+
+
+@query("""SELECT sha256(text) AS diagnostic_id, count(*) AS source_row_count, count(DISTINCT source) AS distinct_variant_count, count(DISTINCT source) > 1 AS identity_conflict FROM documents WHERE text IS NOT NULL GROUP BY text""")
+def diag_dedupe(spark, sf):
+    """Diagnostics by identity with conflicts."""
+    d = table(spark, sf, "documents").filter("text is not null").select(F.sha2("text", 256).alias("diagnostic_id"), "source")
+    return R.dedupe_diagnostics(d, "diagnostic_id", F.col("source"))
+
+
+# Rules over the test documents; patterns are plain, so that both engines read them alike.
+_DOC_RULES = [("mentions_license", ["en", "de", "fr", "es"], "license"), ("shouts", ["en"], "!! [a-z]+!!"), ("table_rows", ["en", "fr"], "[a-z]+ \\| [a-z]+ \\|"), ("ends_that", ["en"], "that\\.$"), ("never", ["xx"], ".+")]
+_RULE_VALUES = ", ".join("('{}', [{}], '{}')".format(s, ", ".join(f"'{k}'" for k in ks), p) for s, ks, p in _DOC_RULES)
+
+
+def _doc_rule_hits(spark, sf):
+    rules = spark.createDataFrame([(s, k, "(?i)" + p, None) for s, k, p in _DOC_RULES], "signal_id string, kinds array<string>, label_pattern string, facet_pattern string")
+    return R.rule_matches(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), rules, kind="lang", label="text", facets=None)
+
+
+_HITS = f"h AS (SELECT r.signal_id, d.doc_id, d.source, d.lang FROM documents d JOIN (VALUES {_RULE_VALUES}) AS r(signal_id, kinds, pattern) ON list_contains(r.kinds, d.lang) AND regexp_matches(d.text, r.pattern, 'i'))"
+
+
+@query(f"WITH {_HITS} SELECT signal_id, doc_id FROM h")
+def rule_matches(spark, sf):
+    """Rule table against identities."""
+    return _doc_rule_hits(spark, sf).select("signal_id", "doc_id")
+
+
+@query(f"""WITH {_HITS} SELECT source, signal_id, count(DISTINCT doc_id) AS identities, array_to_string(list_sort(list(DISTINCT doc_id))[1:12], ',') AS samples, count(DISTINCT doc_id) > 12 AS truncated FROM h GROUP BY ALL""")
+def signal_rollup(spark, sf):
+    """Signals with bounded samples."""
+    ids, cut = R.bounded_sample(F.col("doc_id"), C.SAMPLES)
+    g = _doc_rule_hits(spark, sf).groupBy("source", "signal_id").agg(F.count_distinct("doc_id").alias("identities"), F.array_join(ids.cast("array<string>"), ",").alias("samples"), cut.alias("truncated"))
+    return g
+
+
+_SIGNALS = [r[0] for r in C.SIGNAL_RULES]
+_MECHS = {r[0]: r[5] for r in C.SIGNAL_RULES}
+
+
+def _found_signals(spark, sf):
+    """(repo, signal) pairs read off the events: every fiftieth combination of an event's numbers is a signal."""
+    e = table(spark, sf, "events").select(F.concat(F.lit("repo"), (F.col("user_id") % 60).cast("string")).alias("repo_id"), ((F.col("event_id") * 7 + F.col("user_id")) % 800).alias("k"))
+    return e.filter(F.col("k") < len(_SIGNALS)).select("repo_id", F.element_at(F.array(*[F.lit(s) for s in _SIGNALS]), (F.col("k") + 1).cast("int")).alias("signal_id"), F.element_at(F.array(*[F.lit(_MECHS[s]).cast("string") for s in _SIGNALS]), (F.col("k") + 1).cast("int")).alias("mechanism")).distinct()
+
+
+def _candidates(spark, sf):
+    repos = table(spark, sf, "events").select(F.concat(F.lit("repo"), (F.col("user_id") % 60).cast("string")).alias("repo_id"))
+    return C.concept_candidates(repos, _found_signals(spark, sf))
+
+
+def _concept_case(concept: str) -> str:
+    parts = []
+    for name, *conditions in C.STRENGTH_RULES[concept]:
+        test = " AND ".join("len(list_filter(sigs, lambda x: list_contains([{}], x))) >= {}".format(", ".join(f"'{i}'" for i in ids), n) for n, ids in conditions)
+        parts.append(f"WHEN {test} THEN '{name}'")
+    return "CASE " + " ".join(parts) + " ELSE 'not_observed' END"
+
+
+_S = ", ".join(f"'{s}'" for s in _SIGNALS)
+_M = ", ".join("NULL" if _MECHS[s] is None else f"'{_MECHS[s]}'" for s in _SIGNALS)
+_CANDS = (
+    f"f AS (SELECT DISTINCT 'repo' || (user_id % 60) AS repo_id, [{_S}][(event_id * 7 + user_id) % 800 + 1] AS s, [{_M}][(event_id * 7 + user_id) % 800 + 1] AS m FROM events WHERE (event_id * 7 + user_id) % 800 < {len(_SIGNALS)}), "
+    "r AS (SELECT DISTINCT 'repo' || (user_id % 60) AS repo_id FROM events), "
+    "g AS (SELECT r.repo_id, coalesce(list(s) FILTER (s IS NOT NULL), []) AS sigs FROM r LEFT JOIN f USING (repo_id) GROUP BY 1), "
+    "c AS ("
+    + " UNION ALL ".join(f"SELECT repo_id, '{c}' AS concept, {_concept_case(c)} AS strength, list_sort(list_filter(sigs, lambda x: list_contains([{', '.join(repr(i) for i in C.concept_signals(c))}], x))) AS signals FROM g" for c in C.CONCEPTS)
+    + ")"
+)
+
+
+@query(f"WITH {_CANDS} SELECT repo_id, concept, strength, CASE WHEN strength = 'not_observed' THEN 'not_observed' ELSE 'candidate' END AS status, array_to_string(signals, ',') AS signals FROM c")
+def concept_strength(spark, sf):
+    """Six rows per repository."""
+    return _candidates(spark, sf).select("repo_id", "concept", "strength", "status", F.array_join("signals", ",").alias("signals"))
+
+
+@query(f"WITH {_CANDS} SELECT concept, " + ", ".join(f"count(*) FILTER (strength = '{s}') AS {s}" for s in C.STRENGTHS) + " FROM c GROUP BY 1")
+def strength_pivot(spark, sf):
+    """Index summary with zeros."""
+    return C.index_summary(_candidates(spark, sf))
+
+
+@query(f"WITH {_CANDS} SELECT repo_id, strength, array_to_string(signals, ',') AS signals FROM c WHERE concept = 'system_interaction' AND strength IN ('moderate', 'strong') AND len(list_filter(signals, lambda x: x IN ('kafka_consumer', 'kafka_producer'))) > 0")
+def index_lookup(spark, sf):
+    """Lookup by concept, least strength and mechanism."""
+    return C.lookup(_candidates(spark, sf), "system_interaction", "moderate", "kafka").select("repo_id", "strength", F.array_join("signals", ",").alias("signals"))
+
+
+_LINE_HITS = """l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, len(lines) AS n, i FROM (SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS i FROM l) WHERE contains(lower(lines[i]), 'license') OR contains(lines[i], '@')),
+w AS (SELECT doc_id, greatest(1, i - 1) AS a, least(n, i + 1) AS b FROM h),
+f AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS x FROM w),
+s AS (SELECT *, sum(x) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM f)"""
+
+
+def _fragments(spark, sf, context=1):
+    d = table(spark, sf, "documents").filter("text is not null").filter(F.contains(F.lower("text"), F.lit("license")) | F.contains("text", F.lit("@")))
+    lines = d.select("doc_id", F.split("text", "\n").alias("ls"))
+    hits = lines.select("doc_id", F.size("ls").alias("n"), F.posexplode("ls").alias("p", "line")).filter(F.contains(F.lower("line"), F.lit("license")) | F.contains("line", F.lit("@")))
+    spans = hits.select("doc_id", "n", (F.col("p") + 1).cast("long").alias("line_start"), (F.col("p") + 1).cast("long").alias("line_end"))
+    return R.merge_intervals(R.widen_spans(spans, "line_start", "line_end", "n", context).filter("in_bounds"), ["doc_id"], "line_start", "line_end")
+
+
+@query(f"WITH {_LINE_HITS} SELECT doc_id, min(a) AS line_start, max(b) AS line_end, count(*) AS intervals FROM s GROUP BY doc_id, island")
+def fragment_islands(spark, sf):
+    """Spans widened, clamped and merged."""
+    return _fragments(spark, sf)
+
+
+@query(f"""WITH {_LINE_HITS}, i AS (SELECT doc_id, min(a) AS line_start, max(b) AS line_end FROM s GROUP BY doc_id, island)
+SELECT i.doc_id, line_start, line_end, sha256(array_to_string(lines[line_start:line_end], chr(10))) AS content_sha256 FROM i JOIN l USING (doc_id)""")
+def fragment_slices(spark, sf):
+    """Exact source fragments (F14, J16): text is sliced beside its islands, then only hashes go on."""
+    d = table(spark, sf, "documents").filter("text is not null").filter(F.contains(F.lower("text"), F.lit("license")) | F.contains("text", F.lit("@"))).select("doc_id", "text")
+    f = _fragments(spark, sf).join(d, "doc_id")
+    cut = F.array_join(F.slice(F.split("text", "\n"), F.col("line_start").cast("int"), (F.col("line_end") - F.col("line_start") + 1).cast("int")), "\n")
+    return f.select("doc_id", "line_start", "line_end", F.sha2(cut, 256).alias("content_sha256"))
+
+
+@query("""
+WITH q AS (SELECT DISTINCT doc_id FROM (SELECT doc_id FROM labels UNION ALL SELECT doc_id * 3 FROM labels UNION ALL SELECT conv_id FROM conversations))
+SELECT q.doc_id, CASE WHEN d.doc_id IS NULL THEN 'family_file_evidence_not_found' WHEN d.text IS NULL OR d.text = '' THEN 'captured_source_missing' WHEN d.n_chars > 5000 THEN 'file_scope_evidence_exceeds_fragment_limit' ELSE 'resolved' END AS status
+FROM q LEFT JOIN documents d USING (doc_id)
+""")
+def requested_resolution(spark, sf):
+    """Requested ids against evidence and content, each miss a diagnostic of its own."""
+    lab, conv = table(spark, sf, "labels"), table(spark, sf, "conversations")
+    q = lab.select("doc_id").union(lab.select(F.col("doc_id") * 3)).union(conv.select("conv_id")).distinct()
+    d = table(spark, sf, "documents").select("doc_id", F.lit(True).alias("seen"), (F.coalesce("text", F.lit("")) == "").alias("none"), "n_chars")
+    status = F.when(F.col("seen").isNull(), "family_file_evidence_not_found").when(F.col("none"), "captured_source_missing").when(F.col("n_chars") > 5000, "file_scope_evidence_exceeds_fragment_limit").otherwise("resolved")
+    return q.join(d, "doc_id", "left").select("doc_id", status.alias("status"))
+
+
+@query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unresolved_antijoin(spark, sf):
+    """Requested minus resolved."""
+    return R.missing_ids(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
+
+
+@query(f"""
+WITH h AS (SELECT page_id, {_HOST} AS host FROM pages), s AS (SELECT DISTINCT array_to_string(string_split(host, '.')[-2:], '.') AS suffix FROM h)
+SELECT suffix, count(*) AS pages, min(page_id) AS first_page FROM s JOIN h ON h.host = s.suffix OR ends_with(h.host, '.' || s.suffix) GROUP BY 1
+""")
+def suffix_join(spark, sf):
+    """Dotted-suffix theta join as an equi-join."""
+    h = table(spark, sf, "pages").select("page_id", S.host_of(F.col("url")).alias("host"))
+    parts = F.split("host", r"\.")
+    n = F.least(F.lit(2), F.size(parts))
+    s = h.select(F.array_join(F.slice(parts, -n, n), ".").alias("suffix")).distinct()
+    return R.suffix_match(s, "suffix", h, "host", S.dotted_suffixes).groupBy("suffix").agg(F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("first_page"))
+
+
+@query("""
+WITH u AS (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) = 1)
+SELECT c_custkey, o_orderkey FROM customer JOIN u ON c_custkey = o_custkey JOIN orders USING (o_custkey)
+""")
+def unique_match_join(spark, sf):
+    """Join only where the other side is unambiguous."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return R.unique_match(table(spark, sf, "customer").select("c_custkey"), o, ["c_custkey"])
+
+
+@query("""
+SELECT c_custkey, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, coalesce(cands, '') AS candidates
+FROM customer LEFT JOIN (SELECT o_custkey, count(DISTINCT o_orderpriority) AS n, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS cands FROM orders GROUP BY 1) ON c_custkey = o_custkey
+""")
+def ambiguity_status(spark, sf):
+    """None, one or several candidates."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority")
+    return R.resolution(table(spark, sf, "customer").select("c_custkey"), o, ["c_custkey"], "o_orderpriority").select("c_custkey", "status", F.array_join("candidates", ",").alias("candidates"))
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id % 2 AS cut, max(event_id) AS last, count(*) AS n, min(event_type) AS kind FROM events GROUP BY ALL),
+c AS (SELECT user_id, n % 5 AS resolved_commit, kind AS repository_url FROM e WHERE cut = 0), p AS (SELECT user_id, n % 5 AS resolved_commit, kind AS repository_url FROM e WHERE cut = 1 AND user_id % 7 <> 3)
+SELECT c.user_id, CASE WHEN p.user_id IS NULL THEN 'no_previous_result' WHEN c.resolved_commit <> p.resolved_commit THEN 'resolved_commit_changed' WHEN c.repository_url <> p.repository_url THEN 'repository_url_changed' ELSE 'unchanged' END AS reason,
+       CASE WHEN p.user_id IS NOT NULL AND c.resolved_commit = p.resolved_commit AND c.repository_url = p.repository_url THEN 'reuse' ELSE 'rebuild' END AS action
+FROM c LEFT JOIN p USING (user_id)
+""")
+def resume_reuse(spark, sf):
+    """Reuse of earlier results."""
+    e = table(spark, sf, "events").groupBy("user_id", (F.col("event_id") % 2).alias("cut")).agg(F.count(F.lit(1)).alias("n"), F.min("event_type").alias("repository_url")).withColumn("resolved_commit", F.col("n") % 5)
+    now, before = e.filter("cut = 0").drop("cut", "n"), e.filter("cut = 1 and user_id % 7 <> 3").drop("cut", "n")
+    return R.reuse_decision(now, before, "user_id", ["resolved_commit", "repository_url"]).select("user_id", "reason", "action")
+
+
+@query("""
+WITH a AS (SELECT DISTINCT s_suppkey, unnest([lower(s_name), 'nation' || s_nationkey, 'S' || s_suppkey]) AS k FROM supplier), b AS (SELECT DISTINCT s_suppkey, lower(trim(k)) AS k FROM a),
+q AS (SELECT n_nationkey AS position, ' Nation' || n_nationkey AS selector FROM nation UNION ALL SELECT 100 + n_nationkey, 's' || n_nationkey FROM nation UNION ALL SELECT 200 + n_nationkey, 'SUPPLIER#' || lpad(CAST(n_nationkey AS VARCHAR), 9, '0') FROM nation),
+m AS (SELECT position, selector, count(DISTINCT s_suppkey) AS matches, min(s_suppkey) AS r FROM q LEFT JOIN b ON lower(trim(selector)) = k GROUP BY ALL),
+f AS (SELECT r, min(position) AS first FROM m WHERE matches = 1 GROUP BY 1)
+SELECT position, selector, CASE WHEN matches = 1 THEN m.r END AS s_suppkey, matches, CASE WHEN matches = 0 THEN 'missing' WHEN matches > 1 THEN 'ambiguous' WHEN position > first THEN 'duplicate' ELSE 'selected' END AS status FROM m LEFT JOIN f ON m.r = f.r
+""")
+def selector_match(spark, sf):
+    """Selectors against aliases."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
+    text = F.col("k").cast("string")
+    q = n.select(F.col("k").alias("position"), F.concat(F.lit(" Nation"), text).alias("selector")).union(n.select(F.col("k") + 100, F.concat(F.lit("s"), text))).union(n.select(F.col("k") + 200, F.concat(F.lit("SUPPLIER#"), F.lpad(text, 9, "0"))))
+    aliases = F.array("s_name", F.concat(F.lit("nation"), F.col("s_nationkey").cast("string")), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")))
+    return R.match_selectors(q, table(spark, sf, "supplier"), aliases, "s_suppkey")
+
+
+@query("""
+WITH g AS (SELECT p_brand, p_type, CASE WHEN count(DISTINCT p_name) FILTER (p_size < 8) = 1 THEN max(p_name) FILTER (p_size < 8) END AS pref, CASE WHEN count(DISTINCT p_name) = 1 THEN max(p_name) END AS sole FROM part GROUP BY ALL)
+SELECT p_partkey, p_name, coalesce(pref, sole, p_name) AS aligned_p_name FROM part JOIN g USING (p_brand, p_type)
+""")
+def payload_align(spark, sf):
+    """One preferred descriptor wins within a key."""
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_name", "p_size")
+    return R.align_payloads(p, ["p_brand", "p_type"], "p_name", F.col("p_size") < 8).select("p_partkey", "p_name", "aligned_p_name")
+
+
+@query("""
+WITH q AS (SELECT DISTINCT doc_id * 3 AS doc_id FROM labels), r AS (SELECT q.doc_id, d.text, d.doc_id IS NOT NULL AS ok FROM q LEFT JOIN documents d USING (doc_id))
+SELECT count(*) AS requested, count(*) FILTER (ok) AS resolved, count(*) FILTER (NOT ok) AS unresolved, count(DISTINCT text) AS distinct_blobs, CASE WHEN count(*) FILTER (NOT ok) = 0 THEN 'complete' WHEN count(*) FILTER (ok) > 0 THEN 'partial' ELSE 'failed' END AS status FROM r
+""")
+def export_counts(spark, sf):
+    """Export totals and status."""
+    q = table(spark, sf, "labels").select((F.col("doc_id") * 3).alias("doc_id")).distinct()
+    d = table(spark, sf, "documents").select("doc_id", F.lit(True).alias("ok"), F.when(F.col("text").isNotNull(), F.sha2("text", 256)).alias("h"))
+    n = q.join(d, "doc_id", "left").agg(F.count(F.lit(1)).alias("requested"), F.count("ok").alias("resolved"), F.count_distinct("h").alias("distinct_blobs"))
+    un = F.col("requested") - F.col("resolved")
+    return n.select("requested", "resolved", un.alias("unresolved"), "distinct_blobs", F.when(un == 0, "complete").when(F.col("resolved") > 0, "partial").otherwise("failed").alias("status"))
+
+
+@query("""SELECT c_custkey, lower(trim(regexp_replace(regexp_replace(regexp_replace(c_name || ' fooBar-' || c_mktsegment || '..Z', '([a-z])([A-Z])', '\\1_\\2', 'g'), '[^a-zA-Z0-9_]', '_', 'g'), '_+', '_', 'g'), '_')) AS repository_id FROM customer""")
+def normalize_ids(spark, sf):
+    """Repository ids."""
+    c = table(spark, sf, "customer")
+    return c.select("c_custkey", S.normalize_repository_id(F.concat("c_name", F.lit(" fooBar-"), "c_mktsegment", F.lit("..Z"))).alias("repository_id"))
+
+
+@query("""SELECT page_id, replace(url, '://', '://user:pw@') AS raw_url, lower(regexp_extract(url, '^(https?)://', 1)) || '://' || lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) || regexp_extract(url, '^https?://[^/?#]+(.*)$', 1) AS clean_url FROM pages""")
+def sanitize_urls(spark, sf):
+    """User info out of addresses."""
+    raw = F.replace(F.col("url"), F.lit("://"), F.lit("://user:pw@"))
+    return table(spark, sf, "pages").select("page_id", raw.alias("raw_url"), S.sanitize_url(raw).alias("clean_url"))
+
+
+@query("""
+WITH j AS (SELECT n_nationkey, prefix, route FROM nation, (VALUES (''), ('/'), ('/api'), ('/api/')) AS p(prefix), (VALUES (''), ('/'), ('x'), ('/x/'), ('//y')) AS r(route))
+SELECT n_nationkey, prefix, route, CASE WHEN prefix = '' THEN CASE WHEN route = '' THEN '/' ELSE route END WHEN route = '' THEN prefix WHEN prefix = '/' THEN '/' || ltrim(route, '/') WHEN ltrim(route, '/') = '' THEN rtrim(prefix, '/') || '/' ELSE rtrim(prefix, '/') || '/' || ltrim(route, '/') END AS path FROM j
+""")
+def join_paths(spark, sf):
+    """Service prefix and route."""
+    n = table(spark, sf, "nation").select("n_nationkey", F.explode(F.array(*[F.lit(x) for x in ("", "/", "/api", "/api/")])).alias("prefix"))
+    n = n.select("*", F.explode(F.array(*[F.lit(x) for x in ("", "/", "x", "/x/", "//y")])).alias("route"))
+    return n.select("*", S.join_http_path(F.col("prefix"), F.col("route")).alias("path"))
+
+
+@query("""
+SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'error') > 0 AND count(*) FILTER (event_type <> 'error') = 0 THEN 'failed' WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'partial' ELSE 'complete' END AS status, count(*) AS files FROM events GROUP BY 1
+""")
+def probe_status(spark, sf):
+    """Probe status from counters."""
+    bad, good = F.count_if(F.col("event_type") == "error"), F.count_if(F.col("event_type") != "error")
+    return table(spark, sf, "events").groupBy("user_id").agg(F.when((bad > 0) & (good == 0), "failed").when(bad > 0, "partial").otherwise("complete").alias("status"), F.count(F.lit(1)).alias("files"))
+
+
+@query("""
+SELECT user_id, max_by(event_type, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 0 WHEN 'purchase' THEN 1 WHEN 'error' THEN 2 ELSE 1 END * 1000 + CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END) AS coverage FROM events GROUP BY 1
+""")
+def worst_coverage(spark, sf):
+    """Worst status by rank."""
+    return table(spark, sf, "events").groupBy("user_id").agg(R.worst_status(F.col("event_type"), {"click": 0, "view": 0, "purchase": 1, "error": 2}).alias("coverage"))
+
+
+@query("""
+WITH k AS (SELECT user_id, json_extract_string(props, '$.k') AS key, count(*) AS n FROM events GROUP BY ALL)
+SELECT user_id, string_agg(key || '=' || n, '|' ORDER BY key) AS counts FROM k GROUP BY 1
+""")
+def merged_kind_maps(spark, sf):
+    """Maps of counts summed entry by entry."""
+    e = table(spark, sf, "events").select("user_id", F.map_from_arrays(F.array(F.get_json_object("props", "$.k")), F.array(F.lit(1).cast("long"))).alias("m"))
+    merged = R.sum_maps(e, ["user_id"], "m", "m")
+    return merged.select("user_id", F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), "|").alias("counts"))
+
+
+@query("""
+SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1)) AS duplicate_ids, (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS orphan_labels, (SELECT count(*) FROM documents WHERE n_chars <> length(text)) AS count_mismatches
+""")
+def verify_documents(spark, sf):
+    """Uniqueness, foreign keys and recounts."""
+    d, lab = table(spark, sf, "documents"), table(spark, sf, "labels")
+    dup = d.groupBy("doc_id").count().filter("count > 1").agg(F.count(F.lit(1)).alias("duplicate_ids"))
+    orphan = lab.join(d.select("doc_id"), "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("orphan_labels"))
+    wrong = d.agg(F.count_if(F.col("n_chars") != F.length("text")).alias("count_mismatches"))
+    return dup.join(F.broadcast(orphan)).join(F.broadcast(wrong))  # three one-row tables
