@@ -118,9 +118,11 @@ def identify(docs: DataFrame, model: Filter, text_col: str = "text", keep: list[
 
     def run(batches):
         m = shared.value
-        for b in batches:
-            got = [m.identify(t) for t in texts(b.column(0))]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                b = whole.slice(lo, 512)
+                got = [m.identify(t) for t in texts(b.column(0))]
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names)
 
     from pyspark.sql import types as T
 
