@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import ship  # noqa: F401
+
 #: Rows of fixed width (at most about 100 bytes) that a broadcast side may have.
 BROADCAST_ROWS = 100_000
 
@@ -51,23 +51,6 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable in the Python workers, wherever the driver was started."""
-    sc = spark.sparkContext
-    if getattr(sc, "_stratalog_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    out = os.path.join(tempfile.mkdtemp(prefix="stratalog-"), "stratalog_pkg.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for d, _, names in os.walk(root):
-            for n in names:
-                if n.endswith(".py"):
-                    p = os.path.join(d, n)
-                    z.write(p, os.path.join(os.path.basename(root), os.path.relpath(p, root)))
-    sc.addPyFile(out)
-    sc._stratalog_shipped = True
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

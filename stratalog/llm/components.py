@@ -1,15 +1,37 @@
 """Connected components by alternating large-star and small-star rounds over written tables.
 
 No link or label ever reaches the driver; a round moves each link a constant number of times, and the number
-of rounds grows with the logarithm of the longest chain.
+of rounds grows with the logarithm of the longest chain. Once at most ``LOCAL_LINKS`` links are left to settle (16 bytes
+each), one task settles them by union-find instead of further rounds; the result is the same.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import small_side, written
+from ._util import ship, small_side, written
+
+LOCAL_LINKS = 200_000
+
+
+def _settle(batches):
+    root: dict[int, int] = {}
+
+    def find(x):
+        while (p := root.setdefault(x, x)) != x:
+            root[x] = x = root[p]  # halves the path
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            u, v = find(u), find(v)
+            if u != v:
+                root[max(u, v)] = min(u, v)
+    moved = [(x, find(x)) for x in list(root)]
+    moved = [(x, r) for x, r in moved if x != r]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in moved], pa.int64()), pa.array([r for _, r in moved], pa.int64())], ["u", "v"])
 
 
 def _same(links: DataFrame) -> tuple:
@@ -18,7 +40,7 @@ def _same(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.sum(h), F.sum((F.xxhash64("v", "u") % 1000003).cast("long"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
     """``edges`` (long a, long b) to (node, comp): for each node that has a link, the smallest node it reaches.
 
     Repeated links, both directions and links of a node to itself are allowed; rows with a null are ignored.
@@ -26,7 +48,11 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), (F.col("a") + F.col("b") * 0).isNotNull().alias("ok"))
     e = written(e.filter("ok and u <> v").select("u", "v").distinct(), "links")
     before = _same(e)
+    ship(e.sparkSession)
     while before[0]:
+        if before[0] <= local_links:
+            e = written(e.coalesce(1).mapInArrow(_settle, "u long, v long"), "links")
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = small_side(written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "large"))
         e = written(both.filter("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")

@@ -13,8 +13,6 @@ everything but letters as one space.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +25,6 @@ MAX_GRAMS = 400_000
 SLOT_BITS = 20
 HASHES = 2
 
-_LETTER = re.compile(r"[^\W\d_]")
 _TABLE = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -64,7 +61,7 @@ class Filter:
         self.false_rate = [float(((self.masks >> np.uint64(k)) & np.uint64(1)).mean()) ** HASHES for k in range(len(self.languages))]
 
     def identify(self, text: str) -> tuple[str, float]:
-        if not self.languages or not _LETTER.search(text):
+        if not self.languages or not any(map(str.isalpha, text)):
             return "und", 0.0
         g = grams(text)
         hit = None

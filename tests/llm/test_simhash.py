@@ -37,8 +37,9 @@ def brute_components(values, bits=4):
 
 def test_components_of_chain_star_and_cycle(spark):
     e = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 130)] + [(200, 201), (201, 202), (202, 200), (7, 7), (300, 300)] + [(-5, -4)] * 3 + [(None, 1)]
-    got = {r.node: r.comp for r in components(spark.createDataFrame(e, "a long, b long")).collect()}
-    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100), **dict.fromkeys((200, 201, 202), 200), -5: -5, -4: -5}
+    for local in (0, 20, 200_000):
+        got = {r.node: r.comp for r in components(spark.createDataFrame(e, "a long, b long"), local).collect()}
+        assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100), **dict.fromkeys((200, 201, 202), 200), -5: -5, -4: -5}
 
 
 def test_links_are_exact(spark):
