@@ -83,13 +83,16 @@ def resolve_paths(calls: DataFrame, facts: DataFrame) -> DataFrame:
     A binding's key matches the configuration key that equals it or ends with a dot and it. Only values that start with
     a slash are paths: none, one or several leave it unresolved, resolved or ambiguous.
     """
-    bind = java_facts(facts, "value_binding", "name string, property_key string").select("repo_id", "at_path", F.col("name").alias("symbol"), "property_key").distinct()
+    bind = java_facts(facts, "value_binding", "name string, property_key string").select("repo_id", "at_path", F.col("name").alias("symbol"), "property_key")
+    # an expression that starts with # names its configuration suffix itself
+    own = calls.filter(F.col("expression").startswith("#")).select("repo_id", "at_path", F.col("expression").alias("symbol"), F.substring("expression", 2, 10_000).alias("property_key"))
+    bind = bind.unionByName(own).distinct()
     scalars = config_scalars(facts).filter(F.col("value").startswith("/"))
     wanted = bind.select(F.col("repo_id").alias("r"), "property_key").distinct()
     values = suffix_match(wanted, "property_key", scalars, "key", S.dotted_suffixes).filter("r = repo_id").groupBy("repo_id", "property_key").agg(F.array_sort(F.collect_set("value")).alias("candidates"))
     bound = bind.join(values, ["repo_id", "property_key"], "left").groupBy("repo_id", "at_path", "symbol").agg(
         F.array_sort(F.collect_set("property_key")).alias("property_keys"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("candidates")))).alias("candidates"))
-    c = calls.withColumn("symbol", S.symbol(F.col("expression"))).join(bound, ["repo_id", "at_path", "symbol"], "left")
+    c = calls.withColumn("symbol", F.when(F.col("expression").startswith("#"), F.col("expression")).otherwise(S.symbol(F.col("expression")))).join(bound, ["repo_id", "at_path", "symbol"], "left")
     lit, n = S.literal_string(F.col("expression")), F.size("candidates")
     none = F.array().cast("array<string>")
     status = F.when(lit.isNotNull(), "resolved").when(F.col("property_keys").isNull(), "unresolved_expression").when(n == 1, "resolved").when(n > 1, "ambiguous_declared_config").otherwise("unresolved_property")
@@ -109,7 +112,9 @@ def outbound_http(facts: DataFrame) -> DataFrame:
     inv = java_facts(facts, "invocation", "name string, arguments array<string>").withColumn("parameters", F.size("arguments"))
     sites = inv.join(wrap, ["repo_id", "name", "parameters"]).withColumn("expression", F.get("arguments", F.col("parameter")))
     cols = [*_PLACE, "method", "expression", "response"]
-    rows = resolve_paths(direct.select(*cols).unionByName(sites.select(*cols)), facts)
+    jdk = java_facts(facts, "jdk_http", "method string, path string, suffix string")
+    jdk = jdk.withColumns({"expression": F.coalesce("path", F.concat(F.lit("#"), "suffix"), F.lit("")), "response": F.lit(None).cast("string")})
+    rows = resolve_paths(direct.select(*cols).unionByName(sites.select(*cols)).unionByName(jdk.select(*cols)), facts)
     rows = rows.withColumn("payload", S.payload_type(F.col("response")))
     return with_fields(rows, class_fields(facts)).withColumns({"direction": F.lit("outbound"), "source": F.lit("java")})
 
@@ -136,7 +141,7 @@ def inbound_http(facts: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("payload"), F.lit(None).cast("string").alias("payload_fields"), F.lit("java").alias("source"),
     )
     op = facts.filter("section = 'http_facts' and family_kind = 'openapi_operation'")
-    v = F.from_json("extra_json", "method string, path string, response struct<type:string,status:string,fields:array<struct<name:string,container:string>>>, request struct<type:string,fields:array<struct<name:string,container:string>>>")
+    v = F.from_json("extra_json", "method string, path string, response struct<type:string,status:string,fields:array<struct<name:string,collection:string>>>, request struct<type:string,fields:array<struct<name:string,collection:string>>>")
     api = op.withColumn("v", v).select(
         "repo_id", "file_id", F.col("path").alias("at_path"), "scope", "line_start", "line_end", "column_start", "column_end", "v.method", "v.path", F.lit("resolved").alias("path_status"), F.array("v.path").alias("path_candidates"),
         F.coalesce("v.request.type", "v.response.type").alias("payload"), F.to_json(F.coalesce("v.request.fields", "v.response.fields")).alias("payload_fields"), F.lit("openapi").alias("source"),
@@ -146,6 +151,34 @@ def inbound_http(facts: DataFrame) -> DataFrame:
     return keyed.drop("payload").withColumnRenamed("aligned_payload", "payload").withColumn("direction", F.lit("inbound"))
 
 
+def _unique(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys have one distinct set of values."""
+    values = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.count_distinct(F.struct(*values)).alias("_n"), *[F.min(c).alias(c) for c in values]).filter("_n = 1").drop("_n")
+
+
+def enum_topics(listeners: DataFrame, facts: DataFrame) -> DataFrame:
+    """(repo_id, owner, topics, enum_topic) for listeners whose topic is an accessor of an enum constant.
+
+    The chain: the class hands one enum constant to its superclass; the accessor names one field of the enum; the
+    constant's argument in that field's place is a constant of another enum, whose first argument is a literal key. Each
+    link must be unique, or the topic stays unresolved.
+    """
+    method = F.regexp_extract("topics", r"^#\{__listener\.\w+\.(\w+)\(", 1)
+    x = listeners.select("repo_id", "owner", "topics", method.alias("accessor")).filter("accessor <> ''").distinct()
+    refs = java_facts(facts, "super_enum_ref", "name string, owner string, enum string").select("repo_id", "owner", "enum", F.col("name").alias("constant")).distinct()
+    access = java_facts(facts, "enum_accessor", "name string, owner string, field string").select("repo_id", F.col("owner").alias("enum"), F.col("name").alias("accessor"), "field").distinct()
+    fields = java_facts(facts, "class_fields", "name string, type_kind string, fields array<struct<name:string>>").filter("type_kind = 'enum'").select("repo_id", F.col("name").alias("enum"), F.col("fields.name").alias("names")).distinct()
+    consts = java_facts(facts, "enum_constant", "name string, owner string, arguments array<string>").select("repo_id", F.col("owner").alias("enum"), F.col("name").alias("constant"), "arguments").distinct()
+    consts = _unique(consts, ["repo_id", "enum", "constant"])
+    x = x.join(_unique(refs, ["repo_id", "owner"]), ["repo_id", "owner"]).join(_unique(access, ["repo_id", "enum", "accessor"]), ["repo_id", "enum", "accessor"])
+    x = x.join(_unique(fields, ["repo_id", "enum"]), ["repo_id", "enum"]).join(consts, ["repo_id", "enum", "constant"])
+    arg = F.get("arguments", (F.array_position("names", F.col("field")) - 1).cast("int"))
+    x = x.select("repo_id", "owner", "topics", F.regexp_extract(arg, r"([\w$]+)\.([\w$]+)$", 1).alias("enum"), F.regexp_extract(arg, r"([\w$]+)\.([\w$]+)$", 2).alias("constant"))
+    x = x.join(consts, ["repo_id", "enum", "constant"]).select("repo_id", "owner", "topics", S.literal_string(F.get("arguments", F.lit(0))).alias("enum_topic"))
+    return x.filter("enum_topic is not null")
+
+
 def kafka(facts: DataFrame) -> DataFrame:
     """Kafka boundaries. A listener's literal topics win unless they are expressions; such an expression is resolved
     through the enum constant that the class hands to its superclass, if the chain is unique; a published topic is a
@@ -153,9 +186,11 @@ def kafka(facts: DataFrame) -> DataFrame:
     listen = java_facts(facts, "kafka_listener", "name string, owner string, topics string, payloads array<string>")
     plain = F.col("topics").isNotNull() & ~F.contains("topics", F.lit("#{")) & ~F.contains("topics", F.lit("${"))
     key = F.regexp_extract(F.coalesce("topics", F.lit("")), r"^\$\{([^:${}]+)\}$", 1)
+    listen = listen.join(enum_topics(listen, facts), ["repo_id", "owner", "topics"], "left")
+    found = F.coalesce(F.when(key != "", key), "enum_topic")
     consume = listen.select(
-        *_PLACE, F.lit("consume").alias("direction"), F.when(plain, F.col("topics")).when(key != "", key).alias("topic"),
-        F.when(plain, "literal").when(key != "", "config_key").alias("topic_kind"), F.when(F.size(F.array_distinct("payloads")) == 1, F.col("payloads")[0]).alias("payload"),
+        *_PLACE, F.lit("consume").alias("direction"), F.when(plain, F.col("topics")).otherwise(found).alias("topic"),
+        F.when(plain, "literal").when(found.isNotNull(), "config_key").alias("topic_kind"), F.when(F.size(F.array_distinct("payloads")) == 1, F.col("payloads")[0]).alias("payload"),
     )
     pub = java_facts(facts, "kafka_publish", "name string, owner string, topic string, topic_expression array<array<string>>, payload string")
     consts = java_facts(facts, "string_constant", "name string, owner string, expression array<array<string>>").select("repo_id", "owner", "name", "expression")

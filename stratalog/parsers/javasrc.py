@@ -394,8 +394,53 @@ def expression(r: Reader, a: int, b: int, owner: str) -> list | None:
     return parts or None
 
 
-def _is_runtime(path: str) -> bool:
-    return not re.search(r"(^|/)src/(test|it)/|(^|/)test/", path)
+def jdk_requests(r: Reader, m: Member):
+    """Requests of the JDK client that a method builds in a variable and sends: method, path literal or getter chain.
+
+    ``builder`` must be declared in the method from ``HttpRequest.newBuilder``, and ``send(builder.build(), ...)`` must stand in
+    it; a builder that is never sent gives nothing.
+    """
+    found: dict[str, dict] = {}
+    a, b = m.body
+    for k in range(a, b):
+        if r.t[k].kind == "word" and r.at(k + 1) == "=" and r.at(k + 2) == "HttpRequest" and r.at(k + 4) == "newBuilder":
+            end = k
+            while end < b and r.at(end) != ";":
+                end = r.match.get(end, end) + 1
+            found[r.t[k].text] = {"token": k, "method": None, "path": None, "suffix": None, "sent": False}
+            _request_parts(r, found[r.t[k].text], k + 4, end)
+    for kind, name, receiver, _, args, k in list(calls(r, a, b)):
+        if receiver in found and name != "build":
+            end = k
+            while end < b and r.at(end) != ";":
+                end = r.match.get(end, end) + 1
+            _request_parts(r, found[receiver], k, end)
+        elif name in ("send", "sendAsync") and args and (x := re.fullmatch(r"([\w$]+)\.build\(\)", r.source(*args[0]))) and x[1] in found:
+            found[x[1]]["sent"] = True
+    for call in found.values():
+        if call.pop("sent"):
+            yield call
+
+
+def _request_parts(r: Reader, call: dict, a: int, b: int) -> None:
+    """Method and address from a builder's chained calls in a token range."""
+    k = a
+    while k < b:
+        name, opens = r.t[k].text if r.t[k].kind == "word" else "", r.at(k + 1) == "("
+        if opens and name in HTTP_METHODS:
+            call["method"] = name
+        elif opens and name == "method":
+            call["method"] = next((v for x in r.split_args(k + 2, r.match[k + 1])[:1] if (v := literal(r.source(*x))) in HTTP_METHODS), call["method"])
+        elif opens and name in ("uri", "newBuilder") and r.match[k + 1] > k + 2:
+            inner = r.source(k + 2, r.match[k + 1])
+            text = re.fullmatch(r'URI\.create\((?:[\w$.]+(?:\(\))?\+)*("[^"\\]*")\)', inner)
+            chain = re.findall(r"\.get([A-Z]\w*)\(\)", inner)
+            if text:
+                call["path"] = text[1]
+            elif chain:
+                call["suffix"] = ".".join(x[0].lower() + x[1:] for x in chain)
+        k = r.match[k + 1] + 1 if opens else k + 1
+    call["method"] = call["method"] or "GET"
 
 
 def facts(text: str):
@@ -450,11 +495,19 @@ def facts(text: str):
                         fact("value_binding", note.first, name=name, property_key=key)
             if m.body:
                 bodies.append((t, m))
+        if t.kind == "enum":
+            for m in (m for m in t.members if m.kind == "method" and m.body):
+                used = {r.t[k].text for k in range(*m.body)} & {f["name"] for f in fields}
+                if len(used) == 1:
+                    fact("enum_accessor", name=m.name, owner=t.name, field=used.pop())
         if t.kind in ("class", "record", "enum"):
             fact("class_fields", name=t.name, fields=fields, type_kind=t.kind, superclass=t.superclass)
     for note in r.annotations:
         args = [_annotation_arg(r, *x) for x in note.args]
         put("annotations", "annotation_observation", note.name.rsplit(".", 1)[-1], {"language": "java", "annotation_name": note.name, "simple_name": note.name.rsplit(".", 1)[-1], "argument_count": len(args), "arguments": args}, note.first, note.last)
+    for _, m in bodies:
+        for call in jdk_requests(r, m):
+            fact("jdk_http", r.t[call.pop("token")], name=m.name, **call)
     in_body = {}
     for n, (_, m) in enumerate(bodies):
         for k in range(*m.body):
@@ -470,7 +523,11 @@ def facts(text: str):
             t, m = bodies[in_body[k]]
             texts = [r.source(*x) for x in args]
             declared = {n: ty for ty, n, _ in m.params}
-            if name == "exchange" and len(args) >= 2 and basis == "lexical_receiver" and "template" in (receiver or "").lower():
+            if name == "super" and t.superclass:
+                for x in texts:
+                    if ref := re.fullmatch(r"(?:[\w$]+\.)*([\w$]+)\.([A-Z][\w$]*)", x):
+                        fact("super_enum_ref", tok, name=ref[2], owner=t.name, enum=ref[1])
+            elif name == "exchange" and len(args) >= 2 and basis == "lexical_receiver" and "template" in (receiver or "").lower():
                 verb = next((x.rsplit(".", 1)[-1] for x in texts[1:2] if x.rsplit(".", 1)[-1] in HTTP_METHODS), None)
                 response = next((x[:-6] for x in texts if x.endswith(".class")), None)
                 fact("exchange", tok, name=m.name, method=verb, path=texts[0], response=response, body_type=declared.get(texts[2]) if len(texts) > 2 else None, parameter=[n for _, n, _ in m.params].index(texts[0]) if texts[0] in declared else None, parameters=len(m.params))
