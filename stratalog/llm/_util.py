@@ -8,14 +8,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workers import ship  # noqa: F401
+from .. import workers
 
 #: Rows of fixed width (at most about 100 bytes) that a broadcast side may have.
 BROADCAST_ROWS = 100_000
 
+#: Rows of an Arrow batch to a worker. Texts are long: at the default of 10,000 a batch and its Python strings take some
+#: 150 MB in each worker.
+BATCH_ROWS = 2_000
+
 _own_dir: list[str] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Code for the workers, and smaller batches unless the session chose a size."""
+    workers.ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``); one of our own only where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)

@@ -43,7 +43,7 @@ class ChunkEncoder:
     other chunk goes to the tokenizer whole.
     """
 
-    def __init__(self, path: str, max_chunks: int = 250_000):
+    def __init__(self, path: str, max_chunks: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
