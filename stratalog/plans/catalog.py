@@ -31,9 +31,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-_COVER = "CASE WHEN cov = 'complete' THEN 20.0 WHEN cov = 'partial' THEN 10.0 ELSE 5.0 END"
-
-
 def _salience_sql(n: str) -> str:
     return f"round(least(100.0, least(35.0, 8.0 * log2(greatest({n}, 1) + 1)) + 20.0 + 10.0), 3)"
 
