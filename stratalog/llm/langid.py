@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import documents, id_type, ship, texts
+from ._util import documents, ship, texts
 
 MAX_TRAIN_DOCS = 20_000
 MAX_GRAMS = 400_000

@@ -1,4 +1,4 @@
-from collections import Counter, defaultdict
+from collections import Counter
 
 import duckdb
 
@@ -43,4 +43,4 @@ def test_sql(spark):
     got = Counter(tuple(r) for r in df.collect())
     want = Counter(con.execute(f"select page_id, host, n_lines, n_dropped, clean_text from ({SQL})").fetchall())
     assert got == want
-    assert defaultdict(int, {}) == {} and sum(r[3] > 0 for r in got) > 0
+    assert sum(r[3] > 0 for r in got) > 0

@@ -4,6 +4,8 @@ import io
 import json
 from collections import defaultdict
 
+from pyspark.sql.datasource import EqualTo, In
+
 from stratalog.llm import warc
 from stratalog.llm._util import scratch
 
@@ -48,8 +50,12 @@ def test_filters_are_pushed(spark):
     _, df = round_trip(spark, ROWS)
     some = df.filter("record_type = 'revisit' and refers_to in ('<urn:page:1>', '<urn:page:77>')")
     assert some.count() == 3
-    plan = some._jdf.queryExecution().executedPlan().toString()
-    assert "Filter" not in plan.replace("PushedFilters", "").replace("pushedFilters", "") or "refers_to" in plan
+    r = warc.WarcReader({"paths": '["x"]'})
+    ours = [EqualTo(("record_type",), "revisit"), In(("refers_to",), ("a", "b"))]
+    other = EqualTo(("path",), "x")
+    assert list(r.pushFilters([*ours, other])) == [other]
+    assert r.wanted({"warc-type": "revisit", "warc-refers-to": "b"})
+    assert not r.wanted({"warc-type": "response", "warc-refers-to": "b"}) and not r.wanted({"warc-type": "revisit"})
 
 
 def test_rejected_payloads_are_not_decoded():
