@@ -2,7 +2,8 @@
 
 Patterns are written for normalised text: lower-case words with one space between them ("apache license version
 2 0", "spdx license identifier gpl 2 0 or later"). A rule's gate is a piece of text without which its pattern cannot
-match; only rules whose gate occurs are tried.
+match; only rules whose gate occurs are tried. Gates are read off the patterns, and alternatives of a pattern are rules
+of their own, so that each has a gate that it needs.
 """
 
 from __future__ import annotations
@@ -13,157 +14,160 @@ from dataclasses import dataclass
 #: Phrases whose places are counted apart; their detections are never suppressed.
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
 
-#: label | gate | how the license is named
+#: label | how the license is named
 NAMES = """
-apache-1.0 | apache | apache (?:software )?licen[cs]e (?:version |v )?1 0
-apache-1.1 | apache | apache (?:software )?licen[cs]e (?:version |v )?1 1
-apache-2.0 | apache | apache (?:software )?licen[cs]e (?:version |v ?)?2(?: 0)?|apache 2 0(?: licen[cs]e)?|asl 2 0
-mit | mit | mit licen[cs]e|mit expat licen[cs]e|expat licen[cs]e|mit x11 licen[cs]e
-mit-0 | mit | mit no attribution(?: licen[cs]e)?|mit 0 licen[cs]e
-x11 | x11 | x11 licen[cs]e
-isc | isc | isc licen[cs]e|internet systems consortium licen[cs]e
-bsd-0-clause | bsd | (?:0|zero) clause bsd(?: licen[cs]e)?|bsd 0 clause|0bsd
-bsd-1-clause | bsd | (?:1|one) clause bsd(?: licen[cs]e)?|bsd 1 clause
-bsd-2-clause | bsd | (?:2|two) clause bsd(?: licen[cs]e)?|bsd 2 clause|simplified bsd licen[cs]e|freebsd licen[cs]e
-bsd-3-clause | bsd | (?:3|three) clause bsd(?: licen[cs]e)?|bsd 3 clause|(?:new|modified|revised) bsd licen[cs]e
-bsd-4-clause | bsd | (?:4|four) clause bsd(?: licen[cs]e)?|bsd 4 clause|original bsd licen[cs]e
-bsd-patent | bsd | bsd (?:plus |2 clause plus )?patent(?: licen[cs]e)?
-bsd | bsd | bsd (?:style )?licen[cs]e
-gpl-1.0 | gpl | gpl ?(?:version |v ?)?1 0|gplv1
-gpl-2.0-only | gpl | gpl ?(?:version |v ?)?2(?: 0)? only|gplv2 only
-gpl-2.0-or-later | gpl | gpl ?(?:version |v ?)?2(?: 0)? or (?:any )?later|gplv2 or (?:any )?later
-gpl-2.0 | gpl | gpl ?(?:version |v ?)?2(?: 0)?|gplv2
-gpl-3.0-only | gpl | gpl ?(?:version |v ?)?3(?: 0)? only|gplv3 only
-gpl-3.0-or-later | gpl | gpl ?(?:version |v ?)?3(?: 0)? or (?:any )?later|gplv3 or (?:any )?later
-gpl-3.0 | gpl | gpl ?(?:version |v ?)?3(?: 0)?|gplv3
-gpl-2.0 | general public | gnu general public licen[cs]e (?:version |v ?)2(?: 0)?
-gpl-3.0 | general public | gnu general public licen[cs]e (?:version |v ?)3(?: 0)?
-gpl | general public | gnu general public licen[cs]e
-lgpl-2.0 | general public | gnu library general public licen[cs]e (?:version |v ?)2(?: 0)?
-lgpl-2.1 | general public | gnu lesser general public licen[cs]e (?:version |v ?)2 1
-lgpl-3.0 | general public | gnu lesser general public licen[cs]e (?:version |v ?)3(?: 0)?
-lgpl | general public | gnu (?:lesser|library) general public licen[cs]e
-lgpl-2.0 | lgpl | lgpl ?(?:version |v ?)?2 0|lgplv2
-lgpl-2.1-or-later | lgpl | lgpl ?(?:version |v ?)?2 1 or (?:any )?later
-lgpl-2.1 | lgpl | lgpl ?(?:version |v ?)?2 1|lgplv2 1
-lgpl-3.0-or-later | lgpl | lgpl ?(?:version |v ?)?3(?: 0)? or (?:any )?later
-lgpl-3.0 | lgpl | lgpl ?(?:version |v ?)?3(?: 0)?|lgplv3
-agpl-3.0 | general public | gnu affero general public licen[cs]e (?:version |v ?)3(?: 0)?
-agpl | general public | (?:gnu )?affero general public licen[cs]e
-agpl-3.0-or-later | agpl | agpl ?(?:version |v ?)?3(?: 0)? or (?:any )?later
-agpl-3.0 | agpl | agpl ?(?:version |v ?)?3(?: 0)?|agplv3
-gfdl-1.1 | documentation licen | gnu free documentation licen[cs]e (?:version |v ?)1 1
-gfdl-1.2 | documentation licen | gnu free documentation licen[cs]e (?:version |v ?)1 2
-gfdl-1.3 | documentation licen | gnu free documentation licen[cs]e (?:version |v ?)1 3
-gfdl | documentation licen | gnu free documentation licen[cs]e
-mpl-1.0 | mozilla | mozilla public licen[cs]e (?:version |v ?)?1 0
-mpl-1.1 | mozilla | mozilla public licen[cs]e (?:version |v ?)?1 1
-mpl-2.0 | mozilla | mozilla public licen[cs]e (?:version |v ?)?2(?: 0)?
-mpl | mozilla | mozilla public licen[cs]e
-mpl-1.1 | mpl | mpl ?(?:version |v ?)?1 1
-mpl-2.0 | mpl | mpl ?(?:version |v ?)?2 0
-epl-1.0 | eclipse | eclipse public licen[cs]e (?:version |v ?)?1 0
-epl-2.0 | eclipse | eclipse public licen[cs]e (?:version |v ?)?2 0
-epl | eclipse | eclipse public licen[cs]e
-edl-1.0 | eclipse | eclipse distribution licen[cs]e(?: (?:version |v ?)?1 0)?
-cddl-1.0 | cddl | cddl ?(?:version |v ?)?1 0
-cddl-1.1 | cddl | cddl ?(?:version |v ?)?1 1
-cddl | common development | common development and distribution licen[cs]e
-cpl-1.0 | common public | common public licen[cs]e(?: (?:version |v ?)?1 0)?
-cpal-1.0 | common public | common public attribution licen[cs]e(?: (?:version |v ?)?1 0)?
-ipl-1.0 | public licen | ibm public licen[cs]e(?: (?:version |v ?)?1 0)?
-eupl-1.1 | european union | european union public licen[cs]e (?:version |v ?)?1 1
-eupl-1.2 | european union | european union public licen[cs]e (?:version |v ?)?1 2
-eupl | european union | european union public licen[cs]e
-osl-3.0 | open software | open software licen[cs]e(?: (?:version |v ?)?3 0)?
-afl-3.0 | academic free | academic free licen[cs]e(?: (?:version |v ?)?3 0)?
-artistic-1.0 | artistic | artistic licen[cs]e (?:version |v ?)?1 0
-artistic-2.0 | artistic | artistic licen[cs]e (?:version |v ?)?2 0
-artistic | artistic | artistic licen[cs]e
-bsl-1.0 | boost | boost software licen[cs]e(?: (?:version |v ?)?1 0)?
-zlib | zlib | zlib(?: libpng)? licen[cs]e
-libpng | libpng | libpng licen[cs]e
-openssl | openssl | openssl licen[cs]e
-ssleay | ssleay | ssleay licen[cs]e
-php-3.01 | php | php licen[cs]e(?: (?:version |v ?)?3 01)?
-python-2.0 | python | python software foundation licen[cs]e(?: version 2)?|psf licen[cs]e
-ruby | ruby | ruby licen[cs]e|ruby s licen[cs]e
-postgresql | postgresql | postgresql licen[cs]e
-ncsa | illinois | university of illinois ncsa open source licen[cs]e
-ncsa | ncsa | ncsa licen[cs]e
-upl-1.0 | universal permissive | universal permissive licen[cs]e(?: (?:version |v ?)?1 0)?
-w3c | w3c | w3c software (?:notice and )?licen[cs]e
-unlicense | unlicense | the unlicense|unlicense licen[cs]e
-wtfpl | wtfpl | wtfpl(?: (?:version |v ?)?2)?
-ofl-1.0 | open font | sil open font licen[cs]e (?:version |v ?)?1 0
-ofl-1.1 | open font | sil open font licen[cs]e(?: (?:version |v ?)?1 1)?
-ms-pl | microsoft | microsoft public licen[cs]e
-ms-rl | microsoft | microsoft reciprocal licen[cs]e
-apsl-2.0 | apple public | apple public source licen[cs]e(?: (?:version |v ?)?2 0)?
-qpl-1.0 | q public | q public licen[cs]e(?: (?:version |v ?)?1 0)?
-sspl-1.0 | server side | server side public licen[cs]e(?: (?:version |v ?)?1)?
-busl-1.1 | business source | business source licen[cs]e(?: (?:version |v ?)?1 1)?
-elastic-2.0 | elastic | elastic licen[cs]e(?: (?:version |v ?)?2 0)?
-mulan-psl-2.0 | mulan | mulan permissive software licen[cs]e(?: (?:version |v ?)?2)?
-cecill-2.1 | cecill | cecill(?: free software)? licen[cs]e(?: agreement)?(?: (?:version |v ?)?2 1)?
-odbl-1.0 | open database | open database licen[cs]e(?: (?:version |v ?)?1 0)?
-odc-by-1.0 | open data commons | open data commons attribution licen[cs]e(?: (?:version |v ?)?1 0)?
-pddl-1.0 | open data commons | open data commons public domain dedication(?: and licen[cs]e)?
-ogl-uk-3.0 | open government | open government licen[cs]e(?: (?:version |v ?)?3 0)?
-openrail | openrail | (?:creativeml )?open ?rail(?: ?m)?(?: licen[cs]e)?
-llama-community | community licen | llama [23] (?:[0-9] )?community licen[cs]e(?: agreement)?
-cc0-1.0 | cc0 | cc0(?: 1 0)?(?: universal)?
-cc0-1.0 | public domain | creative commons (?:zero|public domain dedication)
+apache-1.0 | apache (?:software )?licen[cs]e (?:version |v )?1 0
+apache-1.1 | apache (?:software )?licen[cs]e (?:version |v )?1 1
+apache-2.0 | apache (?:software )?licen[cs]e (?:version |v ?)?2(?: 0)?|apache 2 0(?: licen[cs]e)?|asl 2 0
+mit | mit licen[cs]e|mit expat licen[cs]e|expat licen[cs]e|mit x11 licen[cs]e
+mit-0 | mit no attribution(?: licen[cs]e)?|mit 0 licen[cs]e
+x11 | x11 licen[cs]e
+isc | isc licen[cs]e|internet systems consortium licen[cs]e
+bsd-0-clause | (?:0|zero) clause bsd(?: licen[cs]e)?|bsd 0 clause|0bsd
+bsd-1-clause | (?:1|one) clause bsd(?: licen[cs]e)?|bsd 1 clause
+bsd-2-clause | (?:2|two) clause bsd(?: licen[cs]e)?|bsd 2 clause|simplified bsd licen[cs]e|freebsd licen[cs]e
+bsd-3-clause | (?:3|three) clause bsd(?: licen[cs]e)?|bsd 3 clause|(?:new|modified|revised) bsd licen[cs]e
+bsd-4-clause | (?:4|four) clause bsd(?: licen[cs]e)?|bsd 4 clause|original bsd licen[cs]e
+bsd-patent | bsd (?:plus |2 clause plus )?patent(?: licen[cs]e)?
+bsd | bsd (?:style )?licen[cs]e
+gpl-1.0 | gpl ?(?:version |v ?)?1 0|gplv1
+gpl-2.0-only | gpl ?(?:version |v ?)?2(?: 0)? only|gplv2 only
+gpl-2.0-or-later | gpl ?(?:version |v ?)?2(?: 0)? or (?:any )?later|gplv2 or (?:any )?later
+gpl-2.0 | gpl ?(?:version |v ?)?2(?: 0)?|gplv2
+gpl-3.0-only | gpl ?(?:version |v ?)?3(?: 0)? only|gplv3 only
+gpl-3.0-or-later | gpl ?(?:version |v ?)?3(?: 0)? or (?:any )?later|gplv3 or (?:any )?later
+gpl-3.0 | gpl ?(?:version |v ?)?3(?: 0)?|gplv3
+gpl-2.0 | gnu general public licen[cs]e (?:version |v ?)2(?: 0)?
+gpl-3.0 | gnu general public licen[cs]e (?:version |v ?)3(?: 0)?
+gpl | gnu general public licen[cs]e
+lgpl-2.0 | gnu library general public licen[cs]e (?:version |v ?)2(?: 0)?
+lgpl-2.1 | gnu lesser general public licen[cs]e (?:version |v ?)2 1
+lgpl-3.0 | gnu lesser general public licen[cs]e (?:version |v ?)3(?: 0)?
+lgpl | gnu (?:lesser|library) general public licen[cs]e
+lgpl-2.0 | lgpl ?(?:version |v ?)?2 0|lgplv2
+lgpl-2.1-or-later | lgpl ?(?:version |v ?)?2 1 or (?:any )?later
+lgpl-2.1 | lgpl ?(?:version |v ?)?2 1|lgplv2 1
+lgpl-3.0-or-later | lgpl ?(?:version |v ?)?3(?: 0)? or (?:any )?later
+lgpl-3.0 | lgpl ?(?:version |v ?)?3(?: 0)?|lgplv3
+agpl-3.0 | gnu affero general public licen[cs]e (?:version |v ?)3(?: 0)?
+agpl | (?:gnu )?affero general public licen[cs]e
+agpl-3.0-or-later | agpl ?(?:version |v ?)?3(?: 0)? or (?:any )?later
+agpl-3.0 | agpl ?(?:version |v ?)?3(?: 0)?|agplv3
+gfdl-1.1 | gnu free documentation licen[cs]e (?:version |v ?)1 1
+gfdl-1.2 | gnu free documentation licen[cs]e (?:version |v ?)1 2
+gfdl-1.3 | gnu free documentation licen[cs]e (?:version |v ?)1 3
+gfdl | gnu free documentation licen[cs]e
+mpl-1.0 | mozilla public licen[cs]e (?:version |v ?)?1 0
+mpl-1.1 | mozilla public licen[cs]e (?:version |v ?)?1 1
+mpl-2.0 | mozilla public licen[cs]e (?:version |v ?)?2(?: 0)?
+mpl | mozilla public licen[cs]e
+mpl-1.1 | mpl ?(?:version |v ?)?1 1
+mpl-2.0 | mpl ?(?:version |v ?)?2 0
+epl-1.0 | eclipse public licen[cs]e (?:version |v ?)?1 0
+epl-2.0 | eclipse public licen[cs]e (?:version |v ?)?2 0
+epl | eclipse public licen[cs]e
+edl-1.0 | eclipse distribution licen[cs]e(?: (?:version |v ?)?1 0)?
+cddl-1.0 | cddl ?(?:version |v ?)?1 0
+cddl-1.1 | cddl ?(?:version |v ?)?1 1
+cddl | common development and distribution licen[cs]e
+cpl-1.0 | common public licen[cs]e(?: (?:version |v ?)?1 0)?
+cpal-1.0 | common public attribution licen[cs]e(?: (?:version |v ?)?1 0)?
+ipl-1.0 | ibm public licen[cs]e(?: (?:version |v ?)?1 0)?
+eupl-1.1 | european union public licen[cs]e (?:version |v ?)?1 1
+eupl-1.2 | european union public licen[cs]e (?:version |v ?)?1 2
+eupl | european union public licen[cs]e
+osl-3.0 | open software licen[cs]e(?: (?:version |v ?)?3 0)?
+afl-3.0 | academic free licen[cs]e(?: (?:version |v ?)?3 0)?
+artistic-1.0 | artistic licen[cs]e (?:version |v ?)?1 0
+artistic-2.0 | artistic licen[cs]e (?:version |v ?)?2 0
+artistic | artistic licen[cs]e
+bsl-1.0 | boost software licen[cs]e(?: (?:version |v ?)?1 0)?
+zlib | zlib(?: libpng)? licen[cs]e
+libpng | libpng licen[cs]e
+openssl | openssl licen[cs]e
+ssleay | ssleay licen[cs]e
+php-3.01 | php licen[cs]e(?: (?:version |v ?)?3 01)?
+python-2.0 | python software foundation licen[cs]e(?: version 2)?|psf licen[cs]e
+ruby | ruby licen[cs]e|ruby s licen[cs]e
+postgresql | postgresql licen[cs]e
+ncsa | university of illinois ncsa open source licen[cs]e
+ncsa | ncsa licen[cs]e
+upl-1.0 | universal permissive licen[cs]e(?: (?:version |v ?)?1 0)?
+w3c | w3c software (?:notice and )?licen[cs]e
+unlicense | the unlicense|unlicense licen[cs]e
+wtfpl | wtfpl(?: (?:version |v ?)?2)?
+ofl-1.0 | sil open font licen[cs]e (?:version |v ?)?1 0
+ofl-1.1 | sil open font licen[cs]e(?: (?:version |v ?)?1 1)?
+ms-pl | microsoft public licen[cs]e
+ms-rl | microsoft reciprocal licen[cs]e
+apsl-2.0 | apple public source licen[cs]e(?: (?:version |v ?)?2 0)?
+qpl-1.0 | q public licen[cs]e(?: (?:version |v ?)?1 0)?
+sspl-1.0 | server side public licen[cs]e(?: (?:version |v ?)?1)?
+busl-1.1 | business source licen[cs]e(?: (?:version |v ?)?1 1)?
+elastic-2.0 | elastic licen[cs]e(?: (?:version |v ?)?2 0)?
+mulan-psl-2.0 | mulan permissive software licen[cs]e(?: (?:version |v ?)?2)?
+cecill-2.1 | cecill(?: free software)? licen[cs]e(?: agreement)?(?: (?:version |v ?)?2 1)?
+odbl-1.0 | open database licen[cs]e(?: (?:version |v ?)?1 0)?
+odc-by-1.0 | open data commons attribution licen[cs]e(?: (?:version |v ?)?1 0)?
+pddl-1.0 | open data commons public domain dedication(?: and licen[cs]e)?
+ogl-uk-3.0 | open government licen[cs]e(?: (?:version |v ?)?3 0)?
+openrail | (?:creativeml )?openrail(?: ?m)?(?: licen[cs]e)?|(?:creativeml )?open rail(?: ?m)?(?: licen[cs]e)?
+llama-community | llama [23] (?:[0-9] )?community licen[cs]e(?: agreement)?
+cc0-1.0 | cc0(?: 1 0)?(?: universal)?
+cc0-1.0 | creative commons (?:zero|public domain dedication)
 """
 
-#: label | gate | text that is typical of the license itself
+#: label | text that is typical of the license itself
 CLAUSES = """
-mit | permission is hereby | permission is hereby granted free of charge to any person obtaining a copy
-mit | without restriction | deal in the software without restriction including without limitation the rights
-isc | permission to use | permission to use copy modify and or distribute this software for any purpose with or without fee
-bsd | redistribution and use | redistribution and use in source and binary forms with or without modification are permitted
-bsd-2-clause | redistributions | redistributions of source code must retain the above copyright notice
-bsd-3-clause | endorse or promote | (?:be used|used) to endorse or promote products derived from this software
-bsd-4-clause | advertising materials | all advertising materials mentioning features or use of this software
-gpl | free software foundation | as published by the free software foundation
-gpl | free software | this program is free software you can redistribute it and or modify it
-gpl-or-later | any later version | either version [123](?: [01])? of the license or at your option any later version
-lgpl | free software | this library is free software you can redistribute it and or modify it
-apache-2.0 | licensed under the apache | licensed under the apache license version 2 0 the license
-apache-2.0 | www apache org | www apache org licenses license 2 0
-mpl-2.0 | mozilla | subject to the terms of the mozilla public license v ?2 0
-mpl-1.1 | mozilla | subject to the mozilla public license version 1 1
-epl-1.0 | eclipse | made available under the terms of the eclipse public license v ?1 0
-epl-2.0 | eclipse | made available under the terms of the eclipse public license ?v? ?2 0
-bsl-1.0 | boost | distributed under the boost software license version 1 0
-zlib | as is | this software is provided as is without any express or implied warranty
-unlicense | unencumbered | this is free and unencumbered software released into the public domain
-wtfpl | do what the | do what the fuck you want to
-public-domain | public domain | (?:released|placed|dedicated|is) (?:in|into|to) the public domain
-public-domain | public domain | public domain dedication
-cc-by | creativecommons | creativecommons org licenses by [1234] [05]
-cc-by-sa | creativecommons | creativecommons org licenses by sa [1234] [05]
-cc-by-nc | creativecommons | creativecommons org licenses by nc [1234] [05]
-cc-by-nd | creativecommons | creativecommons org licenses by nd [1234] [05]
-cc-by-nc-sa | creativecommons | creativecommons org licenses by nc sa [1234] [05]
-cc-by-nc-nd | creativecommons | creativecommons org licenses by nc nd [1234] [05]
-cc0-1.0 | creativecommons | creativecommons org publicdomain zero 1 0
-openssl | openssl | this product includes software developed by the openssl project
-ssleay | eric young | this product includes cryptographic software written by eric young
-free-unknown | same terms | (?:redistribute|distributed|modify) it under the same terms as perl itself
-proprietary | all rights reserved | all rights reserved
-proprietary | proprietary | proprietary and confidential
-proprietary | proprietary | (?:this is|contains) proprietary (?:software|information)
-commercial | commercial licen | (?:under|requires|purchase) an? commercial licen[cs]e
-non-commercial | non ?commercial | for non commercial (?:use|purposes) only
-warranty-disclaimer | warranty | without warranty of any kind
-warranty-disclaimer | warranties | without warranties or conditions of any kind
+mit | permission is hereby granted free of charge to any person obtaining a copy
+mit | deal in the software without restriction including without limitation the rights
+isc | permission to use copy modify and or distribute this software for any purpose with or without fee
+bsd | redistribution and use in source and binary forms with or without modification are permitted
+bsd-2-clause | redistributions of source code must retain the above copyright notice
+bsd-3-clause | (?:be used|used) to endorse or promote products derived from this software
+bsd-4-clause | all advertising materials mentioning features or use of this software
+gpl | as published by the free software foundation
+gpl | this program is free software you can redistribute it and or modify it
+gpl-or-later | either version [123](?: [01])? of the license or at your option any later version
+lgpl | this library is free software you can redistribute it and or modify it
+apache-2.0 | licensed under the apache license version 2 0 the license
+apache-2.0 | www apache org licenses license 2 0
+mpl-2.0 | subject to the terms of the mozilla public license v ?2 0
+mpl-1.1 | subject to the mozilla public license version 1 1
+epl-1.0 | made available under the terms of the eclipse public license v ?1 0
+epl-2.0 | made available under the terms of the eclipse public license ?v? ?2 0
+bsl-1.0 | distributed under the boost software license version 1 0
+zlib | this software is provided as is without any express or implied warranty
+unlicense | this is free and unencumbered software released into the public domain
+wtfpl | do what the fuck you want to
+public-domain | (?:released|placed|dedicated|is) (?:in|into|to) the public domain
+public-domain | public domain dedication
+cc-by | creativecommons org licenses by [1234] [05]
+cc-by-sa | creativecommons org licenses by sa [1234] [05]
+cc-by-nc | creativecommons org licenses by nc [1234] [05]
+cc-by-nd | creativecommons org licenses by nd [1234] [05]
+cc-by-nc-sa | creativecommons org licenses by nc sa [1234] [05]
+cc-by-nc-nd | creativecommons org licenses by nc nd [1234] [05]
+cc0-1.0 | creativecommons org publicdomain zero 1 0
+openssl | this product includes software developed by the openssl project
+ssleay | this product includes cryptographic software written by eric young
+free-unknown | (?:redistribute|distributed|modify) it under the same terms as perl itself
+proprietary | all rights reserved
+proprietary | proprietary and confidential
+proprietary | (?:this is|contains) proprietary (?:software|information)
+commercial | (?:under|requires|purchase) an? commercial licen[cs]e
+non-commercial | for non commercial (?:use|purposes) only
+warranty-disclaimer | without warranty of any kind
+warranty-disclaimer | without warranties or conditions of any kind
 """
 
 #: Words of the public licenses by attribution: tag to name.
 CC_PARTS = {"by": "attribution", "by sa": "attribution share ?alike", "by nc": "attribution non ?commercial", "by nd": "attribution no ?deriv(?:ative)?s?", "by nc sa": "attribution non ?commercial share ?alike", "by nc nd": "attribution non ?commercial no ?deriv(?:ative)?s?"}
 CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
 
+#: SPDX identifiers that are not the label itself.
+SPDX = (("bsd-patent", "bsd 2 clause patent"), ("mulan-psl-2.0", "mulanpsl 2 0"), ("python-2.0", "psf 2 0"))
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -176,32 +180,59 @@ class Rule:
     base: bool = False
 
 
+#: What stands in many texts and makes a poor gate.
+_COMMON = re.compile(r"\b(?:licen|e|only|or|any|later|version|v|of|the|\d+)\b| ")
+
+
 def _rows(table: str):
     return [[x.strip() for x in line.split(" | ")] for line in table.strip().splitlines()]
 
 
+def alternatives(pattern: str) -> list[str]:
+    """The pattern cut at each | that stands outside of groups."""
+    out, depth = [""], 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def gate_of(pattern: str) -> str:
+    """The text that stands in everything the pattern (one alternative) matches; of several, the one longest in rare words."""
+    n = 1
+    while n:
+        pattern, n = re.subn(r"\([^()]*\)\??", "\0", pattern)
+    return max(re.sub(r"\[[^]]*\]\??|[^\0]\?", "\0", pattern).split("\0"), key=lambda x: (len(_COMMON.sub("", x)), len(x)))
+
+
 def rules() -> list[Rule]:
     """All rules, highest priority first: base phrases, notices and tags, license texts, then bare names."""
     out: list[Rule] = []
 
     def add(kind, label, gate, pattern, priority, weight, base=False):
-        out.append(Rule(f"{kind}-{len(out)}", label, priority, weight, gate.replace(" ?", " ").encode(), re.compile(b"(?<= )(?:" + pattern.encode() + b")(?= )"), base))
+        out.append(Rule(f"{kind}-{len(out)}", label, priority, weight, gate.encode(), re.compile(b"(?<= )(?:" + pattern.encode() + b")(?= )"), base))
 
     for label, phrase in BASE:
         add("base", label, phrase, phrase, 50, 1.0, True)
-    names = [(label, gate, pattern) for label, gate, pattern in _rows(NAMES)]
+    names = _rows(NAMES)
+    ids = [*dict.fromkeys((label, re.sub("[-.]", " ", label)) for label, _ in names), *SPDX]
     for part, name in CC_PARTS.items():
         tag = "cc-" + part.replace(" ", "-")
         for v in CC_VERSIONS:
-            names.append((f"{tag}-{v.replace(' ', '.')}", "cc by", f"cc {part} {v}"))
-            names.append((f"{tag}-{v.replace(' ', '.')}", "creative commons", f"creative commons {name} {v}"))
-        names.append((tag, "cc by", f"cc {part}(?! (?:nc|nd|sa) )"))
-        names.append((tag, "creative commons", f"creative commons {name}(?: international| unported| generic)?(?: public)?(?: licen[cs]e)?"))
-    for label, gate, pattern in names:
-        add("tag", label, gate, f"spdx licen[cs]e identifier (?:{pattern})", 40, 1.0)
-        add("notice", label, gate, f"(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the |a )?(?:{pattern})", 30, 0.9)
-    for label, gate, pattern in _rows(CLAUSES):
-        add("text", label, gate if "?" not in gate else "commercial", pattern, 20, 0.8)
-    for label, gate, pattern in names:
-        add("name", label, gate, pattern, 10, 0.6)
+            names.append((f"{tag}-{v.replace(' ', '.')}", f"cc {part} {v}"))
+            names.append((f"{tag}-{v.replace(' ', '.')}", f"creative commons {name} {v}"))
+        names.append((tag, f"cc {part}(?! (?:nc|nd|sa) )"))
+        names.append((tag, f"creative commons {name}(?: international| unported| generic)?(?: public)?(?: licen[cs]e)?"))
+    names = [(label, one) for label, pattern in names for one in alternatives(pattern)]
+    for label, pattern in [*ids, *names]:
+        add("tag", label, "spdx licen", f"spdx licen[cs]e identifier (?:{pattern})", 40, 1.0)
+    for label, pattern in names:
+        add("notice", label, gate_of(pattern), f"(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the |a )?(?:{pattern})", 30, 0.9)
+    for label, pattern in _rows(CLAUSES):
+        add("text", label, gate_of(pattern), pattern, 20, 0.8)
+    for label, pattern in names:
+        add("name", label, gate_of(pattern), pattern, 10, 0.6)
     return sorted(out, key=lambda r: -r.priority)

@@ -1,5 +1,9 @@
+import itertools
+import random
 import re
 
+import pytest
+
 from stratalog.llm.license_rules import BASE, rules
 from stratalog.llm.license_scan import Scanner, digest, license_scan, resolve
 
@@ -50,3 +54,46 @@ def test_containment_and_priority():
 
 def test_empty_table(spark):
     assert digest(license_scan(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
+
+
+def spelled(nodes):
+    """All texts that a parsed pattern matches, without its looks around."""
+    parts = []
+    for op, arg in nodes:
+        op = str(op)
+        if op == "LITERAL":
+            parts.append([chr(arg)])
+        elif op == "IN":
+            parts.append([chr(c) for o, a in arg for c in ([a] if str(o) == "LITERAL" else range(a[0], a[1] + 1))])
+        elif op == "BRANCH":
+            parts.append([x for b in arg[1] for x in spelled(b)])
+        elif op == "SUBPATTERN":
+            parts.append(spelled(arg[3]))
+        elif op == "MAX_REPEAT":
+            assert arg[:2] == (0, 1)
+            parts.append(["", *spelled(arg[2])])
+        else:
+            assert op in ("ASSERT", "ASSERT_NOT")
+    return ["".join(x) for x in itertools.product(*parts)]
+
+
+def test_every_alternative_has_its_gate():
+    rng = random.Random(0)
+    for r in rules():
+        texts = spelled(re._parser.parse(r.pattern.pattern.decode()))
+        for t in texts if len(texts) <= 200 else rng.sample(texts, 200):
+            assert r.gate in b" " + t.encode() + b" ", (r.name, r.gate, t)
+
+
+@pytest.mark.parametrize("text, label", [("expat license", "mit"), ("asl 2 0", "apache-2.0"), ("Internet Systems Consortium License", "isc"), ("psf license", "python-2.0"), ("open rail", "openrail"), ("Creative Commons Zero", "cc0-1.0"), ("available under the Expat License", "mit")])
+def test_phrase_alone_is_found(text, label):
+    assert {d["label"] for d in Scanner().scan(text)[1] if not d["suppressed"]} == {label}
+
+
+SPDX_IDS = "MIT ISC Zlib BSL-1.0 EPL-2.0 Unlicense PostgreSQL AFL-3.0 EUPL-1.2 OFL-1.1 Apache-2.0 MIT-0 BSD-3-Clause GPL-2.0-only LGPL-2.1-or-later MPL-2.0 CC0-1.0 X11 NCSA WTFPL UPL-1.0 CC-BY-SA-4.0 PHP-3.01 MS-PL BUSL-1.1 OSL-3.0 CDDL-1.0"
+
+
+@pytest.mark.parametrize("spdx, label", [*[(x, x.lower()) for x in SPDX_IDS.split()], ("0BSD", "bsd-0-clause"), ("BSD-2-Clause-Patent", "bsd-patent"), ("MulanPSL-2.0", "mulan-psl-2.0"), ("PSF-2.0", "python-2.0")])
+def test_spdx_identifiers(spdx, label):
+    got = [d for d in Scanner().scan(f"// SPDX-License-Identifier: {spdx}")[1] if not d["suppressed"]]
+    assert {d["label"] for d in got} == {label} and {d["priority"] for d in got} == {40}
