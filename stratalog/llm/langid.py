@@ -6,8 +6,9 @@ looked up together; for each language the bits are counted, corrected for the ra
 would still hit (the share of slots with the language's bit, to the power of the number of hashes), and the
 largest corrected count decides.
 
-The filter has a fixed size (``1 << slot_bits`` masks) and is learnt from at most about ``max_train_docs`` labelled
-documents, chosen by a hash of their id. N-grams are runs of four UTF-8 bytes of the lower-case text, with
+The filter has ``1 << slot_bits`` masks of as many 64-bit words as the languages need. Each language is learnt by
+itself, however rare it is beside others: from at most about ``max_docs`` of its labelled documents, chosen by a hash
+of their id, and with at most its ``max_grams`` most frequent n-grams. N-grams are runs of four UTF-8 bytes of the lower-case text, with
 everything but letters as one space.
 """
 
@@ -15,13 +16,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._util import documents, ship, texts
 
+#: Per language.
 MAX_TRAIN_DOCS = 20_000
-MAX_GRAMS = 400_000
+MAX_GRAMS = 20_000
 SLOT_BITS = 20
 HASHES = 2
 
@@ -44,21 +46,27 @@ def _slots(g: np.ndarray, slot_bits: int):
 
 
 class Filter:
-    """Bitmask filter over up to 64 languages."""
+    """Bitmask filter over any number of languages; ``counts``: n-grams of each with their counts, as a dict or two arrays."""
 
-    def __init__(self, counts: dict[str, dict[int, int]], slot_bits: int = SLOT_BITS, share: float = 0.5):
-        self.languages, self.slot_bits = sorted(counts)[:64], slot_bits
-        self.masks = np.zeros(1 << slot_bits, np.uint64)
-        rate: dict[int, float] = {}
-        total = {lang: max(1, sum(counts[lang].values())) for lang in self.languages}
+    def __init__(self, counts: dict[str, dict[int, int] | tuple[np.ndarray, np.ndarray]], slot_bits: int = SLOT_BITS, share: float = 0.5):
+        self.languages, self.slot_bits = sorted(counts), slot_bits
+        own = []
         for lang in self.languages:
-            for g, n in counts[lang].items():
-                rate[g] = max(rate.get(g, 0.0), n / total[lang])
-        for bit, lang in enumerate(self.languages):
-            own = np.array([g for g, n in counts[lang].items() if n / total[lang] >= share * rate[g]], np.uint32)
-            for s in _slots(own, slot_bits):
-                self.masks[s] |= np.uint64(1 << bit)
-        self.false_rate = [float(((self.masks >> np.uint64(k)) & np.uint64(1)).mean()) ** HASHES for k in range(len(self.languages))]
+            c = counts[lang]
+            g, n = (np.array(list(c.keys()), np.uint32), np.array(list(c.values()), np.float64)) if isinstance(c, dict) else c
+            own.append((g, n / max(1, n.sum())))
+        every = np.unique(np.concatenate([g for g, _ in own])) if own else np.zeros(0, np.uint32)
+        top = np.zeros(len(every))
+        for g, rate in own:
+            at = np.searchsorted(every, g)
+            top[at] = np.maximum(top[at], rate)
+        self.masks = np.zeros((1 << slot_bits, max(1, -(-len(own) // 64))), np.uint64)
+        self.false_rate = []
+        for k, (g, rate) in enumerate(own):
+            word, bit = k // 64, np.uint64(1 << k % 64)
+            for s in _slots(g[rate >= share * top[np.searchsorted(every, g)]], slot_bits):
+                self.masks[s, word] |= bit
+            self.false_rate.append(float((self.masks[:, word] & bit != 0).mean()) ** HASHES)
 
     def identify(self, text: str) -> tuple[str, float]:
         if not self.languages or not any(map(str.isalpha, text)):
@@ -69,7 +77,7 @@ class Filter:
             hit = self.masks[s] if hit is None else hit & self.masks[s]
         n, best, got = max(1, len(g)), 0, []
         for k, f in enumerate(self.false_rate):
-            raw = int(np.count_nonzero(hit & np.uint64(1 << k)))
+            raw = int(np.count_nonzero(hit[:, k // 64] & np.uint64(1 << k % 64)))
             got.append(max(0.0, (raw - n * f) / (1 - f) if f < 1 else 0.0))
             if got[k] > got[best]:
                 best = k
@@ -86,19 +94,23 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
-def learn(labelled: DataFrame, lang_col: str, text_col: str, id_col: str, max_docs: int = MAX_TRAIN_DOCS, slot_bits: int = SLOT_BITS) -> Filter:
-    """A filter from labelled rows; those that are used are at most about ``max_docs``, whatever the table's size."""
-    ship(labelled.sparkSession)
-    rows = labelled.filter(F.col(lang_col).isNotNull())
-    n = rows.count()
-    if n > max_docs:
-        rows = rows.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < int(1e6 * max_docs / n))
-    counts = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(_count, "lang string, gram long, n long")
-    top = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter("n > 2").orderBy(F.desc("n"), "lang", "gram").limit(MAX_GRAMS)
-    by: dict[str, dict[int, int]] = {}
-    for r in top.toLocalIterator():
-        by.setdefault(r["lang"], {})[r["gram"]] = r["n"]
-    return Filter(by, slot_bits)
+def learn(labelled: DataFrame, lang_col: str, text_col: str, id_col: str, max_docs: int = MAX_TRAIN_DOCS, slot_bits: int = SLOT_BITS, max_grams: int = MAX_GRAMS) -> Filter:
+    """A filter from labelled rows; at most about ``max_docs`` of each language are used, whatever the table's size."""
+    spark = labelled.sparkSession
+    ship(spark)
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("string").alias("id")).filter("lang is not null")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    large = [(lang, int((1 << 62) / n * max_docs)) for lang, n in sizes.items() if n > max_docs]
+    if large:
+        limits = F.broadcast(spark.createDataFrame(large, "lang string, below long"))
+        hashed = F.shiftrightunsigned(F.xxhash64("id"), 2)  # below 1 << 62
+        rows = rows.join(limits, "lang", "left").filter(F.col("below").isNull() | (hashed < F.col("below")))
+    counts = rows.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    top = counts.withColumn("rank", rank).filter(F.col("rank") <= max_grams).select("lang", "gram", "n").toArrow()
+    code = top.column("lang").combine_chunks().dictionary_encode()
+    gram, n, at = top.column("gram").to_numpy().astype(np.uint32), top.column("n").to_numpy().astype(np.float64), code.indices.to_numpy(zero_copy_only=False)
+    return Filter({lang: (gram[at == k], n[at == k]) for k, lang in enumerate(code.dictionary.to_pylist())}, slot_bits)
 
 
 def identify(docs: DataFrame, model: Filter, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -1,6 +1,6 @@
 import zlib
 
-from stratalog.llm.langid import Filter, identify, learn, query
+from stratalog.llm.langid import Filter, grams, identify, learn, query
 
 
 def test_held_out_accuracy(spark):
@@ -41,3 +41,41 @@ def test_filter_has_no_false_negative():
     for s in _slots(np.arange(5000, dtype=np.uint32), 14):
         hit = f.masks[s] if hit is None else hit & f.masks[s]
     assert (hit & np.uint64(1)).all() and 0 < f.false_rate[0] < 1
+
+
+def test_more_than_64_languages():
+    f = Filter({f"l{k:03}": {1000 * k + i: 3 for i in range(500)} for k in range(150)}, slot_bits=16)
+    assert len(f.languages) == len(f.false_rate) == 150 and f.masks.shape == (1 << 16, 3)
+    words = {"aa": "wolf", "zz": "bear"} | {f"l{k:03}": "x" for k in range(100)}
+    by = {lang: {int(g): 3 for g in grams(word)} for lang, word in words.items()}
+    f = Filter(by, slot_bits=16)
+    assert f.identify("bear bear")[0] == "zz" and f.identify("wolf")[0] == "aa"
+
+
+def test_dominant_language_leaves_room_for_rare_ones(spark):
+    big = [(k, f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}k " * 5, "big") for k in range(1500)]
+    rows = [*big, (5001, "zebra quagga", "one"), (5002, "okapi okapi", "two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = learn(df, "lang", "text", "doc_id", max_docs=100, max_grams=50)
+    assert model.languages == ["big", "one", "two"]
+    got = {r.doc_id: r.lang_pred for r in identify(df.filter("doc_id > 5000"), model).collect()}
+    assert got == {5001: "one", 5002: "two"}
+
+
+def test_sample_is_per_language(spark):
+    from stratalog.llm import langid
+
+    df = spark.createDataFrame([(k, "alpha beta", "en") for k in range(40_000)] + [(100_000 + k, "gamma delta", "fr") for k in range(30)], "doc_id long, text string, lang string")
+    seen = {}
+
+    class Spy(Filter):
+        def __init__(self, counts, *a, **k):
+            seen.update({lang: float(n.max()) for lang, (_, n) in counts.items()})
+            super().__init__(counts, *a, **k)
+
+    old, langid.Filter = langid.Filter, Spy
+    try:
+        learn(df, "lang", "text", "doc_id", max_docs=1000)
+    finally:
+        langid.Filter = old
+    assert seen["fr"] == 30 and 800 < seen["en"] < 1200
