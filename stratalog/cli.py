@@ -40,10 +40,12 @@ def session():
     return SparkSession.builder.appName("stratalog").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def _show(df, n: int = 1000) -> None:
-    """At most ``n`` rows, as JSON lines."""
-    for r in df.limit(n).toJSON().collect():
+def _show(df) -> None:
+    """All rows, as JSON lines, a partition at a time; their number goes to stderr."""
+    n = 0
+    for n, r in enumerate(df.toJSON().toLocalIterator(), 1):
         print(r)
+    print(f"{n} rows", file=sys.stderr)
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:
