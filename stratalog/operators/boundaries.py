@@ -14,9 +14,6 @@ from ..functions import scalars as S
 from ..tables import written
 from .relational import align_payloads, suffix_match
 
-#: Rounds of constant folding; a longer chain of references stays unresolved, as a cycle does.
-FOLD_ROUNDS = 8
-
 _TEST_TREE = r"(^|/)src/(test|it)/|(^|/)test/"
 
 
@@ -39,27 +36,35 @@ def config_scalars(facts: DataFrame) -> DataFrame:
     return s.select("repo_id", F.col("family_label").alias("key"), F.get_json_object("extra_json", "$.value").alias("value")).distinct()
 
 
-def fold_constants(constants: DataFrame, expressions: DataFrame, keys: list[str], rounds: int = FOLD_ROUNDS) -> DataFrame:
+def _substitute(rows: DataFrame, keys: list[str], known: DataFrame) -> DataFrame:
+    """``rows`` (repo_id, keys, parts) with references to ``known`` constants replaced by their parts."""
+    each = rows.select("repo_id", *keys, F.posexplode("parts").alias("i", "p"))
+    ref = F.col("p")[0] == "ref"
+    named = each.select("*", F.when(ref, F.col("p")[1]).alias("of"), F.when(ref, F.col("p")[2]).alias("called"))
+    subs = known.select("repo_id", F.col("_owner").alias("of"), F.col("_name").alias("called"), F.col("parts").alias("sub"))
+    got = named.join(subs, ["repo_id", "of", "called"], "left").select("repo_id", *keys, "i", F.coalesce("sub", F.array("p")).alias("sub"))
+    flat = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "sub"))), lambda x: x["sub"]))
+    return got.groupBy("repo_id", *keys).agg(flat.alias("parts"))
+
+
+def fold_constants(constants: DataFrame, expressions: DataFrame, keys: list[str]) -> DataFrame:
     """``expressions`` (keys, parts array<array<string>>) with ``value``: the string they fold to, or null.
 
-    A constant with differing declarations, a missing one or a cycle leaves null. Each round replaces references by
-    their constant's parts, so chains fold in as many rounds as they are long; constants are one row per name.
+    A constant with differing declarations, a missing one or a cycle leaves null. Constants fold from the literals up:
+    each round puts those just folded into the open ones, until a round folds none, so chains of any length fold and
+    cycles end. Constants are one row per name.
     """
-    agreed = constants.groupBy("repo_id", F.col("owner").alias("_owner"), F.col("name").alias("_name")).agg(F.count_distinct("expression").alias("n"), F.min("expression").alias("sub"))
-    one = written(agreed.filter("n = 1").drop("n"), "constants")
-    open_ = written(expressions.select("repo_id", *keys, "parts"), "expressions")
-    ref = F.col("p")[0] == "ref"
-    for _ in range(rounds):
-        if open_.filter(F.exists("parts", lambda p: p[0] == "ref")).isEmpty():
-            break
-        each = open_.select("repo_id", *keys, F.posexplode("parts").alias("i", "p"))
-        named = each.select("*", F.when(ref, F.col("p")[1]).alias("_owner"), F.when(ref, F.col("p")[2]).alias("_name"))
-        parts = F.when(~ref, F.array("p")).otherwise(F.coalesce("sub", F.array(F.array(F.lit("gap")))))
-        got = named.join(one, ["repo_id", "_owner", "_name"], "left").select("repo_id", *keys, "i", parts.alias("sub"))
-        flat = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "sub"))), lambda x: x["sub"]))
-        open_ = written(got.groupBy("repo_id", *keys).agg(flat.alias("parts")), "expressions")
+    agreed = constants.groupBy("repo_id", F.col("owner").alias("_owner"), F.col("name").alias("_name")).agg(F.count_distinct("expression").alias("n"), F.min("expression").alias("parts"))
     done = F.forall("parts", lambda p: p[0] == "lit")
-    return open_.select("repo_id", *keys, F.when(done, F.array_join(F.transform("parts", lambda p: p[1]), "")).alias("value"))
+    one = written(agreed.filter("n = 1").drop("n"), "constants")
+    new, open_ = one.filter(done), one.filter(~done)
+    known = new
+    while not new.isEmpty() and not open_.isEmpty():
+        got = written(_substitute(open_, ["_owner", "_name"], new), "constants")
+        new, open_ = got.filter(done), got.filter(~done)
+        known = known.unionByName(new)
+    rows = written(_substitute(expressions, keys, known), "expressions")
+    return rows.select("repo_id", *keys, F.when(done, F.array_join(F.transform("parts", lambda p: p[1]), "")).alias("value"))
 
 
 def class_fields(facts: DataFrame) -> DataFrame:
@@ -161,14 +166,14 @@ def enum_topics(listeners: DataFrame, facts: DataFrame) -> DataFrame:
     """(repo_id, owner, topics, enum_topic) for listeners whose topic is an accessor of an enum constant.
 
     The chain: the class hands one enum constant to its superclass; the accessor names one field of the enum; the
-    constant's argument in that field's place is a constant of another enum, whose first argument is a literal key. Each
+    constant's argument in that field's place among the final fields is a constant of another enum, whose first argument is a literal key. Each
     link must be unique, or the topic stays unresolved.
     """
     method = F.regexp_extract("topics", r"^#\{__listener\.\w+\.(\w+)\(", 1)
     x = listeners.select("repo_id", "owner", "topics", method.alias("accessor")).filter("accessor <> ''").distinct()
     refs = java_facts(facts, "super_enum_ref", "name string, owner string, enum string").select("repo_id", "owner", "enum", F.col("name").alias("constant")).distinct()
     access = java_facts(facts, "enum_accessor", "name string, owner string, field string").select("repo_id", F.col("owner").alias("enum"), F.col("name").alias("accessor"), "field").distinct()
-    fields = java_facts(facts, "class_fields", "name string, type_kind string, fields array<struct<name:string>>").filter("type_kind = 'enum'").select("repo_id", F.col("name").alias("enum"), F.col("fields.name").alias("names")).distinct()
+    fields = java_facts(facts, "class_fields", "name string, type_kind string, fields array<struct<name:string,final:boolean>>").filter("type_kind = 'enum'").select("repo_id", F.col("name").alias("enum"), F.expr("filter(fields, x -> x.final).name").alias("names")).distinct()
     consts = java_facts(facts, "enum_constant", "name string, owner string, arguments array<string>").select("repo_id", F.col("owner").alias("enum"), F.col("name").alias("constant"), "arguments").distinct()
     consts = _unique(consts, ["repo_id", "enum", "constant"])
     x = x.join(_unique(refs, ["repo_id", "owner"]), ["repo_id", "owner"]).join(_unique(access, ["repo_id", "enum", "accessor"]), ["repo_id", "enum", "accessor"])

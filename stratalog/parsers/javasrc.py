@@ -472,7 +472,7 @@ def facts(text: str):
         for m in t.members:
             if m.kind == "field" and "static" not in m.modifiers:
                 plain = m.type.rsplit(".", 1)[-1] if "<" not in m.type else m.type.split("<")[0].rsplit(".", 1)[-1]
-                fields.append({"name": m.name, "type": m.type, "collection": "array" if m.type.endswith("[]") or plain in ("List", "Set", "Collection", "Iterable", "ArrayList", "LinkedList", "HashSet") else "scalar"})
+                fields.append({"name": m.name, "type": m.type, "final": "final" in m.modifiers, "collection": "array" if m.type.endswith("[]") or plain in ("List", "Set", "Collection", "Iterable", "ArrayList", "LinkedList", "HashSet") else "scalar"})
             if m.kind == "field" and {"static", "final"} <= m.modifiers and m.type in ("String", "java.lang.String") and m.value:
                 if (e := expression(r, *m.value, t.name)) is not None:
                     fact("string_constant", name=m.name, owner=t.name, expression=e)
