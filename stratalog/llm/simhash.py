@@ -1,13 +1,15 @@
 """SimHash near-duplicates with pivot distance tables.
 
-Fingerprints are made where the texts are read, then only distinct fingerprints go on. Each has a table of its
-Hamming distances to a fixed set of reference fingerprints (pivots). By the triangle inequality two fingerprints
-at distance d differ by at most d in every coordinate, so a pair is discarded when its largest coordinate
-difference is over the limit, and the survivors are verified by the exact distance.
+Fingerprints are made where the texts are read, then only distinct fingerprints go on. Their Hamming distances to
+``PIVOTS`` reference fingerprints are computed once and written: the pivot table, seven distances to a long. By the
+triangle inequality two fingerprints at distance d differ by at most d in every coordinate, so a pair whose largest
+coordinate difference is over the limit is discarded from the table alone, and the survivors are verified by the exact
+distance.
 
-So that no pair needs to be looked at unless it may link, fingerprints meet in buckets: 64 bits are cut into
-seven blocks, and two fingerprints with at most four differing bits agree in three blocks at least, hence in one
-of 35 tables. Nothing is lost by that. Pairs within a bucket are not written out either:
+Which pairs are held against the table at all is decided by buckets: 64 bits are cut into ``blocks`` blocks, and two
+fingerprints with at most ``bits`` differing bits agree in ``blocks - bits`` blocks at least, hence in one table of
+each choice of blocks. Nothing is lost by that, and the number of blocks grows with the number of fingerprints
+(``blocks_for``), so that a bucket's mean size stays bounded. Pairs within a bucket are not written out either:
 
 1. every member of a bucket is held against the bucket's smallest member; this gives at most one link a member;
 2. where a bucket still has several components after that, the members outside its largest component are joined
@@ -20,6 +22,7 @@ so components are exact.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,12 @@ from pyspark.sql import functions as F
 from ._util import documents, id_type, ship, small_side, texts, written
 from .components import components
 
-PIVOTS = 8
-BLOCKS = 7
+PIVOTS = 28
+#: Fingerprints a bucket may have on average, over random ones.
+BUCKET = 8
+
+_LANES = 7
+_ONES = sum(1 << 8 * i for i in range(_LANES))
 
 
 def fingerprint(text: str, words: int = 4) -> bytes:
@@ -70,39 +77,76 @@ def _masks(blocks: int, agree: int) -> list[int]:
     return [sum(c) - (1 << 64) * (sum(c) >> 63) for c in itertools.combinations(block, agree)]
 
 
-def _pivots(n: int) -> list[int]:
+def blocks_for(n: int, bits: int) -> int:
+    """The fewest blocks at which ``n`` random fingerprints have at most ``BUCKET`` to a bucket."""
+    for blocks in range(bits + 3, 24):
+        if n <= BUCKET << 64 * (blocks - bits) // blocks:
+            return blocks
+    return 24
+
+
+def pivots(n: int = PIVOTS) -> list[int]:
+    """The reference fingerprints, as signed longs."""
     rng = np.random.default_rng(20)
     return [int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, n)]
 
 
-def _apart(a: str, b: str, bits: int):
-    """Pair test: largest coordinate difference first, then the exact distance."""
-    pivots = _pivots(PIVOTS)
-    x, y = F.col(a), F.col(b)
-    far = F.greatest(*[F.abs(F.bit_count(x.bitwiseXOR(F.lit(p))) - F.bit_count(y.bitwiseXOR(F.lit(p)))) for p in pivots])
-    return (far <= bits) & (F.bit_count(x.bitwiseXOR(y)) <= bits)
+def _columns(n: int = PIVOTS) -> list[str]:
+    return [f"d{k}" for k in range(math.ceil(n / _LANES))]
+
 
+def pivot_table(nodes: DataFrame) -> DataFrame:
+    """``fp`` with its distances to the pivots: seven to a long, a byte each."""
+    own = pivots()
+    lane = lambda p, k: F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("long"), 8 * k)
+    packed = [sum((lane(p, k) for k, p in enumerate(own[i : i + _LANES])), F.lit(0).cast("long")).alias(c) for i, c in zip(range(0, PIVOTS, _LANES), _columns())]
+    return nodes.select("fp", *packed)
 
-def link_components(nodes: DataFrame, bits: int = 4) -> DataFrame:
-    """``nodes`` (distinct long ``fp``) to (node, comp) for the fingerprints that link to another one."""
-    agree = BLOCKS - bits
-    tables = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(_masks(BLOCKS, agree))]
-    keyed = nodes.select("fp", F.explode(F.array(*tables)).alias("b")).select("fp", "b.t", "b.k")
-    buckets = written(keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("leader")).filter("n > 1").drop("n"), "buckets")
+
+def _near(x: str, y: str, bits: int):
+    """No coordinate of two table columns differs by more than ``bits``; all seven are compared at once.
+
+    Coordinates are at most 64, so in (x with every high bit set) - y + bits no byte carries into the next one, and a
+    byte keeps its high bit exactly where y - x <= bits.
+    """
+    high = F.lit(_ONES << 7)
+    one = lambda a, b: (F.col(a).bitwiseOR(high) - F.col(b) + F.lit(bits * _ONES)).bitwiseAND(high) == high
+    return one(x, y) & one(y, x)
+
+
+def _links(a: str, b: str, da: list[str], db: list[str], bits: int):
+    """Pair test: the largest coordinate difference from the pivot table discards, the exact distance verifies."""
+    test = F.lit(True)
+    for x, y in zip(da, db):
+        test = test & _near(x, y, bits)
+    return test & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits)
+
+
+def link_components(nodes: DataFrame, bits: int = 4, blocks: int | None = None) -> DataFrame:
+    """``nodes`` (distinct long ``fp``, a written table) to (node, comp) for the fingerprints that link to another one."""
+    blocks = blocks or blocks_for(nodes.count(), bits)
+    ds = _columns()
+    lead = [f"leader_{d}" for d in ds]
+    table = written(pivot_table(nodes), "pivots")
+    keys = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(_masks(blocks, blocks - bits))]
+    keyed = table.select("fp", *ds, F.explode(F.array(*keys)).alias("b")).select("b.t", "b.k", "fp", *ds)
+    buckets = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("leader")).filter("n > 1").drop("n")
+    buckets = written(buckets, "buckets")
+    leaders = small_side(written(buckets.select("leader").distinct().join(table, F.col("leader") == F.col("fp")).select("leader", *[F.col(d).alias(x) for d, x in zip(ds, lead)]), "leaders"))
     members = written(keyed.join(small_side(buckets), ["t", "k"]), "members")
-    star = members.filter(F.col("fp") != F.col("leader")).filter(_apart("fp", "leader", bits))
+    star = members.filter(F.col("fp") != F.col("leader")).join(leaders, "leader").filter(_links("fp", "leader", ds, lead, bits))
     first = written(components(star.select(F.col("fp").alias("a"), F.col("leader").alias("b"))), "first")
     named = members.drop("leader").join(small_side(first.withColumnRenamed("node", "fp")), "fp", "left")
-    named = written(named.select("t", "k", "fp", F.coalesce("comp", "fp").alias("comp")), "named")
+    named = written(named.select("t", "k", "fp", *ds, F.coalesce("comp", "fp").alias("comp")), "named")
     sizes = named.groupBy("t", "k", "comp").agg(F.count(F.lit(1)).alias("n"))
     split = sizes.groupBy("t", "k").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("major"))
     split = written(split.filter("comps > 1").drop("comps"), "split")
     open_ = written(named.join(small_side(split), ["t", "k"]).withColumn("minor", F.col("comp") != F.col("major")).drop("major"), "open")
-    first_pivot = _pivots(1)[0]
-    cell = F.floor(F.bit_count(F.col("fp").bitwiseXOR(F.lit(first_pivot))) / (bits + 1)).cast("int")
-    left = open_.filter("minor").select("t", "k", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"), F.col("fp").alias("x"), F.col("comp").alias("a"))
-    right = open_.select("t", "k", cell.alias("cell"), F.col("fp").alias("y"), F.col("comp").alias("b"), F.col("minor").alias("both"))
-    across = left.join(right, ["t", "k", "cell"]).filter((F.col("a") != F.col("b")) & (~F.col("both") | (F.col("x") < F.col("y"))) & _apart("x", "y", bits))
+    cell = F.floor(F.col(ds[0]).bitwiseAND(F.lit(127)) / (bits + 1)).cast("int")
+    other = [f"y_{d}" for d in ds]
+    left = open_.filter("minor").select("t", "k", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"), F.col("fp").alias("x"), F.col("comp").alias("a"), *ds)
+    right = open_.select("t", "k", cell.alias("cell"), F.col("fp").alias("y"), F.col("comp").alias("b"), F.col("minor").alias("both"), *[F.col(d).alias(y) for d, y in zip(ds, other)])
+    across = left.join(right, ["t", "k", "cell"]).filter((F.col("a") != F.col("b")) & (~F.col("both") | (F.col("x") < F.col("y"))) & _links("x", "y", ds, other, bits))
     second = written(components(across.select("a", "b").distinct()), "second").select(F.col("node").alias("comp"), F.col("comp").alias("root"))
     # components without a link of their own are joined by the second round only
     every = first.unionByName(second.select(F.col("comp").alias("node"), "comp")).distinct()

@@ -1,7 +1,9 @@
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
+from stratalog.llm import simhash
 from stratalog.llm.components import components
 from stratalog.llm.simhash import link_components, near_dedup
 
@@ -94,3 +96,51 @@ def test_whole_table(spark, sf):
 
 def test_empty_table(spark):
     assert near_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_pivot_table_and_its_test(spark):
+    rng = random.Random(5)
+    signed = lambda x: x - (1 << 64) * (x >> 63)
+    own = simhash.pivots()
+    pairs = []
+    for _ in range(400):
+        x = rng.getrandbits(64)
+        y = x
+        for b in rng.sample(range(64), rng.randrange(0, 40)):
+            y ^= 1 << b
+        pairs.append((signed(x), signed(y)))
+    pairs.append((own[0], signed(~own[0] & (2**64 - 1))))  # distances 0 and 64
+    two = spark.createDataFrame(pairs, "x long, y long")
+    cols = simhash._columns()
+    a = simhash.pivot_table(two.selectExpr("x as fp").distinct()).withColumnRenamed("fp", "x")
+    b = simhash.pivot_table(two.selectExpr("y as fp").distinct()).toDF("y", *[f"y_{c}" for c in cols])
+    near = F.lit(True)
+    for c in cols:
+        near = near & simhash._near(c, f"y_{c}", 4)
+    got = {(r.x, r.y): r for r in two.join(a, "x").join(b, "y").withColumn("near", near).collect()}
+    far = lambda x, p: ((x ^ p) & (2**64 - 1)).bit_count()
+    assert len(own) == simhash.PIVOTS and len(got) == len(set(pairs))
+    for (x, y), r in got.items():
+        dx = [r[c] >> 8 * k & 255 for c in cols for k in range(7)]
+        assert dx == [far(x, p) for p in own]
+        assert r.near == (max(abs(far(x, p) - far(y, p)) for p in own) <= 4)
+
+
+def test_buckets_stay_small_as_fingerprints_grow():
+    cost = {}
+    for n in (10**6, 10**8, 10**9, 10**10, 10**11):
+        blocks = simhash.blocks_for(n, 4)
+        tables = len(simhash._masks(blocks, blocks - 4))
+        assert n / 2 ** (64 * (blocks - 4) // blocks) <= simhash.BUCKET
+        cost[n] = tables
+    assert cost[10**6] == 35 and cost[10**11] <= 126  # rows a fingerprint
+
+
+def test_links_are_exact_with_any_number_of_blocks(spark):
+    rng = random.Random(8)
+    values = {rng.getrandbits(20) for _ in range(300)}  # dense: 44 bits in common, full buckets
+    want = brute_components(values)
+    alone = {v for v in want if sum(w == want[v] for w in want.values()) == 1}
+    for blocks in (7, 8):
+        got = {r.node: r.comp for r in link_components(spark.createDataFrame([(v,) for v in values], "fp long"), blocks=blocks).collect()}
+        assert {k: v for k, v in got.items() if k not in alone} == {k: v for k, v in want.items() if k not in alone}
