@@ -1,81 +1,220 @@
 """Token counts from distinct pre-tokens.
 
 In the piece model no piece continues past a space, so a text's pieces are those of its pre-tokens (a run of
-spaces and what follows it). Each block of documents is split into pre-tokens; those not met before by the
-worker are encoded once and only their number of pieces is kept; the block's pre-tokens are joined to that
-dictionary and summed per document. No id list of a document is ever made, and nothing shuffles.
-
-The dictionary is per worker and not global: joining all documents' pre-token rows to a global table would
-write about twice the input to shuffles (README). It holds at most ``max_pretokens`` entries and starts
-afresh beyond them; that changes no count.
+spaces and what follows it). Pieces are counted once per distinct pre-token, joined to the pre-token frequencies of
+each document and summed; no id list of a document is ever made:
+
+1. tasks count in how many documents each pre-token occurs, and the counts of all tasks meet by pre-token; those of
+   two documents or more are encoded and written with their number of pieces: the dictionary;
+2. the join. The dictionary's most frequent entries, ``broadcast_pretokens`` at most, go to all workers, together with
+   a Bloom filter of the others. A document's pre-token that neither has occurs nowhere else and is encoded where
+   it stands; one that only the filter has goes by shuffle, with its frequency, to the dictionary's other entries;
+3. what came by shuffle is summed per document and added.
+
+So what is broadcast is bounded, texts never shuffle, and of the pairs (document, pre-token) only those of pre-tokens
+that are neither frequent nor unique do.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import documents, id_type, ship, texts
+from ._util import documents, id_type, ship, texts, written
+
+#: Distinct pre-tokens that a task holds before it hands its counts on.
+HELD_PRETOKENS = 400_000
+BROADCAST_PRETOKENS = 400_000
+MAX_FILTER_BITS = 1 << 27
 
 _RUNS = re.compile(r" *[^ ]+| +")
 _state: dict = {}
 
 
-def _piece_counts(path: str, max_pretokens: int):
-    """Counts of a list of texts; the dictionary lives as long as the worker."""
+def pretokens(text: str) -> list[str]:
+    """Pre-tokens, each without its first space, which the model puts in front of what it encodes."""
+    if not text:
+        return []
+    if "▁" in text:
+        text = text.replace("▁", " ")
+    if "  " not in text and text[0] != " " and text[-1] != " ":
+        return text.split(" ")
+    return [x[1:] for x in _RUNS.findall(" " + text)]
+
+
+def _pieces(path: str, words: list[str]) -> list[int]:
+    """Numbers of pieces; the empty pre-token is a last space alone, which the model would drop by itself."""
     if _state.get("path") != path:
         import sentencepiece
 
-        _state.update(path=path, model=sentencepiece.SentencePieceProcessor(model_file=path), known={})
-    model, known = _state["model"], _state["known"]
-
-    def counts(block: list[str]) -> list[int]:
-        split = []
-        for t in block:
-            if "▁" in t:
-                t = t.replace("▁", " ")
-            # each pre-token without its first space, which the model puts in front of what it encodes
-            split.append([] if not t else t.split(" ") if "  " not in t and t[0] != " " and t[-1] != " " else [x[1:] for x in _RUNS.findall(" " + t)])
-        if len(known) > max_pretokens:
-            known.clear()
-        if "" not in known:  # a last space alone; encoded by itself the model would drop it
-            known[""] = len(model.encode("a ")) - len(model.encode("a"))
-        new = list({w for s in split for w in s}.difference(known))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            known.update(zip(part, map(len, model.encode(part, num_threads=1))))
-        return [sum(map(known.__getitem__, s)) for s in split]
-
-    return counts
-
-
-def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", max_pretokens: int = 500_000) -> DataFrame:
-    """id, n_bytes, n_tokens, over_limit for each row of ``docs``, over whole texts.
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        _state.update(path=path, model=model, last=len(model.encode("a ")) - len(model.encode("a")))
+    got: list[int] = []
+    for i in range(0, len(words), 4096):
+        got += map(len, _state["model"].encode(words[i : i + 4096], num_threads=1))
+    return [n if w else _state["last"] for w, n in zip(words, got)]
 
-    ``model_path``: a sentencepiece BPE model with identity normalisation, found on every worker. A null or empty
-    text has 0 bytes and 0 tokens. Repeated rows give repeated results; other columns are not read; an empty
-    table gives an empty result.
-    """
-    ship(docs.sparkSession)
+
+def _spread(held: int):
+    def rows(c):
+        words, n = list(c), list(c.values())
+        for i in range(0, len(words), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 65536], pa.string()), pa.array(n[i : i + 65536], pa.int64())], ["w", "docs"])
+
+    def run(batches):
+        c: Counter = Counter()
+        for b in batches:
+            for t in texts(b.column(0)):
+                c.update(set(pretokens(t)))
+                if len(c) >= held:
+                    yield from rows(c)
+                    c.clear()
+        yield from rows(c)
+
+    return run
+
+
+def _encode(path: str):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_pieces(path, b.column(0).to_pylist()), pa.int64())], ["w", "docs", "n"])
+
+    return run
+
+
+def dictionary(rows: DataFrame, model_path: str, held: int = HELD_PRETOKENS) -> DataFrame:
+    """Pre-tokens of two or more rows of ``rows`` (a column ``text``): w, docs, n (pieces), each encoded once."""
+    seen = rows.select("text").mapInArrow(_spread(held), "w string, docs long").groupBy("w").agg(F.sum("docs").alias("docs"))
+    return written(seen.filter("docs > 1").mapInArrow(_encode(model_path), "w string, docs long, n long"), "pretokens")
+
+
+def _bits_of(words: list[str], mask: int) -> tuple[np.ndarray, np.ndarray]:
+    import xxhash
+
+    h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+    return (h & np.uint64(mask)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(mask)).astype(np.int64)
+
+
+def _rare(bits: int):
+    """The places that a partition's pre-tokens set in the filter, each once."""
 
     def run(batches):
-        counts = _piece_counts(model_path, max_pretokens)
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
+            at = np.unique(np.concatenate(_bits_of(b.column(0).to_pylist(), bits - 1))) if b.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 20, pa.int64()), pa.array(at & ((1 << 20) - 1), pa.int64())], ["part", "at"])
+
+    return run
+
+
+def _filter(rare: DataFrame, n: int, max_bits: int) -> bytes:
+    """A Bloom filter of the column ``w``, put together a part of 2**20 bits at a time; at most ``max_bits`` / 8 bytes."""
+    bits = min(max_bits, 1 << max(20, (16 * max(1, n) - 1).bit_length()))
+    out = np.zeros(bits // 8, np.uint8)
+    places = rare.select("w").mapInArrow(_rare(bits), "part long, at long")
+    byte = places.groupBy("part", (F.col("at") / 64).cast("long").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("v"))
+    for batch in byte.groupBy("part").agg(F.collect_list(F.struct("word", "v")).alias("words")).toLocalIterator():
+        words = np.frombuffer(out.data, np.int64)[batch["part"] << 14 : (batch["part"] + 1) << 14]
+        for w, v in batch["words"]:
+            words[w] = v
+    return out.tobytes()
+
+
+def _join(path: str, shared, limit_rows: int = 512):
+    name = uuid.uuid4().hex  # workers live on and keep the dictionary
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        if _state.get("shared") != name:
+            words, counts, raw = shared.value
+            _state.update(shared=name, known=dict(zip(words.to_pylist(), counts.tolist())), bits=np.frombuffer(raw, np.uint8))
+        known, bits = _state["known"], _state["bits"]
+        row = TaskContext.get().partitionId() << 40
+        for b in batches:
+            for lo in range(0, b.num_rows, limit_rows):
+                part = b.slice(lo, limit_rows)
                 block = texts(part.column(1))
-                n = counts(block)
+                total, other = [], []  # (row of the block, pre-token, frequency)
+                for i, t in enumerate(block):
+                    n = 0
+                    for w, f in Counter(pretokens(t)).items():
+                        k = known.get(w)
+                        if k is None:
+                            other.append((i, w, f))
+                        else:
+                            n += k * f
+                    total.append(n)
+                left: list[list] = [[] for _ in block]
+                if other:
+                    p, q = _bits_of([w for _, w, _ in other], len(bits) * 8 - 1)
+                    maybe = (bits[p >> 3] >> (p & 7) & bits[q >> 3] >> (q & 7) & 1).astype(bool).tolist()
+                    alone = [x for x, m in zip(other, maybe) if not m]
+                    for (i, _, f), k in zip(alone, _pieces(path, [w for _, w, _ in alone])):
+                        total[i] += k * f
+                    for (i, w, f), m in zip(other, maybe):
+                        if m:
+                            left[i].append({"w": w, "f": f})
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(t.encode()) for t in block], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
-                    ["id", "n_bytes", "n_tokens", "over_limit"],
+                    [pa.array(range(row, row + len(block)), pa.int64()), part.column(0), pa.array([len(t.encode()) for t in block], pa.int64()), pa.array(total, pa.int64()), pa.array(left, _LEFT)],
+                    ["row", "id", "n_bytes", "n", "other"],
                 )
+                row += len(block)
+
+    return run
+
+
+_LEFT = pa.list_(pa.struct([("w", pa.string()), ("f", pa.int64())]))
 
+
+def _fill(path: str):
+    """Pieces of a row's pre-token times its frequency; one the dictionary lacks (a false hit of the filter) is encoded here."""
+
+    def run(batches):
+        for b in batches:
+            n = b.column(3).to_pylist()
+            lack = [k for k, x in enumerate(n) if x is None]
+            words = b.column(1).take(pa.array(lack, pa.int64())).to_pylist()
+            for k, x in zip(lack, _pieces(path, words)):
+                n[k] = x
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x * f for x, f in zip(n, b.column(2).to_pylist())], pa.int64())], ["row", "n"])
+
+    return run
+
+
+def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", broadcast_pretokens: int = BROADCAST_PRETOKENS, max_filter_bits: int = MAX_FILTER_BITS, held_pretokens: int = HELD_PRETOKENS) -> DataFrame:
+    """id, n_bytes, n_tokens, over_limit for each row of ``docs``, over whole texts.
+
+    ``model_path``: a sentencepiece BPE model with identity normalisation, found on every worker. A null or empty
+    text has 0 bytes and 0 tokens. Repeated rows give repeated results; other columns are not read; an empty
+    table gives an empty result. The three sizes bound memory and decide how much shuffles, never a count.
+    """
+    spark = docs.sparkSession
+    ship(spark)
     two = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = two.mapInArrow(run, f"id {id_type(docs, id_col)}, n_bytes long, n_tokens long, over_limit boolean")
-    return out.withColumnRenamed("id", id_col)
+    words = dictionary(two, model_path, held_pretokens)
+    # the least number of documents from which on no more than broadcast_pretokens entries are left
+    sizes = words.groupBy(F.least("docs", F.lit(1000)).alias("docs")).count().orderBy(F.desc("docs")).collect()
+    least, held, n = 1001, 0, sum(r["count"] for r in sizes)
+    for r in sizes:
+        if held + r["count"] > broadcast_pretokens:
+            break
+        least, held = r["docs"], held + r["count"]
+    top = words.filter(F.col("docs") >= least).select("w", "n").toArrow()
+    rare = words.filter(F.col("docs") < least)
+    shared = spark.sparkContext.broadcast((top.column("w").combine_chunks(), top.column("n").to_numpy(), _filter(rare, n - held, max_filter_bits)))
+    kind = id_type(docs, id_col)
+    part = written(two.mapInArrow(_join(model_path, shared), f"row long, id {kind}, n_bytes long, n long, other array<struct<w:string,f:long>>"), "counted")
+    other = part.select("row", F.explode("other").alias("x")).select("row", "x.w", "x.f")
+    more = other.join(rare.select("w", F.col("n").alias("k")), "w", "left").select("row", "w", "f", "k").mapInArrow(_fill(model_path), "row long, n long")
+    more = more.groupBy("row").agg(F.sum("n").alias("more"))
+    total = F.col("n") + F.coalesce("more", F.lit(0))
+    return part.drop("other").join(more, "row", "left").select(F.col("id").alias(id_col), "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))
 
 
 def query(spark, sf_dir):

@@ -3,7 +3,7 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 import sentencepiece  # noqa: E402
 
-from stratalog.llm.token_count import token_counts  # noqa: E402
+from stratalog.llm.token_count import dictionary, token_counts  # noqa: E402
 
 PATH = P.path("piece_bpe_32k.model")
 
@@ -28,10 +28,21 @@ def test_odd_texts(spark):
     assert sorted(got, key=key) == sorted(brute(rows), key=key)
 
 
-def test_small_dictionary_changes_nothing(spark, sf):
+def test_sizes_change_nothing(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert sorted(map(tuple, token_counts(docs, PATH, max_pretokens=10).collect())) == sorted(brute(rows))
+    small = dict(broadcast_pretokens=300, held_pretokens=1000)
+    for more in ({}, small, small | {"max_filter_bits": 1 << 20}, {"broadcast_pretokens": 0, "max_filter_bits": 1 << 10}):
+        assert sorted(map(tuple, token_counts(docs, PATH, **more).collect())) == sorted(brute(rows)), more
+
+
+def test_pretokens_are_counted_once_in_all(spark):
+    rows = [(k, f"common word{k % 3} only{k} only{k}") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.w: (r.docs, r.n) for r in dictionary(df, PATH, held=2).collect()}
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    assert {w: d for w, (d, _) in got.items()} == {"common": 40, "word0": 14, "word1": 13, "word2": 13}
+    assert all(n == len(sp.encode(w)) for w, (_, n) in got.items())
 
 
 def test_empty_table(spark):
