@@ -6,8 +6,9 @@ count two or more is *possibly repeated*. Pass 2 tests every row: rows that are
 straight through, the others shuffle by SHA-256 and are counted exactly, so a false positive costs a
 little shuffle and never a wrong result.
 
-The filter that is broadcast has at most ``max_filter_bits`` bits (2**30, 128 MB), however large the input;
-beyond ``max_filter_bits / bits_per_row`` rows only its false-positive rate grows.
+A filter has at most ``max_filter_bits`` bits (2**30, 128 MB), however large the input. Beyond ``max_filter_bits /
+bits_per_row`` rows the hashes are cut into as many ranges as it takes, each with a filter of its own that is made,
+broadcast, used and dropped before the next; every row is in one range, so it is read twice whatever their number.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import documents, id_type, ship, small_side, texts, written
+from ._util import documents, id_type, scratch, ship, small_side, texts, written
 
 SEGMENT_BITS = 22
 
@@ -36,7 +37,7 @@ def _digests(batches):
 def _cells(h: np.ndarray, bits: int, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Segment and the two cells in it, from disjoint bits of a hash. ``bits``: log2 of a segment's cells."""
     u = h.view(np.uint64)
-    seg = (u >> np.uint64(52)).astype(np.int64) % segments
+    seg = ((u * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64) % segments
     mask = np.uint64((1 << bits) - 1)
     return seg, (u & mask).astype(np.int64), ((u >> np.uint64(26)) & mask).astype(np.int64)
 
@@ -88,31 +89,51 @@ def _merge(bits: int):
     return run
 
 
-def possibly_repeated(narrow: DataFrame, rows: int, bits_per_row: int = 16, max_filter_bits: int = 1 << 30) -> DataFrame:
-    """``narrow`` (with a long column ``h``) plus a boolean ``maybe``: false only for hashes that occur once."""
-    spark = narrow.sparkSession
+def _tested(narrow: DataFrame, rows: int, bits_per_row: int, max_filter_bits: int):
+    """``narrow`` with ``maybe`` by one filter, and the broadcast to drop after use."""
     m = min(max_filter_bits, max(1 << 18, 1 << (max(1, rows * bits_per_row) - 1).bit_length()))
-    segments = max(8, m >> SEGMENT_BITS)
+    segments = min(1 << 16, max(8, m >> SEGMENT_BITS))
     bits = (m // segments).bit_length() - 1
+    size = max(1, (1 << bits) // 8)
     sketch = narrow.select("h").mapInArrow(_sketch(bits, segments), "seg int, once binary, twice binary")
-    # bounded by max_filter_bits / 8 bytes
-    got = {r["seg"]: r["bits"] for r in sketch.groupBy("seg").applyInPandas(_merge(bits), "seg int, bits binary").collect()}
-    empty = bytes((1 << bits) // 8)
-    shared = spark.sparkContext.broadcast(b"".join(bytes(got.get(s, empty)) for s in range(segments)))
+    merged = written(sketch.groupBy("seg").applyInPandas(_merge(bits), "seg int, bits binary"), "filter")
+    whole = bytearray(size * segments)
+    for r in merged.toLocalIterator():
+        whole[r["seg"] * size : (r["seg"] + 1) * size] = r["bits"]
+    shared = narrow.sparkSession.sparkContext.broadcast(whole)
+    names = narrow.columns
+    at = names.index("h")
 
     def test(batches):
         table = np.frombuffer(shared.value, np.uint8)
-        at = narrow_names.index("h")
         for b in batches:
             seg, a, c = _cells(b.column(at).to_numpy(zero_copy_only=False), bits, segments)
             hit = np.ones(b.num_rows, bool)
             for x in (a, c):
-                p = (seg << bits) | x
-                hit &= (table[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit)], [*narrow_names, "maybe"])
+                hit &= (table[seg * size + (x >> 3)] >> (x & 7).astype(np.uint8)) & 1 == 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit)], [*names, "maybe"])
+
+    return narrow.mapInArrow(test, T.StructType([*narrow.schema.fields, T.StructField("maybe", T.BooleanType())])), shared
 
-    narrow_names = narrow.columns
-    return narrow.mapInArrow(test, T.StructType([*narrow.schema.fields, T.StructField("maybe", T.BooleanType())]))
+
+def possibly_repeated(narrow: DataFrame, rows: int, bits_per_row: int = 16, max_filter_bits: int = 1 << 30) -> DataFrame:
+    """``narrow`` (with a long column ``h``, of ``rows`` rows) plus a boolean ``maybe``: false only for hashes that occur once."""
+    ranges = max(1, -(-rows * bits_per_row // max_filter_bits))
+    if ranges == 1:
+        return _tested(narrow, rows, bits_per_row, max_filter_bits)[0]
+    spark = narrow.sparkSession
+    # in order of the hash within each file, so that a range reads its pages only
+    narrow = written(narrow.sortWithinPartitions("h"), "by_hash")
+    path = scratch(spark, "tested")
+    schema = None
+    for k in range(ranges):
+        lo, hi = ((x << 64) // ranges - (1 << 63) for x in (k, k + 1))
+        own = narrow.filter((F.col("h") >= lo) & (F.col("h") <= hi - 1))
+        got, shared = _tested(own, -(-rows // ranges), bits_per_row, max_filter_bits)
+        got.write.mode("append").parquet(path)
+        shared.destroy()
+        schema = got.schema
+    return spark.read.schema(schema).parquet(path)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_filter_bits: int = 1 << 30) -> DataFrame:
