@@ -95,7 +95,12 @@ def _count(batches):
 
 
 def learn(labelled: DataFrame, lang_col: str, text_col: str, id_col: str, max_docs: int = MAX_TRAIN_DOCS, slot_bits: int = SLOT_BITS, max_grams: int = MAX_GRAMS) -> Filter:
-    """A filter from labelled rows; at most about ``max_docs`` of each language are used, whatever the table's size."""
+    """A filter from labelled rows, for any number of languages.
+
+    Of each language at most about ``max_docs`` documents are used, chosen by a hash of their id, and at most its
+    ``max_grams`` most frequent n-grams in them, whatever the table's size. Rows without a language are not used; a
+    language whose documents have no n-gram is learnt but never predicted; an empty table gives an empty filter.
+    """
     spark = labelled.sparkSession
     ship(spark)
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("string").alias("id")).filter("lang is not null")
@@ -117,13 +122,20 @@ def identify(docs: DataFrame, model: Filter, text_col: str = "text", keep: list[
     """The columns ``keep`` of ``docs`` (all by default) plus lang_pred and score.
 
     lang_pred is a learned language, or ``und`` where the text is null, empty or has no letter, or nothing was learnt.
-    Score is the share of the text's n-grams that the language has, corrected. Of equal counts the language that
-    sorts first wins. Rows come back one for one; an empty table gives an empty result.
+    Score is the share of the text's n-grams that the language has, corrected; 0 says that no n-gram speaks for any
+    language, and then lang_pred is the one that sorts first. Of equal counts the language that sorts first
+    wins. Only what ``learn`` saw counts: a language's most frequent n-grams in a bounded number of its documents.
+    A kept column named lang_pred or score gives way to the new one. Rows come back one for one; an empty
+    table gives an empty result.
     """
+    from pyspark.sql import types as T
+
     spark = docs.sparkSession
     ship(spark)
-    keep = docs.columns if keep is None else keep
+    new = ["lang_pred", "score"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     shared = spark.sparkContext.broadcast(model)
+    inner = [f"c{k}" for k in range(len(keep))]
 
     def run(batches):
         m = shared.value
@@ -131,14 +143,12 @@ def identify(docs: DataFrame, model: Filter, text_col: str = "text", keep: list[
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
                 got = [m.identify(t) for t in texts(b.column(0))]
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names)
-
-    from pyspark.sql import types as T
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], [*inner, *new])
 
-    names = [*keep, "lang_pred", "score"]
-    fields = [docs.schema[c] for c in keep]
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(c) for c in keep])
-    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(i) for c, i in zip(keep, inner)])
+    fields = [T.StructField(f.name, f.dataType) for f in rows.schema.fields[1:]]
+    out = rows.mapInArrow(run, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return out.select(*[F.col(i).alias(c) for i, c in zip(inner, keep)], *new)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -19,7 +19,9 @@ def test_odd_texts(spark):
     model = learn(df, "lang", "text", "doc_id")
     assert model.languages == ["en", "fr"]
     texts = [(1, "the hat"), (2, "la table"), (3, None), (4, ""), (5, "12 !?"), (None, "THE MAT"), (7, "the " * 50000), (8, "é"), (8, "é")]
-    q = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "'x' as lang_pred0")
+    q = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "'x' as lang_pred", "array(1) as score", "2 as __text", "3 as `a.b`", "4 as c0")
+    assert identify(q, model).columns == ["doc_id", "text", "__text", "a.b", "c0", "lang_pred", "score"]
+    assert {(r["__text"], r["a.b"], r.c0) for r in identify(q, model).collect()} == {(2, 3, 4)}
     got = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in identify(q, model).collect()}
     assert got[1, "the hat"][0] == "en" and got[2, "la table"][0] == "fr" and got[None, "THE MAT"][0] == "en"
     assert all(got[k] == ("und", 0.0) for k in ((3, None), (4, ""), (5, "12 !?")))
@@ -31,6 +33,41 @@ def test_nothing_learnt(spark):
     assert none.identify("the text") == ("und", 0.0)
 
 
+def brute_identify(model_counts, share, text):
+    """Exact sets in place of the filter; without false positives there is nothing to correct."""
+    rates = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in model_counts.items()}
+    top = {}
+    for c in rates.values():
+        for g, r in c.items():
+            top[g] = max(r, top.get(g, 0))
+    own = {lang: {g for g, r in c.items() if r >= share * top[g]} for lang, c in rates.items()}
+    if not any(map(str.isalpha, text)):
+        return "und", 0.0
+    have = grams(text).tolist()
+    hits = {lang: sum(g in s for g in have) for lang, s in own.items()}
+    best = min(hits, key=lambda x: (-hits[x], x))
+    return best, hits[best] / max(1, len(have))
+
+
+def test_filter_equals_exact_sets(spark, sf):
+    """The corrected counts of the filter against brute force over all documents."""
+    from collections import Counter, defaultdict
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    counts = defaultdict(Counter)
+    for r in docs.collect():
+        if r.lang:
+            counts[r.lang].update(grams(r.text or "").tolist())
+    model = Filter({k: dict(v) for k, v in counts.items()})
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(docs, model).collect()}
+    far = same = 0
+    for r in docs.collect():
+        lang, score = brute_identify(counts, 0.5, r.text or "")
+        same += got[r.doc_id][0] == lang
+        far = max(far, abs(got[r.doc_id][1] - score))
+    assert same >= 0.995 * len(got) and far < 0.05
+
+
 def test_filter_has_no_false_negative():
     f = Filter({"a": {k: 3 for k in range(5000)}, "b": {k: 3 for k in range(5000, 9000)}}, slot_bits=14)
     import numpy as np
