@@ -13,9 +13,13 @@ from .test_packing import verify  # noqa: E402
 from .test_simhash import brute_components, brute_fp  # noqa: E402
 
 
-def brute_stages(rows, bench, languages):
+FOREIGN = "ґедзь їжак щука цвях " * 10
+
+
+def brute_stages(rows, bench, model):
     """What each of the first four stages keeps, by plain means. Rows: (doc_id, text)."""
-    kept = [r for r in rows if any(c.isalpha() for c in r[1] or "")] if languages else rows
+    known = lambda t: model.identify(t)[1] >= 0.2 or len(t.encode()) < 40
+    kept = [r for r in rows if any(c.isalpha() for c in r[1] or "") and known(r[1])] if model.languages else rows
     yield kept
     last = defaultdict(lambda: -1)
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
@@ -45,15 +49,18 @@ def brute_stages(rows, bench, languages):
 
 def test_stages_equal_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    docs = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(10**6, None, "en", "s", 0), (10**6 + 1, " 12 ", "en", "s", 4)], docs.schema))
+    docs = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(10**6, None, "en", "s", 0), (10**6 + 1, " 12 ", "en", "s", 4), (10**6 + 2, "Ω", "en", "s", 1), (10**6 + 3, FOREIGN, None, "s", 4)], docs.schema))
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    want = brute_stages(rows, bench, langid.train(docs).languages)
+    want = brute_stages(rows, bench, langid.train(docs))
     for name, stage in pipeline.STAGES:
         out = stage(spark, docs, sf)
         if name == "best_fit_packing":
             verify(out.collect(), rows, 4096)
             continue
+        if name == "language_id":
+            gone = {r.doc_id for r in docs.join(out, "doc_id", "left_anti").collect()}
+            assert gone == {10**6, 10**6 + 1, 10**6 + 3}  # by their language's score: 10**6 + 3
         assert out.columns == docs.columns
         docs = spark.createDataFrame(out.collect(), docs.schema)
         rows = [(r.doc_id, r.text) for r in docs.collect()]
