@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
 Documents are tokenised where they are read and leave as one narrow row per piece; texts and ids never
-shuffle. Piece rows are dealt evenly over packing tasks. Each runs an online best fit over a fixed number of
+shuffle. Piece rows are dealt in turn over packing tasks. Each runs an online best fit over a fixed number of
 open bins, kept in stacks by free space with one bitset (a Python integer) that tells which stacks have
 bins: the tightest bin that fits is the lowest set bit from the piece's length on. When one bin too many is
 open, the fullest closes.
@@ -9,6 +9,7 @@ open, the fullest closes.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -23,6 +24,10 @@ from ._util import documents, id_type, ship
 ROWS_PER_TASK = 400_000
 OPEN_BINS = 2048
 
+# The tokenizer settings whose pre-tokens the dictionary below knows.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 _SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]*")
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 _state: dict = {}
@@ -35,12 +40,23 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
 
 
+def splits_at_spaces(settings: dict) -> bool:
+    """Whether a tokenizer file's settings are those for which a text's ids are those of its chunks."""
+    first, *rest = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    cut = {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}
+    marks = [t["content"] for t in settings.get("added_tokens", [])]
+    whole = [settings.get(k) for k in ("truncation", "padding", "post_processor")]
+    return settings.get("normalizer") == _NORMALIZER and first == cut and rest == [plain] and whole == [None] * 3 and all("<|" in m and not re.search(r"\s", m) for m in marks)
+
+
 class ChunkEncoder:
     """Ids of texts, by a dictionary from white-space-free chunks to packed little-endian ids.
 
     No pre-token of the tokenizer spans white space, so a text's ids are those of its chunks. A chunk of plain
     Latin letters, digits and ASCII signs is split into pre-tokens, each given to the tokenizer's model once; any
-    other chunk goes to the tokenizer whole.
+    other chunk goes to the tokenizer whole. That holds for tokenizers with the settings above; with others every text
+    goes to the tokenizer whole.
     """
 
     def __init__(self, path: str, max_chunks: int = 200_000):
@@ -48,6 +64,8 @@ class ChunkEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.model, self.max_chunks = self.tok.model, max_chunks
+        with open(path, encoding="utf-8") as f:
+            self.chunked = splits_at_spaces(json.load(f))
         self.chunks, self.pieces, self.chars = {}, {}, _byte_chars()
 
     def _pack(self, ids) -> bytes:
@@ -71,6 +89,8 @@ class ChunkEncoder:
 
     def encode(self, text: str) -> bytes:
         """Packed little-endian unsigned 32-bit ids of a text."""
+        if not self.chunked:
+            return self._pack(self.tok.encode(text, add_special_tokens=False).ids)
         if len(self.chunks) > self.max_chunks:
             self.chunks.clear()
         if len(self.pieces) > self.max_chunks:
@@ -176,8 +196,8 @@ def pack(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int =
     two = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = two.mapInArrow(_cut(tokenizer_path, limit, end_id), f"id {kind}, piece int, start long, length long, ids_crc32 long")
     tasks = max(1, -(-docs.count() // rows_per_task))
-    key = F.xxhash64("id", "piece", "ids_crc32")
-    dealt = rows.repartition(tasks, key).sortWithinPartitions(key, "id", "piece")
+    # dealt in turn, so that repeated rows do not meet in one task
+    dealt = rows.repartition(tasks).sortWithinPartitions(F.xxhash64("id", "piece", "ids_crc32"), "id", "piece")
     out = dealt.mapInArrow(_pack_task(limit, open_bins), f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)
 

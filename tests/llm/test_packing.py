@@ -47,6 +47,25 @@ def test_odd_texts(spark):
     verify(pack(df, PATH, limit=256).collect(), rows, 256)
 
 
+def test_other_tokenizers_get_whole_texts(spark):
+    other = P.path("byte_bpe_50k.json")
+    rows = [*enumerate(ODD)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string"), other, limit=256).collect()
+    tok = Tokenizer.from_file(other)
+    want = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
+    assert {(r.doc_id, r.start, r.ids_crc32) for r in got} == {(i, k, zlib.crc32(np.array(ids[k : k + 256], "<u4").tobytes())) for i, ids in want.items() for k in range(0, len(ids), 256)}
+
+
+def test_repeated_rows_are_dealt_evenly(spark):
+    rows = [(1, "the same text")] * 900
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pack(df, PATH, rows_per_task=300)
+    per = defaultdict(int)
+    for r in got.collect():
+        per[r.sequence_id >> 40] += 1
+    assert len(per) == 3 and max(per.values()) <= 330
+
+
 def test_whole_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
