@@ -1,8 +1,10 @@
 import random
+import tracemalloc
 
 import numpy as np
 
-from stratalog.llm.decontaminate import contaminated, tiles, words
+from stratalog.llm import decontaminate
+from stratalog.llm.decontaminate import Index, contaminated, tiles, words
 
 
 def brute_tiles(item, doc, n):
@@ -36,7 +38,32 @@ def test_tiles_equal_brute_force():
         doc = [rng.randrange(3) for _ in range(rng.randrange(1, 22))]
         n = rng.randrange(1, 4)
         p, t = seeds(item, doc, n)
-        assert tiles(np.array(item), np.array(doc), p, t, n) == brute_tiles(item, doc, n)
+        _, p, t, size = decontaminate._joined(np.zeros(len(p), np.int64), p, t, np.ones(len(p), np.int64))
+        runs = zip(p.tolist(), t.tolist(), (size + n - 1).tolist())
+        assert tiles(len(item), len(doc), runs, n) == brute_tiles(item, doc, n)
+
+
+def test_pairs_in_small_numbers_give_the_same(monkeypatch):
+    rng = random.Random(6)
+    items = [(k, " ".join(f"w{rng.randrange(3)}" for _ in range(rng.randrange(1, 14)))) for k in range(12)]
+    docs = [" ".join(f"w{rng.randrange(4)}" for _ in range(rng.randrange(1, 40))) for _ in range(25)]
+    for pairs in (1, 7, 1 << 20):
+        monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+        index = Index(items, 3)
+        for d in docs:
+            want = [(k, brute_tiles(words(q), words(d), min(3, len(words(q))))) for k, q in items]
+            want = [(k, len(words(items[k][1])), sum(x[2] for x in f), sorted(f)) for k, f in want if f and sum(x[2] for x in f) >= 0.5 * len(words(items[k][1]))]
+            assert sorted(index.matches(d, 0.5)) == want
+
+
+def test_one_word_all_along():
+    index = Index([(1, "same " * 200), (2, "same " * 150 + " ".join(f"u{k}" for k in range(10)))], 5)
+    tracemalloc.start()
+    got = list(index.matches("same " * 200_000, 0.8))  # a megabyte
+    top = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(1, 200, 200, [(0, 0, 200)]), (2, 160, 150, [(0, 0, 150)])]
+    assert top < 400e6
 
 
 def brute(docs, bench, n=5, threshold=0.8):
