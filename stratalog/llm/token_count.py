@@ -21,17 +21,16 @@ import re
 import uuid
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from ._util import documents, id_type, ship, texts, written
 
 #: Distinct pre-tokens that a task holds before it hands its counts on.
 HELD_PRETOKENS = 400_000
 BROADCAST_PRETOKENS = 400_000
-MAX_FILTER_BITS = 1 << 27
 
 _RUNS = re.compile(r" *[^ ]+| +")
 _state: dict = {}
@@ -94,37 +93,6 @@ def dictionary(rows: DataFrame, model_path: str, held: int = HELD_PRETOKENS) ->
     return written(seen.filter("docs > 1").mapInArrow(_encode(model_path), "w string, docs long, n long"), "pretokens")
 
 
-def _bits_of(words: list[str], mask: int) -> tuple[np.ndarray, np.ndarray]:
-    import xxhash
-
-    h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
-    return (h & np.uint64(mask)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(mask)).astype(np.int64)
-
-
-def _rare(bits: int):
-    """The places that a partition's pre-tokens set in the filter, each once."""
-
-    def run(batches):
-        for b in batches:
-            at = np.unique(np.concatenate(_bits_of(b.column(0).to_pylist(), bits - 1))) if b.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 20, pa.int64()), pa.array(at & ((1 << 20) - 1), pa.int64())], ["part", "at"])
-
-    return run
-
-
-def _filter(rare: DataFrame, n: int, max_bits: int) -> bytes:
-    """A Bloom filter of the column ``w``, put together a part of 2**20 bits at a time; at most ``max_bits`` / 8 bytes."""
-    bits = min(max_bits, 1 << max(20, (16 * max(1, n) - 1).bit_length()))
-    out = np.zeros(bits // 8, np.uint8)
-    places = rare.select("w").mapInArrow(_rare(bits), "part long, at long")
-    byte = places.groupBy("part", (F.col("at") / 64).cast("long").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("v"))
-    for batch in byte.groupBy("part").agg(F.collect_list(F.struct("word", "v")).alias("words")).toLocalIterator():
-        words = np.frombuffer(out.data, np.int64)[batch["part"] << 14 : (batch["part"] + 1) << 14]
-        for w, v in batch["words"]:
-            words[w] = v
-    return out.tobytes()
-
-
 def _join(path: str, shared, limit_rows: int = 512):
     name = uuid.uuid4().hex  # workers live on and keep the dictionary
 
@@ -133,8 +101,8 @@ def _join(path: str, shared, limit_rows: int = 512):
 
         if _state.get("shared") != name:
             words, counts, raw = shared.value
-            _state.update(shared=name, known=dict(zip(words.to_pylist(), counts.tolist())), bits=np.frombuffer(raw, np.uint8))
-        known, bits = _state["known"], _state["bits"]
+            _state.update(shared=name, known=dict(zip(words.to_pylist(), counts.tolist())), rare=raw)
+        known, rare = _state["known"], _state["rare"]
         row = TaskContext.get().partitionId() << 40
         for b in batches:
             for lo in range(0, b.num_rows, limit_rows):
@@ -152,8 +120,7 @@ def _join(path: str, shared, limit_rows: int = 512):
                     total.append(n)
                 left: list[list] = [[] for _ in block]
                 if other:
-                    p, q = _bits_of([w for _, w, _ in other], len(bits) * 8 - 1)
-                    maybe = (bits[p >> 3] >> (p & 7) & bits[q >> 3] >> (q & 7) & 1).astype(bool).tolist()
+                    maybe = bloom.maybe(rare, [w for _, w, _ in other]).tolist()
                     alone = [x for x, m in zip(other, maybe) if not m]
                     for (i, _, f), k in zip(alone, _pieces(path, [w for _, w, _ in alone])):
                         total[i] += k * f
@@ -187,7 +154,7 @@ def _fill(path: str):
     return run
 
 
-def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", broadcast_pretokens: int = BROADCAST_PRETOKENS, max_filter_bits: int = MAX_FILTER_BITS, held_pretokens: int = HELD_PRETOKENS) -> DataFrame:
+def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", broadcast_pretokens: int = BROADCAST_PRETOKENS, max_filter_bits: int = bloom.MAX_BITS, held_pretokens: int = HELD_PRETOKENS) -> DataFrame:
     """id, n_bytes, n_tokens, over_limit for each row of ``docs``, over whole texts.
 
     ``model_path``: a sentencepiece BPE model with identity normalisation, found on every worker. A null or empty
@@ -207,7 +174,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
         least, held = r["docs"], held + r["count"]
     top = words.filter(F.col("docs") >= least).select("w", "n").toArrow()
     rare = words.filter(F.col("docs") < least)
-    shared = spark.sparkContext.broadcast((top.column("w").combine_chunks(), top.column("n").to_numpy(), _filter(rare, n - held, max_filter_bits)))
+    shared = spark.sparkContext.broadcast((top.column("w").combine_chunks(), top.column("n").to_numpy(), bloom.of(rare.select("w"), n - held, max_filter_bits)))
     kind = id_type(docs, id_col)
     part = written(two.mapInArrow(_join(model_path, shared), f"row long, id {kind}, n_bytes long, n long, other array<struct<w:string,f:long>>"), "counted")
     other = part.select("row", F.explode("other").alias("x")).select("row", "x.w", "x.f")

@@ -19,9 +19,11 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringStartsWith
 
-from ._util import scratch, ship, small_side, written
+from . import bloom
+from ._util import BROADCAST_ROWS, id_type, scratch, ship, written
 
 FILE_BYTES = 64 << 20
 MIN_REVISIT_BYTES = 100
@@ -259,53 +261,80 @@ def write_warc(rows: DataFrame, folder: str, date: str = "2000-01-01T00:00:00Z",
     return [f"{folder}/{r['name']}" for r in rows.select(*cols).mapInArrow(_writer(folder, date, file_bytes, zipped), "name string, records long, bytes long").collect()]
 
 
-def archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_REVISIT_BYTES, **how) -> list[str]:
+def _urn(c):
+    """The record id of a page id; a null id has one too."""
+    return F.when(c.isNull(), F.lit("<urn:page>")).otherwise(F.concat(F.lit("<urn:page:"), F.url_encode(c.cast("string")), F.lit(">")))
+
+
+def _flag(shared, columns: list[str]):
+    at = columns.index("digest")
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bloom.maybe(shared.value, b.column(at).to_pylist()))], [*columns, "maybe"])
+
+    return run
+
+
+def archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_REVISIT_BYTES, broadcast_rows: int = BROADCAST_ROWS, **how) -> list[str]:
     """Writes a record per page and returns the files.
 
     Of pages with equal payloads of at least ``min_bytes`` the one with the smallest id is a response, the others are
     revisits of it without a payload; shorter payloads are all responses. A null payload is empty. Rows that repeat
-    the smallest id are responses too; a null id is a revisit unless its group has no other id.
+    the smallest id are responses too; a null id is a revisit unless its group has no other id. Ids may be of any type
+    that casts to a string and back.
+
+    Which payloads repeat is told from their digests alone. Up to ``broadcast_rows`` repeated ones go to all tasks; of
+    more, a Bloom filter does, and only pages that it takes for repeated are shuffled with their payload.
     """
     page = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("target_uri"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     page = page.withColumn("digest", F.sha2("payload", 256)).withColumn("n_bytes", F.octet_length("payload").cast("long"))
     long_ = page.filter(F.col("n_bytes") >= min_bytes)
-    repeated = small_side(written(long_.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("digest").alias("key"), "first"), "repeated"))
-    # short payloads get a key of their own, so that they don't meet in one task
-    key = F.when(F.col("n_bytes") >= min_bytes, F.col("digest")).otherwise(F.concat(F.lit("short "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("digest")))
-    rows = page.withColumn("key", key).join(repeated, "key", "left")
+    repeated = written(long_.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null").drop("n"), "repeated")
+    n = repeated.count()
+    if n <= broadcast_rows:
+        rows = page.join(F.broadcast(repeated), "digest", "left")
+    else:
+        spark = pages.sparkSession
+        ship(spark)
+        shared = spark.sparkContext.broadcast(bloom.of(repeated.select("digest"), n))
+        flagged = page.mapInArrow(_flag(shared, page.columns), T.StructType([*page.schema.fields, T.StructField("maybe", T.BooleanType())]))
+        alone = flagged.filter("not maybe").withColumn("first", F.lit(None).cast(repeated.schema["first"].dataType))
+        rows = alone.unionByName(flagged.filter("maybe").join(repeated, "digest", "left"))
     again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id"))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     rows = rows.select(
-        urn(F.col("id")).alias("record_id"), "target_uri", F.when(again, "revisit").otherwise("response").alias("record_type"),
-        F.when(again, urn(F.col("first"))).alias("refers_to"), "digest", "n_bytes", F.when(~again, F.col("payload")).alias("payload"),
+        _urn(F.col("id")).alias("record_id"), "target_uri", F.when(again, "revisit").otherwise("response").alias("record_type"),
+        F.when(again, _urn(F.col("first"))).alias("refers_to"), "digest", "n_bytes", F.when(~again, F.col("payload")).alias("payload"),
     )
     return write_warc(rows, folder, **how)
 
 
-def pages_of(warc: DataFrame) -> DataFrame:
+def pages_of(warc: DataFrame, id_type: str = "long") -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of the page records of an archive.
 
-    Of responses, length and digest are taken from the payload that was read; a revisit has those of its header.
+    ``id_type`` is the type of the ids that were written. Of responses, length and digest are taken from the payload
+    that was read; a revisit has those of its header.
     """
-    number = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1)
-    as_id = lambda c: F.when(number(c) != "", number(c).cast("long"))
-    got = warc.filter(F.col("record_type").isin("response", "revisit") & F.col("record_id").startswith("<urn:page:"))
+    as_id = lambda c: F.when(F.col(c).startswith("<urn:page:"), F.url_decode(F.regexp_extract(c, "^<urn:page:(.*)>$", 1))).cast(id_type)
+    got = warc.filter(F.col("record_type").isin("response", "revisit") & F.col("record_id").startswith("<urn:page"))
     response = F.col("record_type") == "response"
     return got.select(
-        as_id(F.col("record_id")).alias("page_id"),
+        as_id("record_id").alias("page_id"),
         F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("header_bytes").cast("long")).alias("payload_bytes"),
         F.when(response, F.sha2("payload", 256)).otherwise(F.regexp_replace("header_digest", "^sha256:", "")).alias("payload_digest"),
         "record_type",
-        as_id(F.col("refers_to")).alias("refers_to"),
+        as_id("refers_to").alias("refers_to"),
     )
 
 
 def query(spark, sf_dir):
     register(spark)
-    files = archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch(spark, "warc"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    kind = id_type(pages, "page_id")
+    files = archive(pages, scratch(spark, "warc"))
     if not files:
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return pages_of(spark.read.format("warc").option("paths", json.dumps(files)).load())
+        return spark.createDataFrame([], f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}")
+    return pages_of(spark.read.format("warc").option("paths", json.dumps(files)).load(), kind)
 
 
 SQL = """

@@ -38,7 +38,7 @@ ROWS = [(3, "http://a/x", BIG), (1, "http://b/é y", BIG), (2, "http://c\r\nEvil
 
 
 def test_round_trip(spark):
-    for how in ({}, {"zipped": False, "file_bytes": 2000}):
+    for how in ({}, {"zipped": False, "file_bytes": 2000}, {"broadcast_rows": 0}):
         files, df = round_trip(spark, ROWS, **how)
         assert sorted(map(tuple, warc.pages_of(df).collect()), key=KEY) == sorted(brute(ROWS), key=KEY)
         got = {(r.record_id, r.record_type): bytes(r.payload).decode() for r in df.filter("record_type = 'response'").collect()}
@@ -46,6 +46,16 @@ def test_round_trip(spark):
         assert df.filter("record_type = 'warcinfo'").count() == len(files)
 
 
+def test_ids_of_any_type(spark):
+    rows = [("a b", "u", BIG), ("a/ö>", "u", BIG), ("", "u", BIG), ("7", "u", "short"), (None, "u", "none\nhere"), ("x\r\ny", "u", "z" * 200)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    warc.register(spark)
+    for more in ({}, {"broadcast_rows": 0}):
+        files = warc.archive(df, scratch(spark, "w"), **more)
+        got = warc.pages_of(spark.read.format("warc").option("paths", json.dumps(files)).load(), "string")
+        assert sorted(map(tuple, got.collect()), key=KEY) == sorted(brute(rows), key=KEY)
+
+
 def test_filters_are_pushed(spark):
     _, df = round_trip(spark, ROWS)
     some = df.filter("record_type = 'revisit' and refers_to in ('<urn:page:1>', '<urn:page:77>')")
