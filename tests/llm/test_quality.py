@@ -1,8 +1,9 @@
 import zlib
 
 import numpy as np
+import xxhash
 
-from stratalog.llm.quality import N, Ranker, features, query, rank_quality
+from stratalog.llm.quality import N, SHAPES, Ranker, features, query, rank_quality
 
 
 def test_held_out_accuracy(spark):
@@ -15,6 +16,43 @@ def test_held_out_accuracy(spark):
     good = [r.predicted for r in test if truth[r.doc_id] == 1]
     bad = [r.predicted for r in test if truth[r.doc_id] == 0]
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.1
+    score = np.array([r.score for r in test])
+    y = np.array([truth[r.doc_id] for r in test])
+    assert np.mean(score[y == 1][:, None] > score[y == 0]) > 0.999  # AUC
+
+
+def brute_features(text):
+    """Hashed shares by plain loops."""
+    data = text.lower().encode()
+    grams = [int.from_bytes(data[i : i + 4], "little") for i in range(len(data) - 3)]
+    words = [xxhash.xxh64_intdigest(x) for x in data.split()]
+    pairs = [(3 * a + b) % 2**64 for a, b in zip(words, words[1:])]
+    out = []
+    for h in (grams, words, pairs):
+        cells = [0.0] * 256
+        for x in h:
+            cells[(x * 0x9E3779B97F4A7C15) % 2**64 >> 56] += 1 / len(h)
+        out += cells
+    return out
+
+
+def test_hashed_features_and_scores_equal_brute_force(spark):
+    texts = ["", "a", "abc", "One two, two THREE!", "Ünï cödé 日本", "w " * 500, "!!! ###"]
+    for t in texts:
+        assert np.allclose(features(t)[SHAPES:], brute_features(t), atol=1e-6)
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    labels = [(3, 1), (4, 1), (5, 0), (6, 0)]
+    model = Ranker(np.array([features(texts[i]) for i, _ in labels]), np.array([y for _, y in labels]))
+    got = {r.doc_id: r.score for r in rank_quality(df, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    for i, t in enumerate(texts):
+        z = [min(8, max(-8, (x - m) / s)) * w * s for x, m, s, w in zip(features(t), model.mean, model.spread, model.w)]
+        assert abs(got[i] - 1 / (1 + np.exp(-(sum(z) - model.threshold + np.log(0.3 / 0.7))))) < 1e-4
+
+
+def test_labels_are_bounded_though_ids_repeat(spark):
+    df = spark.range(0, 3000).selectExpr("id % 3 as doc_id", "concat('text ', id) as text")
+    got = rank_quality(df, spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, quality int"), max_labelled=3).collect()
+    assert len(got) == 3000
 
 
 def test_odd_texts_and_labels(spark):
