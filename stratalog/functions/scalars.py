@@ -156,12 +156,6 @@ def payload_type(text: Column) -> Column:
     return F.when(out != "", out)
 
 
-def redact(text: Column, limit: int = 4000) -> Column:
-    """Authorization values masked, then bounded."""
-    x = F.regexp_replace(F.trim(text), r"(?i)(Authorization:\s*(?:Basic|Bearer))\s+\S+", "$1 <redacted>")
-    return F.when(F.length(x) > limit, F.concat(F.substring(x, 1, limit), F.lit("…<truncated>"))).otherwise(x)
-
-
 def is_transient_failure(log: Column) -> Column:
     """Whether another attempt may help; a sign of failure for good wins."""
     x = F.lower(log)
