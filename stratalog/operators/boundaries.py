@@ -90,7 +90,7 @@ def resolve_paths(calls: DataFrame, facts: DataFrame) -> DataFrame:
     """
     bind = java_facts(facts, "value_binding", "name string, property_key string").select("repo_id", "at_path", F.col("name").alias("symbol"), "property_key")
     # an expression that starts with # names its configuration suffix itself
-    own = calls.filter(F.col("expression").startswith("#")).select("repo_id", "at_path", F.col("expression").alias("symbol"), F.substring("expression", 2, 10_000).alias("property_key"))
+    own = calls.filter(F.col("expression").startswith("#")).select("repo_id", "at_path", F.col("expression").alias("symbol"), F.expr("substring(expression, 2)").alias("property_key"))
     bind = bind.unionByName(own).distinct()
     scalars = config_scalars(facts).filter(F.col("value").startswith("/"))
     wanted = bind.select(F.col("repo_id").alias("r"), "property_key").distinct()
@@ -117,8 +117,8 @@ def outbound_http(facts: DataFrame) -> DataFrame:
     inv = java_facts(facts, "invocation", "name string, arguments array<string>").withColumn("parameters", F.size("arguments"))
     sites = inv.join(wrap, ["repo_id", "name", "parameters"]).withColumn("expression", F.get("arguments", F.col("parameter")))
     cols = [*_PLACE, "method", "expression", "response"]
-    jdk = java_facts(facts, "jdk_http", "method string, path string, suffix string")
-    jdk = jdk.withColumns({"expression": F.coalesce("path", F.concat(F.lit("#"), "suffix"), F.lit("")), "response": F.lit(None).cast("string")})
+    jdk = java_facts(facts, "jdk_http", "method string, path string, suffix string, request string, response string")
+    jdk = jdk.withColumns({"expression": F.coalesce("path", F.concat(F.lit("#"), "suffix"), F.lit("")), "response": F.coalesce("response", "request")})
     rows = resolve_paths(direct.select(*cols).unionByName(sites.select(*cols)).unionByName(jdk.select(*cols)), facts)
     rows = rows.withColumn("payload", S.payload_type(F.col("response")))
     return with_fields(rows, class_fields(facts)).withColumns({"direction": F.lit("outbound"), "source": F.lit("java")})
@@ -146,7 +146,7 @@ def inbound_http(facts: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("payload"), F.lit(None).cast("string").alias("payload_fields"), F.lit("java").alias("source"),
     )
     op = facts.filter("section = 'http_facts' and family_kind = 'openapi_operation'")
-    v = F.from_json("extra_json", "method string, path string, response struct<type:string,status:string,fields:array<struct<name:string,collection:string>>>, request struct<type:string,fields:array<struct<name:string,collection:string>>>")
+    v = F.from_json("extra_json", "method string, path string, response struct<type:string,status:string,fields:array<struct<name:string,declared_type:string,collection:string,required:boolean>>>, request struct<type:string,fields:array<struct<name:string,declared_type:string,collection:string,required:boolean>>>")
     api = op.withColumn("v", v).select(
         "repo_id", "file_id", F.col("path").alias("at_path"), "scope", "line_start", "line_end", "column_start", "column_end", "v.method", "v.path", F.lit("resolved").alias("path_status"), F.array("v.path").alias("path_candidates"),
         F.coalesce("v.request.type", "v.response.type").alias("payload"), F.to_json(F.coalesce("v.request.fields", "v.response.fields")).alias("payload_fields"), F.lit("openapi").alias("source"),
@@ -156,32 +156,46 @@ def inbound_http(facts: DataFrame) -> DataFrame:
     return keyed.drop("payload").withColumnRenamed("aligned_payload", "payload").withColumn("direction", F.lit("inbound"))
 
 
-def _unique(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose keys have one distinct set of values."""
-    values = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.count_distinct(F.struct(*values)).alias("_n"), *[F.min(c).alias(c) for c in values]).filter("_n = 1").drop("_n")
+def listener_topics(listeners: DataFrame, facts: DataFrame) -> DataFrame:
+    """(repo_id, owner, topics, enum_topic, chain_status) for listeners whose topic is an accessor of an enum constant.
 
-
-def enum_topics(listeners: DataFrame, facts: DataFrame) -> DataFrame:
-    """(repo_id, owner, topics, enum_topic) for listeners whose topic is an accessor of an enum constant.
-
-    The chain: the class hands one enum constant to its superclass; the accessor names one field of the enum; the
-    constant's argument in that field's place among the final fields is a constant of another enum, whose first argument is a literal key. Each
-    link must be unique, or the topic stays unresolved.
+    The chain: the class hands one enum constant to its superclass; that constant and its enum are declared once; the
+    enum's constructor takes its final fields in order; the topic names one accessor, the accessor one of these fields; the
+    constant's argument in the field's place is a constant with one literal, the key. The status is ``resolved``, or
+    says which link is missing or not unique.
     """
-    method = F.regexp_extract("topics", r"^#\{__listener\.\w+\.(\w+)\(", 1)
-    x = listeners.select("repo_id", "owner", "topics", method.alias("accessor")).filter("accessor <> ''").distinct()
-    refs = java_facts(facts, "super_enum_ref", "name string, owner string, enum string").select("repo_id", "owner", "enum", F.col("name").alias("constant")).distinct()
-    access = java_facts(facts, "enum_accessor", "name string, owner string, field string").select("repo_id", F.col("owner").alias("enum"), F.col("name").alias("accessor"), "field").distinct()
-    fields = java_facts(facts, "class_fields", "name string, type_kind string, fields array<struct<name:string,final:boolean>>").filter("type_kind = 'enum'").select("repo_id", F.col("name").alias("enum"), F.expr("filter(fields, x -> x.final).name").alias("names")).distinct()
-    consts = java_facts(facts, "enum_constant", "name string, owner string, arguments array<string>").select("repo_id", F.col("owner").alias("enum"), F.col("name").alias("constant"), "arguments").distinct()
-    consts = _unique(consts, ["repo_id", "enum", "constant"])
-    x = x.join(_unique(refs, ["repo_id", "owner"]), ["repo_id", "owner"]).join(_unique(access, ["repo_id", "enum", "accessor"]), ["repo_id", "enum", "accessor"])
-    x = x.join(_unique(fields, ["repo_id", "enum"]), ["repo_id", "enum"]).join(consts, ["repo_id", "enum", "constant"])
-    arg = F.get("arguments", (F.array_position("names", F.col("field")) - 1).cast("int"))
-    x = x.select("repo_id", "owner", "topics", F.regexp_extract(arg, r"([\w$]+)\.([\w$]+)$", 1).alias("enum"), F.regexp_extract(arg, r"([\w$]+)\.([\w$]+)$", 2).alias("constant"))
-    x = x.join(consts, ["repo_id", "enum", "constant"]).select("repo_id", "owner", "topics", S.literal_string(F.get("arguments", F.lit(0))).alias("enum_topic"))
-    return x.filter("enum_topic is not null")
+    x = listeners.select("repo_id", "owner", "topics").distinct()
+    refs = java_facts(facts, "super_enum_ref", "name string, owner string, enum string").groupBy("repo_id", "owner").agg(
+        F.count_distinct("enum", "name").alias("refs"), F.min(F.struct("enum", "name")).alias("ref"))
+    enums = java_facts(facts, "class_fields", "name string, type_kind string, annotations array<string>, fields array<struct<name:string,final:boolean>>").filter("type_kind = 'enum'")
+    enums = enums.groupBy("repo_id", F.col("name").alias("enum")).agg(
+        F.count(F.lit(1)).alias("enums"), F.max(F.array_contains("annotations", "RequiredArgsConstructor")).alias("in_order"), F.min(F.expr("filter(fields, x -> x.final).name")).alias("names"))
+    access = java_facts(facts, "enum_accessor", "name string, owner string, field string")
+    access = access.groupBy("repo_id", F.col("owner").alias("enum")).agg(F.collect_set(F.struct("name", "field")).alias("accessors"))
+    each = java_facts(facts, "enum_constant", "name string, owner string, arguments array<string>")
+    literals = F.array_distinct(F.filter(F.transform("arguments", S.literal_string), lambda v: v.isNotNull()))
+    consts = each.groupBy("repo_id", F.col("owner").alias("enum"), F.col("name").alias("constant")).agg(F.count(F.lit(1)).alias("constants"), F.min("arguments").alias("arguments"))
+    keyed = each.withColumn("keys", literals)
+    # a constant is named with its enum, or alone where only one enum has it
+    dotted = keyed.groupBy("repo_id", F.concat_ws(".", "owner", "name").alias("named")).agg(F.count(F.lit(1)).alias("n"), F.min("keys").alias("keys"))
+    alone = keyed.groupBy("repo_id", F.col("name").alias("named")).agg(F.count(F.lit(1)).alias("n"), F.min("keys").alias("keys"))
+    keys = dotted.unionByName(alone).filter((F.col("n") == 1) & (F.size("keys") == 1)).select("repo_id", "named", F.col("keys")[0].alias("enum_topic"))
+    x = x.join(refs, ["repo_id", "owner"], "left").withColumns({"enum": F.col("ref.enum"), "constant": F.col("ref.name")}).drop("ref")
+    x = x.join(consts, ["repo_id", "enum", "constant"], "left").join(enums, ["repo_id", "enum"], "left").join(access, ["repo_id", "enum"], "left")
+    x = x.withColumn("called", F.filter("accessors", lambda a: F.contains(F.col("topics"), F.concat(F.lit("."), a["name"], F.lit("(")))))
+    x = x.withColumn("place", F.array_position("names", F.try_element_at("called", F.lit(1))["field"]).cast("int"))
+    x = x.withColumn("argument", F.get("arguments", F.col("place") - 1))
+    x = x.withColumn("named", F.regexp_extract("argument", r"((?:[\w$]+\.)?[\w$]+)$", 1)).join(keys, ["repo_id", "named"], "left")
+    ladder = [
+        (F.coalesce("refs", F.lit(0)) != 1, "unresolved_constructor_binding"), ((F.coalesce("constants", F.lit(0)) != 1) | (F.coalesce("enums", F.lit(0)) != 1), "unresolved_enum_binding"),
+        (~F.col("in_order"), "unresolved_enum_constructor_semantics"), (F.coalesce(F.size("called"), F.lit(0)) != 1, "unresolved_listener_topic_accessor"),
+        (F.coalesce("place", F.lit(0)) == 0, "unresolved_enum_field_position"), (F.col("argument").isNull(), "unresolved_enum_argument_position"), (F.col("enum_topic").isNull(), "unresolved_config_key_reference"),
+    ]
+    status = F.when(ladder[0][0], ladder[0][1])
+    for test, name in ladder[1:]:
+        status = status.when(test, name)
+    x = x.withColumn("chain_status", status.otherwise("resolved"))
+    return x.select("repo_id", "owner", "topics", F.when(F.col("chain_status") == "resolved", F.col("enum_topic")).alias("enum_topic"), "chain_status")
 
 
 def kafka(facts: DataFrame) -> DataFrame:
@@ -191,11 +205,13 @@ def kafka(facts: DataFrame) -> DataFrame:
     listen = java_facts(facts, "kafka_listener", "name string, owner string, topics string, payloads array<string>")
     plain = F.col("topics").isNotNull() & ~F.contains("topics", F.lit("#{")) & ~F.contains("topics", F.lit("${"))
     key = F.regexp_extract(F.coalesce("topics", F.lit("")), r"^\$\{([^:${}]+)\}$", 1)
-    listen = listen.join(enum_topics(listen, facts), ["repo_id", "owner", "topics"], "left")
+    listen = listen.join(listener_topics(listen.filter("topics is not null"), facts), ["repo_id", "owner", "topics"], "left")
     found = F.coalesce(F.when(key != "", key), "enum_topic")
+    gap = F.when(plain | found.isNotNull(), F.lit(None)).otherwise(F.coalesce("chain_status", F.lit("unresolved_expression")))
     consume = listen.select(
         *_PLACE, F.lit("consume").alias("direction"), F.when(plain, F.col("topics")).otherwise(found).alias("topic"),
         F.when(plain, "literal").when(found.isNotNull(), "config_key").alias("topic_kind"), F.when(F.size(F.array_distinct("payloads")) == 1, F.col("payloads")[0]).alias("payload"),
+        gap.alias("gap"),
     )
     pub = java_facts(facts, "kafka_publish", "name string, owner string, topic string, topic_expression array<array<string>>, payload string")
     consts = java_facts(facts, "string_constant", "name string, owner string, expression array<array<string>>").select("repo_id", "owner", "name", "expression")
@@ -207,9 +223,10 @@ def kafka(facts: DataFrame) -> DataFrame:
     publish = p.select(
         *_PLACE, F.lit("publish").alias("direction"), F.coalesce("value", F.when(one, F.col("keys")[0])).alias("topic"),
         F.when(F.col("value").isNotNull(), "literal").when(one, "config_key").alias("topic_kind"), S.payload_type(F.col("payload")).alias("payload"),
+        F.lit(None).cast("string").alias("gap"),
     )
     rows = consume.unionByName(publish)
-    rows = rows.withColumn("topic_status", F.when(F.col("topic").isNotNull(), "resolved").otherwise("unresolved_expression"))
+    rows = rows.withColumn("topic_status", F.when(F.col("topic").isNotNull(), "resolved").otherwise(F.coalesce("gap", F.lit("unresolved_expression")))).drop("gap")
     return with_fields(rows, class_fields(facts))
 
 

@@ -417,9 +417,27 @@ def jdk_requests(r: Reader, m: Member):
             _request_parts(r, found[receiver], k, end)
         elif name in ("send", "sendAsync") and args and (x := re.fullmatch(r"([\w$]+)\.build\(\)", r.source(*args[0]))) and x[1] in found:
             found[x[1]]["sent"] = True
-    for call in found.values():
-        if call.pop("sent"):
-            yield call
+    sent = [call for call in found.values() if call.pop("sent")]
+    for call in sent:
+        yield call | (_json_types(r, m) if len(sent) == 1 else {"request": None, "response": None})
+
+
+def _json_types(r: Reader, m: Member) -> dict:
+    """What a method writes and reads as JSON, each if it is one type: readValue(x, T.class), and the declared type of the
+    variable in writeValueAsString(x)."""
+    declared = {name: kind for kind, name, _ in m.params}
+    a, b = m.body
+    for k in range(a + 1, b - 1):
+        if r.t[k - 1].kind == r.t[k].kind == "word" and r.at(k + 1) in ("=", ";") and r.at(k - 1)[:1].isupper():
+            declared[r.t[k].text] = r.at(k - 1)
+    made, read = set(), set()
+    for _, name, _, _, args, _ in calls(r, a, b):
+        texts = [r.source(*x) for x in args]
+        if name in ("writeValueAsString", "writeValueAsBytes") and texts and texts[0] in declared:
+            made.add(declared[texts[0]])
+        if name == "readValue" and len(texts) > 1 and texts[1].endswith(".class"):
+            read.add(texts[1][:-6])
+    return {"request": made.pop() if len(made) == 1 else None, "response": read.pop() if len(read) == 1 else None}
 
 
 def _request_parts(r: Reader, call: dict, a: int, b: int) -> None:
@@ -501,7 +519,7 @@ def facts(text: str):
                 if len(used) == 1:
                     fact("enum_accessor", name=m.name, owner=t.name, field=used.pop())
         if t.kind in ("class", "record", "enum"):
-            fact("class_fields", name=t.name, fields=fields, type_kind=t.kind, superclass=t.superclass)
+            fact("class_fields", name=t.name, fields=fields, type_kind=t.kind, superclass=t.superclass, annotations=[x.name.rsplit(".", 1)[-1] for x in t.annotations])
     for note in r.annotations:
         args = [_annotation_arg(r, *x) for x in note.args]
         put("annotations", "annotation_observation", note.name.rsplit(".", 1)[-1], {"language": "java", "annotation_name": note.name, "simple_name": note.name.rsplit(".", 1)[-1], "argument_count": len(args), "arguments": args}, note.first, note.last)
@@ -513,6 +531,8 @@ def facts(text: str):
         for k in range(*m.body):
             in_body[k] = n
     inits = [m.value for t in every for m in t.members if m.kind == "field" and m.value]
+    templates = {(t.name, m.name) for t in every for m in t.members if m.kind == "field" and m.type.split("<")[0].rsplit(".", 1)[-1] == "KafkaTemplate"}
+    transactions = []  # (lambda's variable, its tokens): sends on it are sends of the template
     for a, b in [*(m.body for _, m in bodies), *inits]:
         for kind, name, receiver, basis, args, k in calls(r, a, b):
             tok = r.t[k]
@@ -531,7 +551,9 @@ def facts(text: str):
                 verb = next((x.rsplit(".", 1)[-1] for x in texts[1:2] if x.rsplit(".", 1)[-1] in HTTP_METHODS), None)
                 response = next((x[:-6] for x in texts if x.endswith(".class")), None)
                 fact("exchange", tok, name=m.name, method=verb, path=texts[0], response=response, body_type=declared.get(texts[2]) if len(texts) > 2 else None, parameter=[n for _, n, _ in m.params].index(texts[0]) if texts[0] in declared else None, parameters=len(m.params))
-            elif name == "send" and basis == "lexical_receiver" and "kafka" in (receiver or "").lower() and args:
+            elif name == "executeInTransaction" and args and (x := re.match(r"\(?([\w$]+)\)?->", texts[0])):
+                transactions.append((x[1], *args[0]))
+            elif name == "send" and basis == "lexical_receiver" and args and ("kafka" in receiver.lower() or (t.name, receiver) in templates or any(v == receiver and i <= k < j for v, i, j in transactions)):
                 inner = next((c for c in calls(r, *args[0]) if c[1] == "ProducerRecord"), None)
                 use = [r.source(*x) for x in inner[4]] if inner else texts
                 topic = expression(r, *(inner[4] if inner else args)[0], t.name) if use else None
