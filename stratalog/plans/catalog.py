@@ -6,30 +6,15 @@ source or an event's user for a repository, HTML tags for structural elements, l
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import classify as C
 from ..operators import relational as R
+from . import parsed_queries  # noqa: F401  registers its queries
+from .registry import QUERIES, SQL, query, table
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
+__all__ = ["QUERIES", "SQL"]
 
 def _salience_sql(n: str) -> str:
     return f"round(least(100.0, least(35.0, 8.0 * log2(greatest({n}, 1) + 1)) + 20.0 + 10.0), 3)"
