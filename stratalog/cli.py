@@ -22,10 +22,13 @@ def _parser() -> argparse.ArgumentParser:
     add("verify", pos("artifact"))
     add("reduce", pos("artifact"), pos("output"))
     add("classify-concepts", pos("reduced"), pos("output"))
+    add("verify-reduced", pos("reduced"), opt("--artifact"))
+    add("verify-concept-candidates", pos("concepts"), pos("reduced"))
     add("build-concept-index", pos("concepts"))
+    add("verify-concept-index", pos("concepts"))
     add("candidates", pos("concepts"), pos("concept"), opt("--min-strength", default="moderate"), opt("--mechanism"))
     add("export-selected", pos("artifact"), pos("output"), opt("--evidence-id", action="append", default=[]), opt("--request"), opt("--reduced"), opt("--context-lines", type=int, default=10))
-    add("verify-export", pos("pack"))
+    add("verify-export", pos("pack"), opt("--artifact"))
     add("cas-index", pos("artifact"))
     add("boundaries", pos("artifact"), opt("--protocol", choices=["http", "kafka"], default="http"))
     add("discover-project", pos("base"), pos("project"))
@@ -48,6 +51,11 @@ def _show(df) -> None:
     print(f"{n} rows", file=sys.stderr)
 
 
+def _verdict(wrong) -> str:
+    _show(wrong)
+    return "failed" if wrong.head(1) else "complete"
+
+
 def main(argv: list[str] | None = None, spark=None) -> int:
     from .operators import classify, export
     from .plans import batch, build
@@ -62,16 +70,19 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         _show(t["probe_status"])
         status = "partial" if t["probe_status"].filter("status <> 'complete'").head(1) else "complete"
     elif a.command == "verify":
-        t = {n: build.read(spark, a.artifact, n) for n in ("families", "evidence", "members", "files")}
-        wrong = export.verify(t["families"], t["evidence"], t["members"], t["files"])
-        _show(wrong)
-        status = "failed" if wrong.head(1) else "complete"
+        status = _verdict(build.verify_artifact(spark, a.artifact))
+    elif a.command == "verify-reduced":
+        status = _verdict(build.verify_reduced(spark, a.reduced, a.artifact))
+    elif a.command == "verify-concept-candidates":
+        status = _verdict(build.verify_candidates(spark, a.concepts, a.reduced))
+    elif a.command == "verify-concept-index":
+        status = _verdict(build.verify_index(spark, a.concepts))
     elif a.command == "reduce":
         _show(build.reduce_tables(spark, a.artifact, a.output)["counts"])
     elif a.command == "classify-concepts":
         _show(build.classify_tables(spark, a.reduced, a.output))
     elif a.command == "build-concept-index":
-        _show(classify.index_summary(build.read(spark, a.concepts, "candidates")))
+        _show(build.build_index(spark, a.concepts))
     elif a.command == "candidates":
         _show(classify.lookup(build.read(spark, a.concepts, "candidates"), a.concept, a.min_strength, a.mechanism))
     elif a.command == "export-selected":
@@ -83,9 +94,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         _show(n)
         status = n.first()["status"]
     elif a.command == "verify-export":
-        wrong = export.verify_pack(spark, a.pack)
-        _show(wrong)
-        status = "failed" if wrong.head(1) else "complete"
+        status = _verdict(export.verify_pack(spark, a.pack, build.read(spark, a.artifact, "files") if a.artifact else None))
     elif a.command == "cas-index":
         _show(build.read(spark, a.artifact, "cas_index"))
     elif a.command == "boundaries":

@@ -129,6 +129,14 @@ def index_summary(candidates: DataFrame) -> DataFrame:
     return out
 
 
+def concept_index(candidates: DataFrame) -> DataFrame:
+    """One row per repository: its six concepts by name, and all mechanisms and signals it was found by."""
+    entry = F.struct("concept", F.struct("strength", "signals", "mechanisms").alias("v"))
+    g = candidates.groupBy("repo_id").agg(F.map_from_entries(F.array_sort(F.collect_set(entry))).alias("concepts"))
+    every = lambda f: F.array_sort(F.array_distinct(F.flatten(F.transform(F.map_values("concepts"), lambda v: v[f]))))
+    return g.select("repo_id", "concepts", every("mechanisms").alias("mechanisms"), every("signals").alias("signals"))
+
+
 def lookup(candidates: DataFrame, concept: str, min_strength: str = "moderate", mechanism: str | None = None) -> DataFrame:
     """Repositories with a concept at a strength or above, strongest first; filters reach a Parquet scan."""
     rows = candidates.filter((F.col("concept") == concept) & F.col("strength").isin(*STRENGTHS[STRENGTHS.index(min_strength) :]))

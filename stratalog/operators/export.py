@@ -87,23 +87,38 @@ def export_counts(resolved: DataFrame, frags: DataFrame) -> DataFrame:
     return out.withColumns({"unresolved": left, "status": F.when(left == 0, "complete").when(F.col("resolved") > 0, "partial").otherwise("failed")})
 
 
+def checksums(manifest: DataFrame) -> DataFrame:
+    """A line per fragment, sha256 and path, in the form that sha256sum checks."""
+    path = F.concat(F.lit("fragments/"), F.substring("fragment_sha256", 1, 2), F.lit("/"), F.col("fragment_sha256"))
+    return manifest.select("fragment_sha256").distinct().select(F.concat(F.col("fragment_sha256"), F.lit("  "), path).alias("value"))
+
+
 def write_pack(bytes_: DataFrame, folder: str) -> DataFrame:
-    """Writes the pack: distinct fragments as a table partitioned by the first hex digits of their hash, and the manifest
-    with its checksums. Both are committed by Spark; nothing is written from tasks by hand."""
+    """Writes the pack: distinct fragments as a table partitioned by the first hex digits of their hash, the manifest and
+    its checksums. All are committed by Spark; nothing is written from tasks by hand."""
     blob = bytes_.select(F.substring("fragment_sha256", 1, 2).alias("prefix"), "fragment_sha256", "fragment").dropDuplicates(["fragment_sha256"])
     blob.write.mode("overwrite").partitionBy("prefix").parquet(f"{folder}/fragments")
     manifest = bytes_.drop("fragment")
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
-    return bytes_.sparkSession.read.parquet(f"{folder}/manifest")
-
-
-def verify_pack(spark, folder: str) -> DataFrame:
-    """Problems of a written pack: hashes that don't match, manifest rows without a fragment, fragments without a row."""
-    blob, man = spark.read.parquet(f"{folder}/fragments"), spark.read.parquet(f"{folder}/manifest")
-    bad = blob.filter(F.sha2("fragment", 256) != F.col("fragment_sha256")).select(F.lit("fragment_hash_mismatch").alias("code"), F.col("fragment_sha256").alias("ref"))
-    gone = man.join(blob, "fragment_sha256", "left_anti").select(F.lit("fragment_missing").alias("code"), F.col("fragment_sha256").alias("ref"))
-    loose = blob.join(man, "fragment_sha256", "left_anti").select(F.lit("fragment_not_in_manifest").alias("code"), F.col("fragment_sha256").alias("ref"))
-    return bad.unionByName(gone).unionByName(loose)
+    manifest = bytes_.sparkSession.read.parquet(f"{folder}/manifest")
+    checksums(manifest).write.mode("overwrite").text(f"{folder}/SHA256SUMS")
+    return manifest
+
+
+def verify_pack(spark, folder: str, files: DataFrame | None = None) -> DataFrame:
+    """Problems of a written pack: hashes that don't match, manifest rows without a fragment, fragments without a row,
+    checksums that differ, and with ``files`` fragments that the source no longer gives when they are cut again."""
+    blob, man, sums = spark.read.parquet(f"{folder}/fragments"), spark.read.parquet(f"{folder}/manifest"), spark.read.text(f"{folder}/SHA256SUMS")
+    row = lambda df, code, ref="fragment_sha256": df.select(F.lit(code).alias("code"), F.col(ref).alias("ref"))
+    out = row(blob.filter(F.sha2("fragment", 256) != F.col("fragment_sha256")), "fragment_hash_mismatch")
+    out = out.unionByName(row(man.join(blob, "fragment_sha256", "left_anti"), "fragment_missing")).unionByName(row(blob.join(man, "fragment_sha256", "left_anti"), "fragment_not_in_manifest"))
+    want = checksums(man)
+    out = out.unionByName(row(want.join(sums, "value", "left_anti"), "checksum_missing", "value")).unionByName(row(sums.join(want, "value", "left_anti"), "checksum_unknown", "value"))
+    if files is not None:
+        again = fragment_bytes(man.drop("fragment_sha256"), files).select("repo_id", "path", "line_start", "line_end", F.col("fragment_sha256").alias("now"))
+        cut = man.join(again, ["repo_id", "path", "line_start", "line_end"], "left").filter(~F.col("now").eqNullSafe(F.col("fragment_sha256")))
+        out = out.unionByName(row(cut, "fragment_differs_from_source"))
+    return out
 
 
 def verify(families: DataFrame, evidence: DataFrame, members: DataFrame, files: DataFrame) -> DataFrame:

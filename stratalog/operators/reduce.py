@@ -89,22 +89,27 @@ def exact_representations(based: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def similarity_groups(exact: DataFrame, based: DataFrame, evidence: DataFrame) -> DataFrame:
     g = exact.groupBy("repo_id", "similarity_id").agg(
-        F.count(F.lit(1)).alias("exact_representation_count"), F.array_sort(F.collect_list("exact_id")).alias("exact_ids"), F.sum("source_family_count").alias("source_family_count"),
+        F.count(F.lit(1)).alias("exact_representation_count"), F.sum("source_family_count").alias("source_family_count"),
         F.sum("occurrence_count").alias("occurrence_count"), F.sum("structural_member_count").alias("structural_member_count"),
     )
-    names = based.groupBy("repo_id", "similarity_id").agg(F.count_distinct("identity_id").alias("observed_identity_count"))
+    names = based.groupBy("repo_id", "similarity_id").agg(F.count_distinct("identity_id").alias("observed_identity_count"), F.min("similar_basis").alias("similar_basis"))
     files = _files(based, evidence, "similarity_id").drop("representative_evidence_id", "representative_source_family_id")
     return g.join(names, ["repo_id", "similarity_id"]).join(files, ["repo_id", "similarity_id"])
 
 
 def observed_identities(based: DataFrame, evidence: DataFrame) -> DataFrame:
     g = based.filter("identity_id is not null").groupBy("repo_id", "identity_id", "family_kind", "family_label").agg(
-        F.min("identity_facets").alias("facet_rows"), F.array_sort(F.collect_set("exact_id")).alias("exact_ids"), F.count(F.lit(1)).alias("source_family_count"), F.sum("occurrence_count").alias("occurrence_count"),
+        F.min("identity_facets").alias("facet_rows"), F.count_distinct("exact_id").alias("exact_representation_count"), F.count(F.lit(1)).alias("source_family_count"), F.sum("occurrence_count").alias("occurrence_count"),
     )
-    g = g.withColumn("facets", F.transform("facet_rows", lambda f: f["value"])).drop("facet_rows")
+    g = g.withColumn("facets", F.transform("facet_rows", lambda f: f["value"]))
     return g.join(_files(based, evidence, "identity_id"), ["repo_id", "identity_id"])
 
 
+def identity_members(based: DataFrame) -> DataFrame:
+    """Which exact representations have an identity, a row each."""
+    return based.filter("identity_id is not null").select("repo_id", "identity_id", "exact_id").distinct()
+
+
 def _flat(batches):
     from ..functions import shapes as H
 

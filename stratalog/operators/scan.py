@@ -40,10 +40,21 @@ def cas_index(table: DataFrame) -> DataFrame:
     return table.filter("readable").select("repo_id", "path", "sha256", "byte_size", F.concat(F.lit("blobs/"), F.substring("sha256", 1, 2), F.lit("/"), F.col("sha256")).alias("blob_path"))
 
 
+def cas_counts(index: DataFrame) -> DataFrame:
+    """Totals of a content index: files, distinct blobs and bytes."""
+    per = index.groupBy("sha256").agg(F.count(F.lit(1)).alias("c"), F.sum("byte_size").alias("b"))
+    return per.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("file_count"), F.count(F.lit(1)).alias("distinct_blob_count"), F.coalesce(F.sum("b"), F.lit(0)).alias("total_bytes"))
+
+
+#: Parts of a repository's files that are hashed by themselves.
+SNAPSHOT_PARTS = 1024
+
+
 def snapshot_fingerprint(table: DataFrame) -> DataFrame:
-    """Per repository, a hash over its files' paths, hashes and flags: files by scope first, so that no task holds
-    more than one hash per file of a scope."""
+    """Per repository, a hash over its files' paths, hashes and flags: first the files of each of ``SNAPSHOT_PARTS`` parts in
+    order of path, then the parts, so that no task holds a repository's files."""
     one = S.fingerprint(*[F.col(c) for c in ("path", "sha256", "byte_size", "readable", "is_symlink")])
-    per = table.select("repo_id", "scope", "path", one.alias("h")).groupBy("repo_id", "scope")
-    scopes = per.agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("path", "h"))), lambda x: x["h"])), 256).alias("h"), F.count(F.lit(1)).alias("n"))
-    return scopes.groupBy("repo_id").agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("scope", "h"))), lambda x: x["h"])), 256).alias("fingerprint"), F.sum("n").alias("file_count"))
+    in_order = lambda key: F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(key, "h"))), lambda x: x["h"])), 256).alias("h")
+    per = table.select("repo_id", F.pmod(F.xxhash64("path"), F.lit(SNAPSHOT_PARTS)).alias("part"), "path", one.alias("h"))
+    parts = per.groupBy("repo_id", "part").agg(in_order("path"), F.count(F.lit(1)).alias("n"))
+    return parts.groupBy("repo_id").agg(in_order("part").alias("fingerprint"), F.sum("n").alias("file_count"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import contextlib
 import hashlib
 import json
+import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import scan
 from ..operators.relational import match_selectors, reuse_decision
-from ..sources.remote import Checkout, Credentials, remote_commit
+from ..sources.remote import Credentials, checkouts, remote_commit
+from ..tables import written
 from . import build as B
 
 MANIFEST = "repository_id string, repository_url string, requested_ref string, resolved_commit string, config_fingerprint string, status string, action string, reason string, message string"
@@ -34,50 +36,80 @@ def select(repositories: DataFrame, selectors: DataFrame | None, limit: int | No
 
 
 def previous(spark: SparkSession, folder: str) -> DataFrame:
-    """Manifest of an earlier batch; none if it can't be read."""
-    try:
-        return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").filter("status = 'complete'")
-    except Exception:
-        return spark.createDataFrame([], MANIFEST)
+    """What an earlier batch completed and still stands: its manifest's rows whose stored repository is intact.
+
+    No manifest is no earlier batch; a manifest or an artifact that can't be read is an error.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest/_SUCCESS")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], MANIFEST + ", intact boolean")
+    rows = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").filter("status = 'complete'")
+    if rows.isEmpty():
+        return rows.withColumn("intact", F.lit(False))
+    return rows.join(intact(spark, folder), rows["repository_id"] == F.col("repo_id"), "left").drop("repo_id").withColumn("intact", F.col("intact").isNotNull())
+
+
+def intact(spark: SparkSession, folder: str) -> DataFrame:
+    """Repositories whose stored files still have their recorded snapshot, and whose reduction and candidates were made
+    from the tables as they are."""
+    art, red, con = f"{folder}/artifact", f"{folder}/reduced", f"{folder}/concepts"
+    now = scan.snapshot_fingerprint(B.read(spark, art, "files"))
+    good = B.read(spark, art, "snapshots").select("repo_id", "fingerprint").join(now.select("repo_id", "fingerprint"), ["repo_id", "fingerprint"]).select("repo_id")
+    rehashed = B.read(spark, art, "files").filter(F.col("readable") & (F.sha2("content", 256) != F.col("sha256"))).select("repo_id")
+    broken = rehashed.unionByName(B.stale(spark, red, art, B.REDUCED_FROM).select(F.col("ref").alias("repo_id"))).unionByName(B.stale(spark, con, red, B.CLASSIFIED_FROM).select(F.col("ref").alias("repo_id")))
+    return good.join(broken, "repo_id", "left_anti").distinct().withColumn("intact", F.lit(True))
 
 
 def run(spark: SparkSession, repositories: DataFrame, folder: str, credentials: Credentials = Credentials(), **config) -> DataFrame:
     """Builds what changed and writes the manifest. A repository that fails is recorded and does not stop the rest.
 
-    The list of repositories is a control table; it is the one thing that comes to the driver.
+    The list of repositories is a control table; with the manifest it is what comes to the driver. Checkouts run in tasks, and
+    a repository counts as complete only when its tables are written; a build that breaks off is recorded for all of
+    its repositories before the error goes on.
     """
-    mark = config_fingerprint(**config)
-    rows, failed = [], []
+    mark = config_fingerprint(contract=B.CONTRACT, **config)
+    rows, done = [], []
     for r in repositories.collect():
         try:
-            rows.append((r.repository_id, r.repository_url, r.requested_ref, remote_commit(r.repository_url, r.requested_ref, credentials), mark))
-        except (RuntimeError, ValueError) as e:
-            failed.append((r.repository_id, r.repository_url, r.requested_ref, None, mark, "failed", "rebuild", "ref_not_resolved", str(e)))
-    now = spark.createDataFrame(rows, "repository_id string, repository_url string, requested_ref string, resolved_commit string, config_fingerprint string")
+            rows.append((r.repository_id, r.repository_url, r.requested_ref, remote_commit(r.repository_url, r.requested_ref, credentials), mark, True))
+        except (RuntimeError, ValueError, subprocess.SubprocessError) as e:
+            done.append((r.repository_id, r.repository_url, r.requested_ref, None, mark, "failed", "rebuild", "ref_not_resolved", credentials.mask(str(e))))
+    now = spark.createDataFrame(rows, "repository_id string, repository_url string, requested_ref string, resolved_commit string, config_fingerprint string, intact boolean")
     # what is known before the new manifest replaces the old one
-    decided = reuse_decision(now, previous(spark, folder), "repository_id", SAME).orderBy("repository_id").collect()
-    done = []
-    with contextlib.ExitStack() as held:
-        trees = {}
-        for r in decided:
-            base = (r.repository_id, r.repository_url, r.requested_ref, r.resolved_commit, mark)
-            if r.action == "reuse":
-                done.append((*base, "complete", "reuse", r.reason, None))
-                continue
-            try:
-                trees[r.repository_id] = held.enter_context(Checkout(r.repository_url, r.resolved_commit, credentials))[0]
-                done.append((*base, "complete", "rebuild", r.reason, None))
-            except RuntimeError as e:
-                done.append((*base, "failed", "rebuild", r.reason, str(e)))
-        if trees:
-            B.build(spark, trees, f"{folder}/artifact", config.get("excluded"))
-            B.reduce_tables(spark, f"{folder}/artifact", f"{folder}/reduced")
-            B.classify_tables(spark, f"{folder}/reduced", f"{folder}/concepts")
-    manifest = spark.createDataFrame([*done, *failed], MANIFEST)
+    decided = reuse_decision(now, previous(spark, folder), "repository_id", [*SAME, "intact"]).orderBy("repository_id").collect()
+    base = lambda r: (r.repository_id, r.repository_url, r.requested_ref, r.resolved_commit, mark)
+    done += [(*base(r), "complete", "reuse", r.reason, None) for r in decided if r.action == "reuse"]
+    wanted = [r for r in decided if r.action == "rebuild"]
+    reason = lambda r: "stored_repository_not_intact" if r.reason == "intact_changed" else r.reason
+    failed, broke = {}, None
+    try:
+        if wanted:
+            failed = _build(spark, wanted, folder, credentials, config.get("excluded"))
+    except Exception as e:
+        broke = e
+    for r in wanted:
+        why = failed.get(r.repository_id) or (broke and f"the build broke off: {type(broke).__name__}")
+        done.append((*base(r), "failed" if why else "complete", "rebuild", reason(r), why or None))
+    manifest = spark.createDataFrame(done, MANIFEST)
     manifest.coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
+    if broke:
+        raise broke
     return spark.read.parquet(f"{folder}/manifest")
 
 
+def _build(spark: SparkSession, wanted: list, folder: str, credentials: Credentials, excluded: list[str] | None) -> dict[str, str]:
+    """Checks out, stores, reduces and classifies; the messages of repositories whose checkout failed."""
+    asked = spark.createDataFrame([(r.repository_id, r.repository_url, r.resolved_commit) for r in wanted], "repo_id string, url string, ref string")
+    raw = written(checkouts(asked, credentials, excluded), "checkouts")
+    failed = {r.repo_id: r.error for r in raw.filter("path is null").select("repo_id", "error").collect()}
+    good = sorted({r.repository_id for r in wanted} - set(failed))
+    if good:
+        B.store(spark, raw.filter(F.col("repo_id").isin(good)), f"{folder}/artifact", good)
+        B.reduce_tables(spark, f"{folder}/artifact", f"{folder}/reduced")
+        B.classify_tables(spark, f"{folder}/reduced", f"{folder}/concepts")
+    return failed
+
+
 def summary(manifest: DataFrame) -> DataFrame:
     """Totals and overall status of a batch."""
     n = manifest.agg(F.count(F.lit(1)).alias("repositories"), F.count_if(F.col("action") == "reuse").alias("reused"), F.count_if((F.col("action") == "rebuild") & (F.col("status") == "complete")).alias("built"), F.count_if(F.col("status") == "failed").alias("failed"))

@@ -8,35 +8,46 @@ from __future__ import annotations
 
 import json
 import os
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import boundaries, classify, export, facts, families, reduce, scan
+from ..operators import boundaries, classify, export, facts, families, reduce, scan, validate
 from ..sources import filetree
 
 TABLES = ("files", "cas_index", "facts", "families", "members", "evidence", "diagnostics", "probe_status", "boundaries_http", "boundaries_kafka", "snapshots")
-REDUCED = ("exact_representations", "similarity_groups", "observed_identities", "variation_dimensions", "counts")
+REDUCED = ("exact_representations", "similarity_groups", "observed_identities", "identity_members", "variation_dimensions", "counts")
+#: What a reduction is made from, and what candidates are made from.
+REDUCED_FROM = ("families", "members", "evidence", "diagnostics")
+CLASSIFIED_FROM = ("exact_representations", "observed_identities", "identity_members", "counts")
+#: Of stored tables; a table of another contract is refused.
+CONTRACT = "stratalog/2"
 
 
 def write(df: DataFrame, folder: str, name: str, repos: list[str] | None = None) -> None:
-    """Replaces a table, or with ``repos`` these repositories' partitions of it, also where they now have no rows."""
-    spark = df.sparkSession
-    if repos is not None:
-        from urllib.parse import quote
+    """Replaces a table, or with ``repos`` these repositories' partitions of it, also where they now have no rows.
 
-        sc = spark.sparkContext
-        for r in repos:
-            p = sc._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/repo_id={quote(r, safe=' ')}")
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-    df.write.mode("overwrite" if repos is None else "append").partitionBy("repo_id").parquet(f"{folder}/{name}")
-    spark.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/_schemas/{name}")
+    New partitions are staged and take the place of the old ones when the job commits; a job that fails leaves the old ones.
+    """
+    spark = df.sparkSession
+    seen = Observation()
+    out = df.observe(seen, F.collect_set("repo_id").alias("repos")).write.mode("overwrite").partitionBy("repo_id")
+    (out if repos is None else out.option("partitionOverwriteMode", "dynamic")).parquet(f"{folder}/{name}")
+    for r in sorted(set(repos or []) - set(seen.get["repos"])):
+        # had rows perhaps, and has none now
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/repo_id={quote(r, safe=' ')}")
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    spark.createDataFrame([(df.schema.json(),), (CONTRACT,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/_schemas/{name}")
 
 
 def read(spark: SparkSession, folder: str, name: str, repos: list[str] | None = None) -> DataFrame:
     """An artifact's table with the schema it was written with; a filter on repo_id prunes partitions."""
-    schema = T.StructType.fromJson(json.loads(spark.read.text(f"{folder}/_schemas/{name}").first()[0]))
+    head, *contract = [r[0] for r in spark.read.text(f"{folder}/_schemas/{name}").collect()]  # two lines
+    if contract and contract != [CONTRACT]:
+        raise ValueError(f"{name} has the contract {contract[0]}, not {CONTRACT}")
+    schema = T.StructType.fromJson(json.loads(head))
     df = spark.read.schema(schema).parquet(f"{folder}/{name}")
     return df if repos is None else df.filter(F.col("repo_id").isin(repos))
 
@@ -53,18 +64,22 @@ def guard(repositories: dict[str, str], folder: str) -> None:
 
 
 def build(spark: SparkSession, repositories: dict[str, str], folder: str, excluded: list[str] | None = None) -> dict[str, DataFrame]:
-    """Scans trees and writes the artifact's tables; every file is read and parsed once.
-
-    The file table with its content is written first: everything after it reads that table, which also is the
-    content store.
-    """
+    """Scans trees and writes the artifact's tables; every file is read and parsed once."""
     guard(repositories, folder)
     filetree.register(spark)
     reader = spark.read.format("filetree").option("repositories", json.dumps(repositories))
     if excluded is not None:
         reader = reader.option("excluded", json.dumps(excluded))
-    repos = sorted(repositories)
-    write(scan.files(reader.load()), folder, "files", repos)
+    return store(spark, reader.load(), folder, sorted(repositories))
+
+
+def store(spark: SparkSession, raw: DataFrame, folder: str, repos: list[str]) -> dict[str, DataFrame]:
+    """Writes the artifact's tables from raw file rows.
+
+    The file table with its content is written first: everything after it reads that table, which also is the
+    content store.
+    """
+    write(scan.files(raw), folder, "files", repos)
     files = read(spark, folder, "files", repos)
     write(scan.cas_index(files), folder, "cas_index", repos)
     write(scan.snapshot_fingerprint(files), folder, "snapshots", repos)
@@ -72,6 +87,12 @@ def build(spark: SparkSession, repositories: dict[str, str], folder: str, exclud
     return finish(spark, folder, repos)
 
 
+def refuse(what: str, wrong: DataFrame) -> None:
+    some = [tuple(r) for r in wrong.limit(5).collect()]
+    if some:
+        raise ValueError(f"{what}: {some}")
+
+
 def finish(spark: SparkSession, folder: str, repos: list[str]) -> dict[str, DataFrame]:
     """From stored files and facts to families, members, evidence, boundaries and diagnostics of some repositories."""
     files, fact = read(spark, folder, "files", repos), read(spark, folder, "facts", repos)
@@ -90,36 +111,78 @@ def finish(spark: SparkSession, folder: str, repos: list[str]) -> dict[str, Data
 
 def reduce_tables(spark: SparkSession, folder: str, out: str) -> dict[str, DataFrame]:
     """Reduces an artifact whose tables verify; a table that was altered is refused."""
-    t = {n: read(spark, folder, n) for n in ("families", "members", "evidence", "diagnostics", "files")}
-    wrong = export.verify(t["families"], t["evidence"], t["members"], t["files"]).limit(5).collect()
-    if wrong:
-        raise ValueError(f"the artifact does not verify: {[tuple(r) for r in wrong]}")
+    t = {n: read(spark, folder, n) for n in (*REDUCED_FROM, "files")}
+    refuse("the artifact does not verify", verify_artifact(spark, folder))
     write(reduce.bases(t["families"], t["members"]), out, "bases")
     based = read(spark, out, "bases")
     write(reduce.exact_representations(based, t["evidence"]), out, "exact_representations")
     exact = read(spark, out, "exact_representations")
     write(reduce.similarity_groups(exact, based, t["evidence"]), out, "similarity_groups")
     write(reduce.observed_identities(based, t["evidence"]), out, "observed_identities")
+    write(reduce.identity_members(based), out, "identity_members")
     sim, ids = read(spark, out, "similarity_groups"), read(spark, out, "observed_identities")
     write(reduce.variations(exact).join(sim.select("repo_id", "similarity_id"), "similarity_id"), out, "variation_dimensions")
     write(reduce.counts(t["families"], t["members"], t["evidence"], exact, sim, ids, t["diagnostics"]), out, "counts")
+    write(validate.lineage({n: t[n] for n in REDUCED_FROM}), out, "lineage")
     return {n: read(spark, out, n) for n in REDUCED}
 
 
+def verify_artifact(spark: SparkSession, folder: str) -> DataFrame:
+    """Problems of an artifact's tables."""
+    fam, ev, mem, files = (read(spark, folder, n) for n in ("families", "evidence", "members", "files"))
+    return export.verify(fam, ev, mem, files).unionByName(validate.artifact(fam, ev, mem))
+
+
+def verify_reduced(spark: SparkSession, reduced: str, artifact: str | None = None) -> DataFrame:
+    """Problems of a reduction, and with ``artifact`` repositories that it was not made from in their present state."""
+    out = validate.reduced(*[read(spark, reduced, n) for n in REDUCED])
+    return out if artifact is None else out.unionByName(stale(spark, reduced, artifact, REDUCED_FROM))
+
+
+def verify_candidates(spark: SparkSession, concepts: str, reduced: str) -> DataFrame:
+    """Problems of concept candidates, and repositories whose reduction has changed since."""
+    rules = {c: classify.concept_signals(c) for c in classify.CONCEPTS}
+    out = validate.candidates(read(spark, concepts, "candidates"), read(spark, reduced, "counts"), rules)
+    return out.unionByName(stale(spark, concepts, reduced, CLASSIFIED_FROM))
+
+
+def verify_index(spark: SparkSession, concepts: str) -> DataFrame:
+    """Problems of a stored concept index against its candidates; the summary is counted again."""
+    return validate.index(read(spark, concepts, "index"), spark.read.parquet(f"{concepts}/index_summary"), read(spark, concepts, "candidates"))
+
+
+def stale(spark: SparkSession, product: str, source: str, names: tuple[str, ...]) -> DataFrame:
+    """Repositories whose product's stored lineage is not that of the source tables as they are."""
+    return validate.lineage_breaks(read(spark, product, "lineage"), validate.lineage({n: read(spark, source, n) for n in names}))
+
+
 def classify_tables(spark: SparkSession, reduced: str, out: str) -> DataFrame:
-    """Signals and concept candidates of all repositories of a reduction."""
+    """Signals, concept candidates and index of all repositories of a reduction that verifies."""
+    refuse("the reduction does not verify", verify_reduced(spark, reduced))
     ids = read(spark, reduced, "observed_identities")
     write(classify.signals(ids), out, "signals")
     repos = read(spark, reduced, "counts").select("repo_id")
     write(classify.concept_candidates(repos, read(spark, out, "signals")), out, "candidates")
+    write(validate.lineage({n: read(spark, reduced, n) for n in CLASSIFIED_FROM}), out, "lineage")
+    build_index(spark, out)
     return read(spark, out, "candidates")
 
 
+def build_index(spark: SparkSession, concepts: str) -> DataFrame:
+    """Writes the index over candidates and its summary; returns the summary."""
+    found = read(spark, concepts, "candidates")
+    write(classify.concept_index(found), concepts, "index")
+    classify.index_summary(found).coalesce(1).write.mode("overwrite").parquet(f"{concepts}/index_summary")
+    return spark.read.parquet(f"{concepts}/index_summary")
+
+
 def export_selected(spark: SparkSession, folder: str, evidence_ids: list[str], out: str, reduced: str | None = None, context: int = export.CONTEXT_LINES, file_scope_bytes: int = export.FILE_SCOPE_BYTES) -> DataFrame:
-    """Writes the exact fragments of chosen evidence (and of a reduction's representatives); returns the totals."""
+    """Writes the exact fragments of chosen evidence (and of the representatives of a reduction of
+    this artifact); returns the totals."""
     ids = spark.createDataFrame([(i,) for i in evidence_ids], "evidence_id string")
     more = []
     if reduced:
+        refuse("the reduction is not of this artifact", verify_reduced(spark, reduced, folder))
         for n in ("exact_representations", "observed_identities"):
             more.append(read(spark, reduced, n).select(F.col("representative_evidence_id").alias("evidence_id")))
     files = read(spark, folder, "files")

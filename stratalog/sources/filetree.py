@@ -61,22 +61,23 @@ class FileTreeReader(DataSourceReader):
 
     def read(self, partition):
         for repo, root, path in partition.files:
-            full = os.path.join(root, path)
-            link, content, error, size = os.path.islink(full), None, None, None
-            if link:
-                error = "symlink_not_followed"
-            else:
-                try:
-                    size = os.path.getsize(full)
-                    if size <= self.max_bytes:
-                        with open(full, "rb") as f:
-                            content = f.read()
-                        size = len(content)
-                    else:
-                        error = "file_too_large"
-                except OSError as e:
-                    error = type(e).__name__
-            yield repo, path, link, size, content, error
+            yield repo, path, *read_file(root, path, self.max_bytes)
+
+
+def read_file(root: str, path: str, max_bytes: int) -> tuple:
+    """(is a link, size, content, error) of one file."""
+    full = os.path.join(root, path)
+    if os.path.islink(full):
+        return True, None, None, "symlink_not_followed"
+    try:
+        size = os.path.getsize(full)
+        if size > max_bytes:
+            return False, size, None, "file_too_large"
+        with open(full, "rb") as f:
+            content = f.read()
+        return False, len(content), content, None
+    except OSError as e:
+        return False, None, None, type(e).__name__
 
 
 def walk(root: str, excluded: set[str]):

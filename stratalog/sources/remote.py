@@ -1,7 +1,7 @@
 """Remote repositories: paged discovery, credentials, commit lookup and shallow checkouts.
 
-This is the control plane and runs on the driver, except that checkouts may run one task per repository. Secrets come
-from the environment, never enter a DataFrame and are masked in messages.
+Discovery and commit lookup are the control plane and run on the driver; checkouts run in tasks, one per repository. Secrets
+come from the environment (of the workers too), never enter a DataFrame and are masked in messages.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -176,14 +177,15 @@ class Checkout:
         header = self.credentials.header()
         for n in range(1, self.attempts + 1):
             tree = os.path.join(self.top, f"tree{n}")
-            if self.ref == "HEAD":
-                got = _git(["clone", "--depth", "1", self.url, tree], header)
-            elif _COMMIT.fullmatch(self.ref):
-                got = _git(["clone", self.url, tree], header)
+            got = _git(["init", "-q", tree], None)
+            # one commit of depth; a server that gives no single commits is asked for all of them
+            for depth in (["--depth", "1"], []) if _COMMIT.fullmatch(self.ref) else (["--depth", "1"],):
+                wanted = [] if _COMMIT.fullmatch(self.ref) and not depth else [self.ref]
+                got = _git(["fetch", "-q", *depth, self.url, *(wanted or ["+refs/*:refs/remote/*"])], header, cwd=tree)
                 if not got.returncode:
-                    got = _git(["checkout", "--detach", self.ref], header, cwd=tree)
-            else:
-                got = _git(["clone", "--depth", "1", "--branch", self.ref, self.url, tree], header)
+                    got = _git(["checkout", "-q", "--detach", "FETCH_HEAD" if wanted else self.ref], None, cwd=tree)
+                if not got.returncode or is_transient(got.stderr):
+                    break
             if not got.returncode:
                 return tree, _git(["rev-parse", "HEAD"], None, cwd=tree).stdout.strip()
             if n == self.attempts or not is_transient(got.stderr):
@@ -193,3 +195,46 @@ class Checkout:
 
     def __exit__(self, *_):
         shutil.rmtree(self.top, ignore_errors=True)
+
+
+def checkout_rows(credentials: Credentials, excluded: list[str] | None = None, max_bytes: int = 1 << 62):
+    """Files of repositories (repo_id, url, ref), one checkout at a time in the task that reads it; it is gone when its rows
+    are out. A repository that fails gives one row without a path, with the masked message as its error."""
+    from .filetree import EXCLUDED_DIRECTORIES, SCHEMA, read_file, walk
+
+    skip = set(EXCLUDED_DIRECTORIES if excluded is None else excluded)
+    kinds = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in SCHEMA.split(", ")]
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), fields)], [n for n, _ in fields])
+
+    def run(batches):
+        for b in batches:
+            for repo, url, ref in zip(*[c.to_pylist() for c in b.columns]):
+                rows, held = [], 0
+                try:
+                    with Checkout(url, ref, credentials) as (tree, _):
+                        for path, _ in walk(tree, skip):
+                            rows.append((repo, path, *read_file(tree, path, max_bytes)))
+                            held += len(rows[-1][4] or b"")
+                            if len(rows) >= 1000 or held >= 8 << 20:
+                                yield batch(rows)
+                                rows, held = [], 0
+                except (RuntimeError, OSError, ValueError, subprocess.SubprocessError) as e:
+                    rows.append((repo, None, False, None, None, credentials.mask(str(e)) or type(e).__name__))
+                if rows:
+                    yield batch(rows)
+
+    return run
+
+
+def checkouts(repositories: DataFrame, credentials: Credentials = Credentials(), excluded: list[str] | None = None) -> DataFrame:
+    """Raw file rows of ``repositories`` (repo_id, url, ref), a task per repository; nothing of them stays on a machine."""
+    from ..workers import ship
+    from .filetree import SCHEMA
+
+    ship(repositories.sparkSession)
+    n = max(1, repositories.count())
+    rows = repositories.select("repo_id", "url", "ref").repartition(n)
+    return rows.mapInArrow(checkout_rows(credentials, excluded), SCHEMA)
