@@ -72,16 +72,18 @@ def signals(identities: DataFrame, rules: DataFrame | None = None, samples: int
     occurrence_count, file_count, representative_evidence_id. File counts add up; they are not distinct files.
     """
     hit = rule_matches(identities, rules if rules is not None else rules_table(identities.sparkSession))
-    evidence, cut = bounded_sample(F.when(F.col("representative_evidence_id") != "", F.col("representative_evidence_id")), samples)
-    ids, ids_cut = bounded_sample(F.col("identity_id"), samples)
-    return hit.groupBy("repo_id", "signal_id", "concepts", "mechanism", "basis").agg(
-        F.count_distinct("identity_id").alias("observed_identity_count"),
-        F.sum("source_family_count").alias("source_family_count"),
-        F.sum("occurrence_count").alias("occurrence_count"),
-        F.sum("file_count").alias("file_count_sum"),
-        F.count_distinct(F.when(F.col("representative_evidence_id") != "", F.col("representative_evidence_id"))).alias("representative_evidence_count"),
-        evidence.alias("representative_evidence_ids"), cut.alias("evidence_sample_truncated"),
-        ids.alias("observed_identity_ids"), ids_cut.alias("identity_sample_truncated"),
+    keys = ["repo_id", "signal_id"]
+    shown = F.when(F.col("representative_evidence_id") != "", F.col("representative_evidence_id"))
+    evidence = bounded_sample(hit, keys, shown, samples, "representative_evidence_ids")
+    ids = bounded_sample(hit, keys, F.col("identity_id"), samples, "observed_identity_ids")
+    sums = hit.groupBy(*keys, "concepts", "mechanism", "basis").agg(*[F.sum(c).alias(n) for c, n in (("source_family_count",) * 2, ("occurrence_count",) * 2, ("file_count", "file_count_sum"))])
+    out = sums.join(evidence, keys, "left").join(ids, keys, "left")
+    n, m = F.coalesce("observed_identity_ids_count", F.lit(0)), F.coalesce("representative_evidence_ids_count", F.lit(0))
+    none = F.array().cast("array<string>")
+    return out.select(
+        *keys, "concepts", "mechanism", "basis", n.alias("observed_identity_count"), "source_family_count", "occurrence_count", "file_count_sum", m.alias("representative_evidence_count"),
+        F.coalesce("representative_evidence_ids", none).alias("representative_evidence_ids"), (m > samples).alias("evidence_sample_truncated"),
+        F.coalesce("observed_identity_ids", none).alias("observed_identity_ids"), (n > samples).alias("identity_sample_truncated"),
     )
 
 

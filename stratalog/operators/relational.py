@@ -38,11 +38,6 @@ def widen_spans(df: DataFrame, start: str, end: str, last_line: str, context: in
     })
 
 
-def representative(df: DataFrame, keys: list[str], value: Column, order: list[Column], name: str) -> DataFrame:
-    """For each key the value of the row that comes first in a total order; partial aggregation, no window."""
-    return df.groupBy(*keys).agg(F.min_by(value, F.struct(*order)).alias(name))
-
-
 def unique_match(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Inner join with only those keys of ``right`` that occur once."""
     once = right.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in right.columns if c not in on]).filter("_n = 1").drop("_n")
@@ -82,10 +77,16 @@ def rule_matches(rows: DataFrame, rules: DataFrame, kind: str = "family_kind", l
     return rows.join(r, F.array_contains(F.col("_kinds"), F.col(kind)) & hit).drop("_kinds", "_label_pattern", "_facet_pattern")
 
 
-def bounded_sample(values: Column, limit: int) -> tuple[Column, Column]:
-    """The first ``limit`` sorted distinct values of a group, and whether there were more."""
-    every = F.array_sort(F.collect_set(values))
-    return F.slice(every, 1, limit), F.size(every) > limit
+def bounded_sample(df: DataFrame, keys: list[str], value: Column, limit: int, name: str) -> DataFrame:
+    """Per key the first ``limit`` of its sorted distinct values as ``name``, and their number as ``name_count``; nulls don't count.
+
+    Values are made distinct by a grouping and cut by rank, which Spark also does before the shuffle, so no task holds more
+    than the sample of a key.
+    """
+    each = df.select(*keys, value.alias(name)).filter(F.col(name).isNotNull()).distinct()
+    first = each.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(name))).filter(F.col("_rank") <= limit)
+    some = first.groupBy(*keys).agg(F.array_sort(F.collect_list(name)).alias(name))
+    return some.join(each.groupBy(*keys).agg(F.count(F.lit(1)).alias(name + "_count")), keys)
 
 
 def sum_maps(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:

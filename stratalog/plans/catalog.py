@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import classify as C
+from ..operators import export, facts, families, reduce, scan
 from ..operators import relational as R
-from . import parsed_queries  # noqa: F401  registers its queries
+from ..tables import written
+from . import checked_queries  # noqa: F401  registers its queries
+from . import parsed_queries as P
 from .registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -27,6 +30,42 @@ _EXT = "lower(regexp_extract(regexp_replace(string_split(path, '/')[-1], '^\\.+'
 _TAGS = "regexp_extract_all(coalesce(html, ''), '<([a-zA-Z][a-zA-Z0-9]*)', 1)"
 
 
+def _page_files(spark, sf):
+    p = table(spark, sf, "pages")
+    return P.files_of(p, F.lit("web"), P.text(F.col("page_id"), "/", S.url_path(F.col("url"))), F.col("html"))
+
+
+def _document_files(spark, sf):
+    d = table(spark, sf, "documents")
+    return P.files_of(d, F.col("source"), P.text(F.col("doc_id"), ".txt"), F.col("text"))
+
+
+def _span(kind, line):
+    end = F.lit(None).cast("int")
+    return F.struct(kind.alias("kind"), line.cast("int").alias("line_start"), line.cast("int").alias("line_end"), end.alias("column_start"), end.alias("column_end"))
+
+
+def _facts(rows, repo, file, section, kind, label, descriptor, line=None):
+    """Rows in the shape of facts, one observation each."""
+    none = lambda t: F.lit(None).cast(t)
+    at = none("int") if line is None else line.cast("int")
+    return rows.select(
+        repo.cast("string").alias("repo_id"), file.cast("string").alias("file_id"), file.cast("string").alias("path"), F.lit(".").alias("scope"), F.lit(section).alias("section"), F.lit(kind).alias("family_kind"), label.alias("family_label"), descriptor.alias("descriptor_json"),
+        none("string").alias("member_json"), F.lit(1).cast("long").alias("occurrence_count"), at.alias("line_start"), at.alias("line_end"), none("int").alias("column_start"), none("int").alias("column_end"), none("string").alias("extra_json"),
+    )
+
+
+def _evidence(spark, fact):
+    """Evidence of facts alone, without files."""
+    no_files = scan.files(spark.createDataFrame([], "repo_id string, path string, is_symlink boolean, byte_size long, content binary, error string"))
+    return families.evidence(families.observations(fact, no_files))
+
+
+def _tag_evidence(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", F.explode(_tags()).alias("tag"))
+    return _evidence(spark, _facts(p, F.lit("web"), F.col("page_id"), "xml_observations", "xml_observation", F.col("tag"), F.to_json(F.struct("tag"))))
+
+
 def _tags(html="html"):
     return F.transform(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), 1), F.lower)
 
@@ -40,25 +79,23 @@ FROM (SELECT extension, CASE extension {_LANGS} END AS l, count(*) AS n FROM e G
 """)
 def ext_families(spark, sf):
     """Extension families with salience."""
-    ext = S.extension_of(S.url_path(F.col("url")))
-    fam = table(spark, sf, "pages").select(ext.alias("extension")).groupBy("extension").agg(F.count(F.lit(1)).alias("occurrence_count"))
-    lang = S.language_of(F.col("extension"))
-    return fam.select("extension", F.when(lang.isNull(), "unclassified").otherwise("language").alias("classification"), lang.alias("language"), "occurrence_count", S.salience(F.col("occurrence_count"), F.lit("complete")).alias("salience"))
+    fam = P.family_rows(_page_files(spark, sf), spark.createDataFrame([], facts.SCHEMA)).filter("family_kind = 'source_primitive'")
+    return fam.select(F.col("family_label").alias("extension"), P.told("classification").alias("classification"), P.told("language").alias("language"), "occurrence_count", "salience")
 
 
-@query("SELECT sha256(coalesce(text, '')) AS sha256, count(*) AS file_count, min(doc_id) AS first_id, CAST(max(strlen(coalesce(text, ''))) AS BIGINT) AS byte_size FROM documents GROUP BY 1")
+@query("""
+SELECT sha256(text) AS sha256, count(*) AS file_count, min(source || '/' || doc_id || '.txt') AS first_place, CAST(max(strlen(text)) AS BIGINT) AS byte_size FROM documents WHERE text IS NOT NULL GROUP BY 1
+""")
 def cas_blobs(spark, sf):
     """Content-addressed blobs."""
-    d = table(spark, sf, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
-    return d.groupBy("sha256").agg(F.count(F.lit(1)).alias("file_count"), F.min("doc_id").alias("first_id"), F.max("n").alias("byte_size"))
+    first = F.concat_ws("/", "first.repo_id", "first.path")
+    return scan.blobs(_document_files(spark, sf)).select("sha256", "file_count", first.alias("first_place"), "byte_size")
 
 
-@query("""SELECT count(*) AS file_count, count(DISTINCT sha256(coalesce(text, ''))) AS distinct_blob_count, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS total_bytes FROM documents""")
+@query("""SELECT count(*) AS file_count, count(DISTINCT text) AS distinct_blob_count, CAST(sum(strlen(text)) AS BIGINT) AS total_bytes FROM documents WHERE text IS NOT NULL""")
 def cas_index_counts(spark, sf):
     """Index totals."""
-    d = table(spark, sf, "documents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("s"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
-    blobs = d.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("b"))
-    return blobs.agg(F.sum("c").alias("file_count"), F.count(F.lit(1)).alias("distinct_blob_count"), F.sum("b").alias("total_bytes"))
+    return scan.cas_counts(scan.cas_index(_document_files(spark, sf)))
 
 
 @query(f"""
@@ -89,25 +126,26 @@ SELECT tag, count(*) AS occurrence_count, count(DISTINCT page_id) AS file_count
 """)
 def tag_families(spark, sf):
     """Element families (P09, A04, A07): file counts come from the per-file evidence, not from a distinct."""
-    ev = table(spark, sf, "pages").select("page_id", F.explode(_tags()).alias("tag")).groupBy("tag", "page_id").agg(F.count(F.lit(1)).alias("n"))
-    return ev.groupBy("tag").agg(F.sum("n").alias("occurrence_count"), F.count(F.lit(1)).alias("file_count"))
+    fam = families.families(_tag_evidence(spark, sf), families.probe_status(spark.createDataFrame([], facts.SCHEMA)))
+    return fam.select(F.col("family_label").alias("tag"), "occurrence_count", "file_count")
 
 
 @query(f"SELECT page_id, lower(tag) AS tag, count(*) AS occurrence_count_in_file FROM (SELECT page_id, unnest({_TAGS}) AS tag FROM pages) GROUP BY ALL")
 def family_file_counts(spark, sf):
     """Family by file evidence."""
-    return table(spark, sf, "pages").select("page_id", F.explode(_tags()).alias("tag")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("occurrence_count_in_file"))
+    return _tag_evidence(spark, sf).select(F.col("file_id").cast("long").alias("page_id"), F.col("family_label").alias("tag"), "occurrence_count_in_file")
 
 
 @query(f"""
 WITH s AS (SELECT page_id, array_to_string(list_sort(list_distinct(list_transform({_TAGS}, lambda x: lower(x)))), '|') AS shape FROM pages)
-SELECT sha256(shape) AS shape_fingerprint, shape, count(*) AS document_count, min(page_id) AS first_page FROM s GROUP BY ALL
+SELECT sha256(shape) AS shape_fingerprint, count(*) AS document_count FROM s GROUP BY shape
 """)
 def page_shapes(spark, sf):
     """Document-shape families."""
-    shape = F.array_join(F.array_sort(F.array_distinct(_tags())), "|")
-    g = table(spark, sf, "pages").select("page_id", shape.alias("shape")).groupBy("shape").agg(F.count(F.lit(1)).alias("document_count"), F.min("page_id").alias("first_page"))
-    return g.withColumn("shape_fingerprint", F.sha2("shape", 256))
+    sign = F.to_json(F.struct(F.sha2(F.array_join(F.array_sort(F.array_distinct(_tags())), "|"), 256).alias("structural_signature")))
+    ev = _evidence(spark, _facts(table(spark, sf, "pages"), F.lit("web"), F.col("page_id"), "structured_families", "structured_document_shape", F.lit("html"), sign))
+    fam = families.families(ev, families.probe_status(spark.createDataFrame([], facts.SCHEMA)))
+    return fam.select(P.told("structural_signature").alias("shape_fingerprint"), F.col("file_count").alias("document_count"))
 
 
 @query("""
@@ -136,46 +174,85 @@ def props_value_kinds(spark, sf):
 
 @query("""
 WITH l AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents),
-h AS (SELECT source, doc_id, i AS line_no, lines[i] AS line FROM (SELECT *, unnest(generate_series(1, len(lines))) AS i FROM l) WHERE contains(lower(lines[i]), 'license'))
-SELECT source, count(*) AS hits, arg_min(doc_id, doc_id * 1000000 + line_no) AS doc_id, arg_min(line_no, doc_id * 1000000 + line_no) AS line_no, arg_min(md5(line), doc_id * 1000000 + line_no) AS line_md5 FROM h GROUP BY 1
+h AS (SELECT source, doc_id, i AS line_no FROM (SELECT *, unnest(generate_series(1, len(lines))) AS i FROM l) WHERE contains(lower(lines[i]), 'license'))
+SELECT source, doc_id, count(*) AS hits, CAST(min(line_no) AS INTEGER) AS line_no FROM h GROUP BY ALL
 """)
 def evidence_first_line(spark, sf):
-    """Best exemplar per family (A08, W02): argmin over a total order, with partial aggregation."""
+    """Best exemplar per family and file (A08, W02): least of a total order, with partial aggregation."""
     d = table(spark, sf, "documents").filter(F.contains(F.lower("text"), F.lit("license")))
     h = d.select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).filter(F.contains(F.lower("line"), F.lit("license")))
-    at = F.struct("doc_id", "p")
-    first = h.groupBy("source").agg(F.count(F.lit(1)).alias("hits"), F.min_by(F.struct("doc_id", "p", F.md5("line").alias("m")), at).alias("x"))
-    return first.select("source", "hits", F.col("x.doc_id").alias("doc_id"), (F.col("x.p") + 1).cast("long").alias("line_no"), F.col("x.m").alias("line_md5"))
+    ev = _evidence(spark, _facts(h, F.lit("docs"), F.col("doc_id"), "lines", "line_observation", F.col("source"), F.to_json(F.struct("source")), F.col("p") + 1))
+    return ev.select(F.col("family_label").alias("source"), F.col("file_id").cast("long").alias("doc_id"), F.col("occurrence_count_in_file").alias("hits"), F.col("exemplar.line_start").alias("line_no"))
 
 
-def _tag_vectors(spark, sf):
-    ev = table(spark, sf, "pages").select("page_id", F.explode(_tags()).alias("tag")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
-    pair = lambda v: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tag", v))), lambda x: F.concat(x["tag"], F.lit("="), x[v].cast("string"))), "|")
-    ev = ev.withColumn("b", S.numeric_bucket(F.col("n")))
-    return ev.groupBy("page_id").agg(pair("n").alias("exact"), pair("b").alias("similar"), F.sum("n").alias("occurrences"))
+_BUCKET = "CASE WHEN p_size <= 0 THEN 'zero' WHEN p_size <= 1 THEN 'one' WHEN p_size <= 4 THEN '2_4' WHEN p_size <= 16 THEN '5_16' WHEN p_size <= 64 THEN '17_64' ELSE 'more' END"
 
 
-_BUCKET = "CASE WHEN n <= 1 THEN 'one' WHEN n <= 4 THEN '2_4' WHEN n <= 16 THEN '5_16' WHEN n <= 64 THEN '17_64' WHEN n <= 256 THEN '65_256' WHEN n <= 1024 THEN '257_1024' ELSE 'gt_1024' END"
-_VECTORS = f"""
-e AS (SELECT page_id, lower(tag) AS tag, count(*) AS n FROM (SELECT page_id, unnest({_TAGS}) AS tag FROM pages) GROUP BY ALL),
-v AS (SELECT page_id, string_agg(tag || '=' || n, '|' ORDER BY tag) AS exact, string_agg(tag || '=' || {_BUCKET}, '|' ORDER BY tag) AS alike, CAST(sum(n) AS BIGINT) AS occurrences FROM e GROUP BY 1)
-"""
+def _part_families(spark, sf):
+    """(families with their bases, evidence) of parts: a brand is a repository, type and size are the structure."""
+    p = table(spark, sf, "part")
+    d = F.to_json(F.struct(F.col("p_type").alias("type_kind"), F.col("p_size").alias("size"), F.concat(F.lit("n"), (F.col("p_partkey") % 3).cast("string")).alias("note")))
+    key = F.lpad(F.col("p_partkey").cast("string"), 9, "0")
+    fam = p.select(F.col("p_brand").alias("repo_id"), F.concat(F.lit("f"), key).alias("family_id"), F.lit("parts").alias("section"), F.lit("part").alias("family_kind"), F.col("p_name").alias("family_label"), d.alias("descriptor_json"), F.col("p_size").cast("long").alias("occurrence_count"), F.lit(1).cast("long").alias("file_count"), F.lit(50.0).alias("salience"))
+    none = spark.createDataFrame([], "repo_id string, family_id string, member_id string, syntax string, parse_status string, member_json string, observed_file_count long")
+    ev = p.select(F.col("p_brand").alias("repo_id"), F.concat(F.lit("f"), key).alias("family_id"), (F.col("p_partkey") % 10).cast("string").alias("file_id"), F.concat(F.lit("e"), key).alias("evidence_id"))
+    return fam, none, ev
+
 
+def _reduced(spark, sf):
+    fam, none, ev = _part_families(spark, sf)
+    based = written(reduce.bases(fam, none), "bases")
+    exact = written(reduce.exact_representations(based, ev), "exact")
+    return fam, none, ev, based, exact
 
-@query(f"WITH {_VECTORS} SELECT sha256(exact) AS exact_id, count(*) AS source_family_count, CAST(sum(occurrences) AS BIGINT) AS occurrence_count, min(page_id) AS representative FROM v GROUP BY exact")
+
+@query("""
+SELECT p_brand AS repo_id, p_type, p_size AS size, count(*) AS source_family_count, CAST(sum(p_size) AS BIGINT) AS occurrence_count, count(DISTINCT p_partkey % 10) AS file_count, count(*) AS family_file_evidence_count,
+       'e' || lpad(CAST(min(p_partkey) AS VARCHAR), 9, '0') AS representative_evidence_id, count(DISTINCT p_name || '/' || p_partkey % 3) AS observed_identity_count, CAST(50.0 * count(*) AS DOUBLE) AS salience_sum
+FROM part GROUP BY ALL
+""")
 def exact_shapes(spark, sf):
-    """Exact-shape rollup."""
-    g = _tag_vectors(spark, sf).groupBy("exact").agg(F.count(F.lit(1)).alias("source_family_count"), F.sum("occurrences").alias("occurrence_count"), F.min("page_id").alias("representative"))
-    return g.select(F.sha2("exact", 256).alias("exact_id"), "source_family_count", "occurrence_count", "representative")
+    """Exact-shape rollup: names are no part of it."""
+    exact = _reduced(spark, sf)[4]
+    seen = F.get_json_object("exact_basis", "$.observed_metrics")
+    return exact.select(
+        "repo_id", F.get_json_object(seen, "$.type_kind").alias("p_type"), F.get_json_object(seen, "$.size").cast("int").alias("size"), "source_family_count", "occurrence_count", "file_count",
+        "family_file_evidence_count", "representative_evidence_id", "observed_identity_count", "salience_sum",
+    )
 
 
-@query(f"""WITH {_VECTORS}, x AS (SELECT exact, alike, count(*) AS families, CAST(sum(occurrences) AS BIGINT) AS occ FROM v GROUP BY ALL)
-SELECT sha256(alike) AS similarity_id, count(*) AS exact_representation_count, CAST(sum(families) AS BIGINT) AS source_family_count, CAST(sum(occ) AS BIGINT) AS occurrence_count FROM x GROUP BY alike""")
+@query(f"""
+SELECT p_brand AS repo_id, p_type, {_BUCKET} AS size_bucket, count(DISTINCT p_size) AS exact_representation_count, count(*) AS source_family_count, CAST(sum(p_size) AS BIGINT) AS occurrence_count, count(DISTINCT p_partkey % 10) AS file_count FROM part GROUP BY ALL
+""")
 def similarity_buckets(spark, sf):
-    """Similarity rollup over exact rows."""
-    exact = _tag_vectors(spark, sf).groupBy("exact", "similar").agg(F.count(F.lit(1)).alias("f"), F.sum("occurrences").alias("o"))
-    g = exact.groupBy("similar").agg(F.count(F.lit(1)).alias("exact_representation_count"), F.sum("f").alias("source_family_count"), F.sum("o").alias("occurrence_count"))
-    return g.select(F.sha2("similar", 256).alias("similarity_id"), "exact_representation_count", "source_family_count", "occurrence_count")
+    """Similarity rollup over exact rows."""
+    _, _, ev, based, exact = _reduced(spark, sf)
+    g = reduce.similarity_groups(exact, based, ev)
+    seen = F.get_json_object("similar_basis", "$.observed_metrics")
+    return g.select("repo_id", F.get_json_object(seen, "$.type_kind").alias("p_type"), F.get_json_object(seen, "$.size.numeric_bucket").alias("size_bucket"), "exact_representation_count", "source_family_count", "occurrence_count", "file_count")
+
+
+@query(f"""
+WITH g AS (SELECT p_brand, p_type, {_BUCKET} AS b, count(DISTINCT p_size) AS n FROM part GROUP BY ALL)
+SELECT p_brand AS repo_id, '$.observed_metrics' AS path, n AS distinct_state_count, count(*) AS groups FROM g WHERE n > 1 GROUP BY ALL
+""")
+def shape_variations(spark, sf):
+    """What varies within similarity groups."""
+    exact = _reduced(spark, sf)[4]
+    v = reduce.variations(exact).join(exact.select("repo_id", "similarity_id").distinct(), "similarity_id")
+    return v.groupBy("repo_id", "path", "distinct_state_count").agg(F.count(F.lit(1)).alias("groups"))
+
+
+@query(f"""
+SELECT p_brand AS repo_id, count(*) AS source_structural_families, count(*) AS source_family_file_evidence, count(DISTINCT p_type || '/' || p_size) AS exact_representations, count(DISTINCT p_type || {_BUCKET}) AS structural_similarity_groups,
+       count(DISTINCT p_name || '/' || p_partkey % 3) AS observed_identities, count(*) - count(DISTINCT p_type || '/' || p_size) AS collapsed_source_families, 3 AS source_diagnostic_rows, 2 AS unique_diagnostics FROM part GROUP BY 1
+""")
+def reduction_counts(spark, sf):
+    """Totals of a reduction."""
+    fam, none, ev, based, exact = _reduced(spark, sf)
+    d = fam.select("repo_id").distinct().select("repo_id", F.explode(F.array(*[F.lit(x) for x in "aab"])).alias("k")).select("repo_id", F.concat("repo_id", "k").alias("diagnostic_id"), F.lit("c").alias("code"), F.lit("p").alias("path"), F.lit("m").alias("message"))
+    n = reduce.counts(fam, none, ev, exact, reduce.similarity_groups(exact, based, ev), reduce.observed_identities(based, ev), d)
+    return n.select("repo_id", "source_structural_families", "source_family_file_evidence", "exact_representations", "structural_similarity_groups", "observed_identities", "collapsed_source_families", F.col("source_diagnostic_rows").cast("int").alias("source_diagnostic_rows"), F.col("unique_diagnostics").cast("int").alias("unique_diagnostics"))
 
 
 @query(f"""
@@ -190,12 +267,15 @@ def variation_dims(spark, sf):
     return R.variation_dimensions(rows, "host", "page_id", "tag", "n")
 
 
-@query("""SELECT lang AS family_kind, source AS family_label, count(*) AS source_family_count, CAST(sum(n_chars) AS BIGINT) AS occurrence_count, count(DISTINCT text) AS file_count, min(doc_id) AS representative_evidence_id FROM documents GROUP BY ALL""")
+@query("""
+SELECT p_brand AS repo_id, p_name AS family_label, 'n' || p_partkey % 3 AS facets, count(DISTINCT p_type || '/' || p_size) AS exact_representation_count, count(*) AS source_family_count, CAST(sum(p_size) AS BIGINT) AS occurrence_count,
+       count(DISTINCT p_partkey % 10) AS file_count, 'e' || lpad(CAST(min(p_partkey) AS VARCHAR), 9, '0') AS representative_evidence_id FROM part GROUP BY ALL
+""")
 def identity_rollup(spark, sf):
-    """Observed identities."""
-    d = table(spark, sf, "documents").select("lang", "source", "doc_id", "n_chars", F.when(F.col("text").isNotNull(), F.sha2("text", 256)).alias("h"))
-    per = d.groupBy("lang", "source", "h").agg(F.count(F.lit(1)).alias("c"), F.sum("n_chars").alias("s"), F.min("doc_id").alias("m"))
-    return per.groupBy(F.col("lang").alias("family_kind"), F.col("source").alias("family_label")).agg(F.sum("c").alias("source_family_count"), F.sum("s").alias("occurrence_count"), F.count("h").alias("file_count"), F.min("m").alias("representative_evidence_id"))
+    """Observed identities: names that shapes set aside."""
+    _, _, ev, based, _ = _reduced(spark, sf)
+    g = reduce.observed_identities(based, ev)
+    return g.select("repo_id", "family_label", F.array_join("facets", ",").alias("facets"), "exact_representation_count", "source_family_count", "occurrence_count", "file_count", "representative_evidence_id")
 
 
 @query("""SELECT sha256(text) AS diagnostic_id, count(*) AS source_row_count, count(DISTINCT source) AS distinct_variant_count, count(DISTINCT source) > 1 AS identity_conflict FROM documents WHERE text IS NOT NULL GROUP BY text""")
@@ -224,12 +304,14 @@ def rule_matches(spark, sf):
     return _doc_rule_hits(spark, sf).select("signal_id", "doc_id")
 
 
-@query(f"""WITH {_HITS} SELECT source, signal_id, count(DISTINCT doc_id) AS identities, array_to_string(list_sort(list(DISTINCT doc_id))[1:12], ',') AS samples, count(DISTINCT doc_id) > 12 AS truncated FROM h GROUP BY ALL""")
+@query(f"""WITH {_HITS} SELECT source, signal_id, count(DISTINCT doc_id) AS identities, CAST(sum(n_chars) AS BIGINT) AS occurrence_count, array_to_string(list_sort(list(DISTINCT doc_id::VARCHAR))[1:12], ',') AS samples, count(DISTINCT doc_id) > 12 AS truncated FROM h JOIN documents USING (doc_id, source) GROUP BY ALL""")
 def signal_rollup(spark, sf):
     """Signals with bounded samples."""
-    ids, cut = R.bounded_sample(F.col("doc_id"), C.SAMPLES)
-    g = _doc_rule_hits(spark, sf).groupBy("source", "signal_id").agg(F.count_distinct("doc_id").alias("identities"), F.array_join(ids.cast("array<string>"), ",").alias("samples"), cut.alias("truncated"))
-    return g
+    rules = spark.createDataFrame([(s, ["c"], k, "(?i)" + p, None, None, "b") for s, k, p in _DOC_RULES], "signal_id string, concepts array<string>, kinds array<string>, label_pattern string, facet_pattern string, mechanism string, basis string")
+    one = F.lit(1).cast("long")
+    ids = table(spark, sf, "documents").select(F.col("source").alias("repo_id"), F.col("doc_id").cast("string").alias("identity_id"), F.col("lang").alias("family_kind"), F.col("text").alias("family_label"), F.lit(None).cast("array<string>").alias("facets"), one.alias("source_family_count"), F.col("n_chars").alias("occurrence_count"), one.alias("file_count"), F.col("doc_id").cast("string").alias("representative_evidence_id"))
+    g = C.signals(ids, rules)
+    return g.select(F.col("repo_id").alias("source"), "signal_id", F.col("observed_identity_count").alias("identities"), "occurrence_count", F.array_join("observed_identity_ids", ",").alias("samples"), F.col("identity_sample_truncated").alias("truncated"))
 
 
 _SIGNALS = [r[0] for r in C.SIGNAL_RULES]
@@ -237,13 +319,14 @@ _MECHS = {r[0]: r[5] for r in C.SIGNAL_RULES}
 
 
 def _found_signals(spark, sf):
-    """(repo, signal) pairs read off the events: every fiftieth combination of an event's numbers is a signal."""
-    e = table(spark, sf, "events").select(F.concat(F.lit("repo"), (F.col("user_id") % 60).cast("string")).alias("repo_id"), ((F.col("event_id") * 7 + F.col("user_id")) % 800).alias("k"))
-    return e.filter(F.col("k") < len(_SIGNALS)).select("repo_id", F.element_at(F.array(*[F.lit(s) for s in _SIGNALS]), (F.col("k") + 1).cast("int")).alias("signal_id"), F.element_at(F.array(*[F.lit(_MECHS[s]).cast("string") for s in _SIGNALS]), (F.col("k") + 1).cast("int")).alias("mechanism")).distinct()
+    """(repo, signal) pairs: a customer is a repository, each of its orders a signal."""
+    k = F.col("o_orderkey") % len(_SIGNALS) + 1
+    pick = lambda values: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), k.cast("int"))
+    return table(spark, sf, "orders").select(F.concat(F.lit("repo"), F.col("o_custkey").cast("string")).alias("repo_id"), pick(_SIGNALS).alias("signal_id"), pick([_MECHS[s] for s in _SIGNALS]).alias("mechanism")).distinct()
 
 
 def _candidates(spark, sf):
-    repos = table(spark, sf, "events").select(F.concat(F.lit("repo"), (F.col("user_id") % 60).cast("string")).alias("repo_id"))
+    repos = table(spark, sf, "customer").select(F.concat(F.lit("repo"), F.col("c_custkey").cast("string")).alias("repo_id"))
     return C.concept_candidates(repos, _found_signals(spark, sf))
 
 
@@ -258,8 +341,8 @@ def _concept_case(concept: str) -> str:
 _S = ", ".join(f"'{s}'" for s in _SIGNALS)
 _M = ", ".join("NULL" if _MECHS[s] is None else f"'{_MECHS[s]}'" for s in _SIGNALS)
 _CANDS = (
-    f"f AS (SELECT DISTINCT 'repo' || (user_id % 60) AS repo_id, [{_S}][(event_id * 7 + user_id) % 800 + 1] AS s, [{_M}][(event_id * 7 + user_id) % 800 + 1] AS m FROM events WHERE (event_id * 7 + user_id) % 800 < {len(_SIGNALS)}), "
-    "r AS (SELECT DISTINCT 'repo' || (user_id % 60) AS repo_id FROM events), "
+    f"f AS (SELECT DISTINCT 'repo' || o_custkey AS repo_id, [{_S}][o_orderkey % {len(_SIGNALS)} + 1] AS s, [{_M}][o_orderkey % {len(_SIGNALS)} + 1] AS m FROM orders), "
+    "r AS (SELECT DISTINCT 'repo' || c_custkey AS repo_id FROM customer), "
     "g AS (SELECT r.repo_id, coalesce(list(s) FILTER (s IS NOT NULL), []) AS sigs FROM r LEFT JOIN f USING (repo_id) GROUP BY 1), "
     "c AS ("
     + " UNION ALL ".join(f"SELECT repo_id, '{c}' AS concept, {_concept_case(c)} AS strength, list_sort(list_filter(sigs, lambda x: list_contains([{', '.join(repr(i) for i in C.concept_signals(c))}], x))) AS signals FROM g" for c in C.CONCEPTS)
@@ -316,18 +399,23 @@ def fragment_slices(spark, sf):
     return f.select("doc_id", "line_start", "line_end", F.sha2(cut, 256).alias("content_sha256"))
 
 
+def _resolution(spark, sf, ids, limit=5000):
+    files = _document_files(spark, sf)
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("evidence_id"), F.col("source").alias("repo_id"), P.text(F.col("doc_id"), ".txt").alias("path"), _span(F.lit("file"), F.lit(None)).alias("exemplar"))
+    wanted = export.requested_ids(ids.select(F.concat(F.lit(" "), ids[ids.columns[0]].cast("string")).alias("evidence_id")))
+    return export.resolve(wanted, d, scan.cas_index(files), files, file_scope_bytes=limit)
+
+
 @query("""
 WITH q AS (SELECT DISTINCT doc_id FROM (SELECT doc_id FROM labels UNION ALL SELECT doc_id * 3 FROM labels UNION ALL SELECT conv_id FROM conversations))
-SELECT q.doc_id, CASE WHEN d.doc_id IS NULL THEN 'family_file_evidence_not_found' WHEN d.text IS NULL OR d.text = '' THEN 'captured_source_missing' WHEN d.n_chars > 5000 THEN 'file_scope_evidence_exceeds_fragment_limit' ELSE 'resolved' END AS status
+SELECT q.doc_id, CASE WHEN d.doc_id IS NULL THEN 'family_file_evidence_not_found' WHEN d.text IS NULL THEN 'captured_source_missing' WHEN strlen(d.text) > 5000 THEN 'file_scope_evidence_exceeds_fragment_limit' ELSE 'resolved' END AS status
 FROM q LEFT JOIN documents d USING (doc_id)
 """)
 def requested_resolution(spark, sf):
-    """Requested ids against evidence and content, each miss a diagnostic of its own."""
+    """Requested ids against evidence and content, each miss a status of its own."""
     lab, conv = table(spark, sf, "labels"), table(spark, sf, "conversations")
-    q = lab.select("doc_id").union(lab.select(F.col("doc_id") * 3)).union(conv.select("conv_id")).distinct()
-    d = table(spark, sf, "documents").select("doc_id", F.lit(True).alias("seen"), (F.coalesce("text", F.lit("")) == "").alias("none"), "n_chars")
-    status = F.when(F.col("seen").isNull(), "family_file_evidence_not_found").when(F.col("none"), "captured_source_missing").when(F.col("n_chars") > 5000, "file_scope_evidence_exceeds_fragment_limit").otherwise("resolved")
-    return q.join(d, "doc_id", "left").select("doc_id", status.alias("status"))
+    q = lab.select("doc_id").union(lab.select(F.col("doc_id") * 3)).union(conv.select("conv_id"))
+    return _resolution(spark, sf, q).select(F.col("evidence_id").cast("long").alias("doc_id"), "status")
 
 
 @query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -410,16 +498,26 @@ def payload_align(spark, sf):
 
 
 @query("""
-WITH q AS (SELECT DISTINCT doc_id * 3 AS doc_id FROM labels), r AS (SELECT q.doc_id, d.text, d.doc_id IS NOT NULL AS ok FROM q LEFT JOIN documents d USING (doc_id))
-SELECT count(*) AS requested, count(*) FILTER (ok) AS resolved, count(*) FILTER (NOT ok) AS unresolved, count(DISTINCT text) AS distinct_blobs, CASE WHEN count(*) FILTER (NOT ok) = 0 THEN 'complete' WHEN count(*) FILTER (ok) > 0 THEN 'partial' ELSE 'failed' END AS status FROM r
+WITH q AS (SELECT DISTINCT doc_id * 3 AS doc_id FROM labels), r AS (SELECT q.doc_id, d.text, d.text IS NOT NULL AND strlen(d.text) <= 5000 AS ok FROM q LEFT JOIN documents d USING (doc_id))
+SELECT count(*) AS requested, count(*) FILTER (ok) AS resolved, count(*) FILTER (NOT ok) AS unresolved, count(*) FILTER (ok) AS fragments, count(DISTINCT text) FILTER (ok) AS distinct_blobs, CASE WHEN count(*) FILTER (NOT ok) = 0 THEN 'complete' WHEN count(*) FILTER (ok) > 0 THEN 'partial' ELSE 'failed' END AS status FROM r
 """)
 def export_counts(spark, sf):
     """Export totals and status."""
-    q = table(spark, sf, "labels").select((F.col("doc_id") * 3).alias("doc_id")).distinct()
-    d = table(spark, sf, "documents").select("doc_id", F.lit(True).alias("ok"), F.when(F.col("text").isNotNull(), F.sha2("text", 256)).alias("h"))
-    n = q.join(d, "doc_id", "left").agg(F.count(F.lit(1)).alias("requested"), F.count("ok").alias("resolved"), F.count_distinct("h").alias("distinct_blobs"))
-    un = F.col("requested") - F.col("resolved")
-    return n.select("requested", "resolved", un.alias("unresolved"), "distinct_blobs", F.when(un == 0, "complete").when(F.col("resolved") > 0, "partial").otherwise("failed").alias("status"))
+    got = written(_resolution(spark, sf, table(spark, sf, "labels").select(F.col("doc_id") * 3)), "resolution")
+    return export.export_counts(got, export.fragments(got))
+
+
+@query(f"""WITH {_LINE_HITS}, i AS (SELECT doc_id, min(a) AS line_start, max(b) AS line_end, count(*) AS hits FROM s GROUP BY doc_id, island)
+SELECT i.doc_id, CAST(line_start AS INTEGER) AS line_start, CAST(line_end AS INTEGER) AS line_end, CAST(hits AS INTEGER) AS requests, sha256(array_to_string(lines[line_start:line_end], chr(10)) || CASE WHEN line_end < len(lines) THEN chr(10) ELSE '' END) AS fragment_sha256 FROM i JOIN l USING (doc_id)""")
+def exact_fragments(spark, sf):
+    """Evidence lines to merged fragments and their exact bytes."""
+    files = _document_files(spark, sf)
+    d = table(spark, sf, "documents").filter(F.contains(F.lower("text"), F.lit("license")) | F.contains("text", F.lit("@")))
+    hits = d.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("p", "line")).filter(F.contains(F.lower("line"), F.lit("license")) | F.contains("line", F.lit("@")))
+    ev = hits.select(P.text(F.col("doc_id"), ":", F.col("p")).alias("evidence_id"), F.col("source").alias("repo_id"), P.text(F.col("doc_id"), ".txt").alias("path"), _span(F.lit("exact_span"), F.col("p") + 1).alias("exemplar"))
+    got = export.resolve(export.requested_ids(ev), ev, scan.cas_index(files), files, context=1)
+    out = export.fragment_bytes(export.fragments(got), files)
+    return out.select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("doc_id"), "line_start", "line_end", F.size("evidence_ids").alias("requests"), "fragment_sha256")
 
 
 @query("""SELECT c_custkey, lower(trim(regexp_replace(regexp_replace(regexp_replace(c_name || ' fooBar-' || c_mktsegment || '..Z', '([a-z])([A-Z])', '\\1_\\2', 'g'), '[^a-zA-Z0-9_]', '_', 'g'), '_+', '_', 'g'), '_')) AS repository_id FROM customer""")
@@ -452,8 +550,10 @@ SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'error') > 0 AND count(*
 """)
 def probe_status(spark, sf):
     """Probe status from counters."""
-    bad, good = F.count_if(F.col("event_type") == "error"), F.count_if(F.col("event_type") != "error")
-    return table(spark, sf, "events").groupBy("user_id").agg(F.when((bad > 0) & (good == 0), "failed").when(bad > 0, "partial").otherwise("complete").alias("status"), F.count(F.lit(1)).alias("files"))
+    e = table(spark, sf, "events")
+    how = F.when(F.col("event_type") == "error", "failed").otherwise("complete")
+    s = families.probe_status(_facts(e, F.col("user_id"), F.col("event_id"), "probe_status", "structured", how, F.lit("{}")))
+    return s.select(F.col("repo_id").cast("long").alias("user_id"), "status", F.col("applicable").alias("files"))
 
 
 @query("""
@@ -475,13 +575,25 @@ def merged_kind_maps(spark, sf):
     return merged.select("user_id", F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), "|").alias("counts"))
 
 
-@query("""
-SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1)) AS duplicate_ids, (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS orphan_labels, (SELECT count(*) FROM documents WHERE n_chars <> length(text)) AS count_mismatches
+_KEYS = ["occurrence_count", "Frontier_x", "family_occurrence_count", "name", "error_count", "FILE_COUNT"]
+_NAMES = ["{urn:a}local", "plain", "{}odd"]
+_VERBS = ["HttpMethod.POST", " GET ", "x.Fetch", "a.b.PATCH"]
+_LOGS = ["Connection reset by peer", "timeout: repository not found", "all good", "HTTP 503 from proxy"]
+
+
+def _pick(values):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("o_orderkey") % len(values) + 1).cast("int"))
+
+
+@query(f"""
+WITH o AS (SELECT o_orderkey AS k, ({_KEYS})[o_orderkey % 6 + 1] AS key, ({_NAMES})[o_orderkey % 3 + 1] AS qname, ({_VERBS})[o_orderkey % 4 + 1] AS verb, ({_LOGS})[o_orderkey % 4 + 1] AS log FROM orders)
+SELECT k, key IN ('Frontier_x', 'error_count') AS operational, key IN ('occurrence_count', 'family_occurrence_count', 'FILE_COUNT') AS frequency, CASE WHEN qname = '{{urn:a}}local' THEN 'urn:a' END AS namespace, CASE qname WHEN 'plain' THEN 'plain' WHEN '{{}}odd' THEN 'odd' ELSE 'local' END AS local_name,
+       CASE verb WHEN 'HttpMethod.POST' THEN 'POST' WHEN ' GET ' THEN 'GET' WHEN 'a.b.PATCH' THEN 'PATCH' END AS method, log IN ('Connection reset by peer', 'HTTP 503 from proxy') AS transient FROM o
 """)
-def verify_documents(spark, sf):
-    """Uniqueness, foreign keys and recounts."""
-    d, lab = table(spark, sf, "documents"), table(spark, sf, "labels")
-    dup = d.groupBy("doc_id").count().filter("count > 1").agg(F.count(F.lit(1)).alias("duplicate_ids"))
-    orphan = lab.join(d.select("doc_id"), "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("orphan_labels"))
-    wrong = d.agg(F.count_if(F.col("n_chars") != F.length("text")).alias("count_mismatches"))
-    return dup.join(F.broadcast(orphan)).join(F.broadcast(wrong))  # three one-row tables
+def scalar_predicates(spark, sf):
+    """Keys, qualified names, methods and failures."""
+    o = table(spark, sf, "orders").select("o_orderkey", _pick(_KEYS).alias("key"), S.qname(_pick(_NAMES)).alias("q"), _pick(_VERBS).alias("verb"), _pick(_LOGS).alias("log"))
+    return o.select(
+        F.col("o_orderkey").alias("k"), S.is_operational_key(F.col("key")).alias("operational"), S.is_frequency_key(F.col("key")).alias("frequency"), "q.namespace", "q.local_name",
+        S.http_method(F.col("verb")).alias("method"), S.is_transient_failure(F.col("log")).alias("transient"),
+    )
