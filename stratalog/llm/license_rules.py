@@ -110,6 +110,48 @@ cecill-2.1 | cecill(?: free software)? licen[cs]e(?: agreement)?(?: (?:version |
 odbl-1.0 | open database licen[cs]e(?: (?:version |v ?)?1 0)?
 odc-by-1.0 | open data commons attribution licen[cs]e(?: (?:version |v ?)?1 0)?
 pddl-1.0 | open data commons public domain dedication(?: and licen[cs]e)?
+cern-ohl | cern open hardware licen[cs]e
+ecl-2.0 | educational community licen[cs]e(?: (?:version |v ?)?2 0)?
+eudatagrid | eu datagrid software licen[cs]e
+hpnd | historical permission notice and disclaimer
+intel | intel open source licen[cs]e
+lppl-1.3c | latex project public licen[cs]e(?: (?:version |v ?)?1 3c)?|lppl (?:version |v ?)?1 3c
+nasa-1.3 | nasa open source agreement(?: (?:version |v ?)?1 3)?
+nokia | nokia open source licen[cs]e
+ntp | ntp licen[cs]e
+oclc-2.0 | oclc research public licen[cs]e(?: 2 0)?
+rpl-1.5 | reciprocal public licen[cs]e(?: (?:version |v ?)?1 5)?
+rpsl-1.0 | realnetworks public source licen[cs]e
+simpl-2.0 | simple public licen[cs]e(?: 2 0)?
+sleepycat | sleepycat licen[cs]e|berkeley database licen[cs]e
+spl-1.0 | sun public licen[cs]e(?: (?:version |v ?)?1 0)?
+vim | vim licen[cs]e
+vsl-1.0 | vovida software licen[cs]e
+watcom-1.0 | sybase open watcom public licen[cs]e
+xnet | x net licen[cs]e
+zpl-2.1 | zope public licen[cs]e(?: (?:version |v ?)?2 1)?
+blueoak-1.0.0 | blue oak model licen[cs]e
+parity-7.0.0 | parity public licen[cs]e
+polyform-noncommercial | polyform noncommercial licen[cs]e
+polyform-small-business | polyform small business licen[cs]e
+prosperity | prosperity public licen[cs]e
+hippocratic | hippocratic licen[cs]e
+anti-capitalist | anti capitalist software licen[cs]e
+fair-source | fair source licen[cs]e|functional source licen[cs]e
+commons-clause | commons clause(?: licen[cs]e)?(?: condition)?
+freetype | freetype (?:project )?licen[cs]e
+imagemagick | imagemagick licen[cs]e
+info-zip | info zip licen[cs]e
+ijg | independent jpeg group(?: s)? (?:licen[cs]e|software)
+curl | curl licen[cs]e
+tcl | tcl tk licen[cs]e|tcl licen[cs]e
+unicode | unicode licen[cs]e agreement|unicode terms of use|unicode licen[cs]e v3
+cdla-permissive | community data licen[cs]e agreement permissive(?: (?:version |v ?)?[12] 0)?
+cdla-sharing | community data licen[cs]e agreement sharing(?: (?:version |v ?)?1 0)?
+etalab-2.0 | licence ouverte(?: (?:version |v ?)?2 0)?|etalab open licen[cs]e
+dl-de-by-2.0 | data licen[cs]e germany attribution(?: (?:version |v ?)?2 0)?
+gemma | gemma terms of use
+stability-community | stability ai community licen[cs]e
 ogl-uk-3.0 | open government licen[cs]e(?: (?:version |v ?)?3 0)?
 openrail | (?:creativeml )?openrail(?: ?m)?(?: licen[cs]e)?|(?:creativeml )?open rail(?: ?m)?(?: licen[cs]e)?
 llama-community | llama [23] (?:[0-9] )?community licen[cs]e(?: agreement)?
@@ -157,6 +199,68 @@ proprietary | proprietary and confidential
 proprietary | (?:this is|contains) proprietary (?:software|information)
 commercial | (?:under|requires|purchase) an? commercial licen[cs]e
 non-commercial | for non commercial (?:use|purposes) only
+apache-1.1 | this product includes software developed by the apache software foundation
+apache-2.0 | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+apache-2.0 | you may not use this file except in compliance with the license
+apache-2.0 | licensed to the apache software foundation asf under one or more contributor license agreements
+mit | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+mit | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+isc | permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted
+isc | the author disclaims all warranties with regard to this software
+bsd | this software is provided by the (?:copyright holders|regents|authors?|project)(?: and contributors)? as is
+bsd | redistributions in binary form must reproduce the above copyright notice
+bsd-3-clause | neither the name of [a-z0-9 ]{1,60} nor the names of its contributors
+bsd-4-clause | this product includes software developed by the university of california
+gpl | this program is distributed in the hope that it will be useful
+gpl | you should have received a copy of the gnu general public license
+lgpl | you should have received a copy of the gnu (?:lesser|library) general public license
+agpl | you should have received a copy of the gnu affero general public license
+gpl | everyone is permitted to copy and distribute verbatim copies of this license document
+gpl-2.0 | gnu general public license version 2 june 1991
+gpl-3.0 | gnu general public license version 3 29 june 2007
+lgpl-2.1 | gnu lesser general public license version 2 1 february 1999
+agpl-3.0 | gnu affero general public license version 3 19 november 2007
+gfdl | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
+mpl-2.0 | this source code form is subject to the terms of the mozilla public license
+mpl | the contents of this file are subject to the mozilla public license
+epl | this program and the accompanying materials are made available under the terms of the eclipse public license
+cddl | the contents of this file are subject to the terms of the common development and distribution license
+zlib | altered source versions must be plainly marked as such
+zlib | the origin of this software must not be misrepresented
+bsl-1.0 | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
+unlicense | anyone is free to copy modify publish use compile sell or distribute this software
+wtfpl | everyone is permitted to copy and distribute verbatim or modified copies of this license document
+cc0-1.0 | to the extent possible under law
+cc-by | you must give appropriate credit provide a link to the license
+cc-by-sa | you must distribute your contributions under the same license as the original
+cc-by-nc | you may not use the material for commercial purposes
+cc-by-nd | you may not distribute the modified material
+artistic | the intent of this document is to state the conditions under which a package may be copied
+ofl-1.1 | this font software is licensed under the sil open font license
+ofl-1.1 | the font software may not be sold by itself
+python-2.0 | this license agreement is between the python software foundation
+php-3.01 | this product includes php software freely available from
+postgresql | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement
+openssl | redistributions of any form whatsoever must retain the following acknowledgment
+ms-pl | this license governs use of the accompanying software
+sspl-1.0 | if you make the functionality of the program or a modified version available to third parties as a service
+busl-1.1 | the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use
+elastic-2.0 | you may not provide the software to third parties as a hosted or managed service
+commons-clause | the grant of rights under the license will not include and the license does not grant to you the right to sell the software
+eupl | licensed under the eupl
+json | the software shall be used for good not evil
+beerware | you can buy me a beer in return
+openrail | use based restrictions as referenced in paragraph
+llama-community | built with (?:meta )?llama
+ogl-uk-3.0 | contains public sector information licensed under the open government licen[cs]e
+proprietary | no part of this (?:publication|document|work|book) may be reproduced
+proprietary | unauthorized (?:copying|reproduction|distribution|use) of this (?:file|document|software|material)
+proprietary | for internal use only
+proprietary | may not be (?:copied|reproduced|distributed)(?: or [a-z]+)? without (?:the )?(?:prior )?(?:express )?(?:written )?(?:permission|consent)
+non-commercial | (?:may|shall|can) not be used for commercial purposes
+non-commercial | personal and non commercial use
+non-commercial | for research purposes only
+no-ai-training | may not be used to train (?:artificial intelligence|ai|machine learning|language) models?
 warranty-disclaimer | without warranty of any kind
 warranty-disclaimer | without warranties or conditions of any kind
 """
@@ -205,7 +309,7 @@ def gate_of(pattern: str) -> str:
     n = 1
     while n:
         pattern, n = re.subn(r"\([^()]*\)\??", "\0", pattern)
-    return max(re.sub(r"\[[^]]*\]\??|[^\0]\?", "\0", pattern).split("\0"), key=lambda x: (len(_COMMON.sub("", x)), len(x)))
+    return max(re.sub(r"\[[^]]*\](?:\?|\+|\{[^}]*\})?|[^\0]\?", "\0", pattern).split("\0"), key=lambda x: (len(_COMMON.sub("", x)), len(x)))
 
 
 def rules() -> list[Rule]:
