@@ -113,4 +113,8 @@ def _build(spark: SparkSession, wanted: list, folder: str, credentials: Credenti
 def summary(manifest: DataFrame) -> DataFrame:
     """Totals and overall status of a batch."""
     n = manifest.agg(F.count(F.lit(1)).alias("repositories"), F.count_if(F.col("action") == "reuse").alias("reused"), F.count_if((F.col("action") == "rebuild") & (F.col("status") == "complete")).alias("built"), F.count_if(F.col("status") == "failed").alias("failed"))
+    state = F.sha2(F.to_json(F.struct("repository_id", "repository_url", "requested_ref", "resolved_commit", "config_fingerprint", "status")), 256)
+    # a batch with the same repositories in the same state has the same fingerprint, whatever was reused
+    each = manifest.select(F.substring(state, 1, 2).alias("part"), state.alias("h")).groupBy("part").agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("h"))
+    n = n.join(F.broadcast(each.agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("fingerprint"))))  # one row each
     return n.withColumn("status", F.when(F.col("failed") == 0, "complete").when(F.col("failed") < F.col("repositories"), "partial").otherwise("failed"))

@@ -1,14 +1,14 @@
 """``spark.read.format("filetree")``: the files of one or several source trees, one row each.
 
-Spark's binary file source drops hidden files and follows links, so trees have a source of their own. The driver walks
-the directories only (names and sizes); contents are read in the tasks, in partitions of about ``partition_bytes``.
+Spark's binary file source drops hidden files and follows links, so trees have a source of their own. The driver lists
+each tree's upper levels only, until it has ``subtrees`` directories to hand out; tasks walk those and read their contents.
 Excluded directories are pruned by name in the walk; links are listed and never followed; ``.DS_Store`` and ``._*`` are
 left out. A filter on ``repo_id`` is pushed down, so that other trees are not walked. A file that can't be read is a
 row with an error and no content.
 
 Options: ``path`` with ``repo_id`` (the folder's name by default), or ``repositories`` (a JSON object from repo_id to
 path); ``excluded`` (a JSON list that replaces the default names); ``max_bytes`` (larger files come without content);
-``partition_bytes``.
+``subtrees`` (about how many partitions a tree gets at most).
 """
 
 from __future__ import annotations
@@ -24,9 +24,11 @@ from ..functions.scalars import EXCLUDED_DIRECTORIES
 SCHEMA = "repo_id string, path string, is_symlink boolean, byte_size long, content binary, error string"
 
 
-class _Chunk(InputPartition):
-    def __init__(self, files):
-        self.files = files
+class _Subtree(InputPartition):
+    """Directories of a tree: with ``deep`` all that is below them, else their own files."""
+
+    def __init__(self, repo, root, directories, deep):
+        self.repo, self.root, self.directories, self.deep = repo, root, directories, deep
 
 
 class FileTreeReader(DataSourceReader):
@@ -38,7 +40,7 @@ class FileTreeReader(DataSourceReader):
         self.trees = trees
         self.excluded = set(json.loads(options["excluded"])) if "excluded" in options else set(EXCLUDED_DIRECTORIES)
         self.max_bytes = int(options.get("max_bytes", 1 << 62))
-        self.partition_bytes = int(options.get("partition_bytes", 64 << 20))
+        self.subtrees = max(2, int(options.get("subtrees", 128)))
 
     def pushFilters(self, filters):
         for f in filters:
@@ -49,19 +51,22 @@ class FileTreeReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        chunks, here, n = [], [], 0
+        out = []
         for repo, root in sorted(self.trees.items()):
-            for path, size in walk(root, self.excluded):
-                if here and n + size > self.partition_bytes:
-                    chunks.append(_Chunk(here))
-                    here, n = [], 0
-                here.append((repo, root, path))
-                n += size
-        return [*chunks, *([_Chunk(here)] if here else [])] or [_Chunk([])]
+            above, open_ = [], [""]
+            while open_ and len(open_) < self.subtrees // 2:  # a level at a time
+                below = [d for x in open_ for d in subdirectories(root, x, self.excluded)]
+                above += open_
+                open_ = below
+            out.append(_Subtree(repo, root, above, False))
+            n = min(self.subtrees, len(open_))
+            out += [_Subtree(repo, root, open_[k::n], True) for k in range(n)]
+        return out or [_Subtree("", "", [], False)]
 
     def read(self, partition):
-        for repo, root, path in partition.files:
-            yield repo, path, *read_file(root, path, self.max_bytes)
+        for top in partition.directories:
+            for path, _ in walk(partition.root, self.excluded, top, partition.deep):
+                yield partition.repo, path, *read_file(partition.root, path, self.max_bytes)
 
 
 def read_file(root: str, path: str, max_bytes: int) -> tuple:
@@ -80,12 +85,18 @@ def read_file(root: str, path: str, max_bytes: int) -> tuple:
         return False, None, None, type(e).__name__
 
 
-def walk(root: str, excluded: set[str]):
-    """(relative path with slashes, size) of a tree's files, sorted by path."""
+def subdirectories(root: str, below: str, excluded: set[str]) -> list[str]:
+    """Directories in one directory of a tree, as paths from its root; links and excluded ones are none."""
+    with os.scandir(os.path.join(root, below)) as found:
+        return sorted(os.path.join(below, d.name) for d in found if d.name not in excluded and d.is_dir(follow_symlinks=False))
+
+
+def walk(root: str, excluded: set[str], below: str = "", deep: bool = True):
+    """(relative path with slashes, size) of a tree's files, sorted by path; of one directory of it, or with what is under it."""
     found = []
-    for top, dirs, names in os.walk(root, followlinks=False):
+    for top, dirs, names in os.walk(os.path.join(root, below), followlinks=False):
         linked = [d for d in dirs if os.path.islink(os.path.join(top, d)) and d not in excluded]
-        dirs[:] = [d for d in dirs if d not in excluded and d not in linked]
+        dirs[:] = [d for d in dirs if d not in excluded and d not in linked] if deep else []
         for name in [*names, *linked]:
             if name == ".DS_Store" or name.startswith("._"):
                 continue

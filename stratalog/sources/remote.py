@@ -36,7 +36,7 @@ class Credentials:
     token_env: str = "GIT_TOKEN"
     user_env: str = "GIT_USERNAME"
     password_env: str = "GIT_PASSWORD"
-    mode: str = "auto"  # auto, none, token, basic
+    mode: str = "auto"  # auto, none, token, basic; helper and ssh leave it to git's own credential helper or keys
 
     def header(self) -> str | None:
         """Authorization value. ``auto`` refuses a half-given pair and a choice between both kinds."""
@@ -47,8 +47,10 @@ class Credentials:
                 raise ValueError("user name and password are given only in part")
             if token and user:
                 raise ValueError("both a token and a password are given; choose one")
-        if self.mode == "none" or self.mode == "auto" and not (token or user):
+        if self.mode in ("none", "helper", "ssh") or self.mode == "auto" and not (token or user):
             return None
+        if self.mode not in ("auto", "token", "basic"):
+            raise ValueError(f"unknown mode: {self.mode}")
         if self.mode == "token" or self.mode == "auto" and token:
             if not token:
                 raise ValueError("the token is missing")
