@@ -67,7 +67,7 @@ def build(spark: SparkSession, repositories: dict[str, str], folder: str, exclud
     """Scans trees and writes the artifact's tables; every file is read and parsed once."""
     guard(repositories, folder)
     filetree.register(spark)
-    reader = spark.read.format("filetree").option("repositories", json.dumps(repositories))
+    reader = spark.read.format("filetree").option("repositories", json.dumps(repositories)).option("subtrees", str(4 * spark.sparkContext.defaultParallelism))
     if excluded is not None:
         reader = reader.option("excluded", json.dumps(excluded))
     return store(spark, reader.load(), folder, sorted(repositories))

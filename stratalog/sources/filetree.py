@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import os
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
@@ -64,9 +65,24 @@ class FileTreeReader(DataSourceReader):
         return out or [_Subtree("", "", [], False)]
 
     def read(self, partition):
+        rows, held = [], 0
         for top in partition.directories:
             for path, _ in walk(partition.root, self.excluded, top, partition.deep):
-                yield partition.repo, path, *read_file(partition.root, path, self.max_bytes)
+                rows.append((partition.repo, path, *read_file(partition.root, path, self.max_bytes)))
+                held += len(rows[-1][4] or b"")
+                if len(rows) >= 1000 or held >= 8 << 20:
+                    yield batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch(rows)
+
+
+_ARROW = [("repo_id", pa.string()), ("path", pa.string()), ("is_symlink", pa.bool_()), ("byte_size", pa.int64()), ("content", pa.binary()), ("error", pa.string())]
+
+
+def batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of the source's schema as an Arrow batch."""
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows), _ARROW)], [n for n, _ in _ARROW])
 
 
 def read_file(root: str, path: str, max_bytes: int) -> tuple:

@@ -20,7 +20,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -202,14 +201,9 @@ class Checkout:
 def checkout_rows(credentials: Credentials, excluded: list[str] | None = None, max_bytes: int = 1 << 62):
     """Files of repositories (repo_id, url, ref), one checkout at a time in the task that reads it; it is gone when its rows
     are out. A repository that fails gives one row without a path, with the masked message as its error."""
-    from .filetree import EXCLUDED_DIRECTORIES, SCHEMA, read_file, walk
+    from .filetree import EXCLUDED_DIRECTORIES, batch, read_file, walk
 
     skip = set(EXCLUDED_DIRECTORIES if excluded is None else excluded)
-    kinds = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64(), "binary": pa.binary()}
-    fields = [f.split() for f in SCHEMA.split(", ")]
-
-    def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), fields)], [n for n, _ in fields])
 
     def run(batches):
         for b in batches:
