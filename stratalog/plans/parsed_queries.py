@@ -74,7 +74,7 @@ SELECT 'n' || s_nationkey AS repo_id, 'GET' AS method, '/s/' || s_suppkey AS pat
 UNION ALL SELECT 'n' || s_nationkey, 'POST', '/s/' || s_suppkey, 'resolved', 'Gone', '[]' FROM supplier
 UNION ALL SELECT 'n' || s_nationkey, 'DELETE', '/s/' || s_suppkey, 'resolved', NULL, NULL FROM supplier
 """)
-def openapi_boundaries(spark, sf):
+def inbound_openapi(spark, sf):
     """Inbound operations of OpenAPI files with payloads."""
     s = table(spark, sf, "supplier")
     get = '{"responses": {"404": {}, "200": {"content": {"text/csv": {"schema": {"title": "No"}}, "application/json": {"schema": {"$ref": "#/components/schemas/Item"}}}}}}'
