@@ -10,6 +10,7 @@ import sys
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="stratalog")
+    p.add_argument("--pretty", action="store_true", help="indented rows with sorted keys")
     sub = p.add_subparsers(dest="command", required=True)
 
     def add(name, *args):
@@ -43,16 +44,16 @@ def session():
     return SparkSession.builder.appName("stratalog").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def _show(df) -> None:
-    """All rows, as JSON lines, a partition at a time; their number goes to stderr."""
+def _show(df, pretty: bool = False) -> None:
+    """All rows, as JSON lines or indented, a partition at a time; their number goes to stderr."""
     n = 0
     for n, r in enumerate(df.toJSON().toLocalIterator(), 1):
-        print(r)
+        print(json.dumps(json.loads(r), ensure_ascii=False, sort_keys=True, indent=2) if pretty else r)
     print(f"{n} rows", file=sys.stderr)
 
 
-def _verdict(wrong) -> str:
-    _show(wrong)
+def _verdict(show, wrong) -> str:
+    show(wrong)
     return "failed" if wrong.head(1) else "complete"
 
 
@@ -63,51 +64,52 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
     a = _parser().parse_args(argv)
     spark = spark or session()
+    show = lambda df: _show(df, a.pretty)
     status = "complete"
     if a.command == "build":
         repo = a.repo_id or os.path.basename(os.path.abspath(a.repository))
         t = build.build(spark, {repo: a.repository}, a.output, a.exclude)
-        _show(t["probe_status"])
+        show(t["probe_status"])
         status = "partial" if t["probe_status"].filter("status <> 'complete'").head(1) else "complete"
     elif a.command == "verify":
-        status = _verdict(build.verify_artifact(spark, a.artifact))
+        status = _verdict(show, build.verify_artifact(spark, a.artifact))
     elif a.command == "verify-reduced":
-        status = _verdict(build.verify_reduced(spark, a.reduced, a.artifact))
+        status = _verdict(show, build.verify_reduced(spark, a.reduced, a.artifact))
     elif a.command == "verify-concept-candidates":
-        status = _verdict(build.verify_candidates(spark, a.concepts, a.reduced))
+        status = _verdict(show, build.verify_candidates(spark, a.concepts, a.reduced))
     elif a.command == "verify-concept-index":
-        status = _verdict(build.verify_index(spark, a.concepts))
+        status = _verdict(show, build.verify_index(spark, a.concepts))
     elif a.command == "reduce":
-        _show(build.reduce_tables(spark, a.artifact, a.output)["counts"])
+        show(build.reduce_tables(spark, a.artifact, a.output)["counts"])
     elif a.command == "classify-concepts":
-        _show(build.classify_tables(spark, a.reduced, a.output))
+        show(build.classify_tables(spark, a.reduced, a.output))
     elif a.command == "build-concept-index":
-        _show(build.build_index(spark, a.concepts))
+        show(build.build_index(spark, a.concepts))
     elif a.command == "candidates":
-        _show(classify.lookup(build.read(spark, a.concepts, "candidates"), a.concept, a.min_strength, a.mechanism))
+        show(classify.lookup(build.read(spark, a.concepts, "candidates"), a.concept, a.min_strength, a.mechanism))
     elif a.command == "export-selected":
         ids = list(a.evidence_id)
         if a.request:
             with open(a.request, encoding="utf-8") as f:
                 ids += json.load(f)["evidence_ids"]
         n = build.export_selected(spark, a.artifact, ids, a.output, a.reduced, a.context_lines)
-        _show(n)
+        show(n)
         status = n.first()["status"]
     elif a.command == "verify-export":
-        status = _verdict(export.verify_pack(spark, a.pack, build.read(spark, a.artifact, "files") if a.artifact else None))
+        status = _verdict(show, export.verify_pack(spark, a.pack, build.read(spark, a.artifact, "files") if a.artifact else None))
     elif a.command == "cas-index":
-        _show(build.read(spark, a.artifact, "cas_index"))
+        show(build.read(spark, a.artifact, "cas_index"))
     elif a.command == "boundaries":
-        _show(build.read(spark, a.artifact, f"boundaries_{a.protocol}"))
+        show(build.read(spark, a.artifact, f"boundaries_{a.protocol}"))
     elif a.command in ("discover-project", "discover-organization"):
         pages = remote.project_pages(a.base, a.project) if a.command.endswith("project") else remote.organization_pages(a.base, a.organization)
-        _show(remote.repositories_table(spark, pages))
+        show(remote.repositories_table(spark, pages))
     elif a.command == "batch":
         found = [{"repository_name": u.rstrip("/").rsplit("/", 1)[-1].removesuffix(".git"), "clone_url": u, "scope_key": "batch"} for u in a.urls.split(",")]
         repos = remote.repositories_table(spark, found, a.ref)
         chosen = batch.select(repos, remote.read_selectors(spark, a.selectors) if a.selectors else None, a.repository_limit)
         s = batch.summary(batch.run(spark, chosen, a.output))
-        _show(s)
+        show(s)
         status = s.first()["status"]
     return {"complete": 0, "partial": 2}.get(status, 1)
 

@@ -97,6 +97,23 @@ def _strength(concept: str, found: Column) -> Column:
     return out.otherwise("not_observed")
 
 
+def _rule(concept: str, found: Column) -> Column:
+    """Which strength rule decided, in words: how many of which signals."""
+    out = None
+    for name, *conditions in STRENGTH_RULES[concept]:
+        words = name + ": " + " and ".join(f"{least} of {', '.join(ids)}" for least, ids in conditions)
+        ok = F.lit(True)
+        for least, ids in conditions:
+            ok = ok & (F.size(F.array_intersect(found, F.array(*[F.lit(x) for x in ids]))) >= least)
+        out = F.when(ok, words) if out is None else out.when(ok, words)
+    return out.otherwise("no configured signal was observed")
+
+
+def basis_rows(candidates: DataFrame, found: DataFrame) -> DataFrame:
+    """What each candidate rests on: a row per signal with its mechanism, counts and evidence sample."""
+    return candidates.select("repo_id", "concept", F.explode("signals").alias("signal_id")).join(found, ["repo_id", "signal_id"]).drop("concepts")
+
+
 def concept_signals(concept: str) -> list[str]:
     return sorted({x for _, *conditions in STRENGTH_RULES[concept] for _, ids in conditions for x in ids})
 
@@ -112,12 +129,12 @@ def concept_candidates(repositories: DataFrame, found: DataFrame) -> DataFrame:
     each = []
     for c in CONCEPTS:
         own = F.array_sort(F.array_intersect(have, F.array(*[F.lit(x) for x in concept_signals(c)])))
-        each.append(F.struct(F.lit(c).alias("concept"), _strength(c, have).alias("strength"), own.alias("signals")))
+        each.append(F.struct(F.lit(c).alias("concept"), _strength(c, have).alias("strength"), own.alias("signals"), _rule(c, have).alias("rule_basis")))
     rows = base.select("repo_id", "mech", F.explode(F.array(*each)).alias("c")).select("repo_id", "mech", "c.*")
     mechs = F.array_sort(F.array_distinct(F.filter(F.transform("signals", lambda s: F.try_element_at(F.col("mech"), s)), lambda m: m.isNotNull() & (m != ""))))
     return rows.select(
         "repo_id", "concept", "strength", F.when(F.col("strength") == "not_observed", "not_observed").otherwise("candidate").alias("status"),
-        "signals", mechs.alias("mechanisms"), F.lit(False).alias("absence_proven"),
+        "signals", mechs.alias("mechanisms"), "rule_basis", F.lit(False).alias("absence_proven"),
     )
 
 

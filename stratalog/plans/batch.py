@@ -9,17 +9,24 @@ import subprocess
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import EXCLUDED_DIRECTORIES
 from ..operators import scan
 from ..operators.relational import match_selectors, reuse_decision
 from ..sources.remote import Credentials, checkouts, remote_commit
 from ..tables import written
 from . import build as B
 
-MANIFEST = "repository_id string, repository_url string, requested_ref string, resolved_commit string, config_fingerprint string, status string, action string, reason string, message string"
-SAME = ["resolved_commit", "repository_url", "requested_ref", "config_fingerprint"]
+MANIFEST = "repository_id string, repository_url string, requested_ref string, resolved_commit string, scope_fingerprint string, config_fingerprint string, status string, action string, reason string, message string"
+SAME = ["resolved_commit", "repository_url", "requested_ref", "scope_fingerprint", "config_fingerprint"]
+
+
+def scope_fingerprint(excluded=None, **_) -> str:
+    """Of what decides which files are looked at."""
+    return config_fingerprint(excluded=sorted(EXCLUDED_DIRECTORIES if excluded is None else excluded))
 
 
 def config_fingerprint(**config) -> str:
+    """Of everything that decides the result."""
     return hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()
 
 
@@ -67,17 +74,17 @@ def run(spark: SparkSession, repositories: DataFrame, folder: str, credentials:
     a repository counts as complete only when its tables are written; a build that breaks off is recorded for all of
     its repositories before the error goes on.
     """
-    mark = config_fingerprint(contract=B.CONTRACT, **config)
+    scope, mark = scope_fingerprint(**config), config_fingerprint(contract=B.CONTRACT, **config)
     rows, done = [], []
     for r in repositories.collect():
         try:
-            rows.append((r.repository_id, r.repository_url, r.requested_ref, remote_commit(r.repository_url, r.requested_ref, credentials), mark, True))
+            rows.append((r.repository_id, r.repository_url, r.requested_ref, remote_commit(r.repository_url, r.requested_ref, credentials), scope, mark, True))
         except (RuntimeError, ValueError, subprocess.SubprocessError) as e:
-            done.append((r.repository_id, r.repository_url, r.requested_ref, None, mark, "failed", "rebuild", "ref_not_resolved", credentials.mask(str(e))))
-    now = spark.createDataFrame(rows, "repository_id string, repository_url string, requested_ref string, resolved_commit string, config_fingerprint string, intact boolean")
+            done.append((r.repository_id, r.repository_url, r.requested_ref, None, scope, mark, "failed", "rebuild", "ref_not_resolved", credentials.mask(str(e))))
+    now = spark.createDataFrame(rows, "repository_id string, repository_url string, requested_ref string, resolved_commit string, scope_fingerprint string, config_fingerprint string, intact boolean")
     # what is known before the new manifest replaces the old one
     decided = reuse_decision(now, previous(spark, folder), "repository_id", [*SAME, "intact"]).orderBy("repository_id").collect()
-    base = lambda r: (r.repository_id, r.repository_url, r.requested_ref, r.resolved_commit, mark)
+    base = lambda r: (r.repository_id, r.repository_url, r.requested_ref, r.resolved_commit, scope, mark)
     done += [(*base(r), "complete", "reuse", r.reason, None) for r in decided if r.action == "reuse"]
     wanted = [r for r in decided if r.action == "rebuild"]
     reason = lambda r: "stored_repository_not_intact" if r.reason == "intact_changed" else r.reason

@@ -163,6 +163,7 @@ def classify_tables(spark: SparkSession, reduced: str, out: str) -> DataFrame:
     write(classify.signals(ids), out, "signals")
     repos = read(spark, reduced, "counts").select("repo_id")
     write(classify.concept_candidates(repos, read(spark, out, "signals")), out, "candidates")
+    write(classify.basis_rows(read(spark, out, "candidates"), read(spark, out, "signals")), out, "basis")
     write(validate.lineage({n: read(spark, reduced, n) for n in CLASSIFIED_FROM}), out, "lineage")
     build_index(spark, out)
     return read(spark, out, "candidates")

@@ -356,6 +356,16 @@ def concept_strength(spark, sf):
     return _candidates(spark, sf).select("repo_id", "concept", "strength", "status", F.array_join("signals", ",").alias("signals"))
 
 
+@query(f"""WITH {_CANDS}, o AS (SELECT 'repo' || o_custkey AS repo_id, [{_S}][o_orderkey % {len(_SIGNALS)} + 1] AS signal_id, count(*) AS n FROM orders GROUP BY ALL)
+SELECT repo_id, concept, signal_id, n AS occurrence_count FROM (SELECT repo_id, concept, unnest(signals) AS signal_id FROM c) JOIN o USING (repo_id, signal_id)""")
+def candidate_basis(spark, sf):
+    """The signals that each candidate rests on."""
+    named = _found_signals(spark, sf)
+    k = F.col("o_orderkey") % len(_SIGNALS) + 1
+    n = table(spark, sf, "orders").groupBy(F.concat(F.lit("repo"), F.col("o_custkey").cast("string")).alias("repo_id"), F.element_at(F.array(*[F.lit(v) for v in _SIGNALS]), k.cast("int")).alias("signal_id")).agg(F.count(F.lit(1)).alias("occurrence_count"))
+    return C.basis_rows(_candidates(spark, sf), named.drop("mechanism").join(n, ["repo_id", "signal_id"]).withColumn("concepts", F.lit(None))).select("repo_id", "concept", "signal_id", "occurrence_count")
+
+
 @query(f"WITH {_CANDS} SELECT concept, " + ", ".join(f"count(*) FILTER (strength = '{s}') AS {s}" for s in C.STRENGTHS) + " FROM c GROUP BY 1")
 def strength_pivot(spark, sf):
     """Index summary with zeros."""
