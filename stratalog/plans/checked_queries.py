@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import classify, export, reduce, validate
-from ..tables import shared_dir, written
+from ..tables import scratch, written
 from .registry import query, table
 
 
@@ -139,11 +139,9 @@ def lineage_states(spark, sf):
 @query("SELECT c_mktsegment AS repo_id, count(*) AS files, max(CASE WHEN c_mktsegment = 'BUILDING' THEN 'again' ELSE 'first' END) AS version FROM customer WHERE c_mktsegment <> 'MACHINERY' GROUP BY 1")
 def artifact_replace(spark, sf):
     """Stored tables: a repository written again replaces its partition only, one without rows goes."""
-    import uuid
-
     from . import build
 
-    at = f"{shared_dir(spark)}/stratalog-{uuid.uuid4().hex}/artifact"
+    at = scratch(spark, "artifact")
     c = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("repo_id"), "c_custkey")
     build.write(c.withColumn("version", F.lit("first")), at, "files", [r[0] for r in c.select("repo_id").distinct().collect()])
     build.write(c.filter("repo_id = 'BUILDING'").withColumn("version", F.lit("again")), at, "files", ["BUILDING", "MACHINERY"])

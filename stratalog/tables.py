@@ -20,12 +20,17 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dir[0]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written and read again; the table goes when the session's JVM ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; it goes when the session's JVM ends."""
     path = f"{shared_dir(spark)}/stratalog-{uuid.uuid4().hex}/{name}"
     sc = spark.sparkContext
     top = sc._jvm.org.apache.hadoop.fs.Path(path).getParent()
     top.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(top)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table: it cuts the lineage, survives lost executors and is computed once."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
