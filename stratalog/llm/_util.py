@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import workers
+from ..tables import scratch, shared_dir, written
 
 #: Rows of fixed width (at most about 100 bytes) that a broadcast side may have.
 BROADCAST_ROWS = 100_000
@@ -17,7 +15,7 @@ BROADCAST_ROWS = 100_000
 #: 150 MB in each worker.
 BATCH_ROWS = 2_000
 
-_own_dir: list[str] = []
+__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "documents", "id_type", "scratch", "shared_dir", "ship", "small_side", "texts", "written"]
 
 
 def ship(spark: SparkSession) -> None:
@@ -27,33 +25,6 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); one of our own only where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="stratalog-"))
-    return "file://" + _own_dir[0]
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it goes when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/stratalog-{uuid.uuid4().hex}/{name}"
-    sc = spark.sparkContext
-    top = sc._jvm.org.apache.hadoop.fs.Path(path).getParent()
-    top.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(top)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table: it cuts the lineage, survives lost executors and is computed once."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (a written table of narrow rows) with a broadcast hint if it has few enough rows.
 
