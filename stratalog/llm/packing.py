@@ -23,6 +23,8 @@ from ._util import documents, id_type, ship
 #: Rows that a packing task gets, about. Each task leaves its open bins as they are at its end.
 ROWS_PER_TASK = 400_000
 OPEN_BINS = 2048
+#: Entries of a worker's dictionary of chunks, some 150 bytes each; beyond them it starts afresh.
+MAX_CHUNKS = 200_000
 
 # The tokenizer settings whose pre-tokens the dictionary below knows.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -59,7 +61,7 @@ class ChunkEncoder:
     goes to the tokenizer whole.
     """
 
-    def __init__(self, path: str, max_chunks: int = 200_000):
+    def __init__(self, path: str, max_chunks: int = MAX_CHUNKS):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -104,15 +106,16 @@ class ChunkEncoder:
             return b"".join([known[c] if c in known else make(c) for c in split])
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, max_chunks: int) -> ChunkEncoder:
     if _state.get("path") != path:
         _state.update(path=path, enc=ChunkEncoder(path))
+    _state["enc"].max_chunks = max_chunks
     return _state["enc"]
 
 
-def _cut(path: str, limit: int, end_id: int):
+def _cut(path: str, limit: int, end_id: int, max_chunks: int):
     def run(batches):
-        enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(path, max_chunks), np.array([end_id], "<u4").tobytes()
         width = limit * 4
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
@@ -183,7 +186,7 @@ def _pack_task(limit: int, open_bins: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int = 1, open_bins: int = OPEN_BINS, rows_per_task: int = ROWS_PER_TASK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int = 1, open_bins: int = OPEN_BINS, rows_per_task: int = ROWS_PER_TASK, max_chunks: int = MAX_CHUNKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and ``end_id``; one longer than ``limit`` is cut into pieces of ``limit``, the last may be
@@ -194,7 +197,7 @@ def pack(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int =
     ship(docs.sparkSession)
     kind = id_type(docs, id_col)
     two = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = two.mapInArrow(_cut(tokenizer_path, limit, end_id), f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    rows = two.mapInArrow(_cut(tokenizer_path, limit, end_id, max_chunks), f"id {kind}, piece int, start long, length long, ids_crc32 long")
     tasks = max(1, -(-docs.count() // rows_per_task))
     # dealt in turn, so that repeated rows do not meet in one task
     dealt = rows.repartition(tasks).sortWithinPartitions(F.xxhash64("id", "piece", "ids_crc32"), "id", "piece")
@@ -205,4 +208,4 @@ def pack(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int =
 def query(spark, sf_dir):
     import public_tokenizers
 
-    return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), max_chunks=400_000)

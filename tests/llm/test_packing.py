@@ -77,7 +77,7 @@ def test_whole_table(spark, sf):
 def test_several_tasks_and_few_bins(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    verify(pack(docs, PATH, rows_per_task=50, open_bins=3).collect(), rows, 4096)
+    verify(pack(docs, PATH, rows_per_task=50, open_bins=3, max_chunks=100).collect(), rows, 4096)
 
 
 def test_empty_table(spark):
