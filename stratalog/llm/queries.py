@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, license_scan, line_dedup, packing, quality, simhash, token_count, warc
+from . import decontaminate, exact_dedup, langid, license_scan, line_dedup, packing, quality, simhash, sketch, token_count, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_decontamination": decontaminate.query,
     "op9_simhash_near_dedup": simhash.query,
     "op10_language_id": langid.query,
+    "op13_scaled_sketch": sketch.query,
 }
 
 SQL = {
     "op2_warc": warc.SQL,
     "op4_line_dedup": line_dedup.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
+    "op13_scaled_sketch": sketch.SQL,
 }
