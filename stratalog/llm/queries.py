@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, decontaminate, exact_dedup, langid, license_scan, line_dedup, packing, quality, simhash, sketch, token_count, warc
+from . import alignment, conversations, decontaminate, exact_dedup, langid, license_scan, line_dedup, packing, quality, simhash, sketch, token_count, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.query,
     "op9_simhash_near_dedup": simhash.query,
     "op10_language_id": langid.query,
+    "op11_conversation_repair": conversations.query,
     "op12_token_alignment": alignment.query,
     "op13_scaled_sketch": sketch.query,
 }
