@@ -111,6 +111,9 @@ def _build(out: _Out, name: str, ext: str, text: str) -> None:
     if ext in (".properties", ".conf", ".toml"):
         for key, value in P.config_items(ext, text):
             section, _, last = key.rpartition(".")
+            if isinstance(value, dict) and value["kind"] == "include":
+                out.fact("config_facts", "include", value["target"], {}, extra={"prefix": key, **value})
+                continue
             there = value is not None and value != ""
             # the value itself is never kept
             d = {"format": ext[1:], "section": section or None, "key": last or key, "full_key": key, "value_present": there, "value_fingerprint": _sha(value) if there else None}

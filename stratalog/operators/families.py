@@ -16,7 +16,7 @@ from .relational import worst_status
 STATUS_RANK = {"complete": 0, "not_applicable": 0, "partial": 1, "failed": 2, "not_evaluated": 2}
 
 #: Sections that are no observations.
-SIDE_SECTIONS = ("diagnostics", "probe_status", "scalar_properties", "http_facts", "kafka_facts", "java_facts")
+SIDE_SECTIONS = ("diagnostics", "probe_status", "scalar_properties", "http_facts", "kafka_facts", "java_facts", "config_facts")
 
 #: Which probe's coverage a section has.
 PROBE_OF = {"structured_families": "structured", "source_formats": "structured", "xml_observations": "xml", "dependencies": "build_config", "config_keys": "build_config", "sql_statements": "sql", "import_namespaces": "java", "annotations": "java", "api_calls": "java"}

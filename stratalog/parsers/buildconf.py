@@ -94,7 +94,8 @@ _PLACE = re.compile(r"[ \t]*(\n)?")
 def hocon_items(text: str) -> list[tuple[str, object]]:
     """Dotted keys and a description of each value: a scalar, array, substitution or concatenation.
 
-    Objects are entered, lists are one value. ``include`` is a gap, since the included file is not read.
+    Objects are entered, lists are one value. An include is an item whose key is where its keys belong and whose value names
+    the file; it is not read here.
     """
     tokens, at = [], 0
     while at < len(text):
@@ -128,6 +129,20 @@ def hocon_items(text: str) -> list[tuple[str, object]]:
             i += 1
         return parts or fail("a key is missing")
 
+    def included():
+        """``include "x"``, ``include file("x")`` and such, also in ``required(...)``; None where include is a key."""
+        nonlocal i
+        at, how, required = i + 1, "heuristic", False
+        while tokens[at][0] == "plain" and (m := re.fullmatch(r"(required\()?(?:(file|url|classpath)\()?", tokens[at][1])) and m[0]:
+            how, required, at = m[2] or how, required or bool(m[1]), at + 1
+        if tokens[at][0] != "string":
+            return None
+        target, at = tokens[at][1][1:-1], at + 1
+        while tokens[at][0] == "plain" and set(tokens[at][1]) == {")"} and not tokens[at][2]:
+            at += 1
+        i = at
+        return {"kind": "include", "target": target, "how": how, "required": required}
+
     def array():
         nonlocal i
         i += 1
@@ -182,8 +197,10 @@ def hocon_items(text: str) -> list[tuple[str, object]]:
             if kind == "sign" and text_ == ",":
                 i += 1
                 continue
-            if kind == "plain" and text_ == "include":
-                fail("include is not followed")
+            if kind == "plain" and text_ == "include" and (target := included()):
+                if path is not None:
+                    out.append((".".join(path), target))
+                continue
             parts = key()
             below = (*path, *parts) if path is not None else None
             kind, text_, _ = peek()

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import boundaries, facts, families, scan
+from ..operators import boundaries, config, facts, families, scan
 from ..tables import written
 from .registry import query, table
 
@@ -108,6 +108,32 @@ def formats_and_gaps(spark, sf):
     return seen.unionByName(gaps).groupBy("repo_id", "outcome").agg(F.sum("n").alias("files"))
 
 
+@query("""
+WITH RECURSIVE f AS (SELECT s_suppkey % 3 AS r, s_suppkey AS k FROM supplier),
+e AS (SELECT r, k, CASE WHEN k % 12 >= 3 THEN k - 3 WHEN k % 12 = 1 THEN k + 9 END AS t, 'p' || k % 2 AS p FROM f),
+d AS (SELECT e.*, EXISTS (FROM f WHERE f.k = e.t) AS have FROM e),
+c AS (SELECT r, k, t AS i, p AS prefix, 1 AS depth, [k, t] AS way, 'resolved' AS status FROM d WHERE have
+  UNION ALL SELECT c.r, c.k, d.t, c.prefix || '.' || d.p, c.depth + 1, list_append(c.way, d.t), CASE WHEN list_contains(c.way, d.t) THEN 'cycle' ELSE 'resolved' END FROM c JOIN d ON d.k = c.i AND d.have WHERE c.status = 'resolved'),
+u AS (SELECT r, k, 'own' AS key, k AS i, 0 AS depth FROM f UNION ALL SELECT r, k, prefix || '.own', i, depth FROM c WHERE status = 'resolved'
+  UNION ALL SELECT r, k, 'missing' AS key, NULL, 1 FROM d WHERE NOT have UNION ALL SELECT r, k, 'cycle ' || prefix, i, depth FROM c WHERE status = 'cycle')
+SELECT 'r' || r AS repo_id, 'conf/' || k || '.conf' AS path, key, 'conf/' || i || '.conf' AS declared_in, depth FROM u
+""")
+def config_includes(spark, sf):
+    """Keys of HOCON files with those of the files that they include, over chains and cycles; missing targets."""
+    s = table(spark, sf, "supplier")
+    k = F.col("s_suppkey")
+    target = F.when(k % 12 >= 3, k - 3).when(k % 12 == 1, k + 9).otherwise(F.lit(-1)).cast("string")
+    body = text("own = 1\np", k % 2, ' { include file("', F.when(k % 4 == 0, "./").otherwise("../conf/"), target, F.when(k % 5 == 0, "").otherwise(".conf"), '") }\n')
+    files = files_of(s, text("r", k % 3), text("conf/", k, ".conf"), body)
+    fact = parsed(files)
+    direct = written(config.includes(fact, files), "includes")
+    closure = written(config.include_closure(direct), "closure")
+    keys = config.effective_keys(fact, closure)
+    lost = direct.filter("status = 'missing'").select("repo_id", "path", F.lit("missing").alias("key"), F.col("included").alias("declared_in"), F.lit(1).alias("depth"))
+    back = closure.filter("status = 'cycle'").select("repo_id", "path", F.concat(F.lit("cycle "), "prefix").alias("key"), F.col("included").alias("declared_in"), "depth")
+    return keys.unionByName(lost).unionByName(back)
+
+
 @query("""
 WITH o AS (SELECT lower(o_orderpriority[1:1]) AS repo_id, o_orderkey % 5 AS n FROM orders)
 SELECT repo_id, kind AS observation_kind, label AS family_label, CAST(sum(c) AS BIGINT) AS occurrence_count, count(*) AS file_count FROM (
@@ -160,15 +186,43 @@ def config_keys(spark, sf):
 
 
 @query("""
-WITH o AS (SELECT lower(o_orderpriority[1:1]) AS repo_id, o_orderkey % 3 AS n, o_orderkey % 7 = 0 AS odd, o_orderkey % 11 = 0 AS cut FROM orders),
-k AS (SELECT repo_id, unnest(['select', 'insert', 'command']) AS statement_type, unnest([n + 1, 1, odd::INT + cut::INT]) AS c, CASE WHEN odd OR cut THEN 1 ELSE 0 END AS bad FROM o)
+WITH RECURSIVE f AS (SELECT s_suppkey % 3 AS r, s_suppkey AS k FROM supplier),
+e AS (SELECT r, k, CASE WHEN k % 12 >= 3 THEN k - 3 WHEN k % 12 = 1 THEN k + 9 END AS t, 'p' || k % 2 AS p FROM f),
+d AS (SELECT e.*, EXISTS (FROM f WHERE f.k = e.t) AS have FROM e),
+c AS (SELECT r, k, t AS i, p AS prefix, 1 AS depth, [k, t] AS way, 'resolved' AS status FROM d WHERE have
+  UNION ALL SELECT c.r, c.k, d.t, c.prefix || '.' || d.p, c.depth + 1, list_append(c.way, d.t), CASE WHEN list_contains(c.way, d.t) THEN 'cycle' ELSE 'resolved' END FROM c JOIN d ON d.k = c.i AND d.have WHERE c.status = 'resolved'),
+u AS (SELECT r, k, 'own' AS key, k AS i, 0 AS depth FROM f UNION ALL SELECT r, k, prefix || '.own', i, depth FROM c WHERE status = 'resolved'
+  UNION ALL SELECT r, k, 'missing' AS key, NULL, 1 FROM d WHERE NOT have UNION ALL SELECT r, k, 'cycle ' || prefix, i, depth FROM c WHERE status = 'cycle')
+SELECT 'r' || r AS repo_id, 'conf/' || k || '.conf' AS path, key, 'conf/' || i || '.conf' AS declared_in, depth FROM u
+""")
+def config_includes(spark, sf):
+    """Keys of HOCON files with those of the files that they include, over chains and cycles; missing targets."""
+    s = table(spark, sf, "supplier")
+    k = F.col("s_suppkey")
+    target = F.when(k % 12 >= 3, k - 3).when(k % 12 == 1, k + 9).otherwise(F.lit(-1)).cast("string")
+    body = text("own = 1\np", k % 2, ' { include file("', F.when(k % 4 == 0, "./").otherwise("../conf/"), target, F.when(k % 5 == 0, "").otherwise(".conf"), '") }\n')
+    files = files_of(s, text("r", k % 3), text("conf/", k, ".conf"), body)
+    fact = parsed(files)
+    direct = written(config.includes(fact, files), "includes")
+    closure = written(config.include_closure(direct), "closure")
+    keys = config.effective_keys(fact, closure)
+    lost = direct.filter("status = 'missing'").select("repo_id", "path", F.lit("missing").alias("key"), F.col("included").alias("declared_in"), F.lit(1).alias("depth"))
+    back = closure.filter("status = 'cycle'").select("repo_id", "path", F.concat(F.lit("cycle "), "prefix").alias("key"), F.col("included").alias("declared_in"), "depth")
+    return keys.unionByName(lost).unionByName(back)
+
+
+@query("""
+WITH o AS (SELECT lower(o_orderpriority[1:1]) AS repo_id, o_orderkey % 3 AS n, o_orderkey % 7 = 0 AS odd, o_orderkey % 11 = 0 AS cut, o_orderkey % 5 = 0 AS nest, o_orderkey % 13 = 0 AS lost FROM orders),
+k AS (SELECT repo_id, unnest(['select', 'insert', 'union', 'subquery', 'merge', 'command']) AS statement_type, unnest([n + 1 + lost::INT * 2, 1, nest::INT, nest::INT, nest::INT, odd::INT + cut::INT]) AS c, CASE WHEN odd OR cut OR lost THEN 1 ELSE 0 END AS bad FROM o)
 SELECT repo_id, statement_type, CAST(sum(c) AS BIGINT) AS occurrence_count, count(*) AS file_count, CASE WHEN (SELECT max(bad) FROM k x WHERE x.repo_id = k.repo_id) = 1 THEN 'partial' ELSE 'complete' END AS coverage_status FROM k WHERE c > 0 GROUP BY ALL
 """)
 def sql_footprints(spark, sf):
     """Statements of SQL scripts, with the coverage of their repository's scripts."""
     o = table(spark, sf, "orders")
     k = F.col("o_orderkey")
-    body = text(F.repeat(F.lit("SELECT ';' -- ;\n;"), (k % 3).cast("int")), "with a as (select 1) select * from a;\n/* ; */ INSERT INTO t SELECT (1);\n", F.when(k % 7 == 0, "frob all;").otherwise(""), F.when(k % 11 == 0, "-- x\n/* open").otherwise(""))
+    body = text(F.repeat(F.lit("SELECT ';' -- ;\n;"), (k % 3).cast("int")), "with a as (select 1) select * from a;\n/* ; */ INSERT INTO t SELECT (1);\n", F.when(k % 7 == 0, "frob all;").otherwise(""),
+        F.when(k % 5 == 0, "(select 1) union all select (select 2 from t where x in (select 3));(select * except (y) from z);with a as (select 1) merge into b using a on 1=1;").otherwise(""),
+        F.when(k % 13 == 0, "select f(1; select ${x}.y from z;").otherwise(""), F.when(k % 11 == 0, "-- x\n/* open").otherwise(""))
     got = family_rows(files_of(o, F.lower(F.substring("o_orderpriority", 1, 1)), text("o/", k, ".sql"), body))
     return got.filter("family_kind = 'sql_statement_family'").select("repo_id", F.col("family_label").alias("statement_type"), "occurrence_count", "file_count", "coverage_status")
 

@@ -109,6 +109,29 @@ def test_joins_and_aggregates(spark):
     assert {r.i: (r.source_row_count, r.distinct_variant_count, r.identity_conflict) for r in R.dedupe_diagnostics(d, "i", F.col("v")).collect()} == {"a": (2, 2, True), "b": (2, 1, False)}
 
 
+def test_sql_trees():
+    kinds = lambda t: sqlscript.footprint(t)["statement_type_counts"]
+    assert kinds("select 1 union select 2 intersect select 3") == {"union": 1}
+    assert kinds("(select 1) except (select 2); (select 1)") == {"except": 1, "subquery": 1}
+    assert kinds("with a as (select 1 union select 2) insert into t select * from a") == {"insert": 1}
+    assert kinds("with a as (select 1), b as (values (1)) select * except (x) from a") == {"select": 1}
+    assert kinds("insert into t select 1 union select 2; create table u as select 1 union select 2") == {"insert": 1, "create": 1}
+    assert kinds("from t select x; values (1), (2); explain select 1") == {"select": 1, "values": 1, "describe": 1}
+    f = sqlscript.footprint("select a, (select max(b) from u) from (select * from (values (1)) v where a in (select c from d)) w group by a order by a")
+    assert f["status"] == "complete" and f["nested_query_counts"] == {"select": 3, "values": 1}
+    assert f["clause_counts"] == {"from": 4, "where": 1, "group": 1, "order": 1}
+    assert sqlscript.footprint("select a is distinct from b from t")["status"] == "complete"
+
+
+def test_a_bad_statement_costs_only_itself():
+    f = sqlscript.footprint("select f(1, (2;\nselect 3;\nselect 4) from t;\nselect a where b from c;\nupdate t set x = {{ y }};\ndrop table z")
+    assert f["statement_type_counts"] == {"select": 4, "update": 1, "drop": 1} and f["status"] == "partial"
+    assert [(e["line"], e["kind"]) for e in f["errors"]] == [(1, "unbalanced_parenthesis"), (3, "unbalanced_parenthesis"), (4, "clause_out_of_order"), (5, "template_expression")]
+    assert [s[1:] for s in f["spans"]] == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6)]
+    deep = sqlscript.footprint("select " + "(" * 3000 + "1" + ")" * 3000)
+    assert deep["statement_type_counts"] == {"select": 1} and deep["status"] == "complete"
+
+
 def test_sql_footprints():
     f = sqlscript.footprint("SELECT 1; INSERT INTO a SELECT 2")
     assert f["statement_type_counts"] == {"insert": 1, "select": 1} and f["status"] == "complete"
@@ -125,7 +148,7 @@ def test_config_parsers():
     assert dict(buildconf.toml_items("x = 1\n[a.b]\nc = [1, {d = 2}]")) == {"x": 1, "a.b.c": [1, {"d": 2}]}
     h = dict(buildconf.hocon_items('a { b = 1, l = [{q = 1}], u = "http://x" }\nf.g : true'))
     assert set(h) == {"a.b", "a.l", "a.u", "f.g"} and h["a.u"] == "http://x"
-    for bad in ("a {", "a", 'include "x"', "a = "):
+    for bad in ("a {", "a", 'include "x', "a = "):
         with pytest.raises(ParseGap):
             buildconf.hocon_items(bad)
 
