@@ -7,6 +7,8 @@ import json
 import os
 import sys
 
+from .operators.facts import LIMITS
+
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="stratalog")
@@ -19,7 +21,8 @@ def _parser() -> argparse.ArgumentParser:
             c.add_argument(a, **how)
 
     pos, opt = (lambda n: (n, {})), (lambda n, **k: (n, k))
-    add("build", pos("repository"), pos("output"), opt("--repo-id"), opt("--exclude", action="append"))
+    how = [opt("--exclude", action="append"), opt("--no-content-capture", action="store_true"), *[opt(f"--{k.replace('_', '-')}-max-bytes", type=int) for k in LIMITS]]
+    add("build", pos("repository"), pos("output"), opt("--repo-id"), *how)
     add("verify", pos("artifact"))
     add("reduce", pos("artifact"), pos("output"))
     add("classify-concepts", pos("reduced"), pos("output"))
@@ -30,11 +33,13 @@ def _parser() -> argparse.ArgumentParser:
     add("candidates", pos("concepts"), pos("concept"), opt("--min-strength", default="moderate"), opt("--mechanism"))
     add("export-selected", pos("artifact"), pos("output"), opt("--evidence-id", action="append", default=[]), opt("--request"), opt("--reduced"), opt("--context-lines", type=int, default=10))
     add("verify-export", pos("pack"), opt("--artifact"))
-    add("cas-index", pos("artifact"))
+    add("cas-index", pos("artifact"), opt("--counts", action="store_true", help="totals instead of rows"))
     add("boundaries", pos("artifact"), opt("--protocol", choices=["http", "kafka"], default="http"))
     add("discover-project", pos("base"), pos("project"))
     add("discover-organization", pos("base"), pos("organization"))
-    add("batch", pos("urls"), pos("output"), opt("--ref", default="HEAD"), opt("--selectors"), opt("--repository-limit", type=int))
+    add("batch", pos("urls"), pos("output"), opt("--ref", default="HEAD"), opt("--selectors"), opt("--repository-limit", type=int), *how)
+    add("compact", pos("folder"))
+    add("vacuum", pos("folder"), opt("--older-than", type=float, default=86_400, help="seconds"))
     return p
 
 
@@ -52,13 +57,20 @@ def _show(df, pretty: bool = False) -> None:
     print(f"{n} rows", file=sys.stderr)
 
 
+def _config(a):
+    from .plans.build import Config
+
+    given = {k: getattr(a, f"{k}_max_bytes") for k in LIMITS}
+    return Config(a.exclude, not a.no_content_capture, {k: v for k, v in given.items() if v is not None})
+
+
 def _verdict(show, wrong) -> str:
     show(wrong)
     return "failed" if wrong.head(1) else "complete"
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:
-    from .operators import classify, export
+    from .operators import classify, export, scan
     from .plans import batch, build
     from .sources import remote
 
@@ -68,7 +80,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     status = "complete"
     if a.command == "build":
         repo = a.repo_id or os.path.basename(os.path.abspath(a.repository))
-        t = build.build(spark, {repo: a.repository}, a.output, a.exclude)
+        t = build.build(spark, {repo: a.repository}, a.output, how=_config(a))
         show(t["probe_status"])
         status = "partial" if t["probe_status"].filter("status <> 'complete'").head(1) else "complete"
     elif a.command == "verify":
@@ -98,7 +110,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     elif a.command == "verify-export":
         status = _verdict(show, export.verify_pack(spark, a.pack, build.read(spark, a.artifact, "files") if a.artifact else None))
     elif a.command == "cas-index":
-        show(build.read(spark, a.artifact, "cas_index"))
+        index = build.read(spark, a.artifact, "cas_index")
+        show(scan.cas_counts(index) if a.counts else index)
     elif a.command == "boundaries":
         show(build.read(spark, a.artifact, f"boundaries_{a.protocol}"))
     elif a.command in ("discover-project", "discover-organization"):
@@ -108,9 +121,15 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         found = [{"repository_name": u.rstrip("/").rsplit("/", 1)[-1].removesuffix(".git"), "clone_url": u, "scope_key": "batch"} for u in a.urls.split(",")]
         repos = remote.repositories_table(spark, found, a.ref)
         chosen = batch.select(repos, remote.read_selectors(spark, a.selectors) if a.selectors else None, a.repository_limit)
-        s = batch.summary(batch.run(spark, chosen, a.output))
+        c = _config(a)
+        s = batch.summary(batch.run(spark, chosen, a.output, excluded=c.excluded, capture=c.capture, limits=c.limits))
         show(s)
         status = s.first()["status"]
+    elif a.command == "compact":
+        build.tables.compact(spark, a.folder)
+    elif a.command == "vacuum":
+        for gone in build.tables.vacuum(spark, a.folder, older_than=a.older_than):
+            print(gone)
     return {"complete": 0, "partial": 2}.get(status, 1)
 
 

@@ -234,9 +234,12 @@ def as_observations(rows: DataFrame, protocol: str) -> DataFrame:
     """Boundaries in the shape of facts; parser mechanics are no part of the descriptor."""
     label = "path" if protocol == "http" else "topic"
     d = ["direction", "method", "path", "path_status", "path_candidates", "payload", "payload_fields"] if protocol == "http" else ["direction", "topic", "topic_kind", "topic_status", "payload", "payload_fields"]
+    # what the row rests on, for its family's provenance
+    names = [c for c in ("source", "resolution", "topic_kind") if c in rows.columns]
+    basis = [F.concat_ws("_", *[F.col(c) for c in names]).alias("basis"), F.coalesce(F.col("confidence"), F.lit(1.0)).alias("confidence") if "confidence" in rows.columns else F.lit(1.0).alias("confidence")]
     desc = F.to_json(F.struct(F.lit(protocol).alias("protocol"), *[F.col(c) for c in d]), {"ignoreNullFields": "false"})
     return rows.select(
         "repo_id", "file_id", F.col("at_path").alias("path"), "scope", F.lit("boundaries").alias("section"), F.lit(f"{protocol}_boundary_observation").alias("family_kind"),
         F.coalesce(label, F.lit(f"{protocol}_boundary_observation")).alias("family_label"), desc.alias("descriptor_json"), F.lit(None).cast("string").alias("member_json"),
-        F.lit(1).cast("long").alias("occurrence_count"), "line_start", "line_end", "column_start", "column_end", F.lit(None).cast("string").alias("extra_json"),
+        F.lit(1).cast("long").alias("occurrence_count"), "line_start", "line_end", "column_start", "column_end", F.to_json(F.struct(*basis)).alias("extra_json"),
     )

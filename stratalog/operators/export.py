@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..workers import ship
 from .relational import merge_intervals
+from .validate import problems, repeated
 
 CONTEXT_LINES = 10
 FILE_SCOPE_BYTES = 64 << 10
@@ -121,22 +122,16 @@ def verify_pack(spark, folder: str, files: DataFrame | None = None) -> DataFrame
     return out
 
 
-def verify(families: DataFrame, evidence: DataFrame, members: DataFrame, files: DataFrame) -> DataFrame:
+def verify(families: DataFrame, evidence: DataFrame, members: DataFrame, files: DataFrame, by_repo: bool = False) -> DataFrame:
     """Problems of stored tables (code, ref): uniqueness, foreign keys, counts against the evidence, spans, hashes."""
-    row = lambda df, code, ref: df.select(F.lit(code).alias("code"), F.col(ref).cast("string").alias("ref"))
-    dup = lambda df, key, code: row(df.groupBy(key).count().filter("count > 1"), code, key)
     sums = evidence.groupBy("family_id").agg(F.sum("occurrence_count_in_file").alias("o"), F.count(F.lit(1)).alias("f"))
     off = families.join(sums, "family_id", "left").filter("o is null or o <> occurrence_count or f <> file_count")
-    pair = evidence.groupBy("family_id", "file_id").count().filter("count > 1")
     a, b = F.col("exemplar.line_start"), F.col("exemplar.line_end")
-    parts = [
-        dup(families, "family_id", "duplicate_family_id"), dup(evidence, "evidence_id", "duplicate_evidence_id"), dup(members, "member_id", "duplicate_member_id"), dup(files, "file_id", "duplicate_file_id"),
-        row(pair, "duplicate_family_file_evidence", "family_id"), row(off, "family_count_mismatch", "family_id"),
-        row(evidence.join(families, "family_id", "left_anti"), "evidence_without_family", "evidence_id"), row(evidence.join(files, "file_id", "left_anti"), "evidence_without_file", "evidence_id"),
-        row(members.join(families, "family_id", "left_anti"), "member_without_family", "member_id"), row(evidence.filter((a < 1) | (b < a)), "span_not_sane", "evidence_id"),
-        row(files.filter("readable").filter(F.sha2("content", 256) != F.col("sha256")), "content_hash_mismatch", "file_id"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return problems(
+        *[(f"duplicate_{what}_id", repeated(df, f"{what}_id"), f"{what}_id") for what, df in (("family", families), ("evidence", evidence), ("member", members), ("file", files))],
+        ("duplicate_family_file_evidence", repeated(evidence, "family_id", "file_id"), "family_id"), ("family_count_mismatch", off, "family_id"),
+        ("evidence_without_family", evidence.join(families, "family_id", "left_anti"), "evidence_id"), ("evidence_without_file", evidence.join(files, "file_id", "left_anti"), "evidence_id"),
+        ("member_without_family", members.join(families, "family_id", "left_anti"), "member_id"), ("span_not_sane", evidence.filter((a < 1) | (b < a)), "evidence_id"),
+        ("content_hash_mismatch", files.filter("readable").filter(F.sha2("content", 256) != F.col("sha256")), "file_id"),
+        by_repo=by_repo,
+    )

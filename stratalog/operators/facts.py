@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from ..workers import ship
 
-#: Bytes above which a file is not parsed but reported.
-MAX_PROBE_BYTES = 8 << 20
+#: Bytes above which a file is not parsed but reported, for each kind of parser.
+LIMITS = {"structured": 8 << 20, "java": 8 << 20, "build_config": 8 << 20, "sql": 8 << 20}
+#: Whose limit the other parsers have.
+_LIMIT_OF = {"xml": "structured", "source_formats": "structured"}
 
 SCHEMA = (
     "repo_id string, file_id string, path string, scope string, section string, family_kind string, family_label string, descriptor_json string, "
@@ -140,8 +142,9 @@ def _java(out: _Out, text: str) -> None:
         out.fact(*row[:4], **row[4])
 
 
-def parse_file(name: str, ext: str, data: bytes) -> list[tuple]:
-    """All facts of one file. A parser that fails gives a diagnostic and withholds its own rows only."""
+def parse_file(name: str, ext: str, data: bytes | None, size: int | None = None, limits: dict[str, int] = LIMITS) -> list[tuple]:
+    """All facts of one file. A parser that fails gives a diagnostic and withholds its own rows only. ``data`` is not asked for where ``size`` is above a limit."""
+    size = len(data) if size is None else size
     from ..parsers import ParseGap
     from ..parsers import structured as P
 
@@ -163,8 +166,9 @@ def parse_file(name: str, ext: str, data: bytes) -> list[tuple]:
     for probe, job in jobs:
         out = _Out()
         try:
-            if len(data) > MAX_PROBE_BYTES:
-                raise ParseGap("inventory_probe_file_size_limit", "file is too large to parse", byte_size=len(data), max_probe_file_bytes=MAX_PROBE_BYTES)
+            limit = limits[_LIMIT_OF.get(probe, probe)]
+            if size > limit:
+                raise ParseGap("inventory_probe_file_size_limit", "file is too large to parse", byte_size=size, max_probe_file_bytes=limit)
             job(out)
         except ParseGap as e:
             out = _Out()
@@ -181,19 +185,24 @@ def parse_file(name: str, ext: str, data: bytes) -> list[tuple]:
     return rows
 
 
-def _run(batches):
-    for b in batches:
-        cols = [[] for _ in _ARROW]
-        for repo, fid, path, scope, name, ext, content in zip(*[c.to_pylist() for c in b.columns]):
-            for row in parse_file(name, ext, content):
-                for col, v in zip(cols, (repo, fid, path, scope, *row)):
-                    col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _ARROW)], [n for n, _ in _ARROW])
+def _run(limits: dict[str, int]):
+    def run(batches):
+        for b in batches:
+            cols = [[] for _ in _ARROW]
+            for repo, fid, path, scope, name, ext, size, content in zip(*[c.to_pylist() for c in b.columns]):
+                for row in parse_file(name, ext, content, size, limits):
+                    for col, v in zip(cols, (repo, fid, path, scope, *row)):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _ARROW)], [n for n, _ in _ARROW])
 
+    return run
 
-def extract_facts(files: DataFrame) -> DataFrame:
-    """Facts of all files that have content. Files no parser asks for are filtered before any byte reaches Python."""
+
+def extract_facts(files: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
+    """Facts of all files that have content. Files no parser asks for are filtered before any byte reaches Python, and so are the
+    bytes of those above all limits."""
     ship(files.sparkSession)
     wanted = F.col("extension").isin(".json", ".avsc", ".yaml", ".yml", ".xml", ".xsd", ".proto", ".gradle", ".kts", ".properties", ".conf", ".toml", ".sql", ".java")
-    rows = files.filter(wanted & F.col("content").isNotNull()).select("repo_id", "file_id", "path", "scope", "file_name", "extension", "content")
-    return rows.mapInArrow(_run, SCHEMA)
+    size = F.octet_length("content").cast("long")
+    rows = files.filter(wanted & F.col("content").isNotNull())
+    return rows.select("repo_id", "file_id", "path", "scope", "file_name", "extension", size.alias("size"), F.when(size <= max(limits.values()), F.col("content")).alias("content")).mapInArrow(_run(limits), SCHEMA)

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .relational import worst_status
+from .relational import sum_maps, worst_status
+from .validate import provenance as _provenance
 
 # Rank of a coverage status; others rank 1.
 STATUS_RANK = {"complete": 0, "not_applicable": 0, "partial": 1, "failed": 2, "not_evaluated": 2}
@@ -37,6 +38,10 @@ def observations(facts: DataFrame, files: DataFrame, boundaries: list[DataFrame]
     rows = facts.filter(~F.col("section").isin(*SIDE_SECTIONS)).unionByName(primitives(files))
     for b in boundaries:
         rows = rows.unionByName(b)
+    names = F.create_map(*[F.lit(x) for kv in PROBE_OF.items() for x in kv])
+    doubt = F.get_json_object("extra_json", "$.confidence").cast("double") < 1
+    basis = F.when(F.col("section") == "boundaries", F.get_json_object("extra_json", "$.basis")).otherwise(F.col("family_kind"))
+    rows = rows.withColumns({"probe": F.coalesce(F.try_element_at(names, F.col("section")), F.col("section")), "claim": F.when(F.coalesce(doubt, F.lit(False)), "ambiguity").otherwise("observed_fact"), "basis": basis})
     return rows.withColumn("family_id", S.stable_id("family", *[F.col(c) for c in ("repo_id", "section", "family_kind", "descriptor_json")]))
 
 
@@ -59,15 +64,22 @@ def evidence(obs: DataFrame) -> DataFrame:
     return ev.withColumn("evidence_id", S.stable_id("evidence", F.col("family_id"), F.col("file_id")))
 
 
-def families(ev: DataFrame, status: DataFrame) -> DataFrame:
-    """Families as sums over their evidence. Scopes are few per family (they are source trees, not files)."""
+def provenance(obs: DataFrame) -> DataFrame:
+    """Per family which probes saw it, what is claimed and what the claim rests on."""
+    return _provenance(obs, ["repo_id", "family_id"], F.col("probe"), F.col("claim"), F.col("basis"))
+
+
+def families(ev: DataFrame, status: DataFrame, origin: DataFrame | None = None) -> DataFrame:
+    """Families as sums over their evidence, with the variants of their provenance where it is given. Scopes are few per family
+    (they are source trees, not files)."""
     per_scope = ev.groupBy("repo_id", "family_id", "section", "family_kind", "family_label", "descriptor_json", "scope").agg(F.sum("occurrence_count_in_file").alias("o"), F.count(F.lit(1)).alias("f"))
     fam = per_scope.groupBy("repo_id", "family_id", "section", "family_kind", "family_label", "descriptor_json").agg(F.sum("o").alias("occurrence_count"), F.sum("f").alias("file_count"), F.array_sort(F.collect_list("scope")).alias("scopes"))
     names = F.create_map(*[F.lit(x) for kv in PROBE_OF.items() for x in kv])
     worst = status.groupBy("repo_id", "probe").agg(worst_status(F.col("status"), STATUS_RANK).alias("coverage_status"))
     out = fam.withColumn("probe", F.coalesce(F.try_element_at(names, F.col("section")), F.lit(""))).join(worst, ["repo_id", "probe"], "left").drop("probe")
     out = out.withColumn("coverage_status", F.coalesce("coverage_status", F.lit("complete")))
-    return out.withColumn("salience", S.salience(F.col("occurrence_count"), F.col("coverage_status")))
+    out = out.withColumn("salience", S.salience(F.col("occurrence_count"), F.col("coverage_status")))
+    return out if origin is None else out.join(origin, ["repo_id", "family_id"], "left")
 
 
 def members(obs: DataFrame) -> DataFrame:
@@ -88,7 +100,5 @@ def key_families(facts: DataFrame) -> DataFrame:
     """Key families with summed kind counts and depths (per repository, syntax and key)."""
     k = facts.filter("family_kind = 'structured_key_family'").select("repo_id", "file_id", F.get_json_object("descriptor_json", "$.syntax_family").alias("syntax"), F.col("family_label").alias("key"), "occurrence_count", F.from_json(F.get_json_object("extra_json", "$.value_kind_counts"), "map<string,long>").alias("kinds"), F.get_json_object("member_json", "$.depth_min").cast("int").alias("lo"), F.get_json_object("member_json", "$.depth_max").cast("int").alias("hi"))
     keys = ["repo_id", "syntax", "key"]
-    from .relational import sum_maps
-
     g = k.groupBy(*keys).agg(F.sum("occurrence_count").alias("occurrence_count"), F.count_distinct("file_id").alias("file_count"), F.min("lo").alias("depth_min"), F.max("hi").alias("depth_max"))
     return g.join(sum_maps(k, keys, "kinds", "value_kind_counts"), keys)

@@ -29,10 +29,15 @@ def scan_diagnostics(table: DataFrame) -> DataFrame:
     return bad.select("repo_id", "file_id", "path", code.alias("code"), F.coalesce("error", F.lit("")).alias("message"), S.stable_id("diagnostic", F.col("repo_id"), F.col("path"), code).alias("diagnostic_id"))
 
 
-def blobs(table: DataFrame) -> DataFrame:
-    """Distinct contents: sha256, size, how many files have it and the first of them."""
+def without_content(table: DataFrame) -> DataFrame:
+    """The file table of a scan that keeps no contents; hashes and sizes stay."""
+    return table.withColumns({"content": F.lit(None).cast("binary"), "capture_status": F.when(F.col("capture_status") == "captured", "not_captured").otherwise(F.col("capture_status"))})
+
+
+def blobs(table: DataFrame, *within: str) -> DataFrame:
+    """Distinct contents, of all files or within each repository (``within``): sha256, size, how many files have it and the first of them."""
     have = table.filter("readable")
-    return have.groupBy("sha256").agg(F.max("byte_size").alias("byte_size"), F.count(F.lit(1)).alias("file_count"), F.min(F.struct("repo_id", "path")).alias("first"))
+    return have.groupBy(*within, "sha256").agg(F.max("byte_size").alias("byte_size"), F.count(F.lit(1)).alias("file_count"), F.min(F.struct("repo_id", "path")).alias("first"))
 
 
 def cas_index(table: DataFrame) -> DataFrame:

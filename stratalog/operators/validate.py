@@ -10,23 +10,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import hashtree
 from .classify import CONCEPTS, STRENGTHS, index_summary
 
 # Sections of superseded contracts that an artifact must not have.
 FORBIDDEN_SECTIONS = ("occurrences", "raw_observations", "observations", "facts_raw")
 
 
-def problems(*checks: tuple[str, DataFrame, str]) -> DataFrame:
-    """The rows of each check with its code; ``ref`` is the column that names a row."""
+def problems(*checks: tuple[str, DataFrame, str], by_repo: bool = False) -> DataFrame:
+    """The rows of each check with its code; ``ref`` is the column that names a row. ``by_repo``: with their repository,
+    null where a check's rows have none."""
     out = None
     for code, rows, ref in checks:
-        one = rows.select(F.lit(code).alias("code"), F.col(ref).cast("string").alias("ref"))
+        repo = F.col("repo_id") if "repo_id" in rows.columns else F.lit(None).cast("string").alias("repo_id")
+        one = rows.select(*[repo] * by_repo, F.lit(code).alias("code"), F.col(ref).cast("string").alias("ref"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def repeated(df: DataFrame, *key: str) -> DataFrame:
-    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    """Keys of several rows, with a repository of theirs where rows have one."""
+    more = [F.min("repo_id").alias("repo_id")] * ("repo_id" in df.columns and "repo_id" not in key)
+    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), *more).filter("_n > 1")
 
 
 def unlike(a: DataFrame, b: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
@@ -36,29 +41,18 @@ def unlike(a: DataFrame, b: DataFrame, key: list[str], columns: list[str]) -> Da
     return left.join(right, key, "full").filter(~F.col("_a").eqNullSafe(F.col("_b"))).select(*key)
 
 
-def mark(df: DataFrame, name: str) -> DataFrame:
-    """Per repository a fingerprint of a table's rows that does not depend on their order."""
-    h = F.xxhash64(*[F.to_json(F.struct(c), {"ignoreNullFields": "false"}) for c in sorted(df.columns)])
-    rows = df.select("repo_id", h.alias("h"))
-    return rows.groupBy("repo_id").agg(F.concat_ws(":", F.count(F.lit(1)), F.bit_xor("h"), F.sum(F.col("h") % 1_000_000_007)).alias(name))
-
-
 def lineage(tables: dict[str, DataFrame]) -> DataFrame:
-    """Per repository the marks of the tables that something is made from, a column each."""
-    out = None
-    for name, df in tables.items():
-        one = mark(df, name)
-        out = one if out is None else out.join(one, "repo_id", "full")
-    return out
+    """Per repository the roots of the tables that something is made from, a column each."""
+    return hashtree.roots(hashtree.tables(tables)).groupBy("repo_id").pivot("table_name", list(tables)).agg(F.first("root"))
 
 
-def lineage_breaks(stored: DataFrame, now: DataFrame) -> DataFrame:
+def lineage_breaks(stored: DataFrame, now: DataFrame, by_repo: bool = False) -> DataFrame:
     """Repositories whose source tables are no longer those that a product was made from."""
     names = [c for c in stored.columns if c != "repo_id"]
-    return problems(("lineage_mismatch", unlike(stored, now, ["repo_id"], names), "repo_id"))
+    return problems(("lineage_mismatch", unlike(stored, now, ["repo_id"], names), "repo_id"), by_repo=by_repo)
 
 
-def artifact(families: DataFrame, evidence: DataFrame, members: DataFrame) -> DataFrame:
+def artifact(families: DataFrame, evidence: DataFrame, members: DataFrame, by_repo: bool = False) -> DataFrame:
     """What a reduction asks of its source beyond ``export.verify``: no superseded section, stored counts that hold."""
     scopes = evidence.groupBy("family_id").agg(F.array_sort(F.collect_set("scope")).alias("now"))
     wrong = families.join(scopes, "family_id").filter(F.col("now") != F.col("scopes"))
@@ -67,10 +61,11 @@ def artifact(families: DataFrame, evidence: DataFrame, members: DataFrame) -> Da
     return problems(
         ("forbidden_section", families.filter(F.col("section").isin(*FORBIDDEN_SECTIONS)), "family_id"), ("family_scopes_mismatch", wrong, "family_id"),
         ("family_not_sane", kinds, "family_id"), ("member_file_count_too_large", spread, "member_id"),
+        by_repo=by_repo,
     )
 
 
-def reduced(exact: DataFrame, similar: DataFrame, identities: DataFrame, identity_members: DataFrame, variations: DataFrame, counts: DataFrame) -> DataFrame:
+def reduced(exact: DataFrame, similar: DataFrame, identities: DataFrame, identity_members: DataFrame, variations: DataFrame, counts: DataFrame, by_repo: bool = False) -> DataFrame:
     """A reduction's tables: ids that follow from their bases, unique rows, references, sums and totals."""
     made = lambda df, column, name, *basis: df.filter(F.col(column) != S.stable_id(name, F.col("repo_id"), *basis))
     sums = exact.groupBy("repo_id", "similarity_id").agg(*[F.sum(c).alias(c) for c in ("source_family_count", "occurrence_count", "structural_member_count")], F.count(F.lit(1)).alias("exact_representation_count"))
@@ -91,6 +86,7 @@ def reduced(exact: DataFrame, similar: DataFrame, identities: DataFrame, identit
         ("identity_member_unknown", identity_members.join(exact, "exact_id", "left_anti"), "exact_id"), ("identity_of_member_unknown", identity_members.join(identities, "identity_id", "left_anti"), "identity_id"),
         ("variation_without_group", variations.join(similar, "similarity_id", "left_anti"), "similarity_id"), ("variation_with_one_state", variations.filter("distinct_state_count < 2"), "similarity_id"),
         ("totals_mismatch", unlike(counts, now, ["repo_id"], totals), "repo_id"), ("fewer_families_than_representations", counts.filter("source_structural_families < exact_representations"), "repo_id"),
+        by_repo=by_repo,
     )
 
 
@@ -124,8 +120,13 @@ def index(rows: DataFrame, summary: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def provenance(observations: DataFrame, keys: list[str], *variants: Column) -> DataFrame:
-    """Per key the distinct non-empty values of each variant column in canonical order; ``variants`` are named columns."""
+    """Per key the distinct non-empty values of each variant column in canonical order; ``variants`` are named columns.
+
+    Rows are made distinct by a grouping first, before the shuffle too, so the sets are taken over few rows however many
+    observations a key has.
+    """
     each = observations.select(*keys, *variants)
     names = [c for c in each.columns if c not in keys]
     text = lambda c: F.when(F.col(c).isNotNull() & ~F.col(c).cast("string").isin("", "{}", "[]"), F.col(c).cast("string"))
-    return each.groupBy(*keys).agg(*[F.array_sort(F.collect_set(text(c))).alias(c + "_variants") for c in names])
+    few = each.select(*keys, *[text(c).alias(c) for c in names]).groupBy(*keys, *names).agg(F.count(F.lit(1)))
+    return few.groupBy(*keys).agg(*[F.array_sort(F.collect_set(c)).alias(c + "_variants") for c in names])

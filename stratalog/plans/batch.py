@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import EXCLUDED_DIRECTORIES
-from ..operators import scan
 from ..operators.relational import match_selectors, reuse_decision
 from ..sources.remote import Credentials, checkouts, remote_commit
 from ..tables import written
@@ -57,24 +56,30 @@ def previous(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def intact(spark: SparkSession, folder: str) -> DataFrame:
-    """Repositories whose stored files still have their recorded snapshot, and whose reduction and candidates were made
-    from the tables as they are."""
+    """Repositories that a batch completed and whose stored rows are as they were written, made from one another as they are.
+
+    Marks are compared; rows are read again only of repositories whose files on disk are not those that were written.
+    """
     art, red, con = f"{folder}/artifact", f"{folder}/reduced", f"{folder}/concepts"
-    now = scan.snapshot_fingerprint(B.read(spark, art, "files"))
-    good = B.read(spark, art, "snapshots").select("repo_id", "fingerprint").join(now.select("repo_id", "fingerprint"), ["repo_id", "fingerprint"]).select("repo_id")
-    rehashed = B.read(spark, art, "files").filter(F.col("readable") & (F.sha2("content", 256) != F.col("sha256"))).select("repo_id")
-    broken = rehashed.unionByName(B.stale(spark, red, art, B.REDUCED_FROM).select(F.col("ref").alias("repo_id"))).unionByName(B.stale(spark, con, red, B.CLASSIFIED_FROM).select(F.col("ref").alias("repo_id")))
-    return good.join(broken, "repo_id", "left_anti").distinct().withColumn("intact", F.lit(True))
+    every = B.tables.head(spark, con).repos("candidates") & B.tables.head(spark, red).repos("counts") & B.tables.head(spark, art).repos("files")
+    broken = B.stale(spark, red, art, B.REDUCED_FROM).select(F.col("ref").alias("repo_id")).unionByName(B.stale(spark, con, red, B.CLASSIFIED_FROM).select(F.col("ref").alias("repo_id")))
+    for f in (art, red, con):
+        broken = broken.unionByName(B.altered(spark, f, by_repo=True).select("repo_id"))
+    rows = spark.createDataFrame([(r,) for r in sorted(every)], "repo_id string")
+    return rows.join(broken, "repo_id", "left_anti").withColumn("intact", F.lit(True))
 
 
 def run(spark: SparkSession, repositories: DataFrame, folder: str, credentials: Credentials = Credentials(), **config) -> DataFrame:
-    """Builds what changed and writes the manifest. A repository that fails is recorded and does not stop the rest.
+    """Builds, reduces and classifies what changed, and that alone, and writes the manifest. ``config``: of ``build.Config``.
+
+    A repository that fails, or whose tables do not verify, is recorded and does not stop the rest.
 
     The list of repositories is a control table; with the manifest it is what comes to the driver. Checkouts run in tasks, and
     a repository counts as complete only when its tables are written; a build that breaks off is recorded for all of
     its repositories before the error goes on.
     """
-    scope, mark = scope_fingerprint(**config), config_fingerprint(contract=B.CONTRACT, **config)
+    how = B.Config(**config)
+    scope, mark = scope_fingerprint(how.excluded), config_fingerprint(contract=B.CONTRACT, **how.plain())
     rows, done = [], []
     for r in repositories.collect():
         try:
@@ -91,7 +96,7 @@ def run(spark: SparkSession, repositories: DataFrame, folder: str, credentials:
     failed, broke = {}, None
     try:
         if wanted:
-            failed = _build(spark, wanted, folder, credentials, config.get("excluded"))
+            failed = _build(spark, wanted, folder, credentials, how)
     except Exception as e:
         broke = e
     for r in wanted:
@@ -104,16 +109,17 @@ def run(spark: SparkSession, repositories: DataFrame, folder: str, credentials:
     return spark.read.parquet(f"{folder}/manifest")
 
 
-def _build(spark: SparkSession, wanted: list, folder: str, credentials: Credentials, excluded: list[str] | None) -> dict[str, str]:
-    """Checks out, stores, reduces and classifies; the messages of repositories whose checkout failed."""
+def _build(spark: SparkSession, wanted: list, folder: str, credentials: Credentials, how: B.Config) -> dict[str, str]:
+    """Checks out, stores, reduces and classifies these repositories; the messages of those that failed."""
     asked = spark.createDataFrame([(r.repository_id, r.repository_url, r.resolved_commit) for r in wanted], "repo_id string, url string, ref string")
-    raw = written(checkouts(asked, credentials, excluded), "checkouts")
+    raw = written(checkouts(asked, credentials, how.excluded), "checkouts")
     failed = {r.repo_id: r.error for r in raw.filter("path is null").select("repo_id", "error").collect()}
-    good = sorted({r.repository_id for r in wanted} - set(failed))
-    if good:
-        B.store(spark, raw.filter(F.col("repo_id").isin(good)), f"{folder}/artifact", good)
-        B.reduce_tables(spark, f"{folder}/artifact", f"{folder}/reduced")
-        B.classify_tables(spark, f"{folder}/reduced", f"{folder}/concepts")
+    left = lambda: sorted({r.repository_id for r in wanted} - set(failed))
+    if left():
+        B.store(spark, raw.filter(F.col("repo_id").isin(left())), f"{folder}/artifact", left(), how)
+        failed |= B.reduce_repos(spark, f"{folder}/artifact", f"{folder}/reduced", left())
+    if left():
+        failed |= B.classify_repos(spark, f"{folder}/reduced", f"{folder}/concepts", left())
     return failed
 
 

@@ -1,55 +1,50 @@
 """Job drivers: build, reduce, classify, index, look up, export. One plan covers all repositories by ``repo_id``.
 
-Tables of an artifact are Parquet folders below one directory, partitioned by repository; building a repository
-again replaces its partitions only, and Spark's commit protocol stages what is written.
+An artifact, a reduction and the concepts are folders of tables that change in one step (``store``): a job stages all of its
+tables and then puts them in force together, for the repositories it was asked for.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from urllib.parse import quote
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..operators import boundaries, classify, export, facts, families, reduce, scan, validate
+from ..operators import boundaries, classify, config, export, facts, families, hashtree, reduce, scan, validate
 from ..sources import filetree
+from ..tables import written
+from . import store as tables
+from .store import CONTRACT, read, write  # noqa: F401
 
-TABLES = ("files", "cas_index", "facts", "families", "members", "evidence", "diagnostics", "probe_status", "boundaries_http", "boundaries_kafka", "snapshots")
+TABLES = ("files", "cas_index", "blobs", "facts", "families", "members", "key_families", "evidence", "diagnostics", "probe_status", "boundaries_http", "boundaries_kafka", "config_includes", "snapshots")
 REDUCED = ("exact_representations", "similarity_groups", "observed_identities", "identity_members", "variation_dimensions", "counts")
 #: What a reduction is made from, and what candidates are made from.
 REDUCED_FROM = ("families", "members", "evidence", "diagnostics")
 CLASSIFIED_FROM = ("exact_representations", "observed_identities", "identity_members", "counts")
-#: Of stored tables; a table of another contract is refused.
-CONTRACT = "stratalog/2"
 
 
-def write(df: DataFrame, folder: str, name: str, repos: list[str] | None = None) -> None:
-    """Replaces a table, or with ``repos`` these repositories' partitions of it, also where they now have no rows.
+@dataclass(frozen=True)
+class Config:
+    """What decides a build's result: directories left out, whether contents are kept, and the largest file that each kind of parser takes."""
 
-    New partitions are staged and take the place of the old ones when the job commits; a job that fails leaves the old ones.
-    """
-    spark = df.sparkSession
-    seen = Observation()
-    out = df.observe(seen, F.collect_set("repo_id").alias("repos")).write.mode("overwrite").partitionBy("repo_id")
-    (out if repos is None else out.option("partitionOverwriteMode", "dynamic")).parquet(f"{folder}/{name}")
-    for r in sorted(set(repos or []) - set(seen.get["repos"])):
-        # had rows perhaps, and has none now
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/repo_id={quote(r, safe=' ')}")
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    spark.createDataFrame([(df.schema.json(),), (CONTRACT,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/_schemas/{name}")
-
-
-def read(spark: SparkSession, folder: str, name: str, repos: list[str] | None = None) -> DataFrame:
-    """An artifact's table with the schema it was written with; a filter on repo_id prunes partitions."""
-    head, *contract = [r[0] for r in spark.read.text(f"{folder}/_schemas/{name}").collect()]  # two lines
-    if contract and contract != [CONTRACT]:
-        raise ValueError(f"{name} has the contract {contract[0]}, not {CONTRACT}")
-    schema = T.StructType.fromJson(json.loads(head))
-    df = spark.read.schema(schema).parquet(f"{folder}/{name}")
-    return df if repos is None else df.filter(F.col("repo_id").isin(repos))
+    excluded: tuple[str, ...] | None = None
+    capture: bool = True
+    limits: dict[str, int] = field(default_factory=lambda: dict(facts.LIMITS))
+
+    def __post_init__(self):
+        if unknown := set(self.limits) - set(facts.LIMITS):
+            raise ValueError(f"no such parser: {sorted(unknown)}")
+        if any(n <= 0 for n in self.limits.values()):
+            raise ValueError("limits must be above 0")
+        object.__setattr__(self, "limits", {**facts.LIMITS, **self.limits})
+        if self.excluded is not None:
+            object.__setattr__(self, "excluded", tuple(sorted({x.strip() for x in self.excluded} - {""})))
+
+    def plain(self) -> dict:
+        return asdict(self)
 
 
 def guard(repositories: dict[str, str], folder: str) -> None:
@@ -63,28 +58,36 @@ def guard(repositories: dict[str, str], folder: str) -> None:
             raise ValueError(f"the output folder is inside a source tree: {root}")
 
 
-def build(spark: SparkSession, repositories: dict[str, str], folder: str, excluded: list[str] | None = None) -> dict[str, DataFrame]:
+def build(spark: SparkSession, repositories: dict[str, str], folder: str, excluded: list[str] | None = None, how: Config | None = None) -> dict[str, DataFrame]:
     """Scans trees and writes the artifact's tables; every file is read and parsed once."""
+    how = how or Config(excluded)
     guard(repositories, folder)
     filetree.register(spark)
     reader = spark.read.format("filetree").option("repositories", json.dumps(repositories)).option("subtrees", str(4 * spark.sparkContext.defaultParallelism))
-    if excluded is not None:
-        reader = reader.option("excluded", json.dumps(excluded))
-    return store(spark, reader.load(), folder, sorted(repositories))
+    if how.excluded is not None:
+        reader = reader.option("excluded", json.dumps(how.excluded))
+    return store(spark, reader.load(), folder, sorted(repositories), how)
 
 
-def store(spark: SparkSession, raw: DataFrame, folder: str, repos: list[str]) -> dict[str, DataFrame]:
-    """Writes the artifact's tables from raw file rows.
+def store(spark: SparkSession, raw: DataFrame, folder: str, repos: list[str], how: Config | None = None) -> dict[str, DataFrame]:
+    """Writes the artifact's tables of some repositories from raw file rows, in one change.
 
-    The file table with its content is written first: everything after it reads that table, which also is the
-    content store.
+    The file table with its content is staged first: everything after it reads that table, which also is the
+    content store. Without ``capture`` contents are parsed from a scratch table and not kept.
     """
-    write(scan.files(raw), folder, "files", repos)
-    files = read(spark, folder, "files", repos)
-    write(scan.cas_index(files), folder, "cas_index", repos)
-    write(scan.snapshot_fingerprint(files), folder, "snapshots", repos)
-    write(facts.extract_facts(files), folder, "facts", repos)
-    return finish(spark, folder, repos)
+    how, change = how or Config(), tables.Change(spark, folder, repos)
+    found = scan.files(raw)
+    if not how.capture:
+        found = written(found, "contents")
+    change.write(found if how.capture else scan.without_content(found), "files", spread=False)
+    files = change.read("files")
+    change.write(facts.extract_facts(files if how.capture else found, how.limits), "facts")
+    change.write(scan.cas_index(files), "cas_index")
+    change.write(scan.blobs(files, "repo_id"), "blobs")
+    change.write(scan.snapshot_fingerprint(files), "snapshots")
+    finish(change)
+    at = change.commit()
+    return {t: read(spark, folder, t, at=at) for t in TABLES}
 
 
 def refuse(what: str, wrong: DataFrame) -> None:
@@ -93,50 +96,88 @@ def refuse(what: str, wrong: DataFrame) -> None:
         raise ValueError(f"{what}: {some}")
 
 
-def finish(spark: SparkSession, folder: str, repos: list[str]) -> dict[str, DataFrame]:
-    """From stored files and facts to families, members, evidence, boundaries and diagnostics of some repositories."""
-    files, fact = read(spark, folder, "files", repos), read(spark, folder, "facts", repos)
-    write(boundaries.outbound_http(fact).unionByName(boundaries.inbound_http(fact), allowMissingColumns=True), folder, "boundaries_http", repos)
-    write(boundaries.kafka(fact), folder, "boundaries_kafka", repos)
-    http, kafka = read(spark, folder, "boundaries_http", repos), read(spark, folder, "boundaries_kafka", repos)
-    obs = families.observations(fact, files, [boundaries.as_observations(http, "http"), boundaries.as_observations(kafka, "kafka")])
-    write(families.evidence(obs), folder, "evidence", repos)
-    write(families.probe_status(fact), folder, "probe_status", repos)
-    ev = read(spark, folder, "evidence", repos)
-    write(families.families(ev, read(spark, folder, "probe_status", repos)), folder, "families", repos)
-    write(families.members(obs), folder, "members", repos)
-    write(families.diagnostics(fact, scan.scan_diagnostics(files)), folder, "diagnostics", repos)
-    return {t: read(spark, folder, t) for t in TABLES}
+def finish(change: tables.Change) -> None:
+    """From staged files and facts to families, members, evidence, boundaries and diagnostics."""
+    files, fact = change.read("files"), change.read("facts")
+    change.write(boundaries.outbound_http(fact).unionByName(boundaries.inbound_http(fact), allowMissingColumns=True), "boundaries_http")
+    change.write(boundaries.kafka(fact), "boundaries_kafka")
+    change.write(config.includes(fact, files), "config_includes")
+    obs = families.observations(fact, files, [boundaries.as_observations(change.read("boundaries_http"), "http"), boundaries.as_observations(change.read("boundaries_kafka"), "kafka")])
+    change.write(families.evidence(obs), "evidence")
+    change.write(families.probe_status(fact), "probe_status")
+    change.write(families.families(change.read("evidence"), change.read("probe_status"), families.provenance(obs)), "families")
+    change.write(families.members(obs), "members")
+    change.write(families.key_families(fact), "key_families")
+    change.write(families.diagnostics(fact, scan.scan_diagnostics(files)), "diagnostics")
+
+
+def refused(wrong: DataFrame, repos: list[str]) -> dict[str, str]:
+    """Of ``repos`` those that have problems (repo_id, code, ref), with one of them each; a problem without a repository is all repositories'."""
+    each = wrong.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("code", "ref")).alias("first"))
+    got = {r.repo_id: f"{r.n} problems, first {r.first.code}: {r.first.ref}" for r in each.collect()}
+    return {r: got.get(r) or got[None] for r in repos if r in got or None in got}
+
+
+def reduce_repos(spark: SparkSession, folder: str, out: str, repos: list[str]) -> dict[str, str]:
+    """Reduces some repositories of an artifact in one change; the others' rows stay. Those whose tables do not verify
+    are refused, each by itself, and returned with a problem; what an earlier reduction has of them stays."""
+    at = tables.head(spark, folder)
+    bad = refused(verify_artifact(spark, folder, repos, at, by_repo=True), repos)
+    good = sorted(set(repos) - set(bad))
+    if not good:
+        return bad
+    t = {n: read(spark, folder, n, good, at) for n in REDUCED_FROM}
+    change = tables.Change(spark, out, good)
+    change.write(reduce.bases(t["families"], t["members"]), "bases")
+    based = change.read("bases")
+    change.write(reduce.exact_representations(based, t["evidence"]), "exact_representations")
+    exact = change.read("exact_representations")
+    change.write(reduce.similarity_groups(exact, based, t["evidence"]), "similarity_groups")
+    change.write(reduce.observed_identities(based, t["evidence"]), "observed_identities")
+    change.write(reduce.identity_members(based), "identity_members")
+    sim, ids = change.read("similarity_groups"), change.read("observed_identities")
+    change.write(reduce.variations(exact).join(sim.select("repo_id", "similarity_id"), "similarity_id"), "variation_dimensions")
+    change.write(reduce.counts(t["families"], t["members"], t["evidence"], exact, sim, ids, t["diagnostics"]), "counts")
+    change.write(lineage(spark, folder, REDUCED_FROM, good, at), "lineage")
+    change.commit()
+    return bad
 
 
 def reduce_tables(spark: SparkSession, folder: str, out: str) -> dict[str, DataFrame]:
-    """Reduces an artifact whose tables verify; a table that was altered is refused."""
-    t = {n: read(spark, folder, n) for n in (*REDUCED_FROM, "files")}
+    """Reduces an artifact whose tables verify; one with an altered table is refused."""
+    repos = sorted(tables.head(spark, folder).repos("files"))
     refuse("the artifact does not verify", verify_artifact(spark, folder))
-    write(reduce.bases(t["families"], t["members"]), out, "bases")
-    based = read(spark, out, "bases")
-    write(reduce.exact_representations(based, t["evidence"]), out, "exact_representations")
-    exact = read(spark, out, "exact_representations")
-    write(reduce.similarity_groups(exact, based, t["evidence"]), out, "similarity_groups")
-    write(reduce.observed_identities(based, t["evidence"]), out, "observed_identities")
-    write(reduce.identity_members(based), out, "identity_members")
-    sim, ids = read(spark, out, "similarity_groups"), read(spark, out, "observed_identities")
-    write(reduce.variations(exact).join(sim.select("repo_id", "similarity_id"), "similarity_id"), out, "variation_dimensions")
-    write(reduce.counts(t["families"], t["members"], t["evidence"], exact, sim, ids, t["diagnostics"]), out, "counts")
-    write(validate.lineage({n: t[n] for n in REDUCED_FROM}), out, "lineage")
-    return {n: read(spark, out, n) for n in REDUCED}
-
-
-def verify_artifact(spark: SparkSession, folder: str) -> DataFrame:
-    """Problems of an artifact's tables."""
-    fam, ev, mem, files = (read(spark, folder, n) for n in ("families", "evidence", "members", "files"))
-    return export.verify(fam, ev, mem, files).unionByName(validate.artifact(fam, ev, mem))
-
-
-def verify_reduced(spark: SparkSession, reduced: str, artifact: str | None = None) -> DataFrame:
+    reduce_repos(spark, folder, out, repos)
+    at = tables.head(spark, out)
+    return {n: read(spark, out, n, at=at) for n in REDUCED}
+
+
+def lineage(spark: SparkSession, folder: str, names, repos=None, at: tables.Head | None = None) -> DataFrame:
+    """Per repository the stored roots of the tables that something is made from, a column each; no table is read."""
+    got = hashtree.roots(tables.parts(spark, folder, names, at))
+    got = got if repos is None else got.filter(F.col("repo_id").isin(repos))
+    return got.groupBy("repo_id").pivot("table_name", list(names)).agg(F.first("root"))
+
+
+def verify_artifact(spark: SparkSession, folder: str, repos=None, at: tables.Head | None = None, by_repo: bool = False) -> DataFrame:
+    """Problems of an artifact's tables: what does not hold together, and parts that are not as they were stored."""
+    at = at or tables.head(spark, folder)
+    fam, ev, mem, files = (read(spark, folder, n, repos, at) for n in ("families", "evidence", "members", "files"))
+    return export.verify(fam, ev, mem, files, by_repo).unionByName(validate.artifact(fam, ev, mem, by_repo)).unionByName(altered(spark, folder, repos, at, by_repo))
+
+
+def altered(spark: SparkSession, folder: str, repos=None, at: tables.Head | None = None, by_repo: bool = False) -> DataFrame:
+    """Parts of tables that are not as they were stored; only repositories are read whose files were touched."""
+    wrong = tables.damage(spark, folder, everything=False, at=at)
+    wrong = wrong if repos is None else wrong.filter(F.col("repo_id").isin(repos))
+    return validate.problems(("stored_part_altered", wrong.withColumn("ref", F.concat_ws("/", "table_name", "repo_id", "part")), "ref"), by_repo=by_repo)
+
+
+def verify_reduced(spark: SparkSession, reduced: str, artifact: str | None = None, repos=None, by_repo: bool = False) -> DataFrame:
     """Problems of a reduction, and with ``artifact`` repositories that it was not made from in their present state."""
-    out = validate.reduced(*[read(spark, reduced, n) for n in REDUCED])
-    return out if artifact is None else out.unionByName(stale(spark, reduced, artifact, REDUCED_FROM))
+    at = tables.head(spark, reduced)
+    out = validate.reduced(*[read(spark, reduced, n, repos, at) for n in REDUCED], by_repo=by_repo).unionByName(altered(spark, reduced, repos, at, by_repo))
+    return out if artifact is None else out.unionByName(stale(spark, reduced, artifact, REDUCED_FROM, by_repo))
 
 
 def verify_candidates(spark: SparkSession, concepts: str, reduced: str) -> DataFrame:
@@ -148,33 +189,53 @@ def verify_candidates(spark: SparkSession, concepts: str, reduced: str) -> DataF
 
 def verify_index(spark: SparkSession, concepts: str) -> DataFrame:
     """Problems of a stored concept index against its candidates; the summary is counted again."""
-    return validate.index(read(spark, concepts, "index"), spark.read.parquet(f"{concepts}/index_summary"), read(spark, concepts, "candidates"))
+    at = tables.head(spark, concepts)
+    return validate.index(read(spark, concepts, "index", at=at), read(spark, concepts, "index_summary", at=at).drop("repo_id"), read(spark, concepts, "candidates", at=at))
+
 
+def stale(spark: SparkSession, product: str, source: str, names: tuple[str, ...], by_repo: bool = False) -> DataFrame:
+    """Repositories whose product's stored lineage is not that of the source tables as they are; only marks are read."""
+    return validate.lineage_breaks(read(spark, product, "lineage"), lineage(spark, source, names), by_repo)
 
-def stale(spark: SparkSession, product: str, source: str, names: tuple[str, ...]) -> DataFrame:
-    """Repositories whose product's stored lineage is not that of the source tables as they are."""
-    return validate.lineage_breaks(read(spark, product, "lineage"), validate.lineage({n: read(spark, source, n) for n in names}))
+
+def classify_repos(spark: SparkSession, reduced: str, out: str, repos: list[str]) -> dict[str, str]:
+    """Signals, candidates and index of some repositories of a reduction, in one change; those whose reduction does not verify
+    are refused, each by itself, and returned with a problem."""
+    bad = refused(verify_reduced(spark, reduced, repos=repos, by_repo=True), repos)
+    at = tables.head(spark, reduced)
+    good = sorted(set(repos) - set(bad))
+    if not good:
+        return bad
+    change = tables.Change(spark, out, good)
+    change.write(classify.signals(read(spark, reduced, "observed_identities", good, at)), "signals")
+    change.write(classify.concept_candidates(read(spark, reduced, "counts", good, at).select("repo_id"), change.read("signals")), "candidates")
+    change.write(classify.basis_rows(change.read("candidates"), change.read("signals")), "basis")
+    change.write(lineage(spark, reduced, CLASSIFIED_FROM, good, at), "lineage")
+    change.commit()
+    build_index(spark, out, good)
+    return bad
 
 
 def classify_tables(spark: SparkSession, reduced: str, out: str) -> DataFrame:
     """Signals, concept candidates and index of all repositories of a reduction that verifies."""
     refuse("the reduction does not verify", verify_reduced(spark, reduced))
-    ids = read(spark, reduced, "observed_identities")
-    write(classify.signals(ids), out, "signals")
-    repos = read(spark, reduced, "counts").select("repo_id")
-    write(classify.concept_candidates(repos, read(spark, out, "signals")), out, "candidates")
-    write(classify.basis_rows(read(spark, out, "candidates"), read(spark, out, "signals")), out, "basis")
-    write(validate.lineage({n: read(spark, reduced, n) for n in CLASSIFIED_FROM}), out, "lineage")
-    build_index(spark, out)
+    classify_repos(spark, reduced, out, sorted(tables.head(spark, reduced).repos("counts")))
     return read(spark, out, "candidates")
 
 
-def build_index(spark: SparkSession, concepts: str) -> DataFrame:
-    """Writes the index over candidates and its summary; returns the summary."""
-    found = read(spark, concepts, "candidates")
-    write(classify.concept_index(found), concepts, "index")
-    classify.index_summary(found).coalesce(1).write.mode("overwrite").parquet(f"{concepts}/index_summary")
-    return spark.read.parquet(f"{concepts}/index_summary")
+#: The summary covers all repositories; it is stored as one more.
+ALL = "*"
+
+
+def build_index(spark: SparkSession, concepts: str, repos: list[str] | None = None) -> DataFrame:
+    """Writes the index over candidates (of some repositories, or all) and the summary of all; returns the summary."""
+    at = tables.head(spark, concepts)
+    found = read(spark, concepts, "candidates", at=at)
+    own = sorted(at.repos("candidates") if repos is None else repos)
+    change = tables.Change(spark, concepts, [*own, ALL])
+    change.write(classify.concept_index(found.filter(F.col("repo_id").isin(own))), "index")
+    change.write(classify.index_summary(found).withColumn("repo_id", F.lit(ALL)).coalesce(1), "index_summary", spread=False)
+    return read(spark, concepts, "index_summary", at=change.commit()).drop("repo_id")
 
 
 def export_selected(spark: SparkSession, folder: str, evidence_ids: list[str], out: str, reduced: str | None = None, context: int = export.CONTEXT_LINES, file_scope_bytes: int = export.FILE_SCOPE_BYTES) -> DataFrame:
@@ -186,8 +247,9 @@ def export_selected(spark: SparkSession, folder: str, evidence_ids: list[str], o
         refuse("the reduction is not of this artifact", verify_reduced(spark, reduced, folder))
         for n in ("exact_representations", "observed_identities"):
             more.append(read(spark, reduced, n).select(F.col("representative_evidence_id").alias("evidence_id")))
-    files = read(spark, folder, "files")
-    got = export.resolve(export.requested_ids(ids, *more), read(spark, folder, "evidence"), read(spark, folder, "cas_index"), files, context, file_scope_bytes)
+    at = tables.head(spark, folder)
+    files = read(spark, folder, "files", at=at)
+    got = export.resolve(export.requested_ids(ids, *more), read(spark, folder, "evidence", at=at), read(spark, folder, "cas_index", at=at), files, context, file_scope_bytes)
     got.write.mode("overwrite").parquet(f"{out}/resolution")
     got = spark.read.parquet(f"{out}/resolution")
     export.write_pack(export.fragment_bytes(export.fragments(got), files), out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import facts, scan
+from ..operators import facts, families, scan
 
 
 def family_counts(arrivals: DataFrame) -> DataFrame:
@@ -14,6 +14,6 @@ def family_counts(arrivals: DataFrame) -> DataFrame:
     ``arrivals`` has the filetree columns. The batch's table functions run on each micro-batch; the state is one row
     per family, which is what a family table holds anyway.
     """
-    rows = facts.extract_facts(scan.files(arrivals))
-    rows = rows.filter(~F.col("section").isin("diagnostics", "probe_status"))
+    files = scan.files(arrivals)
+    rows = families.observations(facts.extract_facts(files), files)
     return rows.groupBy("repo_id", "section", "family_kind", "family_label").agg(F.sum("occurrence_count").alias("occurrence_count"))
