@@ -23,8 +23,8 @@ import json
 import os
 import re
 import uuid
-from collections import Counter
-from itertools import chain
+from array import array
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import phf
-from ._util import documents, id_type, ship, texts, written
+from ._util import documents, id_type, ship, written
 from .packing import _byte_chars
 
 MAX_PAIRS = 1 << 22
-MAX_CHUNKS = 100_000
+MAX_CHUNKS = 250_000
 #: Distinct pairs that a task holds before it writes their numbers.
 HELD_PAIRS = 400_000
 #: Vectors that are added in one place, and counts of a vector's block.
@@ -46,6 +46,7 @@ BLOCK_BYTES = 1 << 20
 
 _SPACES = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _state: dict = {}
 
 
@@ -56,24 +57,33 @@ def chunks(text: str) -> list[str]:
     return [c[1:] for c in _CUT.split(" " + text)]
 
 
-def groups_and_links(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> tuple[int, str, list[int]]:
-    """Number of groups, their text, and the links as a * 2**32 + b, of tokens that cover the same bytes."""
-    groups, links, i, j, i0, j0 = [], [], 0, 0, 0, 0
-    while i < len(a):
+def groups_and_links(a: list[int], a_len: list[int], b: list[int], b_len: list[int], told: bool = True) -> tuple[int, str, list[int]]:
+    """Number of groups, their text (if it is to be ``told``), and the links as a * 2**32 + b, of tokens (ids and lengths) that
+    cover the same bytes."""
+    groups, links, i, j, left, right, i0, j0 = [], [], 0, 0, a_len[0], b_len[0], 0, 0
+    while True:
         links.append(a[i] << 32 | b[j])
-        x, y = a_ends[i], b_ends[j]
-        if x <= y:
+        if left == right:
+            i, j = i + 1, j + 1
+            groups.append("" if not told else f"{a[i0]}|{b[j0]}" if i - i0 == 1 == j - j0 else ",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
+            if i == len(a):
+                return len(groups), ";".join(groups), links
+            i0, j0, left, right = i, j, a_len[i], b_len[j]
+        elif left < right:
+            right -= left
             i += 1
-        if y <= x:
+            left = a_len[i]
+        else:
+            left -= right
             j += 1
-        if x == y:
-            groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-            i0, j0 = i, j
-    return len(groups), ";".join(groups), links
+            right = b_len[j]
 
 
 class Aligner:
-    """Alignments of texts by two tokenizer files: A of `tokenizers` (byte-level BPE), B of sentencepiece."""
+    """Alignments of texts by two tokenizer files: A of `tokenizers` (byte-level BPE), B of sentencepiece.
+
+    Chunks have numbers; arrays by number hold their sizes and where their links stand in one long list of pair numbers.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -82,7 +92,8 @@ class Aligner:
 
         self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True
-        byte = {c: k for k, c in enumerate(_byte_chars())}
+        self.model, chars = self.a.model, _byte_chars()
+        self.shown, byte = str.maketrans({k: c for k, c in enumerate(chars)}), {c: k for k, c in enumerate(chars)}
         self.a_bytes = {k: bytes([byte[c] for c in t]) if all(c in byte for c in t) else b"" for t, k in self.a.get_vocab().items()}
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
@@ -93,33 +104,110 @@ class Aligner:
         self.chunked = settings["normalizer"] is None and settings["pre_tokenizer"] == plain and not any("▁" in p.lstrip("▁") for p in pieces)
         last = self.b.encode(["a ", "a"])
         self.last = last[0][len(last[1]) :]  # a space alone, which B would drop
-        self.known: dict = {}
+        self.pairs: dict[int, int] = {}  # a * 2**32 + b to the pair's number
+        self.forget()
+
+    def forget(self, pairs: bool = True, told: bool = True) -> None:
+        """Starts afresh; ``told``: whether groups will be asked for."""
+        self.told = told
+        self.number: dict[str, int] = {}
+        self.groups: list[str | None] = []  # None: does not give its bytes back
+        self.sizes, self.links = array("q"), array("q")  # n_a, n_b, n_groups, n_links of each chunk
+        if pairs:
+            self.pairs.clear()
 
     def _align(self, text: str, a: list[int], b: list[int]):
         """(n_a, n_b, n_groups, groups, links), or None if the tokens' bytes are not the text's."""
-        x, y, want = [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b], (" " + text).encode("utf-8", "surrogatepass")
+        of_a, of_b = self.a_bytes, self.b_bytes
+        x, y, want = [of_a[k] for k in a], [of_b[k] for k in b], (" " + text).encode("utf-8", "surrogatepass")
         if b"".join(x) != want or b"".join(y) != want:
             return None
-        n, groups, links = groups_and_links(a, np.cumsum([len(t) for t in x]).tolist(), b, np.cumsum([len(t) for t in y]).tolist())
+        if len(a) == 1 == len(b):
+            return 1, 1, 1, f"{a[0]}|{b[0]}", [a[0] << 32 | b[0]]
+        n, groups, links = groups_and_links(a, list(map(len, x)), b, list(map(len, y)), self.told)
         return len(a), len(b), n, groups, links
 
     def _encode(self, parts: list[str]) -> list:
-        a = [e.ids for e in self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)]
+        # a space and Latin letters are one pre-token of A, so its model can take them at once
+        a = [[t.id for t in self.model.tokenize((" " + p).encode().decode("latin-1").translate(self.shown))] if _LETTERS(p) and self.chunked else None for p in parts]
+        rest = [k for k, x in enumerate(a) if x is None]
+        for k, e in zip(rest, self.a.encode_batch_fast([" " + parts[k] for k in rest], add_special_tokens=False)):
+            a[k] = e.ids
         b = self.b.encode(parts, num_threads=1)
         return [self._align(p, x, y if p else self.last) for p, x, y in zip(parts, a, b)]
 
-    def learn(self, block: list[list[str]], max_chunks: int) -> list[str]:
-        """Aligns the chunks of ``block`` that are not known yet, and returns them."""
-        if len(self.known) > max_chunks:
-            self.known.clear()
-        new = list(set(chain.from_iterable(block)).difference(self.known))
+    def learn(self, parts: list[str], max_chunks: int) -> None:
+        """Aligns those of a block's chunks that are not known yet."""
+        if len(self.number) > max_chunks:
+            self.forget(False, self.told)
+        new, pairs = list(set(parts).difference(self.number)), self.pairs
         for lo in range(0, len(new), 4096):
             part = new[lo : lo + 4096]
-            self.known.update(zip(part, self._encode(part)))
-        return new
-
-    def whole(self, text: str):
-        return self._encode([text])[0]
+            for p, got in zip(part, self._encode(part)):
+                self.number[p] = len(self.groups)
+                if got is None:
+                    self.groups.append(None)
+                    self.sizes.extend((0, 0, 0, 0))
+                else:
+                    self.groups.append(got[3])
+                    self.sizes.extend((*got[:3], len(got[4])))
+                    self.links.extend([pairs.setdefault(x, len(pairs)) for x in got[4]])
+
+    def block(self, texts: list[str], max_chunks: int) -> "Block":
+        cut = [(chunks(t) if self.chunked else [t]) if t else [] for t in texts]
+        flat = list(chain.from_iterable(cut))
+        self.learn(flat, max_chunks)
+        return Block(self, texts, [len(c) for c in cut], np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat)))
+
+
+class Block:
+    """Some texts as chunk numbers. ``odd``: texts with a chunk that does not give its bytes back, aligned as wholes or not at all."""
+
+    def __init__(self, al: Aligner, texts: list[str], n: list[int], ids: np.ndarray):
+        self.al, self.n_texts = al, len(texts)
+        doc = np.repeat(np.arange(len(texts)), n)
+        self.sizes = np.array(al.sizes, np.int64).reshape(-1, 4)
+        self.start = np.cumsum(self.sizes[:, 3]) - self.sizes[:, 3]
+        self.odd, self.groups = {}, al.groups
+        bad = np.unique(doc[self.sizes[ids, 0] == 0])
+        for k in bad.tolist():
+            got = al._encode([texts[k]])[0]
+            self.odd[k] = got and (*got[:4], np.array([al.pairs.setdefault(x, len(al.pairs)) for x in got[4]], np.int64))
+        keep = ~np.isin(doc, bad)
+        self.doc, self.ids = doc[keep], ids[keep]
+
+    def _pairs(self, doc: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.sizes[ids, 3]
+        at = np.arange(n.sum()) + np.repeat(self.start[ids] - np.cumsum(n) + n, n)
+        return np.repeat(doc, n), np.array(self.al.links, np.int64)[at]
+
+    def held(self) -> np.ndarray:
+        """For each pair number how many of the texts hold it."""
+        width, k = len(self.al.pairs), len(self.sizes)
+        once = np.unique(self.doc * k + self.ids)
+        doc, pair = self._pairs(once // k, once % k)
+        n = np.bincount(np.unique(doc * width + pair) % width if len(doc) else pair, minlength=width)
+        for got in self.odd.values():
+            if got:
+                n[np.unique(got[4])] += 1
+        return n
+
+    def rows(self, best: np.ndarray, count: np.ndarray) -> list:
+        """n_a, n_b, n_groups, n_links, n_best, count_sum and groups of each text; ``best`` and ``count`` by pair number."""
+        out = [np.bincount(self.doc, self.sizes[self.ids, k], self.n_texts).astype(np.int64) for k in range(4)]
+        doc, pair = self._pairs(self.doc, self.ids)
+        for v in (best, count):
+            total = np.zeros(self.n_texts, np.int64)
+            np.add.at(total, doc, v[pair])
+            out.append(total)
+        text, at = [self.groups[k] for k in self.ids.tolist()], np.searchsorted(self.doc, np.arange(self.n_texts + 1)).tolist()
+        groups = [";".join(text[lo:hi]) for lo, hi in zip(at, at[1:])]
+        for k, got in self.odd.items():
+            if got:
+                for c, v in zip(out, (*got[:3], len(got[4]), best[got[4]].sum(), count[got[4]].sum())):
+                    c[k] = v
+                groups[k] = got[3]
+        return [*out, groups]
 
 
 def _blocks(batches, col: int):
@@ -143,30 +231,27 @@ def _aligner(paths: tuple[str, str]) -> Aligner:
     return _state["aligner"]
 
 
-def _split(al: Aligner, text: str) -> list[str]:
-    return chunks(text) if al.chunked and text else [text] if text else []
-
-
 def _links(paths: tuple[str, str], held: int, max_chunks: int):
-    def rows(c: Counter):
-        keys, n = np.fromiter(c.keys(), np.int64, len(c)), np.fromiter(c.values(), np.int64, len(c))
-        for i in range(0, len(c), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 65536]), pa.array(n[i : i + 65536])], ["key", "n"])
+    def rows(al: Aligner, total: np.ndarray):
+        keys = np.fromiter(al.pairs.keys(), np.int64, len(al.pairs))
+        some = np.flatnonzero(total)
+        for i in range(0, len(some), 65536):
+            at = some[i : i + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(total[at])], ["key", "n"])
 
     def run(batches):
-        al, c = _aligner(paths), Counter()
+        al, total = _aligner(paths), np.zeros(0, np.int64)
+        al.forget(told=False)
+        _state.pop("shared", None)
         for _, _, block in _blocks(batches, 0):
-            cut = [_split(al, t) for t in block]
-            al.learn(cut, max_chunks)
-            for text, parts in zip(block, cut):
-                got = [al.known[p] for p in set(parts)]
-                if None in got:
-                    got = [x for x in [al.whole(text)] if x]
-                c.update(set().union(*[x[4] for x in got]))
-            if len(c) > held:
-                yield from rows(c)
-                c.clear()
-        yield from rows(c)
+            n = al.block(block, max_chunks).held()
+            n[: len(total)] += total
+            total = n
+            if len(total) > held:
+                yield from rows(al, total)
+                al.forget(told=False)
+                total = np.zeros(0, np.int64)
+        yield from rows(al, total)
 
     return run
 
@@ -218,16 +303,11 @@ class Counts:
         np.maximum.at(best, a, n)
         self.best = n == best[a]
 
-    def totals(self, links: list[list[int]]) -> list[tuple[int, int]]:
-        """(links that are best, sum of numbers) for each list of links."""
-        size = np.array([len(x) for x in links], np.int64)
-        at = self.table.find(np.fromiter(chain.from_iterable(links), np.int64, int(size.sum())))
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each pair is a best one (0 or 1), and its number; zeros for pairs outside the range."""
+        at = self.table.find(keys)
         known = at >= 0
-        best, n = np.zeros(len(at) + 1, np.int64), np.zeros(len(at) + 1, np.int64)
-        np.cumsum(np.where(known, self.best[at], False), out=best[1:])
-        np.cumsum(np.where(known, self.n[at], 0), out=n[1:])
-        end = np.cumsum(size)
-        return list(zip((best[end] - best[end - size]).tolist(), (n[end] - n[end - size]).tolist()))
+        return np.where(known, self.best[at] if len(self.best) else False, False).astype(np.int64), np.where(known, self.n[at] if len(self.n) else 0, 0)
 
 
 def _look_up(paths: tuple[str, str], shared, max_chunks: int):
@@ -236,31 +316,22 @@ def _look_up(paths: tuple[str, str], shared, max_chunks: int):
     def run(batches):
         al = _aligner(paths)
         if _state.get("shared") != name:
-            al.known.clear()
-            _state.update(shared=name, counts=shared.value, totals={})
-        counts, totals = _state["counts"], _state["totals"]
-        for b, first, block in _blocks(batches, 1):
-            cut = [_split(al, t) for t in block]
-            new = [p for p in al.learn(cut, max_chunks) if al.known[p]]
-            if len(totals) > len(al.known):
-                totals.clear()
-                new = [p for p, x in al.known.items() if x]
-            totals.update(zip(new, counts.totals([al.known[p][4] for p in new])))
-            got = []
-            for text, parts in zip(block, cut):
-                found = [al.known[p] for p in parts]
-                if None in found:
-                    x = al.whole(text)
-                    found, sums = ([x], counts.totals([x[4]])) if x else ([], [])
-                else:
-                    sums = [totals[p] for p in parts]
-                n = [sum(x[k] for x in found) for k in range(3)]
-                got.append((*n, sum(len(x[4]) for x in found), sum(s[0] for s in sums), sum(s[1] for s in sums), ";".join([x[3] for x in found])))
-            cols = list(zip(*got))
+            _state.update(shared=name, counts=shared.value)
+        al.forget()
+        counts, best, count = _state["counts"], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b, first, texts_ in _blocks(batches, 1):
+            block = al.block(texts_, max_chunks)
+            if len(al.pairs) > len(best):
+                new = np.fromiter(islice(al.pairs.keys(), len(best), None), np.int64, len(al.pairs) - len(best))
+                best, count = (np.concatenate([old, more]) for old, more in zip((best, count), counts.of(new)))
+            cols = block.rows(best, count)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(first, len(block)), *[pa.array(c, pa.int64()) for c in cols[:6]], pa.array(cols[6], pa.string())],
+                [b.column(0).slice(first, len(texts_)), *[pa.array(c) for c in cols[:6]], pa.array(cols[6], pa.string())],
                 ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"],
             )
+            if len(al.pairs) > HELD_PAIRS:
+                al.forget()
+                best, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     return run
 
