@@ -47,26 +47,81 @@ def _substitute(rows: DataFrame, keys: list[str], known: DataFrame) -> DataFrame
     return got.groupBy("repo_id", *keys).agg(flat.alias("parts"))
 
 
-def fold_constants(constants: DataFrame, expressions: DataFrame, keys: list[str]) -> DataFrame:
-    """``expressions`` (keys, parts array<array<string>>) with ``value``: the string they fold to, or null.
+#: Bytes of a string constant in a class file, at most; a fold beyond it is none.
+MAX_CONSTANT = 65_535
 
-    A constant with differing declarations, a missing one or a cycle leaves null. Constants fold from the literals up:
-    each round puts those just folded into the open ones, until a round folds none, so chains of any length fold and
-    cycles end. Constants are one row per name.
+
+def _split_at_ref(parts: Column) -> list[Column]:
+    """Text before the one reference of ``parts``, what it refers to, and the text after it."""
+    at = F.array_position(F.transform(parts, lambda p: p[0]), "ref").cast("int")
+    text = lambda some: F.array_join(F.transform(some, lambda p: p[1]), "")
+    ref = F.get(parts, at - 1)
+    return [text(F.slice(parts, 1, F.greatest(at - 1, F.lit(0)))).alias("before"), ref[1].alias("of"), ref[2].alias("called"), text(F.slice(parts, at + 1, F.size(parts))).alias("after")]
+
+
+def _contract(chain: DataFrame) -> DataFrame:
+    """Constants that are text around one other constant, each led on to the end of its chain.
+
+    Every round joins each with what it points to, so that pointers double: a chain of n takes about log2(n) rounds. Those of a
+    cycle never arrive; they are left after as many rounds as the longest chain could take.
+    """
+    chain = written(chain, "chains")
+    for _ in range(max(1, chain.count()).bit_length()):
+        to = chain.select("repo_id", F.col("_owner").alias("of"), F.col("_name").alias("called"), F.col("before").alias("b2"), F.col("of").alias("o2"), F.col("called").alias("c2"), F.col("after").alias("a2"))
+        got = chain.join(to, ["repo_id", "of", "called"], "left")
+        moved = F.col("o2").isNotNull()
+        got = got.select("repo_id", "_owner", "_name", F.when(moved, F.concat("before", "b2")).otherwise(F.col("before")).alias("before"), F.coalesce("o2", "of").alias("of"), F.when(moved, F.col("c2")).otherwise(F.col("called")).alias("called"), F.when(moved, F.concat("a2", "after")).otherwise(F.col("after")).alias("after"), moved.alias("moved"))
+        got = written(got.filter(F.octet_length("before") + F.octet_length("after") <= MAX_CONSTANT), "chains")
+        chain = got.drop("moved")
+        if got.filter("moved").isEmpty():
+            break
+    return chain
+
+
+def resolve_constants(constants: DataFrame) -> DataFrame:
+    """String constants that fold to one text: repo_id, _owner, _name, parts (the text as one literal).
+
+    A constant with differing declarations, a missing one or a cycle has none. Constants around one other are led to the end of
+    their chains by pointer jumping (``_contract``); those of several are put together where all of these are known, and may leave new
+    chains behind. So the rounds follow how often constants of several parts stand in one another, not how long chains are.
     """
     agreed = constants.groupBy("repo_id", F.col("owner").alias("_owner"), F.col("name").alias("_name")).agg(F.count_distinct("expression").alias("n"), F.min("expression").alias("parts"))
-    done = F.forall("parts", lambda p: p[0] == "lit")
-    one = written(agreed.filter("n = 1").drop("n"), "constants")
-    new, open_ = one.filter(done), one.filter(~done)
-    known = new
-    while not new.isEmpty() and not open_.isEmpty():
-        got = written(_substitute(open_, ["_owner", "_name"], new), "constants")
-        new, open_ = got.filter(done), got.filter(~done)
-        known = known.unionByName(new)
+    refs = F.size(F.filter("parts", lambda p: p[0] == "ref"))
+    one = written(agreed.filter("n = 1").drop("n").withColumn("refs", refs), "constants")
+    literal = lambda text: F.array(F.array(F.lit("lit"), text)).alias("parts")
+    key = ["repo_id", "_owner", "_name"]
+    known = one.filter("refs = 0").select(*key, literal(F.array_join(F.transform("parts", lambda p: p[1]), "")))
+    chain = one.filter("refs = 1").select(*key, *_split_at_ref(F.col("parts")))
+    many = one.filter("refs > 1").drop("refs")
+    while True:
+        if not chain.isEmpty():
+            end = known.select("repo_id", F.col("_owner").alias("of"), F.col("_name").alias("called"), F.col("parts")[0][1].alias("text"))
+            got = written(_contract(chain).join(end, ["repo_id", "of", "called"], "left"), "constants")
+            known = known.unionByName(got.filter("text is not null").select(*key, literal(F.concat("before", "text", "after"))))
+            chain = got.filter("text is null").drop("text")
+        if many.isEmpty():
+            break
+        put = written(_substitute(many, ["_owner", "_name"], known).withColumn("refs", refs), "constants")
+        if put.filter("refs < 2").isEmpty():
+            break
+        known = known.unionByName(put.filter("refs = 0").select(*key, literal(F.array_join(F.transform("parts", lambda p: p[1]), ""))))
+        chain = chain.unionByName(put.filter("refs = 1").select(*key, *_split_at_ref(F.col("parts"))).select(chain.columns))
+        many = put.filter("refs > 1").drop("refs")
+    return written(known, "constants")
+
+
+def fold_constants(known: DataFrame, expressions: DataFrame, keys: list[str]) -> DataFrame:
+    """``expressions`` (keys, parts array<array<string>>) with ``value``: the string they fold to by ``resolve_constants``, or null."""
     rows = written(_substitute(expressions, keys, known), "expressions")
+    done = F.forall("parts", lambda p: p[0] == "lit")
     return rows.select("repo_id", *keys, F.when(done, F.array_join(F.transform("parts", lambda p: p[1]), "")).alias("value"))
 
 
+def string_constants(facts: DataFrame) -> DataFrame:
+    """What ``resolve_constants`` makes of a build's facts; routes, registrations and topics share it."""
+    return resolve_constants(java_facts(facts, "string_constant", "name string, owner string, expression array<array<string>>").select("repo_id", "owner", "name", "expression"))
+
+
 def class_fields(facts: DataFrame) -> DataFrame:
     """Per class name: its fields if all declarations agree, with the status of what is known."""
     c = java_facts(facts, "class_fields", "name string, fields array<struct<name:string,collection:string>>").filter("name is not null")
@@ -79,6 +134,26 @@ def with_fields(rows: DataFrame, fields: DataFrame) -> DataFrame:
     return out.withColumn("payload_fields_status", F.when(F.col("payload").isNull(), "unresolved_payload").otherwise(F.coalesce("payload_fields_status", F.lit("unavailable_external_declaration"))))
 
 
+#: The whole of what a boundary carries.
+_SIDES = [f"{side}_{what}" for side in ("request", "response") for what in ("payload", "status", "fields")]
+
+
+def with_sides(rows: DataFrame, fields: DataFrame) -> DataFrame:
+    """``rows`` with status and fields of their request_payload and response_payload by local declarations; nulls where there is no payload."""
+    for side in ("request", "response"):
+        f = fields.select("repo_id", F.col("payload").alias(f"{side}_payload"), F.col("payload_fields").alias(f"{side}_fields"), F.col("payload_fields_status").alias("_status"))
+        rows = rows.join(f, ["repo_id", f"{side}_payload"], "left")
+        rows = rows.withColumn(f"{side}_status", F.when(F.col(f"{side}_payload").isNotNull(), F.coalesce("_status", F.lit("unavailable_external_declaration")))).drop("_status")
+    return rows
+
+
+def with_main_side(rows: DataFrame, first: str) -> DataFrame:
+    """``payload`` and its fields and status from the ``first`` side, or where that has no payload all from the other."""
+    other = "request" if first == "response" else "response"
+    pick = lambda what: F.when(F.col(f"{first}_payload").isNotNull(), F.col(f"{first}_{what}")).otherwise(F.col(f"{other}_{what}"))
+    return rows.withColumns({"payload": pick("payload"), "payload_fields": pick("fields"), "payload_fields_status": F.coalesce(pick("status"), F.lit("unresolved_payload"))})
+
+
 _PLACE = ["repo_id", "file_id", "at_path", "scope", "line_start", "line_end", "column_start", "column_end"]
 
 
@@ -116,17 +191,23 @@ def outbound_http(facts: DataFrame) -> DataFrame:
     wrap = ex.filter("parameter is not null").groupBy("repo_id", "name", "parameters").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in ("method", "parameter", "response")]).filter("n = 1").drop("n")
     inv = java_facts(facts, "invocation", "name string, arguments array<string>").withColumn("parameters", F.size("arguments"))
     sites = inv.join(wrap, ["repo_id", "name", "parameters"]).withColumn("expression", F.get("arguments", F.col("parameter")))
-    cols = [*_PLACE, "method", "expression", "response"]
+    cols = [*_PLACE, "method", "expression", "request", "response"]
+    none = F.lit(None).cast("string")
     jdk = java_facts(facts, "jdk_http", "method string, path string, suffix string, request string, response string")
-    jdk = jdk.withColumns({"expression": F.coalesce("path", F.concat(F.lit("#"), "suffix"), F.lit("")), "response": F.coalesce("response", "request")})
-    rows = resolve_paths(direct.select(*cols).unionByName(sites.select(*cols)).unionByName(jdk.select(*cols)), facts)
-    rows = rows.withColumn("payload", S.payload_type(F.col("response")))
-    return with_fields(rows, class_fields(facts)).withColumns({"direction": F.lit("outbound"), "source": F.lit("java")})
+    jdk = jdk.withColumns({"expression": F.coalesce("path", F.concat(F.lit("#"), "suffix"), F.lit(""))})
+    rows = resolve_paths(direct.withColumn("request", none).select(*cols).unionByName(sites.withColumn("request", none).select(*cols)).unionByName(jdk.select(*cols)), facts)
+    rows = rows.withColumns({"request_payload": S.payload_type(F.col("request")), "response_payload": S.payload_type(F.col("response"))}).drop("request")
+    return with_main_side(with_sides(rows, class_fields(facts)), "response").withColumns({"direction": F.lit("outbound"), "source": F.lit("java")})
 
 
-def inbound_http(facts: DataFrame) -> DataFrame:
-    """Inbound operations: OpenAPI, and Java routes below the prefix their service is registered at."""
-    consts = java_facts(facts, "string_constant", "name string, owner string, expression array<array<string>>").select("repo_id", "owner", "name", "expression")
+def inbound_http(facts: DataFrame, consts: DataFrame | None = None) -> DataFrame:
+    """Inbound operations: OpenAPI, and Java routes below the prefix their service is registered at.
+
+    Rows of one repository, method and resolved path take one whole description of what is carried: the only one of their
+    OpenAPI operations, else the only one there is; where several differ each row keeps its own. ``consts``: the ``string_constants``
+    of the facts, if they are known.
+    """
+    consts = string_constants(facts) if consts is None else consts
     route = java_facts(facts, "route", "name string, owner string, interfaces array<string>, method string, expression array<array<string>>")
     reg = java_facts(facts, "registration", "service_type string, expression array<array<string>>")
     prefix = fold_constants(consts, reg.select("repo_id", "service_type", F.col("expression").alias("parts")).distinct().withColumn("k", F.to_json("parts")), ["service_type", "k"]).filter("value is not null")
@@ -143,17 +224,24 @@ def inbound_http(facts: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     java = r.select(
         *_PLACE, "method", F.when(status == "resolved", paths[0]).alias("path"), status.alias("path_status"), F.when(F.col("value").isNull(), none).otherwise(paths).alias("path_candidates"),
-        F.lit(None).cast("string").alias("payload"), F.lit(None).cast("string").alias("payload_fields"), F.lit("java").alias("source"),
+        F.lit(None).cast(_CARRIED).alias("carried"), F.lit("java").alias("source"),
     )
     op = facts.filter("section = 'http_facts' and family_kind = 'openapi_operation'")
-    v = F.from_json("extra_json", "method string, path string, response struct<type:string,status:string,fields:array<struct<name:string,declared_type:string,collection:string,required:boolean>>>, request struct<type:string,fields:array<struct<name:string,declared_type:string,collection:string,required:boolean>>>")
+    side = "struct<type:string,status:string,fields:array<struct<name:string,declared_type:string,collection:string,required:boolean>>>"
+    v = F.from_json("extra_json", f"method string, path string, request {side}, response {side}")
+    each = lambda k: (F.col(f"v.{k}.type").alias(f"{k}_payload"), F.col(f"v.{k}.status").alias(f"{k}_status"), F.to_json(f"v.{k}.fields").alias(f"{k}_fields"))
+    carried = F.when(F.coalesce("v.request.type", "v.response.type").isNotNull(), F.struct(*each("request"), *each("response")))
     api = op.withColumn("v", v).select(
         "repo_id", "file_id", F.col("path").alias("at_path"), "scope", "line_start", "line_end", "column_start", "column_end", "v.method", "v.path", F.lit("resolved").alias("path_status"), F.array("v.path").alias("path_candidates"),
-        F.coalesce("v.request.type", "v.response.type").alias("payload"), F.to_json(F.coalesce("v.request.fields", "v.response.fields")).alias("payload_fields"), F.lit("openapi").alias("source"),
+        carried.alias("carried"), F.lit("openapi").alias("source"),
     )
     both = java.unionByName(api)
-    keyed = align_payloads(both, ["repo_id", "method", "path"], "payload", F.col("source") == "openapi")
-    return keyed.drop("payload").withColumnRenamed("aligned_payload", "payload").withColumn("direction", F.lit("inbound"))
+    # rows without a resolved path have no path and so no siblings
+    keyed = align_payloads(both, ["repo_id", "method", "path"], "carried", F.col("source") == "openapi")
+    return with_main_side(keyed.select("*", "aligned_carried.*").drop("carried", "aligned_carried"), "request").withColumn("direction", F.lit("inbound"))
+
+
+_CARRIED = "struct<" + ",".join(f"{c}:string" for c in _SIDES) + ">"
 
 
 def listener_topics(listeners: DataFrame, facts: DataFrame) -> DataFrame:
@@ -198,7 +286,7 @@ def listener_topics(listeners: DataFrame, facts: DataFrame) -> DataFrame:
     return x.select("repo_id", "owner", "topics", F.when(F.col("chain_status") == "resolved", F.col("enum_topic")).alias("enum_topic"), "chain_status")
 
 
-def kafka(facts: DataFrame) -> DataFrame:
+def kafka(facts: DataFrame, consts: DataFrame | None = None) -> DataFrame:
     """Kafka boundaries. A listener's literal topics win unless they are expressions; such an expression is resolved
     through the enum constant that the class hands to its superclass, if the chain is unique; a published topic is a
     literal, a constant, or the configuration key bound to the symbol."""
@@ -214,7 +302,7 @@ def kafka(facts: DataFrame) -> DataFrame:
         gap.alias("gap"),
     )
     pub = java_facts(facts, "kafka_publish", "name string, owner string, topic string, topic_expression array<array<string>>, payload string")
-    consts = java_facts(facts, "string_constant", "name string, owner string, expression array<array<string>>").select("repo_id", "owner", "name", "expression")
+    consts = string_constants(facts) if consts is None else consts
     pub = pub.withColumn("k", F.to_json("topic_expression"))
     folded = fold_constants(consts, pub.filter("topic_expression is not null").select("repo_id", "k", F.col("topic_expression").alias("parts")).distinct(), ["k"])
     bind = java_facts(facts, "value_binding", "name string, property_key string").groupBy("repo_id", "at_path", F.col("name").alias("symbol")).agg(F.array_sort(F.collect_set("property_key")).alias("keys"))
@@ -233,7 +321,7 @@ def kafka(facts: DataFrame) -> DataFrame:
 def as_observations(rows: DataFrame, protocol: str) -> DataFrame:
     """Boundaries in the shape of facts; parser mechanics are no part of the descriptor."""
     label = "path" if protocol == "http" else "topic"
-    d = ["direction", "method", "path", "path_status", "path_candidates", "payload", "payload_fields"] if protocol == "http" else ["direction", "topic", "topic_kind", "topic_status", "payload", "payload_fields"]
+    d = ["direction", "method", "path", "path_status", "path_candidates", *_SIDES] if protocol == "http" else ["direction", "topic", "topic_kind", "topic_status", "payload", "payload_fields"]
     # what the row rests on, for its family's provenance
     names = [c for c in ("source", "resolution", "topic_kind") if c in rows.columns]
     basis = [F.concat_ws("_", *[F.col(c) for c in names]).alias("basis"), F.coalesce(F.col("confidence"), F.lit(1.0)).alias("confidence") if "confidence" in rows.columns else F.lit(1.0).alias("confidence")]

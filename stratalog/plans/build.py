@@ -99,8 +99,9 @@ def refuse(what: str, wrong: DataFrame) -> None:
 def finish(change: tables.Change) -> None:
     """From staged files and facts to families, members, evidence, boundaries and diagnostics."""
     files, fact = change.read("files"), change.read("facts")
-    change.write(boundaries.outbound_http(fact).unionByName(boundaries.inbound_http(fact), allowMissingColumns=True), "boundaries_http")
-    change.write(boundaries.kafka(fact), "boundaries_kafka")
+    consts = boundaries.string_constants(fact)
+    change.write(boundaries.outbound_http(fact).unionByName(boundaries.inbound_http(fact, consts), allowMissingColumns=True), "boundaries_http")
+    change.write(boundaries.kafka(fact, consts), "boundaries_kafka")
     change.write(config.includes(fact, files), "config_includes")
     obs = families.observations(fact, files, [boundaries.as_observations(change.read("boundaries_http"), "http"), boundaries.as_observations(change.read("boundaries_kafka"), "kafka")])
     change.write(families.evidence(obs), "evidence")

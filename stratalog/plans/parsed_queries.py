@@ -294,6 +294,30 @@ def java_inbound(spark, sf):
     return out.select("repo_id", "method", "path", "path_status", F.array_join("path_candidates", ",").alias("candidates"))
 
 
+@query("""
+WITH s AS (SELECT 'n' || s_nationkey AS repo_id, s_suppkey AS s FROM supplier)
+SELECT repo_id, 'POST' AS method, '/s/' || s AS path, 'Item' AS request, 'Made' AS response, 2 AS file_count, 'java,openapi' AS basis FROM s
+UNION ALL SELECT repo_id, 'GET', '/s/' || s, NULL, CASE WHEN s % 2 = 0 THEN unnest(['Item', 'Made', NULL]) ELSE unnest(['Item']) END, CASE WHEN s % 2 = 0 THEN 1 ELSE 3 END, CASE WHEN s % 2 = 0 THEN unnest(['openapi', 'openapi', 'java']) ELSE unnest(['java,openapi']) END FROM s
+UNION ALL SELECT repo_id, 'DELETE', NULL, NULL, NULL, count(*), 'java' FROM s GROUP BY 1
+""")
+def inbound_mixed(spark, sf):
+    """OpenAPI operations and Java routes of one path: one family with all files, request and response apart; conflicts stay."""
+    s = table(spark, sf, "supplier")
+    k = F.col("s_suppkey")
+    side = lambda n: '{"content": {"application/json": {"schema": {"title": "%s"}}}}' % n
+    get = lambda n: ', "get": {"responses": {"200": ' + side(n) + "}}"
+    one = text('{"openapi": "3.0.1", "paths": {"/s/', k, '": {"post": {"requestBody": ' + side("Item") + ', "responses": {"201": ' + side("Made") + "}}" + get("Item") + "}}}")
+    two = text('{"openapi": "3.0.1", "paths": {"/s/', k, '": {"summary": "x"', F.when(k % 2 == 0, get("Made")).otherwise(get("Item")), "}}}")
+    java = text("class C", k, ' { @Post("/s/', k, '") void add() { } @Get("/s/', k, '") Object get() { return null; } @Delete(Gone.X) void no() { } }')
+    each = F.array(*[F.struct(text(n, k, e).alias("n"), t.alias("t")) for n, e, t in (("api/a", ".json", one), ("api/b", ".json", two), ("src/main/java/C", ".java", java))])
+    rows = s.select(text("n", F.col("s_nationkey")).alias("r"), F.explode(each).alias("f"))
+    files = files_of(rows, F.col("r"), F.col("f.n"), F.col("f.t"))
+    fact = parsed(files)
+    obs = families.observations(fact, files, [boundaries.as_observations(written(boundaries.inbound_http(fact), "inbound"), "http")]).filter("section = 'boundaries'")
+    fam = families.families(families.evidence(obs), families.probe_status(fact), families.provenance(obs))
+    return fam.select("repo_id", told("method").alias("method"), told("path").alias("path"), told("request_payload").alias("request"), told("response_payload").alias("response"), "file_count", F.array_join("basis_variants", ",").alias("basis"))
+
+
 # what breaks the chain of a listener: (enum, arguments of super, accessor) and the status
 _CHAINS = [
     ("@RequiredArgsConstructor enum E { A(K.Z); private final K k; String at(C c) { return c.v(k); } }", "super(E.A);", "at", "resolved"),
