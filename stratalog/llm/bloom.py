@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BITS = 1 << 27
+MAX_BITS = 1 << 29
 BITS_PER_ROW = 16
 
 _PART = 20  # log2 of the bits that are put together at once

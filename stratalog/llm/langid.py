@@ -1,31 +1,35 @@
 """Language identification by language-bitmask n-gram filters.
 
-A bit-sliced Bloom filter is a table of language bitmasks: n-gram g of language l sets bit l in the slots that g
-hashes to, and the AND of g's slots gives all languages that (may) contain g at once. A document's n-grams are
-looked up together; for each language the bits are counted, corrected for the rate at which an absent n-gram
-would still hit (the share of slots with the language's bit, to the power of the number of hashes), and the
-largest corrected count decides.
-
-The filter has ``1 << slot_bits`` masks of as many 64-bit words as the languages need. Each language is learnt by
-itself, however rare it is beside others: from at most about ``max_docs`` of its labelled documents, chosen by a hash
-of their id, and with at most its ``max_grams`` most frequent n-grams. N-grams are runs of four UTF-8 bytes of the lower-case text, with
-everything but letters as one space.
+A bit-sliced Bloom filter is a table of bitmasks: an n-gram of a language sets the language's bits in the slots that it
+hashes to, and the AND of an n-gram's slots gives all languages that (may) contain it at once. Every n-gram that was
+learnt is in the filter. A language has ``PLANES`` bits: the first is set by all of its n-grams, the others by those whose
+rate in the language is at least 2^-15, 2^-13 and so on, so that the filter also tells about how frequent an n-gram is
+in each language. A document's n-grams are looked up together; for each language and plane the bits are
+counted, corrected for the rate at which an absent n-gram would still hit (the share of slots with the bit, to the
+power of the number of hashes), and the largest sum over a language's planes decides: a log-likelihood in steps of four.
+
+The filter's size follows from the number of n-grams: about ``SLOTS_PER_GRAM`` slots for each, 2^``MAX_SLOT_BITS`` at
+most (beyond that only the rate of false hits grows, which is corrected), of as many 64-bit words as the languages need. Each language
+is learnt by itself, however rare it is beside others, from at most about ``max_docs`` of its labelled documents, chosen by a
+hash of their id. N-grams are runs of four UTF-8 bytes of the lower-case text, with everything but letters as one space.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import documents, ship, texts
+from ._util import documents, ship, texts, written
 
 #: Per language.
 MAX_TRAIN_DOCS = 20_000
-MAX_GRAMS = 20_000
-SLOT_BITS = 20
+SLOTS_PER_GRAM, MAX_SLOT_BITS = 8, 22
 HASHES = 2
+#: Least rates of the planes after the first.
+RATES = tuple(2.0**-k for k in (15, 13, 11, 9, 7))
+PLANES = 1 + len(RATES)
 
 _TABLE = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -45,43 +49,59 @@ def _slots(g: np.ndarray, slot_bits: int):
         yield ((x * np.uint64(mult)) >> np.uint64(64 - slot_bits)).astype(np.int64)
 
 
+def slot_bits_for(grams: int) -> int:
+    return min(MAX_SLOT_BITS, max(16, (SLOTS_PER_GRAM * max(1, grams) - 1).bit_length()))
+
+
+def planes(rate: np.ndarray) -> np.ndarray:
+    """How many planes an n-gram of a language is in."""
+    return 1 + np.searchsorted(np.array(RATES), rate, side="right")
+
+
 class Filter:
-    """Bitmask filter over any number of languages; ``counts``: n-grams of each with their counts, as a dict or two arrays."""
-
-    def __init__(self, counts: dict[str, dict[int, int] | tuple[np.ndarray, np.ndarray]], slot_bits: int = SLOT_BITS, share: float = 0.5):
-        self.languages, self.slot_bits = sorted(counts), slot_bits
-        own = []
-        for lang in self.languages:
-            c = counts[lang]
-            g, n = (np.array(list(c.keys()), np.uint32), np.array(list(c.values()), np.float64)) if isinstance(c, dict) else c
-            own.append((g, n / max(1, n.sum())))
-        every = np.unique(np.concatenate([g for g, _ in own])) if own else np.zeros(0, np.uint32)
-        top = np.zeros(len(every))
-        for g, rate in own:
-            at = np.searchsorted(every, g)
-            top[at] = np.maximum(top[at], rate)
-        self.masks = np.zeros((1 << slot_bits, max(1, -(-len(own) // 64))), np.uint64)
-        self.false_rate = []
-        for k, (g, rate) in enumerate(own):
-            word, bit = k // 64, np.uint64(1 << k % 64)
-            for s in _slots(g[rate >= share * top[np.searchsorted(every, g)]], slot_bits):
-                self.masks[s, word] |= bit
-            self.false_rate.append(float((self.masks[:, word] & bit != 0).mean()) ** HASHES)
+    """Bitmask filter over any number of languages; ``masks``: a row of words for each slot."""
+
+    def __init__(self, languages: list[str], masks: np.ndarray):
+        self.languages, self.masks = languages, masks
+        self.slot_bits = max(1, len(masks)).bit_length() - 1
+        n = PLANES * len(languages)
+        ones = sum((self._bits(masks[i : i + 65536]).sum(axis=0, dtype=np.int64) for i in range(0, len(masks), 65536)), np.zeros(64 * masks.shape[1], np.int64))
+        self.false_rate = (ones[:n] / len(masks)) ** HASHES
+
+    @staticmethod
+    def of(counts: dict[str, dict[int, int]], slot_bits: int | None = None) -> "Filter":
+        """From n-grams of each language with their counts."""
+        languages = sorted(counts)
+        bits = slot_bits or slot_bits_for(len(set().union(*counts.values())))
+        masks = np.zeros((1 << bits, max(1, -(-PLANES * len(languages) // 64))), np.uint64)
+        for k, lang in enumerate(languages):
+            g, n = np.array(list(counts[lang].keys()), np.uint32), np.array(list(counts[lang].values()), np.float64)
+            have = planes(n / max(1.0, n.sum()))
+            for p in range(PLANES):
+                word, bit = divmod(k * PLANES + p, 64)
+                for s in _slots(g[have > p], bits):
+                    masks[s, word] |= np.uint64(1 << bit)
+        return Filter(languages, masks)
+
+    @staticmethod
+    def _bits(words: np.ndarray) -> np.ndarray:
+        return np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
 
     def identify(self, text: str) -> tuple[str, float]:
         if not self.languages or not any(map(str.isalpha, text)):
             return "und", 0.0
         g = grams(text)
-        hit = None
-        for s in _slots(g, self.slot_bits):
-            hit = self.masks[s] if hit is None else hit & self.masks[s]
-        n, best, got = max(1, len(g)), 0, []
-        for k, f in enumerate(self.false_rate):
-            raw = int(np.count_nonzero(hit[:, k // 64] & np.uint64(1 << k % 64)))
-            got.append(max(0.0, (raw - n * f) / (1 - f) if f < 1 else 0.0))
-            if got[k] > got[best]:
-                best = k
-        return self.languages[best], min(1.0, got[best] / n)
+        raw, n = np.zeros(len(self.false_rate)), max(1, len(g))
+        for i in range(0, len(g), 65536):
+            hit = None
+            for s in _slots(g[i : i + 65536], self.slot_bits):
+                hit = self.masks[s] if hit is None else hit & self.masks[s]
+            raw += self._bits(hit).sum(axis=0, dtype=np.int64)[: len(raw)]
+        f = self.false_rate
+        found = np.where(f < 1, np.maximum(0.0, raw - n * f) / np.where(f < 1, 1 - f, 1.0), 0.0).reshape(-1, PLANES)
+        total = found.sum(axis=1)
+        best = int(np.argmax(np.round(total, 6)))
+        return self.languages[best], float(min(1.0, total[best] / (PLANES * n)))
 
 
 def _count(batches):
@@ -94,11 +114,30 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
-def learn(labelled: DataFrame, lang_col: str, text_col: str, id_col: str, max_docs: int = MAX_TRAIN_DOCS, slot_bits: int = SLOT_BITS, max_grams: int = MAX_GRAMS) -> Filter:
+def _places(languages: list[str], totals: dict[str, int], slot_bits: int):
+    """Each n-gram's slots with the bits that it sets there, a row for each 64-bit word."""
+    at = {lang: k for k, lang in enumerate(languages)}
+
+    def run(batches):
+        for b in batches:
+            lang = b.column(0).to_pylist()
+            g, n = b.column(1).to_numpy().astype(np.uint32), b.column(2).to_numpy()
+            have = planes(n / np.array([max(1, totals[x]) for x in lang], np.float64))
+            first = np.array([at[x] for x in lang], np.int64) * PLANES
+            for p in range(PLANES):
+                some = have > p
+                bit = first[some] + p
+                for s in _slots(g[some], slot_bits):
+                    yield pa.RecordBatch.from_arrays([pa.array(s), pa.array((bit // 64).astype(np.int32)), pa.array(np.left_shift(np.uint64(1), (bit % 64).astype(np.uint64)).view(np.int64))], ["slot", "word", "mask"])
+
+    return run
+
+
+def learn(labelled: DataFrame, lang_col: str, text_col: str, id_col: str, max_docs: int = MAX_TRAIN_DOCS, slot_bits: int | None = None) -> Filter:
     """A filter from labelled rows, for any number of languages.
 
-    Of each language at most about ``max_docs`` documents are used, chosen by a hash of their id, and at most its
-    ``max_grams`` most frequent n-grams in them, whatever the table's size. Rows without a language are not used; a
+    Of each language at most about ``max_docs`` documents are used, chosen by a hash of their id, and all of their
+    n-grams. ``slot_bits`` follows from the number of n-grams where it is not given. Rows without a language are not used; a
     language whose documents have no n-gram is learnt but never predicted; an empty table gives an empty filter.
     """
     spark = labelled.sparkSession
@@ -110,21 +149,25 @@ def learn(labelled: DataFrame, lang_col: str, text_col: str, id_col: str, max_do
         limits = F.broadcast(spark.createDataFrame(large, "lang string, below long"))
         hashed = F.shiftrightunsigned(F.xxhash64("id"), 2)  # below 1 << 62
         rows = rows.join(limits, "lang", "left").filter(F.col("below").isNull() | (hashed < F.col("below")))
-    counts = rows.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    top = counts.withColumn("rank", rank).filter(F.col("rank") <= max_grams).select("lang", "gram", "n").toArrow()
-    code = top.column("lang").combine_chunks().dictionary_encode()
-    gram, n, at = top.column("gram").to_numpy().astype(np.uint32), top.column("n").to_numpy().astype(np.float64), code.indices.to_numpy(zero_copy_only=False)
-    return Filter({lang: (gram[at == k], n[at == k]) for k, lang in enumerate(code.dictionary.to_pylist())}, slot_bits)
+    counts = written(rows.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    languages = sorted(totals)
+    bits = slot_bits or slot_bits_for(counts.select("gram").distinct().count())
+    masks = np.zeros((1 << bits, max(1, -(-PLANES * len(languages) // 64))), np.uint64)
+    set_ = counts.mapInArrow(_places(languages, totals, bits), "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask"))
+    # a row for each word of the filter at most, by 65,536 slots
+    for part in set_.groupBy(F.floor(F.col("slot") / 65536).alias("part")).agg(F.collect_list(F.struct("slot", "word", "mask")).alias("rows")).select("rows.slot", "rows.word", "rows.mask").toLocalIterator():
+        masks[np.array(part["slot"]), np.array(part["word"])] = np.array(part["mask"], np.int64).view(np.uint64)
+    return Filter(languages, masks)
 
 
 def identify(docs: DataFrame, model: Filter, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) plus lang_pred and score.
 
     lang_pred is a learned language, or ``und`` where the text is null, empty or has no letter, or nothing was learnt.
-    Score is the share of the text's n-grams that the language has, corrected; 0 says that no n-gram speaks for any
-    language, and then lang_pred is the one that sorts first. Of equal counts the language that sorts first
-    wins. Only what ``learn`` saw counts: a language's most frequent n-grams in a bounded number of its documents.
+    Score is the mean share of planes that the text's n-grams have in that language, corrected: near 1 for frequent n-grams only,
+    0 where no n-gram speaks for any language, and then lang_pred is the one that sorts first. Of equal sums the
+    language that sorts first wins.
     A kept column named lang_pred or score gives way to the new one. Rows come back one for one; an empty
     table gives an empty result.
     """

@@ -8,6 +8,7 @@ either longer or of an earlier rule. Base phrases are detections like the others
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ class Scanner:
         if not words:
             return 0, []
         norm = b" " + b" ".join(words) + b" "
-        found = []
+        found, place = [], None
         for word, gates in self.by_keyword.items():
             if word not in norm:
                 continue
@@ -49,7 +50,9 @@ class Scanner:
                     continue
                 for k, r in self.by_gate[gate]:
                     for m in r.pattern.finditer(norm):
-                        first = norm.count(b" ", 0, m.start()) - 1
+                        if place is None:  # words before each byte
+                            place = np.cumsum(np.frombuffer(norm, np.uint8) == 32, dtype=np.int32)
+                        first = int(place[m.start() - 1]) - 1 if m.start() else -1
                         found.append((first, first + m[0].count(b" ") + 1, k, r))
         return len(words), resolve(found)
 

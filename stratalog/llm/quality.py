@@ -144,7 +144,8 @@ def rank_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)").distinct()
     n = known.count()
     if n > max_labelled:
-        known = known.filter(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000)) < int(1e6 * max_labelled / n))
+        hashed = F.shiftrightunsigned(F.xxhash64(F.col("id").cast("string")), 2)  # below 1 << 62
+        known = known.filter(hashed < (1 << 62) * max_labelled // n)
     seen = two.join(F.broadcast(known), "id").select("id", "y", "text").mapInArrow(_describe, f"id {kind}, y int, x array<float>")
     got = seen.groupBy("id", "y").agg(F.min("x").alias("x")).toArrow().sort_by([("id", "ascending"), ("y", "ascending")])  # bounded by max_labelled
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, N)

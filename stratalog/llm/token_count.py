@@ -12,7 +12,8 @@ each document and summed; no id list of a document is ever made:
 3. what came by shuffle is summed per document and added.
 
 So what is broadcast is bounded, texts never shuffle, and of the pairs (document, pre-token) only those of pre-tokens
-that are neither frequent nor unique do.
+that are neither frequent nor unique do. The filter has at most ``max_filter_bits``: beyond some 100 million entries its false hits
+grow, and with them the pairs of unique pre-tokens that shuffle too.
 """
 
 from __future__ import annotations
@@ -93,6 +94,34 @@ def dictionary(rows: DataFrame, model_path: str, held: int = HELD_PRETOKENS) ->
     return written(seen.filter("docs > 1").mapInArrow(_encode(model_path), "w string, docs long, n long"), "pretokens")
 
 
+#: Slices in which ``cut_at`` counts at once.
+SLICES = 1024
+
+
+def cut_at(words: DataFrame, most: int) -> tuple[int, int, int]:
+    """The least number of documents from which on ``words`` has at most ``most`` entries, how many these are, and all entries.
+
+    Counts in ``SLICES`` slices of the numbers, then in slices of the one in which the limit falls, until slices are single numbers.
+    """
+    top, n = words.agg(F.coalesce(F.max("docs"), F.lit(0)), F.count(F.lit(1))).first()
+    lo, hi, held = 0, top + 1, 0
+    while lo < hi:
+        step = -(-(hi - lo) // SLICES)
+        slices = words.filter((F.col("docs") >= lo) & (F.col("docs") < hi)).groupBy(F.floor((F.col("docs") - lo) / step).alias("k")).count()
+        full = None
+        for r in sorted(slices.collect(), key=lambda r: -r["k"]):
+            if held + r["count"] > most:
+                full = r["k"]
+                break
+            held += r["count"]
+        if full is None:
+            return lo, held, n
+        lo, hi = lo + full * step, min(hi, lo + (full + 1) * step)
+        if step == 1:
+            return hi, held, n
+    return hi, held, n
+
+
 def _join(path: str, shared, limit_rows: int = 512):
     name = uuid.uuid4().hex  # workers live on and keep the dictionary
 
@@ -165,13 +194,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     ship(spark)
     two = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     words = dictionary(two, model_path, held_pretokens)
-    # the least number of documents from which on no more than broadcast_pretokens entries are left
-    sizes = words.groupBy(F.least("docs", F.lit(1000)).alias("docs")).count().orderBy(F.desc("docs")).collect()
-    least, held, n = 1001, 0, sum(r["count"] for r in sizes)
-    for r in sizes:
-        if held + r["count"] > broadcast_pretokens:
-            break
-        least, held = r["docs"], held + r["count"]
+    least, held, n = cut_at(words, broadcast_pretokens)
     top = words.filter(F.col("docs") >= least).select("w", "n").toArrow()
     rare = words.filter(F.col("docs") < least)
     shared = spark.sparkContext.broadcast((top.column("w").combine_chunks(), top.column("n").to_numpy(), bloom.of(rare.select("w"), n - held, max_filter_bits)))

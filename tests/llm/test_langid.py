@@ -1,6 +1,10 @@
 import zlib
+from collections import Counter, defaultdict
 
-from stratalog.llm.langid import Filter, grams, identify, learn, query
+import numpy as np
+
+from stratalog.llm import langid
+from stratalog.llm.langid import Filter, _slots, grams, identify, learn, query, slot_bits_for
 
 
 def test_held_out_accuracy(spark):
@@ -33,59 +37,68 @@ def test_nothing_learnt(spark):
     assert none.identify("the text") == ("und", 0.0)
 
 
-def brute_identify(model_counts, share, text):
+def brute_identify(model_counts, text):
     """Exact sets in place of the filter; without false positives there is nothing to correct."""
-    rates = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in model_counts.items()}
-    top = {}
-    for c in rates.values():
-        for g, r in c.items():
-            top[g] = max(r, top.get(g, 0))
-    own = {lang: {g for g, r in c.items() if r >= share * top[g]} for lang, c in rates.items()}
     if not any(map(str.isalpha, text)):
         return "und", 0.0
-    have = grams(text).tolist()
-    hits = {lang: sum(g in s for g in have) for lang, s in own.items()}
-    best = min(hits, key=lambda x: (-hits[x], x))
-    return best, hits[best] / max(1, len(have))
+    have, sums = grams(text).tolist(), {}
+    for lang, c in model_counts.items():
+        total = sum(c.values())
+        sums[lang] = sum(1 + sum(c[g] / total >= 2.0**-k for k in (15, 13, 11, 9, 7)) for g in have if g in c)
+    best = min(sums, key=lambda x: (-sums[x], x))
+    return best, sums[best] / (6 * max(1, len(have)))
 
 
-def test_filter_equals_exact_sets(spark, sf):
-    """The corrected counts of the filter against brute force over all documents."""
-    from collections import Counter, defaultdict
-
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+def learnt(docs):
     counts = defaultdict(Counter)
     for r in docs.collect():
         if r.lang:
             counts[r.lang].update(grams(r.text or "").tolist())
-    model = Filter({k: dict(v) for k, v in counts.items()})
-    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(docs, model).collect()}
+    return counts
+
+
+def test_filter_equals_exact_sets(spark, sf):
+    """The corrected counts of the filter against brute force over all documents."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    counts = learnt(docs)
+    made = learn(docs, "lang", "text", "doc_id")
+    assert (made.masks == Filter.of(counts).masks).all() and made.slot_bits == Filter.of(counts).slot_bits
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(docs, made).collect()}
     far = same = 0
     for r in docs.collect():
-        lang, score = brute_identify(counts, 0.5, r.text or "")
+        lang, score = brute_identify(counts, r.text or "")
         same += got[r.doc_id][0] == lang
         far = max(far, abs(got[r.doc_id][1] - score))
     assert same >= 0.995 * len(got) and far < 0.05
 
 
+def bits_of(f, g):
+    hit = None
+    for s in _slots(np.array([g], np.uint32), f.slot_bits):
+        hit = f.masks[s] if hit is None else hit & f.masks[s]
+    return np.unpackbits(hit.view(np.uint8), bitorder="little")[: 6 * len(f.languages)].reshape(-1, 6)
+
+
+def test_every_language_of_an_ngram_comes_back():
+    f = Filter.of({"a": {1: 90, 2: 10, 7: 1}, "b": {1: 10, 3: 90, 7: 200_000}})
+    assert bits_of(f, 1)[:, 0].tolist() == [1, 1] and bits_of(f, 2)[:, 0].tolist() == [1, 0] and bits_of(f, 7)[:, 0].tolist() == [1, 1]
+    assert bits_of(f, 1).tolist() == [[1, 1, 1, 1, 1, 1], [1, 1, 0, 0, 0, 0]]  # about as frequent as it is in each
+
+
 def test_filter_has_no_false_negative():
-    f = Filter({"a": {k: 3 for k in range(5000)}, "b": {k: 3 for k in range(5000, 9000)}}, slot_bits=14)
-    import numpy as np
+    f = Filter.of({"a": {k: 3 for k in range(5000)}, "b": {k: 3 for k in range(5000, 9000)}}, slot_bits=14)
+    assert all(bits_of(f, k)[0, 0] for k in range(5000)) and all(bits_of(f, k)[1, 0] for k in range(5000, 9000)) and 0 < f.false_rate[0] < 1
 
-    from stratalog.llm.langid import _slots
 
-    hit = None
-    for s in _slots(np.arange(5000, dtype=np.uint32), 14):
-        hit = f.masks[s] if hit is None else hit & f.masks[s]
-    assert (hit & np.uint64(1)).all() and 0 < f.false_rate[0] < 1
+def test_size_follows_the_ngrams():
+    assert [slot_bits_for(n) for n in (0, 1000, 100_000, 10**9)] == [16, 16, 20, 22]
 
 
 def test_more_than_64_languages():
-    f = Filter({f"l{k:03}": {1000 * k + i: 3 for i in range(500)} for k in range(150)}, slot_bits=16)
-    assert len(f.languages) == len(f.false_rate) == 150 and f.masks.shape == (1 << 16, 3)
+    f = Filter.of({f"l{k:03}": {1000 * k + i: 3 for i in range(500)} for k in range(150)}, slot_bits=16)
+    assert len(f.languages) == 150 and len(f.false_rate) == 900 and f.masks.shape == (1 << 16, 15)
     words = {"aa": "wolf", "zz": "bear"} | {f"l{k:03}": "x" for k in range(100)}
-    by = {lang: {int(g): 3 for g in grams(word)} for lang, word in words.items()}
-    f = Filter(by, slot_bits=16)
+    f = Filter.of({lang: {int(g): 3 for g in grams(word)} for lang, word in words.items()}, slot_bits=16)
     assert f.identify("bear bear")[0] == "zz" and f.identify("wolf")[0] == "aa"
 
 
@@ -93,26 +106,16 @@ def test_dominant_language_leaves_room_for_rare_ones(spark):
     big = [(k, f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}k " * 5, "big") for k in range(1500)]
     rows = [*big, (5001, "zebra quagga", "one"), (5002, "okapi okapi", "two")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = learn(df, "lang", "text", "doc_id", max_docs=100, max_grams=50)
+    model = learn(df, "lang", "text", "doc_id", max_docs=100)
     assert model.languages == ["big", "one", "two"]
     got = {r.doc_id: r.lang_pred for r in identify(df.filter("doc_id > 5000"), model).collect()}
     assert got == {5001: "one", 5002: "two"}
 
 
-def test_sample_is_per_language(spark):
-    from stratalog.llm import langid
-
+def test_sample_is_per_language(spark, monkeypatch):
+    seen, plain = {}, langid._places
+    monkeypatch.setattr(langid, "_places", lambda languages, totals, bits: seen.update(totals) or plain(languages, totals, bits))
     df = spark.createDataFrame([(k, "alpha beta", "en") for k in range(40_000)] + [(100_000 + k, "gamma delta", "fr") for k in range(30)], "doc_id long, text string, lang string")
-    seen = {}
-
-    class Spy(Filter):
-        def __init__(self, counts, *a, **k):
-            seen.update({lang: float(n.max()) for lang, (_, n) in counts.items()})
-            super().__init__(counts, *a, **k)
-
-    old, langid.Filter = langid.Filter, Spy
-    try:
-        learn(df, "lang", "text", "doc_id", max_docs=1000)
-    finally:
-        langid.Filter = old
-    assert seen["fr"] == 30 and 800 < seen["en"] < 1200
+    learn(df, "lang", "text", "doc_id", max_docs=1000)
+    n = {"en": len(grams("alpha beta")), "fr": len(grams("gamma delta"))}
+    assert seen["fr"] == 30 * n["fr"] and 800 < seen["en"] / n["en"] < 1200

@@ -3,7 +3,7 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 import sentencepiece  # noqa: E402
 
-from stratalog.llm.token_count import dictionary, token_counts  # noqa: E402
+from stratalog.llm.token_count import cut_at, dictionary, token_counts  # noqa: E402
 
 PATH = P.path("piece_bpe_32k.model")
 
@@ -45,5 +45,20 @@ def test_pretokens_are_counted_once_in_all(spark):
     assert all(n == len(sp.encode(w)) for w, (_, n) in got.items())
 
 
+def test_the_broadcast_part_is_bounded_however_frequent(spark):
+    """Words in more documents than any fixed number: the cut is exact."""
+    docs = [*range(1, 40), *[1500] * 300, 70_000, 3_000_000_000]
+    words = spark.createDataFrame([(str(k), n) for k, n in enumerate(docs)], "w string, docs long")
+    for most in (0, 1, 2, 5, 301, 302, 310, 341, 10_000):
+        least, held, n = cut_at(words, most)
+        assert n == len(docs) and held == sum(d >= least for d in docs) <= most
+        assert least <= 1 or held + sum(d == max(x for x in docs if x < least) for d in docs) > most
+    assert cut_at(words.limit(0), 5)[1:] == (0, 0)
+    rows = [(k, " ".join(f"w{j}" for j in range(30)) + f" own{k}") for k in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert cut_at(dictionary(df, PATH), 5)[1] == 0
+    assert sorted(map(tuple, token_counts(df, PATH, broadcast_pretokens=5).collect())) == sorted(brute(rows))
+
+
 def test_empty_table(spark):
     assert token_counts(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
