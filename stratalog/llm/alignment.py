@@ -46,7 +46,7 @@ BLOCK_BYTES = 1 << 20
 
 _SPACES = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
 _state: dict = {}
 
 
@@ -102,6 +102,10 @@ class Aligner:
         plain = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         #: whether both cut before a space that follows another character
         self.chunked = settings["normalizer"] is None and settings["pre_tokenizer"] == plain and not any("▁" in p.lstrip("▁") for p in pieces)
+        top = max(self.a_bytes) + 1
+        self.a_len = np.array([len(self.a_bytes.get(k, b"")) for k in range(top)], np.int64)
+        self.b_len = np.array([len(t) for t in self.b_bytes], np.int64)
+        self.signs: dict[str, list[int]] = {}
         last = self.b.encode(["a ", "a"])
         self.last = last[0][len(last[1]) :]  # a space alone, which B would drop
         self.pairs: dict[int, int] = {}  # a * 2**32 + b to the pair's number
@@ -111,8 +115,8 @@ class Aligner:
         """Starts afresh; ``told``: whether groups will be asked for."""
         self.told = told
         self.number: dict[str, int] = {}
-        self.groups: list[str | None] = []  # None: does not give its bytes back
-        self.sizes, self.links = array("q"), array("q")  # n_a, n_b, n_groups, n_links of each chunk
+        self.groups: list[str] = []
+        self.sizes, self.links = array("q"), array("q")  # n_a, n_b, n_groups, n_links of each chunk; zeros: does not give its bytes back
         if pairs:
             self.pairs.clear()
 
@@ -127,31 +131,80 @@ class Aligner:
         n, groups, links = groups_and_links(a, list(map(len, x)), b, list(map(len, y)), self.told)
         return len(a), len(b), n, groups, links
 
-    def _encode(self, parts: list[str]) -> list:
-        # a space and Latin letters are one pre-token of A, so its model can take them at once
-        a = [[t.id for t in self.model.tokenize((" " + p).encode().decode("latin-1").translate(self.shown))] if _LETTERS(p) and self.chunked else None for p in parts]
+    def _model(self, text: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.shown))]
+
+    def _ids(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Both tokenizers' ids of each part, a space before it."""
+        a: list = [None] * len(parts)
+        if self.chunked:
+            # a space and Latin letters are one pre-token of A, signs after them another, so its model can take them at once
+            for k, p in enumerate(parts):
+                if m := _WORD(p):
+                    a[k] = self._model(" " + m[1])
+                    if sign := m[2]:
+                        if sign not in self.signs:
+                            self.signs[sign] = self._model(sign)
+                        a[k] = a[k] + self.signs[sign]
         rest = [k for k, x in enumerate(a) if x is None]
         for k, e in zip(rest, self.a.encode_batch_fast([" " + parts[k] for k in rest], add_special_tokens=False)):
             a[k] = e.ids
         b = self.b.encode(parts, num_threads=1)
-        return [self._align(p, x, y if p else self.last) for p, x, y in zip(parts, a, b)]
+        return a, [y if p else self.last for p, y in zip(parts, b)]
+
+    def _encode(self, parts: list[str]) -> list:
+        return [self._align(p, x, y) for p, x, y in zip(parts, *self._ids(parts))]
 
     def learn(self, parts: list[str], max_chunks: int) -> None:
         """Aligns those of a block's chunks that are not known yet."""
         if len(self.number) > max_chunks:
             self.forget(False, self.told)
-        new, pairs = list(set(parts).difference(self.number)), self.pairs
+        new = list(set(parts).difference(self.number))
         for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for p, got in zip(part, self._encode(part)):
-                self.number[p] = len(self.groups)
-                if got is None:
-                    self.groups.append(None)
-                    self.sizes.extend((0, 0, 0, 0))
-                else:
-                    self.groups.append(got[3])
-                    self.sizes.extend((*got[:3], len(got[4])))
-                    self.links.extend([pairs.setdefault(x, len(pairs)) for x in got[4]])
+            self._learn(new[lo : lo + 4096])
+
+    def _learn(self, parts: list[str]) -> None:
+        """All chunks laid over one line of bytes; tokens of both sides that end in one place end a group."""
+        a, b = self._ids(parts)
+        want = [(" " + p).encode("utf-8", "surrogatepass") for p in parts]
+        flat = [np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b)]
+        if b"".join(map(self.a_bytes.__getitem__, flat[0].tolist())) != (line := b"".join(want)) or b"".join(map(self.b_bytes.__getitem__, flat[1].tolist())) != line:
+            good = np.array([b"".join(map(self.a_bytes.__getitem__, x)) == w == b"".join(map(self.b_bytes.__getitem__, y)) for w, x, y in zip(want, a, b)])
+        else:
+            good = np.ones(len(parts), bool)
+            length = np.array([len(w) for w in want], np.int64)
+            for ids, x, size in zip(flat, (a, b), (self.a_len, self.b_len)):
+                n = np.array([len(y) for y in x], np.int64)
+                ends = np.append(0, np.cumsum(size[ids]))[np.cumsum(n)]
+                good &= (ends == np.cumsum(length)) & (n > 0)
+        if not good.all():
+            for k in np.flatnonzero(~good).tolist():
+                a[k], b[k], want[k] = [], [], b""
+            flat = [np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b)]
+        n_a, n_b = (np.array([len(y) for y in x], np.int64) for x in (a, b))
+        end_a, end_b = np.cumsum(self.a_len[flat[0]]), np.cumsum(self.b_len[flat[1]])
+        place = np.union1d(end_a, end_b)
+        keys = flat[0][np.searchsorted(end_a, place)] << 32 | flat[1][np.searchsorted(end_b, place)]
+        chunk = np.searchsorted(np.cumsum([len(w) for w in want]), place)
+        both = np.isin(end_a, end_b, assume_unique=True)
+        n_groups = np.bincount(np.repeat(np.arange(len(parts)), n_a)[both], minlength=len(parts))
+        n_links = np.bincount(chunk, minlength=len(parts))
+        some, at = np.unique(keys, return_inverse=True)
+        pairs = self.pairs
+        numbers = np.array([pairs.setdefault(k, len(pairs)) for k in some.tolist()], np.int64)
+        self.links.frombytes(numbers[at].tobytes())
+        self.sizes.frombytes(np.stack([n_a, n_b, n_groups, n_links], axis=1).tobytes())
+        first = len(self.groups)
+        self.number.update(zip(parts, range(first, first + len(parts))))
+        if not self.told:
+            self.groups += [""] * len(parts)
+            return
+        # groups of one token each way, the most by far, are told from the ids alone
+        cut_a, cut_b = np.flatnonzero(both) + 1, np.flatnonzero(np.isin(end_b, end_a, assume_unique=True)) + 1
+        text_a, text_b = (list(map(str, x.tolist())) for x in flat)
+        told = [f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}" if j - i > 1 or m - k > 1 else f"{text_a[i]}|{text_b[k]}" for i, j, k, m in zip([0, *cut_a.tolist()], cut_a.tolist(), [0, *cut_b.tolist()], cut_b.tolist())]
+        till = np.cumsum(n_groups).tolist()
+        self.groups += [";".join(told[i:j]) for i, j in zip([0, *till], till)]
 
     def block(self, texts: list[str], max_chunks: int) -> "Block":
         cut = [(chunks(t) if self.chunked else [t]) if t else [] for t in texts]
