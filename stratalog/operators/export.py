@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +14,6 @@ from .validate import problems, repeated
 CONTEXT_LINES = 10
 FILE_SCOPE_BYTES = 64 << 10
 
-_LINES = re.compile(rb"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+$")
-
 
 def requested_ids(explicit: DataFrame, *others: DataFrame) -> DataFrame:
     """Trimmed distinct ids of several tables with a column evidence_id."""
@@ -63,19 +60,62 @@ def fragments(resolved: DataFrame) -> DataFrame:
     return out.withColumn("fragment_scope", F.when(F.col("whole"), "file_scope").otherwise("localized_context_union")).drop("whole")
 
 
+#: Lines of a block of the line index.
+INDEX_LINES = 256
+
+
+def _line_starts(content: bytes):
+    """Where each line begins; a last line needs no end."""
+    b = np.frombuffer(content, np.uint8)
+    ends = np.flatnonzero((b == 10) | (b == 13) & np.append(b[1:] != 10, True))
+    starts = np.append(0, ends + 1)
+    return starts[starts < len(b)] if len(b) else np.zeros(1, np.int64)
+
+
+def _index(batches):
+    for b in batches:
+        for repo, path, content in zip(*[b.column(i) for i in range(3)]):
+            at = _line_starts(content.as_py())[::INDEX_LINES]
+            n = len(at)
+            yield pa.RecordBatch.from_arrays([pa.array([repo.as_py()] * n, pa.string()), pa.array([path.as_py()] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(at, pa.int64())], ["repo_id", "path", "block", "byte_offset"])
+
+
+def line_index(files: DataFrame) -> DataFrame:
+    """repo_id, path, block, byte_offset: where every ``INDEX_LINES``th line of each readable file begins; block 0 of an empty file too."""
+    ship(files.sparkSession)
+    return files.filter("readable and content is not null").select("repo_id", "path", "content").mapInArrow(_index, "repo_id string, path string, block int, byte_offset long")
+
+
 def _slice(batches):
     for b in batches:
         out = []
-        for content, a, z in zip(*[b.column(i).to_pylist() for i in (b.num_columns - 3, b.num_columns - 2, b.num_columns - 1)]):
-            out.append(b"".join(_LINES.findall(content)[a - 1 : z]) if a else content)
-        yield pa.RecordBatch.from_arrays([*b.columns[:-3], b.column(b.num_columns - 2), b.column(b.num_columns - 1), pa.array(out, pa.binary())], [*b.schema.names[:-3], "line_start", "line_end", "fragment"])
+        for part, skip, n in zip(*[b.column(i).to_pylist() for i in range(b.num_columns - 3, b.num_columns)]):
+            if n is not None:
+                at = np.append(_line_starts(part), len(part))
+                part = part[at[min(skip, len(at) - 1)] : at[min(skip + n, len(at) - 1)]]
+            out.append(part)
+        yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(out, pa.binary())], [*b.schema.names[:-3], "fragment"])
+
 
+def fragment_bytes(frags: DataFrame, files: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """The exact bytes of each fragment with their hash; line ends stay as they are.
 
-def fragment_bytes(frags: DataFrame, files: DataFrame) -> DataFrame:
-    """The exact bytes of each fragment with their hash; line ends stay as they are."""
+    ``index``: the ``line_index`` of the files; without one it is made for the files that have fragments. It tells which bytes
+    hold a fragment's lines, so that these and at most ``INDEX_LINES`` lines before and after them are all that is cut and looked at.
+    """
     ship(frags.sparkSession)
-    f = frags.join(files.filter("readable").select("repo_id", "path", "content"), ["repo_id", "path"])
-    f = f.select("repo_id", "path", "cas_sha", "fragment_scope", "evidence_ids", "content", F.col("line_start").cast("int").alias("line_start"), F.col("line_end").cast("int").alias("line_end"))
+    have = files.filter("readable").select("repo_id", "path", "content")
+    if index is None:
+        wanted = frags.select("repo_id", "path").distinct()
+        index = line_index(files.join(wanted, ["repo_id", "path"], "left_semi"))
+    first, last = F.col("line_start").cast("int"), F.col("line_end").cast("int")
+    f = frags.select("repo_id", "path", "cas_sha", "fragment_scope", "evidence_ids", first.alias("line_start"), last.alias("line_end"))
+    f = f.withColumns({"_a": F.floor((F.col("line_start") - 1) / INDEX_LINES).cast("int"), "_z": F.floor((F.col("line_end") - 1) / INDEX_LINES).cast("int") + 1})
+    at = lambda block, name: index.select("repo_id", "path", F.col("block").alias(block), F.col("byte_offset").alias(name))
+    f = f.join(at("_a", "_from"), ["repo_id", "path", "_a"], "left").join(at("_z", "_to"), ["repo_id", "path", "_z"], "left").join(have, ["repo_id", "path"])
+    lo = F.coalesce("_from", F.lit(0))
+    part = F.substring("content", (lo + 1).cast("int"), (F.coalesce("_to", F.octet_length("content")) - lo).cast("int"))
+    f = f.select("repo_id", "path", "cas_sha", "fragment_scope", "evidence_ids", "line_start", "line_end", part.alias("part"), ((F.col("line_start") - 1) % INDEX_LINES).alias("skip"), (F.col("line_end") - F.col("line_start") + 1).alias("n"))
     out = f.mapInArrow(_slice, "repo_id string, path string, cas_sha string, fragment_scope string, evidence_ids array<string>, line_start int, line_end int, fragment binary")
     return out.withColumn("fragment_sha256", F.sha2("fragment", 256))
 

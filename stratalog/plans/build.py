@@ -19,7 +19,7 @@ from ..tables import written
 from . import store as tables
 from .store import CONTRACT, read, write  # noqa: F401
 
-TABLES = ("files", "cas_index", "blobs", "facts", "families", "members", "key_families", "evidence", "diagnostics", "probe_status", "boundaries_http", "boundaries_kafka", "config_includes", "snapshots")
+TABLES = ("files", "cas_index", "blobs", "facts", "families", "members", "key_families", "evidence", "diagnostics", "probe_status", "boundaries_http", "boundaries_kafka", "config_includes", "line_index", "snapshots")
 REDUCED = ("exact_representations", "similarity_groups", "observed_identities", "identity_members", "variation_dimensions", "counts")
 #: What a reduction is made from, and what candidates are made from.
 REDUCED_FROM = ("families", "members", "evidence", "diagnostics")
@@ -84,6 +84,7 @@ def store(spark: SparkSession, raw: DataFrame, folder: str, repos: list[str], ho
     change.write(facts.extract_facts(files if how.capture else found, how.limits), "facts")
     change.write(scan.cas_index(files), "cas_index")
     change.write(scan.blobs(files, "repo_id"), "blobs")
+    change.write(export.line_index(files), "line_index")
     change.write(scan.snapshot_fingerprint(files), "snapshots")
     finish(change)
     at = change.commit()
@@ -253,5 +254,5 @@ def export_selected(spark: SparkSession, folder: str, evidence_ids: list[str], o
     got = export.resolve(export.requested_ids(ids, *more), read(spark, folder, "evidence", at=at), read(spark, folder, "cas_index", at=at), files, context, file_scope_bytes)
     got.write.mode("overwrite").parquet(f"{out}/resolution")
     got = spark.read.parquet(f"{out}/resolution")
-    export.write_pack(export.fragment_bytes(export.fragments(got), files), out)
+    export.write_pack(export.fragment_bytes(export.fragments(got), files, read(spark, folder, "line_index", at=at)), out)
     return export.export_counts(got, spark.read.parquet(f"{out}/manifest"))
