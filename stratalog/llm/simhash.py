@@ -95,12 +95,12 @@ def _columns(n: int = PIVOTS) -> list[str]:
     return [f"d{k}" for k in range(math.ceil(n / _LANES))]
 
 
-def pivot_table(nodes: DataFrame) -> DataFrame:
-    """``fp`` with its distances to the pivots: seven to a long, a byte each."""
+def pivot_table(nodes: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """``keys`` and ``fp`` with its distances to the pivots: seven to a long, a byte each."""
     own = pivots()
     lane = lambda p, k: F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("long"), 8 * k)
     packed = [sum((lane(p, k) for k, p in enumerate(own[i : i + _LANES])), F.lit(0).cast("long")).alias(c) for i, c in zip(range(0, PIVOTS, _LANES), _columns())]
-    return nodes.select("fp", *packed)
+    return nodes.select(*keys, "fp", *packed)
 
 
 def _near(x: str, y: str, bits: int):

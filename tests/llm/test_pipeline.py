@@ -5,12 +5,11 @@ import pytest
 pytest.importorskip("public_tokenizers")
 pipeline = pytest.importorskip("corpus_pipeline")
 
-from stratalog.llm import langid  # noqa: E402
+from stratalog.llm import langid, near_copies  # noqa: E402
 from stratalog.llm.decontaminate import words  # noqa: E402
 
 from .test_decontaminate import brute_tiles  # noqa: E402
 from .test_packing import verify  # noqa: E402
-from .test_simhash import brute_components, brute_fp  # noqa: E402
 
 
 FOREIGN = "ґедзь їжак щука цвях " * 10
@@ -18,7 +17,7 @@ FOREIGN = "ґедзь їжак щука цвях " * 10
 
 def brute_stages(rows, bench, model):
     """What each of the first four stages keeps, by plain means. Rows: (doc_id, text)."""
-    known = lambda t: model.identify(t)[1] >= 0.2 or len(t.encode()) < 40
+    known = lambda t: model.identify(t)[1] + len(t.encode()) ** -0.5 >= 0.2
     kept = [r for r in rows if any(c.isalpha() for c in r[1] or "") and known(r[1])] if model.languages else rows
     yield kept
     last = defaultdict(lambda: -1)
@@ -27,11 +26,14 @@ def brute_stages(rows, bench, model):
         last[low(t)] = max(last[low(t)], i)
     kept = sorted({(i, t) for i, t in kept if last[low(t)] == i})
     yield kept
-    fps = {i: brute_fp(t) for i, t in kept}
-    comp, least = brute_components(fps.values()), {}
-    for i in sorted(fps, reverse=True):
-        least[comp[fps[i]]] = i
-    kept = [r for r in kept if least[comp[fps[r[0]]]] == r[0]]
+    fps, sets, group = {i: near_copies.fingerprints(t) for i, t in kept}, {i: set(near_copies.shingles(t).tolist()) for i, t in kept}, {i: i for i, _ in kept}
+    for i in fps:
+        for j in fps:
+            near = i < j and any((x ^ y).bit_count() <= 2 for x, y in zip([f % 2**64 for f in fps[i]], [f % 2**64 for f in fps[j]]))
+            if near and len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j]):
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if g == b else g for k, g in group.items()}
+    kept = [r for r in kept if group[r[0]] == r[0]]
     yield kept
     items = [words(t or "") for _, t in bench]
 
