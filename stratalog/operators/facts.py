@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +28,28 @@ SCHEMA = (
 _ARROW = [("repo_id", pa.string()), ("file_id", pa.string()), ("path", pa.string()), ("scope", pa.string()), ("section", pa.string()), ("family_kind", pa.string()), ("family_label", pa.string()), ("descriptor_json", pa.string()), ("member_json", pa.string()), ("occurrence_count", pa.int64()), ("line_start", pa.int32()), ("line_end", pa.int32()), ("column_start", pa.int32()), ("column_end", pa.int32()), ("extra_json", pa.string())]
 
 
-def canonical(value) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), default=str)
+canonical = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":"), default=str).encode
+
+#: Texts of flat descriptors, which files repeat; as many as a worker keeps.
+_known: dict[tuple, str] = {}
+MAX_KNOWN = 100_000
+
+
+def _text(value: dict) -> str:
+    """``canonical``, once for equal descriptors whose values are no containers."""
+    key = tuple(value.items())
+    try:
+        got = _known.get(key)
+    except TypeError:
+        return canonical(value)
+    # equal keys may stand for values of other kinds (1, 1.0, True): only texts and nulls are kept
+    if got is None:
+        got = canonical(value)
+        if all(v is None or type(v) is str for v in value.values()):
+            if len(_known) >= MAX_KNOWN:
+                _known.clear()
+            _known[key] = got
+    return got
 
 
 def _sha(value) -> str:
@@ -43,7 +64,7 @@ class _Out:
 
     def fact(self, section, kind, label, descriptor, count=1, member=None, span=None, extra=None):
         lines = span or (None, None, None, None)
-        self.rows.append((section, kind, label, canonical(descriptor), None if member is None else canonical(member), count, *lines, None if extra is None else canonical(extra)))
+        self.rows.append((section, kind, label, _text(descriptor), None if member is None else canonical(member), count, *lines, None if extra is None else canonical(extra)))
 
     def gap(self, code, message, **basis):
         self.rows.append(("diagnostics", code, message, canonical(basis), None, 1, None, None, None, None, None))
@@ -187,13 +208,17 @@ def parse_file(name: str, ext: str, data: bytes | None, size: int | None = None,
 
 def _run(limits: dict[str, int]):
     def run(batches):
+        names, kinds = [n for n, _ in _ARROW], [t for _, t in _ARROW[4:]]
         for b in batches:
-            cols = [[] for _ in _ARROW]
-            for repo, fid, path, scope, name, ext, size, content in zip(*[c.to_pylist() for c in b.columns]):
-                for row in parse_file(name, ext, content, size, limits):
-                    for col, v in zip(cols, (repo, fid, path, scope, *row)):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _ARROW)], [n for n, _ in _ARROW])
+            rows, counts = [], []
+            for name, ext, size, content in zip(*[c.to_pylist() for c in b.columns[4:]]):
+                got = parse_file(name, ext, content, size, limits)
+                rows += got
+                counts.append(len(got))
+            # a file's own columns are repeated by Arrow; the facts' are built column by column
+            at = pa.array(np.repeat(np.arange(b.num_rows), counts))
+            cols = list(zip(*rows)) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*[c.take(at) for c in b.columns[:4]], *[pa.array(c, t) for c, t in zip(cols, kinds)]], names)
 
     return run
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import classify, export, reduce, validate
+from ..operators import classify, export, hashtree, reduce, validate
 from ..tables import scratch, written
 from .registry import query, table
 
@@ -148,6 +148,75 @@ def artifact_replace(spark, sf):
     return build.read(spark, at, "files").groupBy("repo_id").agg(F.count(F.lit(1)).alias("files"), F.max("version").alias("version"))
 
 
+@query("""
+WITH n AS (SELECT count(DISTINCT c_nationkey) AS n FROM customer WHERE c_nationkey > 0)
+SELECT unnest(['blobs', 'cas_index', 'evidence', 'facts', 'families', 'files', 'key_families', 'line_index', 'members', 'probe_status', 'snapshots']) AS table_name, 1 AS written, CAST(n AS INTEGER) AS kept, 'n0' AS changed FROM n
+""")
+def incremental_partitions(spark, sf):
+    """An artifact of which one repository changed: one partition of each table is written, the others stay where they are."""
+    from . import build
+    from .parsed_queries import text
+
+    at, c = scratch(spark, "artifact"), table(spark, sf, "customer")
+    k = F.col("c_custkey")
+
+    def raw(rows, version):
+        body = text('{"name": "', F.col("c_name"), '", "v": ', version, "}").cast("binary")
+        return rows.select(text("n", F.col("c_nationkey")).alias("repo_id"), text("c/", k, ".json").alias("path"), F.lit(False).alias("is_symlink"), F.octet_length(body).cast("long").alias("byte_size"), body.alias("content"), F.lit(None).cast("string").alias("error"))
+
+    repos = [f"n{r[0]}" for r in c.select("c_nationkey").distinct().collect()]
+    build.store(spark, raw(c, "1"), at, repos)
+    first = build.tables.head(spark, at)
+    build.store(spark, raw(c.filter("c_nationkey = 0"), "2"), at, ["n0"])
+    now = build.tables.head(spark, at)
+    rows = spark.read.parquet(*[f"{at}/data/{build.tables.INVENTORY}/_v={v}" for v in {v for t in now.tables.values() for v in t[1]} - {v for t in first.tables.values() for v in t[1]}])
+    written_ = rows.groupBy("table_name").agg(F.count_distinct("repo_id").cast("int").alias("written"), F.max("repo_id").alias("changed"))
+    kept = spark.createDataFrame([(t, sum(now.version_of(t)[r] == v for r, v in first.version_of(t).items())) for t in now.tables], "table_name string, kept int")
+    return written_.join(kept, "table_name")
+
+
+@query("""
+WITH c AS (SELECT 'n' || c_nationkey AS repo_id, c_custkey % 97 = 0 AND c_custkey % 89 > 0 AS altered, c_custkey % 89 = 0 AS lost FROM customer),
+r AS (SELECT repo_id, count(*) FILTER (altered) AS altered, count(*) FILTER (lost) AS lost, count(*) AS n FROM c GROUP BY 1)
+SELECT repo_id, altered + lost > 0 AS damaged, CAST(n AS BIGINT) AS stored, CAST(n - lost AS BIGINT) AS found, CASE WHEN altered + lost > 0 THEN lost ELSE 0 END AS fewer_in_parts FROM r
+""")
+def damaged_parts(spark, sf):
+    """Hash trees of a table before and after damage: which repositories' roots differ, and by how many rows their differing parts do."""
+    k = F.col("c_custkey")
+    c = table(spark, sf, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("repo_id"), "c_custkey", "c_name")
+    then = written(hashtree.tables({"t": c}), "parts")
+    now = written(hashtree.tables({"t": c.filter(k % 89 != 0).withColumn("c_name", F.when(k % 97 == 0, F.concat("c_name", F.lit("!"))).otherwise(F.col("c_name"))).repartition(7)}), "parts")
+    wrong = hashtree.differences(then, now).groupBy("repo_id").agg((F.sum(F.coalesce("stored", F.lit(0))) - F.sum(F.coalesce("found", F.lit(0)))).alias("fewer"))
+    both = hashtree.roots(then).select("repo_id", F.col("root").alias("a")).join(hashtree.roots(now).select("repo_id", F.col("root").alias("b")), "repo_id", "left")
+    rows = lambda t, name: t.groupBy("repo_id").agg(F.sum("rows").alias(name))
+    out = both.join(rows(then, "stored"), "repo_id").join(rows(now, "found"), "repo_id", "left").join(wrong, "repo_id", "left")
+    return out.select("repo_id", (~F.col("a").eqNullSafe(F.col("b"))).alias("damaged"), "stored", F.coalesce("found", F.lit(0)).alias("found"), F.coalesce("fewer", F.lit(0)).alias("fewer_in_parts"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, c_custkey % 50 = 0 AS gone, c_custkey % 53 = 0 AND c_custkey % 50 > 0 AS other, c_custkey % 59 = 0 AND c_custkey % 50 > 0 AND c_custkey % 53 > 0 AS edited FROM customer)
+SELECT * FROM (
+  SELECT 'fragment_not_in_manifest' AS code, count(*) FILTER (gone OR other) AS problems FROM c UNION ALL SELECT 'fragment_missing', count(*) FILTER (other) FROM c
+  UNION ALL SELECT 'checksum_missing', count(*) FILTER (other) FROM c UNION ALL SELECT 'checksum_unknown', count(*) FILTER (gone OR other) FROM c
+  UNION ALL SELECT 'fragment_differs_from_source', count(*) FILTER (other OR edited) FROM c) WHERE problems > 0
+""")
+def pack_problems(spark, sf):
+    """A written pack of fragments with planted damage, against its checksums and its source."""
+    at, k = scratch(spark, "pack"), F.col("c_custkey")
+    body = lambda end: F.concat(F.lit("head\r\n"), F.repeat(F.lit("x\n"), (k % 600).cast("int")), F.col("c_name"), F.lit(end)).cast("binary")
+    c = table(spark, sf, "customer")
+    path, line = F.concat(F.lit("c/"), k.cast("string")), (k % 600 + 2).cast("int")
+    files = lambda content: c.select(F.lit("r").alias("repo_id"), path.alias("path"), F.lit(True).alias("readable"), content.alias("content"))
+    frags = c.select(F.lit("r").alias("repo_id"), path.alias("path"), F.lit("s").alias("cas_sha"), F.lit("x").alias("fragment_scope"), F.array(path).alias("evidence_ids"), line.alias("line_start"), line.alias("line_end"))
+    made = written(export.fragment_bytes(frags, files(body("\rtail"))), "fragments")
+    export.write_pack(made, at)
+    n = F.regexp_extract("path", r"(\d+)$", 1).cast("long")
+    kept = made.drop("fragment").filter(n % 50 != 0)
+    kept.withColumn("fragment_sha256", F.when(n % 53 == 0, F.sha2(F.concat("fragment_sha256", F.lit("?")), 256)).otherwise(F.col("fragment_sha256"))).write.mode("overwrite").parquet(f"{at}/manifest")
+    now = files(F.when(k % 59 == 0, F.lit(b"gone\n")).otherwise(body("\rtail")))
+    return _codes(export.verify_pack(spark, at, now))
+
+
 @query("""
 WITH o AS (SELECT o_orderpriority AS repo_id, o_orderstatus AS kind, o_orderkey % 3 AS p, o_orderkey % 4 AS b FROM orders)
 SELECT repo_id, kind, (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT 'probe' || p AS v FROM o x WHERE x.repo_id = o.repo_id AND x.kind = o.kind AND p > 0)) AS probes, (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT '{"b":' || b || '}' AS v FROM o x WHERE x.repo_id = o.repo_id AND x.kind = o.kind AND b > 0)) AS bases FROM o GROUP BY ALL

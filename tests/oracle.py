@@ -1,5 +1,6 @@
 """Compares registered queries with their SQL, as the driver does: rows by value, columns by name."""
 
+import os
 import sys
 from collections import Counter
 
@@ -38,7 +39,7 @@ if __name__ == "__main__":
 
     spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    sf = "/root/testdata/sf0.01"
+    sf = os.environ.get("ORACLE_SF", "/root/testdata/sf0.01")
     con, sqls, qs = connect(sf), e.oracle_sql(), e.queries()
     for n in sys.argv[1:] or list(sqls):
         try:
