@@ -297,7 +297,8 @@ def java_inbound(spark, sf):
 @query("""
 WITH s AS (SELECT 'n' || s_nationkey AS repo_id, s_suppkey AS s FROM supplier)
 SELECT repo_id, 'POST' AS method, '/s/' || s AS path, 'Item' AS request, 'Made' AS response, 2 AS file_count, 'java,openapi' AS basis FROM s
-UNION ALL SELECT repo_id, 'GET', '/s/' || s, NULL, CASE WHEN s % 2 = 0 THEN unnest(['Item', 'Made', NULL]) ELSE unnest(['Item']) END, CASE WHEN s % 2 = 0 THEN 1 ELSE 3 END, CASE WHEN s % 2 = 0 THEN unnest(['openapi', 'openapi', 'java']) ELSE unnest(['java,openapi']) END FROM s
+UNION ALL SELECT repo_id, 'GET', '/s/' || s, NULL, 'Item', 3, 'java,openapi' FROM s WHERE s % 2 = 1
+UNION ALL SELECT repo_id, 'GET', '/s/' || s, NULL, unnest(['Item', 'Made', NULL]), 1, unnest(['openapi', 'openapi', 'java']) FROM s WHERE s % 2 = 0
 UNION ALL SELECT repo_id, 'DELETE', NULL, NULL, NULL, count(*), 'java' FROM s GROUP BY 1
 """)
 def inbound_mixed(spark, sf):
