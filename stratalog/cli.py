@@ -8,6 +8,8 @@ import os
 import sys
 
 from .operators.facts import LIMITS
+from .sources import remote
+from .sources.remote import Credentials
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -35,9 +37,13 @@ def _parser() -> argparse.ArgumentParser:
     add("verify-export", pos("pack"), opt("--artifact"))
     add("cas-index", pos("artifact"), opt("--counts", action="store_true", help="totals instead of rows"))
     add("boundaries", pos("artifact"), opt("--protocol", choices=["http", "kafka"], default="http"))
-    add("discover-project", pos("base"), pos("project"))
-    add("discover-organization", pos("base"), pos("organization"))
-    add("batch", pos("urls"), pos("output"), opt("--ref", default="HEAD"), opt("--selectors"), opt("--repository-limit", type=int), *how)
+    auth = [opt("--auth", choices=["auto", "none", "token", "basic", "helper", "ssh"], default="auto"), *[opt(f"--{k}-env", default=getattr(Credentials, f"{k}_env")) for k in ("token", "user", "password")]]
+    chosen = [opt("--ref", default="HEAD"), opt("--selectors"), opt("--repository-limit", type=int), *how, *auth]
+    add("discover-project", pos("base"), pos("project"), *auth)
+    add("discover-organization", pos("base"), pos("organization"), *auth)
+    add("batch", pos("urls"), pos("output"), *chosen)
+    add("batch-project", pos("base"), pos("project"), pos("output"), *chosen)
+    add("batch-organization", pos("base"), pos("organization"), pos("output"), *chosen)
     add("compact", pos("folder"))
     add("vacuum", pos("folder"), opt("--older-than", type=float, default=86_400, help="seconds"))
     return p
@@ -64,6 +70,19 @@ def _config(a):
     return Config(a.exclude, not a.no_content_capture, {k: v for k, v in given.items() if v is not None})
 
 
+def _credentials(a) -> Credentials:
+    return Credentials(a.token_env, a.user_env, a.password_env, a.auth)
+
+
+def _found(a):
+    """Repositories of a list of addresses, of a project or of an organization, page by page."""
+    if a.command == "batch":
+        return [{"repository_name": u.rstrip("/").rsplit("/", 1)[-1].removesuffix(".git"), "clone_url": u, "scope_key": "batch"} for u in a.urls.split(",")]
+    if a.command.endswith("project"):
+        return remote.project_pages(a.base, a.project, _credentials(a))
+    return remote.organization_pages(a.base, a.organization, _credentials(a))
+
+
 def _verdict(show, wrong) -> str:
     show(wrong)
     return "failed" if wrong.head(1) else "complete"
@@ -72,7 +91,6 @@ def _verdict(show, wrong) -> str:
 def main(argv: list[str] | None = None, spark=None) -> int:
     from .operators import classify, export, scan
     from .plans import batch, build
-    from .sources import remote
 
     a = _parser().parse_args(argv)
     spark = spark or session()
@@ -115,14 +133,12 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     elif a.command == "boundaries":
         show(build.read(spark, a.artifact, f"boundaries_{a.protocol}"))
     elif a.command in ("discover-project", "discover-organization"):
-        pages = remote.project_pages(a.base, a.project) if a.command.endswith("project") else remote.organization_pages(a.base, a.organization)
-        show(remote.repositories_table(spark, pages))
-    elif a.command == "batch":
-        found = [{"repository_name": u.rstrip("/").rsplit("/", 1)[-1].removesuffix(".git"), "clone_url": u, "scope_key": "batch"} for u in a.urls.split(",")]
-        repos = remote.repositories_table(spark, found, a.ref)
+        show(remote.repositories_table(spark, _found(a)))
+    elif a.command.startswith("batch"):
+        repos = remote.repositories_table(spark, _found(a), a.ref)
         chosen = batch.select(repos, remote.read_selectors(spark, a.selectors) if a.selectors else None, a.repository_limit)
         c = _config(a)
-        s = batch.summary(batch.run(spark, chosen, a.output, excluded=c.excluded, capture=c.capture, limits=c.limits))
+        s = batch.summary(batch.run(spark, chosen, a.output, _credentials(a), excluded=c.excluded, capture=c.capture, limits=c.limits))
         show(s)
         status = s.first()["status"]
     elif a.command == "compact":

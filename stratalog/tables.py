@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """``spark.checkpoint.dir``; a folder of our own only where it is unset and driver and executors are one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: the executors need a folder that they share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="stratalog-"))
     return "file://" + _own_dir[0]
