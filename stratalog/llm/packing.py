@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -52,6 +53,16 @@ def splits_at_spaces(settings: dict) -> bool:
     return settings.get("normalizer") == _NORMALIZER and first == cut and rest == [plain] and whole == [None] * 3 and all("<|" in m and not re.search(r"\s", m) for m in marks)
 
 
+class _Known(dict):
+    """A dictionary that makes what it misses."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        return self.make(key)
+
+
 class ChunkEncoder:
     """Ids of texts, by a dictionary from white-space-free chunks to packed little-endian ids.
 
@@ -68,21 +79,25 @@ class ChunkEncoder:
         self.model, self.max_chunks = self.tok.model, max_chunks
         with open(path, encoding="utf-8") as f:
             self.chunked = splits_at_spaces(json.load(f))
-        self.chunks, self.pieces, self.chars = {}, {}, _byte_chars()
+        self.chunks, self.pieces, self.chars = _Known(self._chunk), {}, _byte_chars()
 
     def _pack(self, ids) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, word: str) -> bytes:
         got = self.pieces.get(word)
         if got is None:
             chars = self.chars
-            got = self.pieces[word] = self._pack([t.id for t in self.model.tokenize("".join([chars[b] for b in word.encode()]))])
+            shown = word if word.isascii() else "".join([chars[b] for b in word.encode()])  # ASCII signs are visible
+            got = self.pieces[word] = self._pack([t.id for t in self.model.tokenize(shown)])
         return got
 
     def _chunk(self, raw: bytes) -> bytes:
-        s = raw.decode("utf-8", "replace")
-        if _SIMPLE.fullmatch(s) and "<|" not in s:
+        s, word = raw.decode("utf-8", "replace"), raw.rstrip(b".,;:!?")
+        if word.isalpha():  # ASCII letters are one pre-token, signs after them another
+            n = len(word)
+            got = self._piece(s[:n].lower()) + (self._piece(s[n:]) if s[n:] else b"")
+        elif _SIMPLE.fullmatch(s) and "<|" not in s:
             got = b"".join([self._piece(w) for w in _WORDS.findall(s.lower())])
         else:
             got = self._pack(self.tok.encode(s, add_special_tokens=False).ids)
@@ -97,13 +112,7 @@ class ChunkEncoder:
             self.chunks.clear()
         if len(self.pieces) > self.max_chunks:
             self.pieces.clear()
-        known = self.chunks
-        split = text.encode("utf-8", "replace").split()
-        try:
-            return b"".join([known[c] for c in split])
-        except KeyError:
-            make = self._chunk
-            return b"".join([known[c] if c in known else make(c) for c in split])
+        return b"".join(map(self.chunks.__getitem__, text.encode("utf-8", "replace").split()))
 
 
 def encoder(path: str, max_chunks: int) -> ChunkEncoder:

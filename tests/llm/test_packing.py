@@ -88,3 +88,11 @@ def test_fullest_closes_first():
     f = BestFit(10, 2)
     assert [f.place(n) for n in (7, 6, 5)] == [(0, 0), (1, 0), (2, 0)]  # the third open bin closes bin 0
     assert f.place(3) == (1, 6)  # bin 0 had exactly 3 left but is closed; the tightest open bin takes it
+
+
+def test_letters_and_signs_are_encoded_as_by_the_tokenizer():
+    from stratalog.llm.packing import ChunkEncoder
+
+    enc, tok = ChunkEncoder(PATH, max_chunks=5), Tokenizer.from_file(PATH)
+    for text in ("Word word, WORD;: x... a!?", "don't, 'll. I'd! .,;", "été. Ünï, z1. <|endoftext|>, a<|b", "...", "qzxv! " * 3, "一二. x一,"):
+        assert enc.encode(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
