@@ -2,19 +2,20 @@
 
 Tokens of both are laid over the text's bytes. Where both end, a group ends; two tokens are linked if their bytes overlap.
 
-1. Tasks align the documents and write in how many of theirs each pair of ids is linked.
+1. Tasks align the documents, write the alignments, and in how many of theirs each pair of ids is linked.
 2. The distinct pairs get a minimal perfect hash (``phf``), built in segments. Tasks add the written numbers into dense
    vectors indexed by the hash, and these are summed in a tree, ``FAN`` at a time.
-3. The documents are aligned again, and each link looks its pair's number up; the pair stored at an index is
-   compared, so a pair that the hash does not know cannot take another's number.
+3. The written alignments are read: a group's text and the tokens' lengths give its links, and each looks its pair's number up,
+   once for each group that a task meets; the pair stored at an index is compared, so a pair that the hash does not know
+   cannot take another's number. No text is given to the tokenizers again.
 
 A hash has at most ``max_pairs`` pairs. Where the corpus has more, the pairs are cut into ranges of A's ids (all pairs of
 an id stay together, since its best one is asked for), and step 3 runs once for each range; the sums of the ranges
 are joined by the digest of the alignment.
 
 Both tokenizers cut at a space that follows a character other than white space, so a text's alignment is put together from
-those of its chunks, and a worker keeps what it has computed for up to ``max_chunks`` of them. A text of which a chunk
-does not give its bytes back is aligned as a whole.
+those of its chunks, and a worker keeps what it has computed for up to ``max_chunks`` of them; beyond that, those that more than one
+block of texts had stay. A text of which a chunk does not give its bytes back is aligned as a whole.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import os
 import re
 import uuid
 from array import array
-from itertools import chain, islice
+from itertools import chain, compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,15 @@ from .packing import _byte_chars
 
 MAX_PAIRS = 1 << 22
 MAX_CHUNKS = 250_000
-#: Distinct pairs that a task holds before it writes their numbers.
+#: Distinct pairs that a task holds before it writes their numbers; distinct groups of which a worker keeps the sums.
 HELD_PAIRS = 400_000
 #: Vectors that are added in one place, and counts of a vector's block.
 FAN, BLOCK = 32, 4096
 #: Bytes of text that a task aligns at once, if that is more than one text.
 BLOCK_BYTES = 1 << 20
+#: Bytes of an Arrow batch to a worker. Groups are some four times as long as their texts: with the default of 64 MB an executor
+#: came to 3540 MB in a second run over 0.5 GB, with this to 2063.
+BATCH_BYTES = 2 << 20
 
 _SPACES = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -57,15 +61,14 @@ def chunks(text: str) -> list[str]:
     return [c[1:] for c in _CUT.split(" " + text)]
 
 
-def groups_and_links(a: list[int], a_len: list[int], b: list[int], b_len: list[int], told: bool = True) -> tuple[int, str, list[int]]:
-    """Number of groups, their text (if it is to be ``told``), and the links as a * 2**32 + b, of tokens (ids and lengths) that
-    cover the same bytes."""
+def groups_and_links(a: list[int], a_len: list[int], b: list[int], b_len: list[int]) -> tuple[int, str, list[int]]:
+    """Number of groups, their text, and the links as a * 2**32 + b, of tokens (ids and lengths) that cover the same bytes."""
     groups, links, i, j, left, right, i0, j0 = [], [], 0, 0, a_len[0], b_len[0], 0, 0
     while True:
         links.append(a[i] << 32 | b[j])
         if left == right:
             i, j = i + 1, j + 1
-            groups.append("" if not told else f"{a[i0]}|{b[j0]}" if i - i0 == 1 == j - j0 else ",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
+            groups.append(f"{a[i0]}|{b[j0]}" if i - i0 == 1 == j - j0 else ",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
             if i == len(a):
                 return len(groups), ";".join(groups), links
             i0, j0, left, right = i, j, a_len[i], b_len[j]
@@ -111,14 +114,26 @@ class Aligner:
         self.pairs: dict[int, int] = {}  # a * 2**32 + b to the pair's number
         self.forget()
 
-    def forget(self, pairs: bool = True, told: bool = True) -> None:
-        """Starts afresh; ``told``: whether groups will be asked for."""
-        self.told = told
+    def forget(self) -> None:
+        """Starts afresh."""
         self.number: dict[str, int] = {}
         self.groups: list[str] = []
         self.sizes, self.links = array("q"), array("q")  # n_a, n_b, n_groups, n_links of each chunk; zeros: does not give its bytes back
-        if pairs:
-            self.pairs.clear()
+        self.met = np.zeros(0, np.int64)  # how many blocks had each chunk
+        self.pairs.clear()
+        self.said: list[str] = []  # each pair as the text of a group
+
+    def _thin(self, max_chunks: int) -> None:
+        """Keeps the chunks that more than one block had, or none if they are too many; the pairs keep their numbers."""
+        keep = self.met > 1
+        if keep.sum() > max_chunks * 3 // 4:
+            keep[:] = False
+        sizes, held = np.array(self.sizes, np.int64).reshape(-1, 4), keep.tolist()
+        self.links = array("q", np.array(self.links, np.int64)[np.repeat(keep, sizes[:, 3])].tobytes())
+        self.sizes = array("q", sizes[keep].tobytes())
+        self.groups = list(compress(self.groups, held))
+        self.number = {c: k for k, c in enumerate(compress(self.number, held))}
+        self.met = np.ones(len(self.groups), np.int64)
 
     def _align(self, text: str, a: list[int], b: list[int]):
         """(n_a, n_b, n_groups, groups, links), or None if the tokens' bytes are not the text's."""
@@ -128,9 +143,16 @@ class Aligner:
             return None
         if len(a) == 1 == len(b):
             return 1, 1, 1, f"{a[0]}|{b[0]}", [a[0] << 32 | b[0]]
-        n, groups, links = groups_and_links(a, list(map(len, x)), b, list(map(len, y)), self.told)
+        n, groups, links = groups_and_links(a, list(map(len, x)), b, list(map(len, y)))
         return len(a), len(b), n, groups, links
 
+    def links_of(self, group: str) -> list[int]:
+        """The links of one group as they were when its text was made."""
+        a, b = ([*map(int, x.split(","))] for x in group.split("|"))
+        if len(a) == 1 == len(b):
+            return [a[0] << 32 | b[0]]
+        return groups_and_links(a, self.a_len[a].tolist(), b, self.b_len[b].tolist())[2]
+
     def _model(self, text: str) -> list[int]:
         return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.shown))]
 
@@ -138,10 +160,14 @@ class Aligner:
         """Both tokenizers' ids of each part, a space before it."""
         a: list = [None] * len(parts)
         if self.chunked:
-            # a space and Latin letters are one pre-token of A, signs after them another, so its model can take them at once
+            # a space and Latin letters are one pre-token of A, signs after them another, so its model can take them at once;
+            # letters of ASCII stand for themselves there
+            tokenize, space = self.model.tokenize, " ".translate(self.shown)
             for k, p in enumerate(parts):
-                if m := _WORD(p):
-                    a[k] = self._model(" " + m[1])
+                if (ascii := p.isascii()) and p.isalpha():
+                    a[k] = [t.id for t in tokenize(space + p)]
+                elif m := _WORD(p):
+                    a[k] = [t.id for t in tokenize(space + m[1])] if ascii else self._model(" " + m[1])
                     if sign := m[2]:
                         if sign not in self.signs:
                             self.signs[sign] = self._model(sign)
@@ -158,7 +184,7 @@ class Aligner:
     def learn(self, parts: list[str], max_chunks: int) -> None:
         """Aligns those of a block's chunks that are not known yet."""
         if len(self.number) > max_chunks:
-            self.forget(False, self.told)
+            self._thin(max_chunks)
         new = list(set(parts).difference(self.number))
         for lo in range(0, len(new), 4096):
             self._learn(new[lo : lo + 4096])
@@ -166,43 +192,45 @@ class Aligner:
     def _learn(self, parts: list[str]) -> None:
         """All chunks laid over one line of bytes; tokens of both sides that end in one place end a group."""
         a, b = self._ids(parts)
-        want = [(" " + p).encode("utf-8", "surrogatepass") for p in parts]
+        length = np.array([1 + (len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass"))) for p in parts], np.int64)
         flat = [np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b)]
-        if b"".join(map(self.a_bytes.__getitem__, flat[0].tolist())) != (line := b"".join(want)) or b"".join(map(self.b_bytes.__getitem__, flat[1].tolist())) != line:
-            good = np.array([b"".join(map(self.a_bytes.__getitem__, x)) == w == b"".join(map(self.b_bytes.__getitem__, y)) for w, x, y in zip(want, a, b)])
+        n_a, n_b = (np.array([*map(len, x)], np.int64) for x in (a, b))
+        line = (" " + " ".join(parts)).encode("utf-8", "surrogatepass")
+        if b"".join(map(self.a_bytes.__getitem__, flat[0].tolist())) != line or b"".join(map(self.b_bytes.__getitem__, flat[1].tolist())) != line:
+            good = np.array([b"".join(map(self.a_bytes.__getitem__, x)) == (" " + p).encode("utf-8", "surrogatepass") == b"".join(map(self.b_bytes.__getitem__, y)) for p, x, y in zip(parts, a, b)])
         else:
             good = np.ones(len(parts), bool)
-            length = np.array([len(w) for w in want], np.int64)
-            for ids, x, size in zip(flat, (a, b), (self.a_len, self.b_len)):
-                n = np.array([len(y) for y in x], np.int64)
+            for ids, n, size in zip(flat, (n_a, n_b), (self.a_len, self.b_len)):
                 ends = np.append(0, np.cumsum(size[ids]))[np.cumsum(n)]
                 good &= (ends == np.cumsum(length)) & (n > 0)
         if not good.all():
-            for k in np.flatnonzero(~good).tolist():
-                a[k], b[k], want[k] = [], [], b""
-            flat = [np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b)]
-        n_a, n_b = (np.array([len(y) for y in x], np.int64) for x in (a, b))
+            flat = [ids[np.repeat(good, n)] for ids, n in zip(flat, (n_a, n_b))]
+            n_a, n_b, length = (np.where(good, x, 0) for x in (n_a, n_b, length))
         end_a, end_b = np.cumsum(self.a_len[flat[0]]), np.cumsum(self.b_len[flat[1]])
-        place = np.union1d(end_a, end_b)
-        keys = flat[0][np.searchsorted(end_a, place)] << 32 | flat[1][np.searchsorted(end_b, place)]
-        chunk = np.searchsorted(np.cumsum([len(w) for w in want]), place)
-        both = np.isin(end_a, end_b, assume_unique=True)
-        n_groups = np.bincount(np.repeat(np.arange(len(parts)), n_a)[both], minlength=len(parts))
+        at_a, at_b = np.zeros((2, length.sum() + 1), bool)  # where tokens end
+        at_a[end_a], at_b[end_b] = True, True
+        place = np.flatnonzero(at_a | at_b)
+        ends_a, ends_b = at_a[place], at_b[place]
+        of_a, of_b = np.cumsum(ends_a) - ends_a, np.cumsum(ends_b) - ends_b  # the tokens that each link is of
+        keys = flat[0][of_a] << 32 | flat[1][of_b]
+        chunk = np.repeat(np.arange(len(parts)), length)[place - 1]
+        last = np.flatnonzero(ends_a & ends_b)  # links that end a group
+        n_groups = np.bincount(chunk[last], minlength=len(parts))
         n_links = np.bincount(chunk, minlength=len(parts))
         some, at = np.unique(keys, return_inverse=True)
-        pairs = self.pairs
-        numbers = np.array([pairs.setdefault(k, len(pairs)) for k in some.tolist()], np.int64)
-        self.links.frombytes(numbers[at].tobytes())
+        pairs, said = self.pairs, self.said
+        numbers = np.array([pairs.setdefault(k, len(pairs)) for k in some.tolist()], np.int64)[at]
+        said += [f"{k >> 32}|{k & 0xFFFFFFFF}" for k in islice(pairs, len(said), None)]
+        self.links.frombytes(numbers.tobytes())
         self.sizes.frombytes(np.stack([n_a, n_b, n_groups, n_links], axis=1).tobytes())
         first = len(self.groups)
         self.number.update(zip(parts, range(first, first + len(parts))))
-        if not self.told:
-            self.groups += [""] * len(parts)
-            return
-        # groups of one token each way, the most by far, are told from the ids alone
-        cut_a, cut_b = np.flatnonzero(both) + 1, np.flatnonzero(np.isin(end_b, end_a, assume_unique=True)) + 1
-        text_a, text_b = (list(map(str, x.tolist())) for x in flat)
-        told = [f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}" if j - i > 1 or m - k > 1 else f"{text_a[i]}|{text_b[k]}" for i, j, k, m in zip([0, *cut_a.tolist()], cut_a.tolist(), [0, *cut_b.tolist()], cut_b.tolist())]
+        # groups of one token each way, the most by far, have one link
+        start = np.append(0, last[:-1] + 1) if len(last) else last
+        told = list(map(said.__getitem__, numbers[start].tolist()))
+        more = np.flatnonzero(last > start)
+        for k, i, j, m, n in zip(more.tolist(), *((x[y[more]] + z).tolist() for x in (of_a, of_b) for y, z in ((start, 0), (last, 1)))):
+            told[k] = ",".join(map(str, flat[0][i:j].tolist())) + "|" + ",".join(map(str, flat[1][m:n].tolist()))
         till = np.cumsum(n_groups).tolist()
         self.groups += [";".join(told[i:j]) for i, j in zip([0, *till], till)]
 
@@ -210,7 +238,15 @@ class Aligner:
         cut = [(chunks(t) if self.chunked else [t]) if t else [] for t in texts]
         flat = list(chain.from_iterable(cut))
         self.learn(flat, max_chunks)
-        return Block(self, texts, [len(c) for c in cut], np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat)))
+        ids = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+        self.met = np.append(self.met, np.zeros(len(self.groups) - len(self.met), np.int64)) + (np.bincount(ids, minlength=len(self.groups)) > 0)
+        return Block(self, texts, [len(c) for c in cut], ids)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """``np.unique`` by sorting, which is faster here."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
 class Block:
@@ -232,37 +268,36 @@ class Block:
     def _pairs(self, doc: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = self.sizes[ids, 3]
         at = np.arange(n.sum()) + np.repeat(self.start[ids] - np.cumsum(n) + n, n)
-        return np.repeat(doc, n), np.array(self.al.links, np.int64)[at]
+        return np.repeat(doc, n), np.frombuffer(self.al.links, np.int64)[at]
 
     def held(self) -> np.ndarray:
         """For each pair number how many of the texts hold it."""
         width, k = len(self.al.pairs), len(self.sizes)
-        once = np.unique(self.doc * k + self.ids)
+        once = _distinct(self.doc * k + self.ids)
         doc, pair = self._pairs(once // k, once % k)
-        n = np.bincount(np.unique(doc * width + pair) % width if len(doc) else pair, minlength=width)
+        n = np.bincount(_distinct(doc * width + pair) % width if len(doc) else pair, minlength=width)
         for got in self.odd.values():
             if got:
                 n[np.unique(got[4])] += 1
         return n
 
-    def rows(self, best: np.ndarray, count: np.ndarray) -> list:
-        """n_a, n_b, n_groups, n_links, n_best, count_sum and groups of each text; ``best`` and ``count`` by pair number."""
+    def rows(self) -> list:
+        """n_a, n_b, n_groups, n_links and groups of each text."""
         out = [np.bincount(self.doc, self.sizes[self.ids, k], self.n_texts).astype(np.int64) for k in range(4)]
-        doc, pair = self._pairs(self.doc, self.ids)
-        for v in (best, count):
-            total = np.zeros(self.n_texts, np.int64)
-            np.add.at(total, doc, v[pair])
-            out.append(total)
         text, at = [self.groups[k] for k in self.ids.tolist()], np.searchsorted(self.doc, np.arange(self.n_texts + 1)).tolist()
         groups = [";".join(text[lo:hi]) for lo, hi in zip(at, at[1:])]
         for k, got in self.odd.items():
             if got:
-                for c, v in zip(out, (*got[:3], len(got[4]), best[got[4]].sum(), count[got[4]].sum())):
+                for c, v in zip(out, (*got[:3], len(got[4]))):
                     c[k] = v
                 groups[k] = got[3]
         return [*out, groups]
 
 
+#: Columns of the written alignments after the document's id.
+ALIGNED = ["n_a", "n_b", "n_groups", "n_links", "groups", "key", "n"]
+
+
 def _blocks(batches, col: int):
     """(batch, from, texts) in blocks of bounded bytes."""
     for b in batches:
@@ -284,25 +319,37 @@ def _aligner(paths: tuple[str, str]) -> Aligner:
     return _state["aligner"]
 
 
-def _links(paths: tuple[str, str], held: int, max_chunks: int):
+def _alignments(paths: tuple[str, str], held: int, max_chunks: int):
+    """``ALIGNED``: a row for each document, and rows (others have no ``n``) of pairs with their numbers of the task's documents."""
+
+    def batch(cols: dict) -> pa.RecordBatch:
+        size = len(next(iter(cols.values())))
+        return pa.RecordBatch.from_arrays([cols.get(c, pa.nulls(size, t)) for c, t in kinds.items()], list(kinds))
+
     def rows(al: Aligner, total: np.ndarray):
         keys = np.fromiter(al.pairs.keys(), np.int64, len(al.pairs))
         some = np.flatnonzero(total)
         for i in range(0, len(some), 65536):
             at = some[i : i + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(total[at])], ["key", "n"])
+            yield batch({"key": pa.array(keys[at]), "n": pa.array(total[at])})
+
+    kinds: dict = {}
 
     def run(batches):
         al, total = _aligner(paths), np.zeros(0, np.int64)
-        al.forget(told=False)
-        _state.pop("shared", None)
-        for _, _, block in _blocks(batches, 0):
-            n = al.block(block, max_chunks).held()
+        for k in ("shared", "counts", "number", "sums"):
+            _state.pop(k, None)
+        for b, first, texts_ in _blocks(batches, 1):
+            kinds.update({"id": b.column(0).type} | dict.fromkeys(ALIGNED, pa.int64()) | {"groups": pa.string()})
+            block = al.block(texts_, max_chunks)
+            *sizes, groups = block.rows()
+            yield batch({"id": b.column(0).slice(first, len(texts_))} | dict(zip(ALIGNED, [*map(pa.array, sizes), pa.array(groups, pa.string())])))
+            n = block.held()
             n[: len(total)] += total
             total = n
             if len(total) > held:
                 yield from rows(al, total)
-                al.forget(told=False)
+                al.forget()
                 total = np.zeros(0, np.int64)
         yield from rows(al, total)
 
@@ -363,28 +410,32 @@ class Counts:
         return np.where(known, self.best[at] if len(self.best) else False, False).astype(np.int64), np.where(known, self.n[at] if len(self.n) else 0, 0)
 
 
-def _look_up(paths: tuple[str, str], shared, max_chunks: int):
+def _look_up(paths: tuple[str, str], shared, held: int):
     name = uuid.uuid4().hex  # workers live on and keep what they know
 
     def run(batches):
         al = _aligner(paths)
         if _state.get("shared") != name:
-            _state.update(shared=name, counts=shared.value)
-        al.forget()
-        counts, best, count = _state["counts"], np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b, first, texts_ in _blocks(batches, 1):
-            block = al.block(texts_, max_chunks)
-            if len(al.pairs) > len(best):
-                new = np.fromiter(islice(al.pairs.keys(), len(best), None), np.int64, len(al.pairs) - len(best))
-                best, count = (np.concatenate([old, more]) for old, more in zip((best, count), counts.of(new)))
-            cols = block.rows(best, count)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(first, len(texts_)), *[pa.array(c) for c in cols[:6]], pa.array(cols[6], pa.string())],
-                ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"],
-            )
-            if len(al.pairs) > HELD_PAIRS:
-                al.forget()
-                best, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            al.forget()
+            _state.update(shared=name, counts=shared.value, number={}, sums=np.zeros((2, 0), np.int64))
+        counts, number = _state["counts"], _state["number"]
+        for b, first, texts_ in _blocks(batches, 5):
+            cut = [t.split(";") if t else [] for t in texts_]
+            flat = list(chain.from_iterable(cut))
+            if len(number) > held:
+                number.clear()
+                _state["sums"] = np.zeros((2, 0), np.int64)
+            if new := list(set(flat).difference(number)):
+                links = [*map(al.links_of, new)]
+                at = np.cumsum([0, *map(len, links[:-1])])
+                sums = [np.add.reduceat(v, at) for v in counts.of(np.fromiter(chain.from_iterable(links), np.int64))]
+                number.update(zip(new, range(len(number), len(number) + len(new))))
+                _state["sums"] = np.concatenate([_state["sums"], sums], axis=1)
+            ids = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+            till = np.cumsum([0, *map(len, cut)])
+            total = [np.append(0, np.cumsum(v[ids]))[till] for v in _state["sums"]]
+            own = [c.slice(first, len(texts_)) for c in b.columns]
+            yield pa.RecordBatch.from_arrays([*own[:5], *(pa.array(np.diff(v)) for v in total), own[5]], ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
 
     return run
 
@@ -421,10 +472,14 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     """
     spark, paths = docs.sparkSession, (a_path, b_path)
     ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # the session chose no size
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     two = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    partial = written(two.select("text").mapInArrow(_links(paths, held_pairs, max_chunks), "key long, n long"), "links")
-    schema = f"id {id_type(docs, id_col)}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
-    first, *more = [two.mapInArrow(_look_up(paths, spark.sparkContext.broadcast(c), max_chunks), schema) for c in counted(partial, max_pairs)]
+    sizes = f"id {id_type(docs, id_col)}, n_a long, n_b long, n_groups long, n_links long"
+    aligned = written(two.mapInArrow(_alignments(paths, held_pairs, max_chunks), f"{sizes}, groups string, key long, n long"), "alignments", "zstd")
+    partial = written(aligned.filter("n is not null").select("key", "n"), "links")
+    own = aligned.filter("n is null").drop("key", "n")
+    first, *more = [own.mapInArrow(_look_up(paths, spark.sparkContext.broadcast(c), held_pairs), f"{sizes}, n_best long, count_sum long, groups string") for c in counted(partial, max_pairs)]
     if more:  # equal alignments have equal sums, so one of each is enough
         sums = [x.filter("n_links > 0").groupBy(F.sha2("groups", 256).alias("digest")).agg(F.max("n_best").alias("b"), F.max("count_sum").alias("s")) for x in more]
         rest = sums[0]

@@ -32,8 +32,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table: it cuts the lineage, survives lost executors and is computed once."""
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """``df`` as a written table: it cuts the lineage, survives lost executors and is computed once. ``codec``: the session's by default."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -110,3 +110,47 @@ def test_tree_of_many_tasks(spark):
     got = A.tree_sum(spark.createDataFrame(rows, "block long, task long, v binary"), 2 * A.BLOCK + 10)
     assert len(got) == 2 * A.BLOCK + 10
     assert [got[0], got[A.BLOCK], got[-1]] == [sum(range(k, 100, 3)) for k in range(3)]
+
+
+@pytest.mark.parametrize("more", [{}, {"max_pairs": 700}])
+def test_the_table_is_read_once(spark, sf, more):
+    """What comes after the first pass reads the written alignments, not the texts."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    files = A.align(docs, *PATHS, **more).inputFiles()
+    assert files and not {*files} & {*docs.inputFiles()}
+
+
+def test_chunks_that_recur_stay():
+    al, asked = A.Aligner(*PATHS), []
+    ids = al._ids
+    al._ids = lambda parts: asked.extend(parts) or ids(parts)
+    often = [f"word{k}" for k in range(20)]
+    for n in range(30):
+        texts = [" ".join([*often, *(f"once{n}x{k}" for k in range(10))]), "", "日本語 \x00"]
+        block = al.block(texts, 40)
+        al.chunked = False  # the tokenizer itself
+        whole = [al._encode([t])[0] if t else None for t in texts]
+        al.chunked = True
+        assert [list(x) for x in zip(*block.rows())] == [[*w[:3], len(w[4]), w[3]] if w else [0, 0, 0, 0, ""] for w in whole]
+        assert len(al.number) == len(al.groups) == len(al.met) == len(al.sizes) // 4 <= 40 + 33
+    assert asked.count("word7") == 1
+
+
+def test_links_of_a_groups_text():
+    al = A.Aligner(*PATHS)
+    for text in filter(None, ODD):
+        if got := al._encode([text])[0]:
+            assert sum(map(al.links_of, got[3].split(";")), []) == got[4]
+
+
+@pytest.mark.parametrize("chosen, used", [("67108864b", str(A.BATCH_BYTES)), ("1m", "1m")])
+def test_batches_are_bounded_in_bytes(spark, chosen, used):
+    """Groups are longer than texts; a size that the session chose is kept."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, chosen)
+        A.align(spark.createDataFrame([(1, "a")], "doc_id long, text string"), *PATHS)
+        assert spark.conf.get(name).removesuffix("b") == used
+    finally:
+        spark.conf.set(name, before)
