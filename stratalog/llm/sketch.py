@@ -105,13 +105,13 @@ def _with_next(rows: DataFrame, more: dict[str, Column]) -> DataFrame:
     spark, kind = rows.sparkSession, id_type(rows, "id")
     ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = rows.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n"))
-    keys = written(keys.repartitionByRange(ranges, F.col("id").asc_nulls_first(), "h").withColumn("p", F.spark_partition_id()), "ranges")
-    # one row for each range
-    firsts = keys.groupBy("p").agg(F.min(F.struct("id", "h")).alias("first"), F.max("n").alias("n")).orderBy("p").collect()
+    ranged = keys.repartitionByRange(ranges, F.col("id").asc_nulls_first(), "h").withColumn("p", F.spark_partition_id())
+    # one row for each range; only these stay, so that no table of the keys has to be written
+    firsts = sorted(ranged.groupBy("p").agg(F.min(F.struct("id", "h")).alias("first"), F.max("n").alias("n")).collect(), key=lambda r: r["p"])
     bounds = [r["first"] for r in firsts]
     again = None
     if any(r["n"] > 1 for r in firsts):  # repeated rows: one of them stands for all
-        repeated = keys.filter("n > 1").select("id", "h")
+        repeated = written(keys.filter("n > 1").select("id", "h"), "repeated")
         again = rows.select("id", "h").join(repeated, _same(rows, repeated), "left_semi").select(F.col("id").alias("id_again"), F.col("h").alias("h_again"))
         once = rows.join(repeated, _same(rows, repeated), "left_semi").dropDuplicates(["id", "h"])
         rows = rows.join(repeated, _same(rows, repeated), "left_anti").unionByName(once)

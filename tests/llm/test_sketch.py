@@ -77,6 +77,23 @@ def test_repeated_rows_and_ids(spark):
     assert by[2, "other" if last == "two" else "two"] == {last}
 
 
+def test_only_repeated_keys_are_written(spark, monkeypatch):
+    """A file written to a local folder costs several processes, each of which shares its executor's memory until it runs."""
+    tables, write = {}, S.written
+
+    def noted(df, name):
+        tables[name] = write(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(S, "written", noted)
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    got = {r.doc_id: r.next_text for r in S.neighbours(docs).collect()}
+    assert got == {k: f"text {(k + 1) % 300}" for k in range(300)} and not tables
+    got = sorted((r.doc_id, r.next_text) for r in S.neighbours(docs.unionByName(docs.filter("doc_id IN (7, 8, 299)"))).collect())
+    assert got == sorted((k, f"text {(k + 1) % 300}") for k in (*range(300), 7, 8, 299))
+    assert [*tables] == ["repeated"] and sorted(r.id for r in tables["repeated"].collect()) == [7, 8, 299]
+
+
 def test_one_and_no_document(spark):
     one = S.neighbours(spark.createDataFrame([("k", "alone")], "doc_id string, text string")).collect()
     assert [tuple(r) for r in one] == [("k", "alone", "alone")]
